@@ -8,14 +8,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from .dac_tokens import read_documents, write_shards
 from .exact_dedup import DigestIndex, dedup_batch
 from .mixing import plan_mix
+from .packing import pack_documents
+from .token_counts import token_counts
+
+#: Context length of the over_limit column.
+TOKEN_LIMIT = 1024
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_batch(documents(spark, sf_dir), DigestIndex(spark))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_documents(write_shards(documents(spark, sf_dir)))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -68,8 +86,11 @@ FROM c
 """
 
 
+QUERIES = (op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op8_source_mix)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_exact_dedup": op4_exact_dedup, "op8_source_mix": op8_source_mix}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
