@@ -141,7 +141,7 @@ def write_shards(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID,
             file = f"part-{number:06d}-{shard:05d}-{uuid.uuid4().hex}.dac"
             lengths = np.array([len(b) // 4 for _, b in held], "i8")
             data = pack_shard(np.array([i or 0 for i, _ in held], "i8"), np.array([i is None for i, _ in held]), np.cumsum(lengths) - lengths, np.frombuffer(b"".join(b for _, b in held), "<u4"))
-            with system.open_output_stream(f"{folder}/{file}") as out:
+            with system.open_output_stream(f"{folder}/{file}", compression=None) as out:
                 out.write(data)
             return pa.RecordBatch.from_pydict({"part": pa.array([number], pa.int32()), "shard": pa.array([shard], pa.int32()), "file": [f"{root}/{file}"], "n_docs": pa.array([len(held)], pa.int64()), "n_ids": pa.array([int(lengths.sum())], pa.int64())})
 

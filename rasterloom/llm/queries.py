@@ -13,11 +13,17 @@ from .exact_dedup import DigestIndex, dedup_batch
 from .mixing import plan_mix
 from .packing import pack_documents
 from .token_counts import token_counts
+from .topk_search import top_k
+from .warc_index import archive_and_read
 
 #: Context length of the over_limit column.
 TOKEN_LIMIT = 1024
 
 
+def op1_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_and_read(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir)).withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
@@ -39,6 +45,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -86,7 +96,22 @@ FROM c
 """
 
 
-QUERIES = (op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op8_source_mix)
+OP9_SQL = r"""
+WITH c AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 64)::BIGINT) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i]))::BIGINT AS score
+  FROM c q JOIN c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op8_source_mix, op9_exact_top_k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -94,4 +119,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4_SQL, "op8_source_mix": OP8_SQL}
+    return {"op4_exact_dedup": OP4_SQL, "op8_source_mix": OP8_SQL, "op9_exact_top_k": OP9_SQL}
