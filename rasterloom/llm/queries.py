@@ -14,6 +14,7 @@ from .mixing import plan_mix
 from .packing import pack_documents
 from .token_counts import token_counts
 from .topk_search import top_k
+from .toxicity import toxicity
 from .warc_index import archive_and_read
 
 #: Context length of the over_limit column.
@@ -40,6 +41,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_documents(write_shards(documents(spark, sf_dir)))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -111,7 +116,7 @@ WITH c AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op8_source_mix, op9_exact_top_k)
+QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op8_source_mix, op9_exact_top_k)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
