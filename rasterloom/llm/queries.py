@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .dac_tokens import read_documents, write_shards
 from .exact_dedup import DigestIndex, dedup_batch
+from .lm_scoring import score_documents
 from .mixing import plan_mix
 from .packing import pack_documents
 from .token_counts import token_counts
@@ -54,6 +55,10 @@ def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(documents(spark, sf_dir))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -116,7 +121,7 @@ WITH c AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op8_source_mix, op9_exact_top_k)
+QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op8_source_mix, op9_exact_top_k, op10_lm_scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
