@@ -7,7 +7,7 @@ multiplicities. Pieces find their place by their rank among the pieces of their
 counted inside (length, salt), so a length that a third of all pieces share is no hot group.
 
 Packing: best fit over the histogram gives the incumbent; it is optimal if it meets the bound
-ceil(total / capacity). Otherwise bin completion branches: around the largest piece left,
+that all lengths and the unfillable room beside long pieces give. Otherwise bin completion branches: around the largest piece left,
 undominated fillings are enumerated in order of waste, each is used as often as the counts allow,
 and a branch is cut when its waste exceeds what a better packing may waste in all.
 
@@ -30,8 +30,10 @@ from .common import materialise, partitions, text_of
 from .tokenizing import batches, chunk_tokenizer
 
 DEFAULT_FILE, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
-#: Fillings that the search may try before it keeps the incumbent.
-NODES = 20_000
+#: Fillings that the search may try before it keeps the incumbent, and those tried around one piece.
+NODES, BRANCHES = 2_000, 12
+#: Fillings without waste after which the enumeration around a piece ends.
+PERFECT = 3
 
 #: A pattern is ((length, how many), ...) and is used in so many sequences.
 Patterns = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -73,38 +75,59 @@ def best_fit(counts: dict[int, int], capacity: int) -> Patterns:
     return full + open_
 
 
-def fillings(counts: dict[int, int], room: int, most: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
+def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int, steps: int = 2_000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
     """(waste, filling): up to most undominated ways to fill room, the least waste first.
 
-    A filling is dominated, and left out, if a piece that is left fits beside it, or if swapping one
-    of its pieces for a longer one that is left, or two for one, still fits: the other is never worse.
+    lengths are those that counts has, ascending. A filling is dominated, and left out, if a piece
+    that is left fits beside it, or if a piece that is left can take the place of one or two of its
+    pieces and still fits: the other filling is never worse. steps bounds the enumeration.
     """
-    lengths = sorted((x for x in counts if counts[x] and x <= room), reverse=True)
     found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
+    state = [steps, 0]
 
-    def spare(x: int, used: dict[int, int]) -> int:
-        return counts.get(x, 0) - used.get(x, 0)
+    def next_fit(waste: int, used: dict[int, int], below: int) -> int:
+        """The place in lengths after that of the longest piece left that fits, at most below."""
+        at = min(below, bisect.bisect_right(lengths, waste))
+        while at and counts[lengths[at - 1]] <= used.get(lengths[at - 1], 0):
+            at -= 1
+        return at
 
     def dominated(used: dict[int, int], waste: int) -> bool:
         items = [x for x, k in used.items() for _ in range(min(k, 2))]
         sums = {*items, *(a + b for i, a in enumerate(items) for b in items[i + 1 :])}
-        return any(spare(x, used) > 0 for s in sums for x in range(s + 1, s + waste + 1)) if waste else False
-
-    def go(at: int, waste: int, used: dict[int, int]) -> None:
-        if len(found) >= most:
-            return
-        while at < len(lengths) and lengths[at] > waste:
-            at += 1
-        if at == len(lengths):
-            if not any(spare(x, used) > 0 for x in lengths if x <= waste) and not dominated(used, waste):
+        for s in sums:
+            for at in range(bisect.bisect_right(lengths, s + waste), bisect.bisect_right(lengths, s), -1):
+                if counts[lengths[at - 1]] > used.get(lengths[at - 1], 0):
+                    return True
+        return False
+
+    def go(waste: int, used: dict[int, int], below: int) -> None:
+        at = next_fit(waste, used, below)
+        if not at:
+            if not next_fit(waste, used, len(lengths)) and not (waste and dominated(used, waste)):
                 found.append((waste, tuple(used.items())))
+                state[1] += not waste
             return
-        x = lengths[at]
-        for k in range(min(counts[x], waste // x), -1, -1):
-            go(at + 1, waste - k * x, {**used, x: k} if k else used)
+        while at and state[1] < PERFECT and state[0] > 0:
+            state[0] -= 1
+            x = lengths[at - 1]
+            if counts[x] > used.get(x, 0):
+                go(waste - x, {**used, x: used.get(x, 0) + 1}, at)
+            at -= 1
+
+    go(room, {}, len(lengths))
+    return sorted(found)[:most]
+
 
-    go(0, room, {})
-    return sorted(found)
+def fewest_possible(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: all lengths, and the room beside pieces over capacity - t that no piece up to t fills."""
+    total, big = sum(x * n for x, n in counts.items()), sum(n for x, n in counts.items() if 2 * x > capacity)
+    room = small = lost = 0
+    for t in range(1, (capacity + 1) // 2):
+        room += t * counts.get(capacity - t, 0)
+        small += t * counts.get(t, 0)
+        lost = max(lost, room - small)
+    return max(-(-(total + lost) // capacity), big)
 
 
 def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Patterns:
@@ -112,37 +135,57 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
     best = best_fit(counts, capacity)
-    bound = max(-(-total // capacity), sum(n for x, n in counts.items() if 2 * x > capacity))
-    state = {"best": best, "bins": sum(m for _, m in best), "nodes": nodes}
-
-    def branch(rest: dict[int, int], made: Patterns, bins: int, waste: int) -> None:
-        if state["bins"] == bound or state["nodes"] <= 0:
-            return
-        if not rest:
-            if bins < state["bins"]:
-                state["best"], state["bins"] = list(made), bins
-            return
-        largest = max(rest)
-        inner = rest | {largest: rest[largest] - 1}
-        for w, filling in fillings(inner, capacity - largest, 64):
-            state["nodes"] -= 1
-            pattern = dict(filling)
-            pattern[largest] = pattern.get(largest, 0) + 1
-            times = min(rest[x] // k for x, k in pattern.items())
-            # A packing that is better by one sequence may waste this much in all.
-            if waste + w * times > (state["bins"] - 1) * capacity - total:
-                continue
-            left = {x: m for x, n in rest.items() if (m := n - times * pattern.get(x, 0))}
-            branch(left, [*made, (tuple(sorted(pattern.items(), reverse=True)), times)], bins + times, waste + w * times)
-            if state["bins"] == bound or state["nodes"] <= 0:
-                return
-
-    import sys
-
-    if state["bins"] > bound:
-        sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
-        branch(counts, [], 0, 0)
-    return state["best"]
+    fewest = sum(m for _, m in best)
+    bound = fewest_possible(counts, capacity)
+    rest, lengths = dict(counts), sorted(counts)
+    made: list[tuple[tuple[tuple[int, int], ...], int]] = []
+    bins = waste = 0
+    # Each entry of the stack: the fillings that are still to be tried around the largest piece left.
+    stack: list[list] = []
+    while fewest > bound and nodes > 0:
+        if len(stack) == len(made):
+            if not lengths:
+                if bins < fewest:
+                    best, fewest = list(made), bins
+                stack.append([])
+            else:
+                largest = lengths[-1]
+                rest[largest] -= 1
+                found = fillings(rest, lengths, capacity - largest, BRANCHES)
+                rest[largest] += 1
+                options = []
+                for w, filling in found:
+                    pattern = dict(filling)
+                    pattern[largest] = pattern.get(largest, 0) + 1
+                    times = min(rest[x] // k for x, k in pattern.items())
+                    options.append((w, times, pattern))
+                stack.append(options[::-1])
+        # A packing that is better by one sequence may waste this much in all.
+        spare = (fewest - 1) * capacity - total - waste
+        while stack[-1] and stack[-1][-1][0] * stack[-1][-1][1] > spare:
+            w, times, pattern = stack[-1].pop()
+            if w <= spare and w:  # used fewer times it still may lead on
+                stack[-1].append((w, spare // w, pattern))
+        if stack[-1]:
+            w, times, pattern = stack[-1].pop()
+            nodes -= 1
+            for x, k in pattern.items():
+                rest[x] -= k * times
+                if not rest[x]:
+                    del lengths[bisect.bisect_left(lengths, x)]
+            made.append((tuple(sorted(pattern.items(), reverse=True)), times))
+            bins, waste = bins + times, waste + w * times
+            continue
+        stack.pop()
+        if not made:
+            break
+        pattern, times = made.pop()
+        for x, k in pattern:
+            if not rest[x]:
+                bisect.insort(lengths, x)
+            rest[x] += k * times
+        bins, waste = bins - times, waste - times * (capacity - sum(x * k for x, k in pattern))
+    return best
 
 
 def cut(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity: int = CAPACITY, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
