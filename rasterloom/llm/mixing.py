@@ -119,7 +119,8 @@ def plan_mix(df: DataFrame, weights: list[int] = (5, 2, 1), share: float = 1.5,
 
 
 def mixed_rows(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """df's rows, each as often as the plan takes it, in its shards (column shard), shuffled inside each.
+    """df's rows, each as often as the plan takes it, with its shard; every partition holds its part of a
+    shard in permuted order, so that writing by shard needs no further shuffle.
 
     plan is plan_mix(df): where an id repeats, its rows share the copies of the plan's rows in turn.
     """
@@ -127,4 +128,6 @@ def mixed_rows(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", seed: int
     mine = df.withColumn("__id", F.col(id_col)).withColumn("__order", F.lit(0)).withColumn("__nth", F.row_number().over(nth))
     takes = plan.select(F.col(id_col).alias("__id"), F.col("shards").alias("__shards"), F.col("copies").alias("__order")).withColumn("__nth", F.row_number().over(nth)).drop("__order")
     met = mine.join(takes, mine["__id"].eqNullSafe(takes["__id"]) & (mine["__nth"] == takes["__nth"])).drop(takes["__id"]).drop(takes["__nth"])
-    return met.withColumn("shard", F.explode("__shards")).select(*df.columns, "shard").repartition("shard", F.md5(F.concat_ws("|", F.lit(f"{seed}:in"), F.col(id_col).cast("string")))).sortWithinPartitions("shard", F.md5(F.concat_ws("|", F.lit(f"{seed}:in"), F.col(id_col).cast("string"))))
+    lot = F.md5(F.concat_ws("|", F.lit(f"{seed}:in"), "__copy", F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    drawn = met.select(*df.columns, F.posexplode("__shards").alias("__copy", "shard"))
+    return drawn.sortWithinPartitions("shard", lot).select(*df.columns, "shard")

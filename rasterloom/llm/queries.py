@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import documents
 from .dac_tokens import read_documents, write_shards
 from .exact_dedup import DigestIndex, dedup_batch
+from .jaccard_join import jaccard_components
 from .lm_scoring import score_documents
 from .mixing import plan_mix
 from .packing import pack_documents
@@ -46,6 +47,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(documents(spark, sf_dir))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -121,7 +126,7 @@ WITH c AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op8_source_mix, op9_exact_top_k, op10_lm_scoring)
+QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op7_jaccard_join, op8_source_mix, op9_exact_top_k, op10_lm_scoring)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
