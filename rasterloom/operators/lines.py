@@ -44,10 +44,11 @@ def chaikin_pass(geom: Column, closed: bool = False) -> Column:
     return F.when(n < 3, geom).otherwise(whole)
 
 
-def chaikin(geom: Column, rounds: int = 3, closed: bool = False) -> Column:
+def chaikin(lines: DataFrame, rounds: int = 3, closed: bool = False) -> DataFrame:
+    """lines with geom smoothed; one projection a round, so that no round is computed more than once."""
     for _ in range(rounds):
-        geom = chaikin_pass(geom, closed)
-    return geom
+        lines = lines.withColumn("geom", chaikin_pass(F.col("geom"), closed))
+    return lines
 
 
 def close_ring(geom: Column) -> Column:
