@@ -1,7 +1,7 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
-Words become hashes in bounded blocks of tokens, a table in the shared folder. Counting words is
-one grouped sum; every word gets a dense number. The model is a bigram model with Dirichlet
+Words become hashes in bounded blocks of tokens, a bucketed table that is written once. A block's
+distinct words are routed to word shards, which count and number them and answer the block. The model is a bigram model with Dirichlet
 smoothing: P(w|b) = a(b,w) + l(b) P(w), with a = c(b,w) / (c(b) + MU), l = MU / (c(b) + MU) and P(w)
 the add-one unigram probability of the base score, so P(.|b) sums to one.
 
@@ -37,7 +37,7 @@ from .word_hash import hash_words, mix
 #: The fold that is not learned from.
 FOLDS, HELD_FOLD = 7, 2
 #: Tokens after which a block is closed.
-BLOCK_TOKENS = 1 << 19
+BLOCK_TOKENS = 1 << 20
 #: Weight of the unigram distribution in a context, as a number of tokens.
 MU = 64.0
 #: One-byte levels of log10 probabilities from LOWEST to 0; level 0 means none.
@@ -45,7 +45,7 @@ LEVELS, LOWEST = 255, -9.0
 END_WORD = np.uint64(0x45AF1D3B9C0E7711)
 #: The context of a text's first word.
 START = np.int64(0)
-BLOCKS = "block bigint, doc_ids binary, nulls binary, held binary, lengths binary, words binary, tokens binary"
+BLOCKS = "block bigint, doc_ids binary, nulls binary, held binary, lengths binary, words binary, counts binary, size bigint, tokens binary"
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -56,6 +56,15 @@ def stretch(b: bytes, kind: str) -> np.ndarray:
     return np.frombuffer(zlib.decompress(b), kind)
 
 
+def squeeze_planes(a: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 in four planes of bytes, the higher ones mostly zeros."""
+    return zlib.compress(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+
+
+def stretch_planes(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
+
+
 class EliasFano:
     """A monotone sequence: low bits packed, high bits in unary, read back from mapped bytes."""
 
@@ -177,7 +186,10 @@ class Trie:
 
 
 def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """A written table of blocks of about BLOCK_TOKENS tokens: documents, their words' hashes and places among them."""
+    """A table of blocks of about BLOCK_TOKENS tokens: documents, dictionary and tokens, in buckets by block.
+
+    The buckets let every later step meet the tokens where they lie; they are written once and never moved.
+    """
 
     def build(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, made = TaskContext.get().partitionId(), 0
@@ -186,12 +198,17 @@ def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         size = 0
 
         def close() -> pa.RecordBatch:
-            words, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
+            words, tokens, n = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+            order = np.argsort(-n, kind="stable")  # frequent words have small places, which compress well
+            place = np.empty(len(words), "i8")
+            place[order] = np.arange(len(words))
+            words, tokens, n = words[order], place[tokens], n[order]
             ids, held, lengths = (np.array(x) for x in zip(*docs))
             nulls = np.array([i is None for i in ids])
+            train = np.bincount(tokens[np.repeat(held == 0, lengths)], minlength=len(words))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number << 32 | made], pa.int64()), "doc_ids": [np.where(nulls, 0, ids).astype("<i8").tobytes()], "nulls": [nulls.astype("u1").tobytes()], "held": [held.astype("u1").tobytes()],
-                "lengths": [lengths.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()], "tokens": [squeeze(tokens.astype("<i4"))],
+                "lengths": [lengths.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()], "counts": [squeeze(np.concatenate([train, n]).astype("<u4"))], "size": pa.array([size], pa.int64()), "tokens": [squeeze_planes(tokens)],
             })
 
         for part in parts:
@@ -199,7 +216,7 @@ def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             found, counts = hash_words(part.column(2))
             edges = np.concatenate([[0], np.cumsum(counts)])
             for i, (doc, h) in enumerate(zip(ids, held)):
-                docs.append((doc, h, int(counts[i]) + 1))
+                docs.append((doc, int(h), int(counts[i]) + 1))
                 hashes += [found[edges[i] : edges[i + 1]], np.array([END_WORD])]
                 size += int(counts[i]) + 1
                 if size >= BLOCK_TOKENS:
@@ -208,110 +225,116 @@ def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         if docs:
             yield close()
 
+    spark = df.sparkSession
     held = (id_bucket(id_col, FOLDS) == HELD_FOLD).alias("held")
-    return materialise(df.select(F.col(id_col).cast("bigint").alias("id"), held, text_of(text_col).alias("text")).mapInArrow(build, BLOCKS), "lm-blocks")
+    blocks = df.select(F.col(id_col).cast("bigint").alias("id"), held, text_of(text_col).alias("text")).mapInArrow(build, BLOCKS)
+    name = f"lm_blocks_{uuid.uuid4().hex}"
+    blocks.write.format("parquet").option("path", shared_path(spark, "lm-blocks")).bucketBy(partitions(spark), "block").saveAsTable(name)
+    return spark.table(name)
 
 
-def _block(row: dict) -> dict[str, np.ndarray]:
-    kinds = {"doc_ids": "<i8", "nulls": "u1", "held": "u1", "lengths": "<i8", "words": "<u8"}
-    out = {k: np.frombuffer(row[k], kind) for k, kind in kinds.items()}
-    out["tokens"] = stretch(row["tokens"], "<i4").astype("i8")
-    out["train"] = np.repeat(out["held"] == 0, out["lengths"])
-    return out
-
-
-def word_counts(blocks: DataFrame) -> DataFrame:
-    """A written table (word, number, n, n_all): each word's hash, dense number from 1, training and whole count."""
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in part.to_pylist():
-                b = _block(row)
-                n, m = len(b["words"]), np.bincount(b["tokens"], minlength=len(b["words"]))
-                yield pa.RecordBatch.from_arrays([pa.array(b["words"].view("<i8")), pa.array(np.bincount(b["tokens"][b["train"]], minlength=n)), pa.array(m)], names=["word", "n", "n_all"])
-
-    def enumerate_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, at = TaskContext.get().partitionId(), 0
-        for part in parts:
-            n = part.num_rows
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.full(n, number, "i4")), pa.array(np.arange(at, at + n))], names=["word", "n", "n_all", "part", "nth"])
-            at += n
+def _routes(words: np.ndarray, shards: int) -> list[np.ndarray]:
+    """For each shard of the words, the places of its words in order of hash."""
+    shard = (mix(words) % np.uint64(shards)).astype("i8")
+    order = np.lexsort((words, shard))
+    return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
 
-    summed = blocks.mapInArrow(count, "word bigint, n bigint, n_all bigint").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
-    parted = materialise(summed.mapInArrow(enumerate_rows, "word bigint, n bigint, n_all bigint, part int, nth bigint"), "lm-words")
-    sizes = {r["part"]: r["count"] for r in parted.groupBy("part").count().collect()}  # one row a partition
-    offsets, at = [], 1
-    for p in range(max(sizes, default=-1) + 1):
-        offsets.append(at)
-        at += sizes.get(p, 0)
-    first = F.element_at(F.lit(offsets or [1]).cast("array<bigint>"), F.col("part") + 1)
-    return parted.select("word", (first + F.col("nth")).alias("number"), "n", "n_all")
 
+def number_words(blocks: DataFrame) -> DataFrame:
+    """(block, shard, data) written: for each block and shard the numbers and training counts of its words there.
 
-def numbered_blocks(blocks: DataFrame, words: DataFrame) -> DataFrame:
-    """blocks with the numbers and training counts of their words; a written table."""
+    Rows with a null block hold, as JSON, a shard's sums and its frequent words, at most 4 a shard
+    on average. A word's number falls as its count grows, and is unique over shards.
+    """
+    spark = blocks.sparkSession
+    shards = partitions(spark)
+    tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
 
-    def explode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for block, raw in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                w = np.frombuffer(raw, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(w), block)), pa.array(w), pa.array(np.arange(len(w)))], names=["block", "word", "place"])
-
-    def attach(left: pa.Table, right: pa.Table) -> pa.Table:
-        order = np.argsort(right.column("place").to_numpy())
-        number, n = (right.column(c).to_numpy()[order] for c in ("number", "n"))
-        row = {c: left.column(c) for c in left.column_names if c != "words"}
-        return pa.table({**row, "numbers": pa.array([number.astype("<i8").tobytes()] * left.num_rows, pa.binary()), "counts": pa.array([n.astype("<i8").tobytes()] * left.num_rows, pa.binary())})
-
-    told = blocks.select("block", "words").mapInArrow(explode, "block bigint, word bigint, place bigint").join(words.select("word", "number", "n"), "word").select("block", "place", "number", "n")
-    schema = BLOCKS.replace("words binary, ", "") + ", numbers binary, counts binary"
-    return materialise(blocks.groupby("block").cogroup(told.groupby("block")).applyInArrow(attach, schema), "lm-numbered")
-
-
-def _pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, dict]:
-    """(context, word, place of each token's pair, block) of a numbered block; contexts and words ascend."""
-    b = {k: np.frombuffer(row[k], kind) for k, kind in (("doc_ids", "<i8"), ("nulls", "u1"), ("held", "u1"), ("lengths", "<i8"), ("numbers", "<i8"), ("counts", "<i8"))}
-    b["tokens"] = stretch(row["tokens"], "<i4").astype("i8")
+            for block, raw, counts in zip(*(c.to_pylist() for c in part.columns)):
+                words = np.frombuffer(raw, "<u8")
+                n = stretch(counts, "<u4").reshape(2, -1)
+                routes = [(s, g) for s, g in enumerate(_routes(words, shards)) if len(g)]
+                halves = [(squeeze(np.diff(words[g], prepend=np.uint64(0))), squeeze(n[:, g])) for _, g in routes]
+                data, cut = [a + b for a, b in halves], [len(a) for a, _ in halves]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(routes), block)), pa.array([s for s, _ in routes], pa.int64()), pa.array(cut, pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "cut", "data"])
+
+    def number(group: pa.Table) -> pa.Table:
+        shard = group.column("shard")[0].as_py()
+        parts = [(np.cumsum(stretch(d[:c], "<u8"), dtype="u8"), stretch(d[c:], "<u4").reshape(2, -1)) for d, c in zip(group.column("data").to_pylist(), group.column("cut").to_pylist())]
+        words, back = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
+        n, n_all = (np.bincount(back, np.concatenate([m[k] for _, m in parts]), len(words)).astype("i8") for k in (0, 1))
+        rank = np.empty(len(words), "i8")
+        rank[np.lexsort((words, -n_all))] = np.arange(len(words))
+        numbers, at, rows = rank * shards + shard + 1, 0, []
+        for w, _ in parts:
+            i = back[at : at + len(w)]
+            at += len(w)
+            rows.append(squeeze_planes(np.concatenate([numbers[i], n[i]])))
+        frequent = np.flatnonzero((n_all > tokens / (4 * shards)) & (words != END_WORD))
+        ends = n[words == END_WORD]
+        told = json.dumps({"n": int(n.sum()), "v": int((n > 0).sum()), "hot": {int(numbers[i]): int(n[i]) for i in frequent}, "starts": int(ends.sum())}).encode()
+        return pa.table({"block": pa.array([*group.column("block").to_pylist(), None], pa.int64()), "shard": pa.array(np.full(len(rows) + 1, shard)), "data": pa.array([*rows, told], pa.binary())})
+
+    routed = blocks.select("block", "words", "counts").mapInArrow(route, "block bigint, shard bigint, cut bigint, data binary")
+    return materialise(routed.groupby("shard").applyInArrow(number, "block bigint, shard bigint, data binary"), "lm-words")
+
+
+def _block(row: dict, numbered: dict[int, bytes], shards: int) -> dict[str, np.ndarray]:
+    """A block's arrays, with the numbers and training counts of its words."""
+    b = {k: np.frombuffer(row[k], kind) for k, kind in (("doc_ids", "<i8"), ("nulls", "u1"), ("held", "u1"), ("lengths", "<i8"), ("words", "<u8"))}
+    b["tokens"] = stretch_planes(row["tokens"])
+    b["numbers"], b["n"] = np.zeros(len(b["words"]), "i8"), np.zeros(len(b["words"]), "i8")
+    for s, g in enumerate(_routes(b["words"], shards)):
+        if len(g):
+            b["numbers"][g], b["n"][g] = stretch_planes(numbered[s]).reshape(2, -1)
+    return b
+
+
+def _pairs(b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(context, word, place of each token's pair) of a block; contexts and words ascend."""
     word = b["numbers"][b["tokens"]]
     context = np.concatenate([[START], word[:-1]])
     context[np.cumsum(b["lengths"])[:-1]] = START
     key, place = np.unique(context.astype("u8") << np.uint64(32) | word.astype("u8"), return_inverse=True)
-    return (key >> np.uint64(32)).astype("i8"), (key & np.uint64(0xFFFFFFFF)).astype("i8"), place, b
+    return (key >> np.uint64(32)).astype("i8"), (key & np.uint64(0xFFFFFFFF)).astype("i8"), place
 
 
-def _shards(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> np.ndarray:
-    """The shard of each pair: that of its context; of a frequent context, that of the pair."""
+def _shards(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its pairs): that of the context; for a frequent context, that of the pair."""
     key = mix(context.astype("u8"))
     spread = np.isin(context, hot)
     key[spread] = mix(key[spread] ^ mix(word[spread].astype("u8") + np.uint64(7)))
-    return (key % np.uint64(shards)).astype("i8")
+    shard = (key % np.uint64(shards)).astype("i8")
+    order = np.argsort(shard, kind="stable")
+    return [(int(shard[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(g)]
 
 
-def look_up(numbered: DataFrame, hot: dict[int, int], root: str | None = None) -> DataFrame:
-    """Build the trie's shards and look up every block's pairs: (block, shard, file, levels), written.
+def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], root: str | None = None) -> DataFrame:
+    """Build the trie's shards and look up every block's pairs: (block, shard, file, data), written.
 
     hot: frequent contexts and their training totals, at most 4 a shard.
     """
-    spark = numbered.sparkSession
+    spark = blocks.sparkSession
     shards, folder = partitions(spark), root or shared_path(spark, "lm-trie")
     spread = np.array(sorted(hot), "i8")
 
-    def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            for row in part.to_pylist():
-                context, word, place, b = _pairs(row)
-                count = np.bincount(place[np.repeat(b["held"] == 0, b["lengths"])], minlength=len(word))
-                shard = _shards(context, word, spread, shards)
-                order = np.argsort(shard, kind="stable")
-                cuts = np.flatnonzero(np.diff(shard[order])) + 1
-                groups = np.split(order, cuts)
-                data = [squeeze(np.concatenate([np.diff(context[g], prepend=0).astype("<u4"), word[g].astype("<u4"), count[g].astype("<u4")])) for g in groups]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(groups), row["block"])), pa.array([int(shard[g[0]]) for g in groups], pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "pairs"])
+    def route(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist()))
+        out = []
+        for row in left.to_pylist():
+            b = _block(row, found, shards)
+            context, word, place = _pairs(b)
+            count = np.bincount(place[np.repeat(b["held"] == 0, b["lengths"])], minlength=len(word))
+            out += [(row["block"], s, squeeze_planes(np.concatenate([np.diff(context[g], prepend=0), word[g], count[g]]))) for s, g in _shards(context, word, spread, shards)]
+        block, shard, data = zip(*out)
+        return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def build_and_find(group: pa.Table) -> pa.Table:
         from pyarrow import fs
 
-        parts = [stretch(p, "<u4").astype("i8").reshape(3, -1) for p in group.column("pairs").to_pylist()]
+        parts = [stretch_planes(p).reshape(3, -1) for p in group.column("data").to_pylist()]
         context, word, count = (np.concatenate(x) for x in zip(*((np.cumsum(p[0]), p[1], p[2]) for p in parts)))
         seen = count > 0
         key, back = np.unique(context[seen].astype("u8") << np.uint64(32) | word[seen].astype("u8"), return_inverse=True)
@@ -323,42 +346,37 @@ def look_up(numbered: DataFrame, hot: dict[int, int], root: str | None = None) -
             out.write(trie_bytes((key >> np.uint64(32)).astype("i8"), (key & np.uint64(0xFFFFFFFF)).astype("i8"), total, hot))
         trie = Trie.open(f"{folder}/{name}")
         found = [squeeze(np.concatenate(trie.find(np.cumsum(p[0]), p[1]))) for p in parts]
-        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "file": pa.array([f"{folder}/{name}"] * len(parts)), "levels": pa.array(found, pa.binary())})
+        return pa.table({"block": group.column("block"), "shard": group.column("shard"), "file": pa.array([f"{folder}/{name}"] * len(parts)), "data": pa.array(found, pa.binary())})
 
-    routed = numbered.mapInArrow(route, "block bigint, shard bigint, pairs binary")
-    return materialise(routed.groupby("shard").applyInArrow(build_and_find, "block bigint, shard bigint, file string, levels binary"), "lm-levels")
+    routed = blocks.select("block", "doc_ids", "nulls", "held", "lengths", "words", "tokens").groupby("block").cogroup(numbered.groupby("block")).applyInArrow(route, "block bigint, shard bigint, data binary")
+    return materialise(routed.groupby("shard").applyInArrow(build_and_find, "block bigint, shard bigint, file string, data binary"), "lm-levels")
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of df."""
-    spark = df.sparkSession
     blocks = token_blocks(df, id_col, text_col)
-    words = word_counts(blocks)
-    sums = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.when(F.col("n") > 0, 1)).alias("v"), F.coalesce(F.sum("n_all"), F.lit(0)).alias("n_all")).first()
-    train_tokens, vocabulary = int(sums["n"]), int(sums["v"])
-    shards = partitions(spark)
-    # Words with over a quarter of a shard's share of tokens: at most 4 a shard. The end is never a context.
-    frequent = words.where((F.col("n_all") > sums["n_all"] / (4 * shards)) & (F.col("word") != int(np.array(END_WORD).view("i8"))))
-    hot = {r["number"]: r["n"] for r in frequent.select("number", "n").collect()}
-    end = words.where(F.col("word") == int(np.array(END_WORD).view("i8"))).select("n").first()
-    hot[int(START)] = end["n"] if end else 0  # every text has one start, as it has one end
-    numbered = numbered_blocks(blocks, words)
-    levels = look_up(numbered, hot)
+    shards = partitions(df.sparkSession)
+    told = number_words(blocks)
+    sums = [json.loads(r[0]) for r in told.where("block is null").select("data").collect()]  # one row a shard
+    numbered = told.where("block is not null")
+    train_tokens, vocabulary = sum(x["n"] for x in sums), sum(x["v"] for x in sums)
+    hot = {int(k): n for x in sums for k, n in x["hot"].items()}
+    hot[int(START)] = sum(x["starts"] for x in sums)  # every text has one start, as it has one end
+    levels = look_up(blocks, numbered, hot)
     spread = np.array(sorted(hot), "i8")
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
-        by_shard = dict(zip(right.column("shard").to_pylist(), right.column("levels").to_pylist()))
+        by = {(k, s): d for k, s, d in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "data")))}
         for row in left.to_pylist():
-            context, word, place, b = _pairs(row)
-            shard = _shards(context, word, spread, shards)
-            order = np.argsort(shard, kind="stable")
+            b = _block(row, {s: d for (k, s), d in by.items() if k == "words"}, shards)
+            context, word, place = _pairs(b)
             share, rest = np.zeros(len(word)), np.ones(len(word))
-            for g in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
-                found = stretch(by_shard[int(shard[g[0]])], "u1")
+            for s, g in _shards(context, word, spread, shards):
+                found = stretch(by["levels", s], "u1")
                 share[g] = OF_LEVEL[found[: len(g)]]
                 rest[g] = np.where(found[len(g) :] > 0, OF_LEVEL[found[len(g) :]], 1.0)
-            count = b["counts"][b["tokens"]]
+            count = b["n"][b["tokens"]]
             unigram = (count + 1) / (train_tokens + vocabulary + 1)
             start = np.cumsum(b["lengths"]) - b["lengths"]
             total = lambda x: np.add.reduceat(x, start)
@@ -370,4 +388,5 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return pa.concat_tables(tables)
 
     schema = f"{id_col} bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return numbered.groupby("block").cogroup(levels.select("block", "shard", "levels").groupby("block")).applyInArrow(add_up, schema)
+    answers = numbered.select("block", F.lit("words").alias("kind"), "shard", "data").unionByName(levels.select("block", F.lit("levels").alias("kind"), "shard", "data"))
+    return blocks.select("block", "doc_ids", "nulls", "held", "lengths", "words", "tokens").groupby("block").cogroup(answers.groupby("block")).applyInArrow(add_up, schema)
