@@ -46,8 +46,8 @@ def normalize(px: DataFrame) -> DataFrame:
 
 
 def extents(px: DataFrame) -> DataFrame:
-    """img_id, h, w: one row an image."""
-    return px.groupBy("img_id").agg((F.max("r") + 1).alias("h"), (F.max("c") + 1).alias("w"))
+    """img_id, height, width: one row an image."""
+    return px.groupBy("img_id").agg((F.max("r") + 1).alias("height"), (F.max("c") + 1).alias("width"))
 
 
 def send(px: DataFrame, offsets: Offsets) -> DataFrame:
@@ -59,7 +59,7 @@ def send(px: DataFrame, offsets: Offsets) -> DataFrame:
 
 def inside(px: DataFrame, extent: DataFrame) -> DataFrame:
     """The pixels that lie in their image; extent has one row an image."""
-    return px.join(extent, "img_id").where("r >= 0 and c >= 0 and r < h and c < w").drop("h", "w")
+    return px.join(extent, "img_id").where("r >= 0 and c >= 0 and r < height and c < width").drop("height", "width")
 
 
 def weighted_sums(px: DataFrame, offsets: Offsets, **values: Column) -> DataFrame:
@@ -129,7 +129,7 @@ def erode(on: DataFrame, extent: DataFrame, size: int) -> DataFrame:
     a, b = size // 2, size - 1 - size // 2
     met = send(on.select(*PIXEL), [(-dr, -dc, w) for dr, dc, w in box(size)]).groupBy(*PIXEL).agg(F.count(F.lit(1)).alias("n")).join(extent, "img_id")
     span = lambda p, s: F.least(F.col(p) + b, F.col(s) - 1) - F.greatest(F.col(p) - a, F.lit(0)) + 1
-    return met.where("r >= 0 and c >= 0 and r < h and c < w").where(F.col("n") == span("r", "h") * span("c", "w")).select(*PIXEL)
+    return met.where("r >= 0 and c >= 0 and r < height and c < width").where(F.col("n") == span("r", "height") * span("c", "width")).select(*PIXEL)
 
 
 def close(on: DataFrame, extent: DataFrame, size: int) -> DataFrame:

@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from .plans import geometry, manifests, models, pixels, sequences  # noqa: F401
+    from .plans import geometry, manifests, models, pixels, rasters, routes, sequences, sessions, snapping, storage  # noqa: F401
 
 
 load()
