@@ -278,7 +278,8 @@ def links(docs: DataFrame, surveyed: DataFrame, clusters: DataFrame, words: int,
     told = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes, "class")
     sizes = told.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
     wanted = materialise(told.join(sizes, "cluster").select("class", "cluster", "blocks", "first_id"), "gram-clusters")
-    met = docs.join(wanted, F.col("id").eqNullSafe(F.col("first_id"))).select("id", "text", "cluster", "blocks", "class")
+    # Always by shuffle: wanted grows with the data, so it is not one to broadcast at any size.
+    met = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first_id"))).select("id", "text", "cluster", "blocks", "class")
     members = materialise(met.mapInArrow(cut, "cluster bigint, blocks bigint, class bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "gram-members")
     alone = F.col("class").alias("known")
     # Each block with itself and the first block of its cluster.
