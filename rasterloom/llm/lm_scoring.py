@@ -364,6 +364,7 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     hot[int(START)] = sum(x["starts"] for x in sums)  # every text has one start, as it has one end
     levels = look_up(blocks, numbered, hot)
     spread = np.array(sorted(hot), "i8")
+    spread_rest = OF_LEVEL[to_level(MU / (np.array([hot[k] for k in sorted(hot)], "f8") + MU))]
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
@@ -376,6 +377,9 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 found = stretch(by["levels", s], "u1")
                 share[g] = OF_LEVEL[found[: len(g)]]
                 rest[g] = np.where(found[len(g) :] > 0, OF_LEVEL[found[len(g) :]], 1.0)
+            # A frequent context is spread over shards, and one without any of its pairs doesn't know it.
+            at = np.searchsorted(spread, context).clip(max=len(spread) - 1)
+            rest = np.where(spread[at] == context, spread_rest[at], rest)
             count = b["n"][b["tokens"]]
             unigram = (count + 1) / (train_tokens + vocabulary + 1)
             start = np.cumsum(b["lengths"]) - b["lengths"]
