@@ -39,7 +39,8 @@ LEAST_TEXTS = 3
 LEAST_CHI = 20.0
 #: Weights of the ridge and of the counterfactual penalty.
 RIDGE, COUNTERFACTUAL = 1e-4, 0.5
-MEMO = 500_000
+#: Tokens whose features a Python worker remembers.
+MEMO = 200_000
 WORDS = re.compile(r"[^\W\d_]+")
 
 #: Groups of identity terms that may replace each other.
