@@ -21,8 +21,11 @@ from .common import WHITESPACE, materialise, partitions, shared_path, text_of
 
 
 def text_digest(column: str = "text") -> Column:
-    """Lowercase hex SHA-256 of the text without any character of WHITESPACE."""
-    return F.sha2(F.translate(text_of(column), WHITESPACE, ""), 256)
+    """Lowercase hex SHA-256 of the text without any character of WHITESPACE; replacing works on the bytes as they are."""
+    text = text_of(column)
+    for c in WHITESPACE:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return F.sha2(text, 256)
 
 
 class DigestIndex:
