@@ -8,8 +8,9 @@ has a bound on what the levels below can still add (Cauchy-Schwarz on the norms
 query-relevant components, kept in the index). Processing stops when that proves that few vectors
 can still be among the k best; these possible members are rescored exactly, ties to the smaller id.
 
-Queries are a stated set and meet the index in blocks: query blocks are joined to index blocks by
-query block number, so a task holds one block of each. Only k rows a query leave a block.
+Queries are a stated set and meet the index in blocks: query blocks fall into groups, an index block
+is sent to every group, and a task handles one block of each at a time. Only k rows a query leave a
+pair of blocks.
 
 Defined results: vectors that are null or hold a null, NaN or infinite component take no part; a
 shorter vector has zeros beyond its end; a query's candidates are the rows with another id.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions
 
 #: Rows of an index block and of a query block.
 BLOCK, QUERY_BLOCK = 4096, 1024
@@ -130,8 +131,9 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_c
     """query_id, rank, vec_id, score: the k best other rows for each row whose id is divisible by `every`."""
     vectors = quantised(df, scale, id_col, vec_col)
     index = materialise(build_index(vectors), "impact-index")
-    queries = materialise(query_blocks(vectors.where(F.col("id") % every == 0)).withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
-    numbers = [r[0] for r in queries.select("q_block").collect()]  # one number a block of queries
+    queries = materialise(query_blocks(vectors.where(F.col("id") % every == 0)), "query-blocks")
+    # An index block is sent once to each group of query blocks; there are no more groups than tasks.
+    groups = max(1, min(partitions(df.sparkSession), queries.count()))
 
     def search(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -140,7 +142,7 @@ def top_k(df: DataFrame, k: int = 20, every: int = 20, scale: float = 64.0, id_c
                 found = search_block(row, k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["query_id", "vec_id", "score"])
 
-    asked = index.withColumn("q_block", F.explode(F.lit(numbers).cast("array<bigint>"))) if numbers else index.withColumn("q_block", F.lit(None).cast("bigint"))
-    found = asked.join(queries, "q_block").mapInArrow(search, FOUND)
+    asked = index.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    found = asked.join(queries.withColumn("group", F.pmod(F.xxhash64("q_ids"), F.lit(groups)).cast("int")), "group").mapInArrow(search, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
