@@ -32,23 +32,25 @@ def ema(geom: Column, share: float = 0.3) -> Column:
     return F.aggregate(F.slice(geom, F.lit(2), F.greatest(F.size(geom) - 1, F.lit(0))), start, step)
 
 
-def chaikin_pass(geom: Column, closed: bool = False) -> Column:
-    """One round of corner cutting: each edge gives its points at a quarter and three quarters; an open line keeps its ends."""
-    n = F.size(geom)
-    following = F.concat(F.slice(geom, F.lit(2), n - 1), F.slice(geom, 1, 1) if closed else F.slice(geom, n + 1, F.lit(0)))
-    edges = F.zip_with(F.slice(geom, F.lit(1), n if closed else n - 1), following, lambda a, b: F.array(*(
-        F.struct((F.lit(1 - t) * a["x"] + F.lit(t) * b["x"]).alias("x"), (F.lit(1 - t) * a["y"] + F.lit(t) * b["y"]).alias("y")) for t in (0.25, 0.75)
-    )))
-    cut = F.flatten(edges)
-    whole = cut if closed else F.concat(F.slice(geom, 1, 1), cut, F.slice(geom, -1, 1))
-    return F.when(n < 3, geom).otherwise(whole)
-
-
-def chaikin(lines: DataFrame, rounds: int = 3, closed: bool = False) -> DataFrame:
-    """lines with geom smoothed; one projection a round, so that no round is computed more than once."""
+def chaikin(points: DataFrame, rounds: int = 3, closed: bool = False) -> DataFrame:
+    """points smoothed by corner cutting: each edge gives its points at a quarter and three quarters.
+
+    An open line keeps its ends; lines under three vertices stay. All rounds work on rows dealt once
+    by line: a vertex looks at the next one and gives up to three rows.
+    """
+    whole, line = Window.partitionBy("line_id"), Window.partitionBy("line_id").orderBy("seq")
+    every = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     for _ in range(rounds):
-        lines = lines.withColumn("geom", chaikin_pass(F.col("geom"), closed))
-    return lines
+        edge = points.withColumns({"i": F.row_number().over(line), "n": F.count(F.lit(1)).over(whole), "nx": F.lead("x").over(line), "ny": F.lead("y").over(line)})
+        if closed:
+            edge = edge.withColumns({"nx": F.coalesce("nx", F.first("x").over(every)), "ny": F.coalesce("ny", F.first("y").over(every))})
+        cut = (F.col("n") >= 3) & F.col("nx").isNotNull()
+        stays = (F.col("n") < 3) | F.lit(not closed) & ((F.col("i") == 1) | (F.col("i") == F.col("n")))
+        at = lambda k, t: F.struct((F.col("i") * 4 + k).alias("seq"), *((F.lit(1 - t) * F.col(c) + F.lit(t) * F.col(f"n{c}")).alias(c) for c in ("x", "y")))
+        same = F.struct((F.col("i") * 4).alias("seq"), "x", "y")
+        given = F.explode(F.array(F.when(stays, same), F.when(cut, at(1, 0.25)), F.when(cut, at(2, 0.75))))
+        points = edge.select("line_id", given.alias("p")).where("p is not null").select("line_id", "p.seq", "p.x", "p.y")
+    return points.select("line_id", F.row_number().over(line).alias("seq"), "x", "y")
 
 
 def close_ring(geom: Column) -> Column:

@@ -77,8 +77,7 @@ c{k} AS (SELECT line_id, i * 4 AS seq, x, y FROM e{k} WHERE n < 3 OR i = 1 OR i
 
 @query("chaikin", chaikin_sql(3))
 def chaikin(spark, sf_dir):
-    smooth = ops.chaikin(ops.make_polyline(line_pts(spark, sf_dir))).select("line_id", F.posexplode("geom").alias("n", "p"))
-    return smooth.select("line_id", (F.col("n") + 1).alias("seq"), "p.x", "p.y")
+    return ops.chaikin(line_pts(spark, sf_dir))
 
 
 NEXT_ID = "SELECT CASE WHEN c_custkey % 7 = 0 THEN 'x' || c_custkey WHEN c_custkey % 5 = 0 THEN NULL ELSE (c_custkey - 100)::VARCHAR END AS id FROM customer"
