@@ -21,8 +21,8 @@ PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb
 #: Pairs that may be part of a run of white space in which a space is neither first nor last.
 RUNS = ("  ", "\n ", "\t ", "\r ")
 CHUNKS = re.compile(r"\s+(?!\S)|\s?\S+")
-#: Chunks remembered in one Python worker; about 200 bytes each.
-MEMO = 600_000
+#: Chunks in a generation of the memo, of which a Python worker holds two; about 200 bytes each.
+MEMO = 400_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -47,13 +47,16 @@ class ChunkTokenizer:
         self.words = told["model"].get("end_of_word_suffix") is not None
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, memo: dict[str, bytes], chunks: set[str], prefix: str) -> None:
+    def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         if new := [c for c in chunks if c not in memo]:
-            memo.update(zip(new, self._encode([prefix + c for c in new])))
+            memo.update((c, old[c]) for c in new if c in old)
+            if new := [c for c in new if c not in memo]:
+                memo.update(zip(new, self._encode([prefix + c for c in new])))
 
     def _chunks(self, text: str) -> tuple[str | None, list[str]]:
         """The chunk at the start, if kept apart, and those that stand after one space."""
@@ -67,8 +70,7 @@ class ChunkTokenizer:
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         if len(self.inner) + len(self.first) > MEMO:
-            self.inner.clear()
-            self.first.clear()
+            self.old, self.inner, self.first = (self.inner, self.first), {}, {}  # what comes back stays
         cut: list = []
         heads, inner = set(), set()
         for text in texts:
@@ -85,8 +87,8 @@ class ChunkTokenizer:
             inner.update(rest)
             if head is not None:
                 heads.add(head)
-        self._learn(self.inner, inner, "" if self.words else " ")
-        self._learn(self.first, heads, "")
+        self._learn(self.inner, self.old[0], inner, "" if self.words else " ")
+        self._learn(self.first, self.old[1], heads, "")
         whole = iter(self._encode([t for t, c in zip(texts, cut) if c is None]))
         inner_of, first_of, out = self.inner.__getitem__, self.first.__getitem__, []
         for c in cut:

@@ -152,3 +152,13 @@ def test_packed_pieces(spark):
     assert packing.pack_documents(cases.none(spark)).count() == 0
     rows = packing.sequences(cases.docs(spark)).collect()
     assert len(rows) == len(rooms) and sum(len(r.ids) for r in rows) == sum(r.length for r in got)
+
+
+def test_memo_forgets_and_stays_right(monkeypatch):
+    from rasterloom.llm import tokenizing
+
+    monkeypatch.setattr(tokenizing, "MEMO", 20)
+    coder, random_ = ChunkTokenizer("byte_bpe_50k.json"), random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"w{random_.randint(0, 60)}" for _ in range(12)) for _ in range(3)]
+        assert [np.frombuffer(i, "<u4").tolist() for i in coder.ids(texts)] == [coder.library.encode(t, add_special_tokens=False).ids for t in texts]
