@@ -8,8 +8,9 @@ counted inside (length, salt), so a length that a third of all pieces share is n
 
 Packing: best fit over the histogram gives the incumbent; it is optimal if it meets the bound
 that all lengths and the unfillable room beside long pieces give. Otherwise bin completion branches: around the largest piece left,
-undominated fillings are enumerated in order of waste, each is used as often as the counts allow,
-and a branch is cut when its waste exceeds what a better packing may waste in all.
+undominated fillings are enumerated lazily in order of waste, each is used as often as the counts allow and
+then less often, and a branch is cut when its waste exceeds what a better packing may waste in all. The
+search is complete but for its budget (TRIES): it ends at the bound or when nothing is left to try.
 
 Defined results: a null text counts as empty and is its end id alone; repeated rows are packed
 each; a document longer than the capacity is cut so that all its pieces but the first are full.
@@ -30,10 +31,9 @@ from .common import materialise, partitions, text_of
 from .tokenizing import batches, chunk_tokenizer
 
 DEFAULT_FILE, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
-#: Fillings that the search may try before it keeps the incumbent, and those tried around one piece.
-NODES, BRANCHES = 2_000, 12
-#: Fillings without waste after which the enumeration around a piece ends.
-PERFECT = 3
+#: Fillings that the search may give up, as dominated or as leading to no better packing, before it keeps
+#: the incumbent. The fillings of a descent are not counted: the first one always goes to its end.
+TRIES = 20_000
 
 #: A pattern is ((length, how many), ...) and is used in so many sequences.
 Patterns = list[tuple[tuple[tuple[int, int], ...], int]]
@@ -75,48 +75,65 @@ def best_fit(counts: dict[int, int], capacity: int) -> Patterns:
     return full + open_
 
 
-def fillings(counts: dict[int, int], lengths: list[int], room: int, most: int, steps: int = 2_000) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """(waste, filling): up to most undominated ways to fill room, the least waste first.
+def fillings(rest: dict[int, int], lengths: list[int], capacity: int, most: int) -> Iterator[tuple[int, tuple[tuple[int, int], ...] | None]]:
+    """(waste, filling) of the ways to fill a sequence around the largest piece left, in order of waste, then the longest pieces first.
 
-    lengths are those that counts has, ascending. A filling is dominated, and left out, if a piece
-    that is left fits beside it, or if a piece that is left can take the place of one or two of its
-    pieces and still fits: the other filling is never worse. steps bounds the enumeration.
+    lengths are those that rest has, ascending; most is the greatest waste. A filling is dominated, and
+    given as None, if a piece that is left fits beside it, or if a piece that is left can take the
+    place of one or two of its pieces and still fits: the other filling is never worse. Only sums that
+    the pieces left can make are followed, so each step leads to a filling.
     """
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    state = [steps, 0]
-
-    def next_fit(waste: int, used: dict[int, int], below: int) -> int:
-        """The place in lengths after that of the longest piece left that fits, at most below."""
-        at = min(below, bisect.bisect_right(lengths, waste))
-        while at and counts[lengths[at - 1]] <= used.get(lengths[at - 1], 0):
-            at -= 1
-        return at
-
-    def dominated(used: dict[int, int], waste: int) -> bool:
-        items = [x for x, k in used.items() for _ in range(min(k, 2))]
-        sums = {*items, *(a + b for i, a in enumerate(items) for b in items[i + 1 :])}
-        for s in sums:
-            for at in range(bisect.bisect_right(lengths, s + waste), bisect.bisect_right(lengths, s), -1):
-                if counts[lengths[at - 1]] > used.get(lengths[at - 1], 0):
+    room = capacity - lengths[-1]
+    counts = {x: rest[x] for x in lengths[: bisect.bisect_right(lengths, room)]}
+    if lengths[-1] in counts:
+        counts[lengths[-1]] -= 1
+    sizes = [x for x, n in counts.items() if n]
+    every = (1 << room + 1) - 1
+    reach = [1]  # as bits: the sums that the first i sizes make; all of the rest are as the last
+    for x in sizes:
+        if reach[-1] == every:
+            break
+        sums, n, k = reach[-1], min(counts[x], room // x), 1
+        while n:
+            k = min(k, n)
+            sums |= sums << k * x & every
+            n, k = n - k, 2 * k
+        reach.append(sums)
+
+    def makes(i: int, total: int) -> int:
+        return reach[min(i, len(reach) - 1)] >> total & 1
+
+    def exact(total: int, below: int) -> Iterator[tuple[tuple[int, int], ...]]:
+        if not total:
+            yield ()
+            return
+        i = min(below, bisect.bisect_right(sizes, total))
+        while i and makes(i, total):
+            i -= 1
+            x = sizes[i]
+            for k in range(min(counts[x], total // x), 0, -1):
+                if makes(i, total - k * x):
+                    for more in exact(total - k * x, i):
+                        yield ((x, k), *more)
+
+    def dominated(filling: tuple[tuple[int, int], ...], waste: int) -> bool:
+        used = dict(filling)
+        items = [x for x, k in filling for _ in range(min(k, 2))]
+        for s in {0, *items, *(a + b for i, a in enumerate(items) for b in items[i + 1 :])}:
+            for x in sizes[bisect.bisect_right(sizes, s) : bisect.bisect_right(sizes, s + waste)]:
+                if counts[x] > used.get(x, 0):
                     return True
         return False
 
-    def go(waste: int, used: dict[int, int], below: int) -> None:
-        at = next_fit(waste, used, below)
-        if not at:
-            if not next_fit(waste, used, len(lengths)) and not (waste and dominated(used, waste)):
-                found.append((waste, tuple(used.items())))
-                state[1] += not waste
+    short = at = 0  # what all pieces up to the waste come to: an undominated filling holds them
+    for waste in range(min(room, most) + 1):
+        if at < len(sizes) and sizes[at] == waste:
+            short, at = short + waste * counts[waste], at + 1
+        if short > room - waste:
             return
-        while at and state[1] < PERFECT and state[0] > 0:
-            state[0] -= 1
-            x = lengths[at - 1]
-            if counts[x] > used.get(x, 0):
-                go(waste - x, {**used, x: used.get(x, 0) + 1}, at)
-            at -= 1
-
-    go(room, {}, len(lengths))
-    return sorted(found)[:most]
+        if makes(len(sizes), room - waste):
+            for filling in exact(room - waste, len(sizes)):
+                yield waste, None if waste and dominated(filling, waste) else filling
 
 
 def fewest_possible(counts: dict[int, int], capacity: int) -> int:
@@ -130,7 +147,7 @@ def fewest_possible(counts: dict[int, int], capacity: int) -> int:
     return max(-(-(total + lost) // capacity), big)
 
 
-def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> Patterns:
+def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, tries: int = TRIES) -> Patterns:
     """Patterns that hold counts[length] pieces of each length, in as few sequences as were found."""
     counts = {x: n for x, n in counts.items() if n}
     total = sum(x * n for x, n in counts.items())
@@ -138,53 +155,62 @@ def bin_completion(counts: dict[int, int], capacity: int = CAPACITY, nodes: int
     fewest = sum(m for _, m in best)
     bound = fewest_possible(counts, capacity)
     rest, lengths = dict(counts), sorted(counts)
-    made: list[tuple[tuple[tuple[int, int], ...], int]] = []
     bins = waste = 0
-    # Each entry of the stack: the fillings that are still to be tried around the largest piece left.
+
+    def use(pattern: dict[int, int], times: int) -> None:
+        """Place the pattern so often; a negative number takes it back."""
+        for x, k in pattern.items():
+            had = rest[x]
+            rest[x] -= k * times
+            if not rest[x]:
+                del lengths[bisect.bisect_left(lengths, x)]
+            elif not had:
+                bisect.insort(lengths, x)
+
+    # Each level: its fillings, the one they start after, its waste, pattern, uses, and place in the order.
     stack: list[list] = []
-    while fewest > bound and nodes > 0:
-        if len(stack) == len(made):
-            if not lengths:
-                if bins < fewest:
-                    best, fewest = list(made), bins
-                stack.append([])
-            else:
-                largest = lengths[-1]
-                rest[largest] -= 1
-                found = fillings(rest, lengths, capacity - largest, BRANCHES)
-                rest[largest] += 1
-                options = []
-                for w, filling in found:
-                    pattern = dict(filling)
-                    pattern[largest] = pattern.get(largest, 0) + 1
-                    times = min(rest[x] // k for x, k in pattern.items())
-                    options.append((w, times, pattern))
-                stack.append(options[::-1])
+    down = True
+    while fewest > bound and tries > 0:
         # A packing that is better by one sequence may waste this much in all.
         spare = (fewest - 1) * capacity - total - waste
-        while stack[-1] and stack[-1][-1][0] * stack[-1][-1][1] > spare:
-            w, times, pattern = stack[-1].pop()
-            if w <= spare and w:  # used fewer times it still may lead on
-                stack[-1].append((w, spare // w, pattern))
-        if stack[-1]:
-            w, times, pattern = stack[-1].pop()
-            nodes -= 1
-            for x, k in pattern.items():
-                rest[x] -= k * times
-                if not rest[x]:
-                    del lengths[bisect.bisect_left(lengths, x)]
-            made.append((tuple(sorted(pattern.items(), reverse=True)), times))
-            bins, waste = bins + times, waste + w * times
+        if down and not lengths:
+            best, fewest = [(tuple(sorted(p.items(), reverse=True)), m) for _, _, _, p, m, _ in stack], bins
+            down, tries = False, tries - 1
+            continue
+        if down:
+            # Sequences around equal largest pieces are made in the order of their fillings, so that none is made twice.
+            after = stack[-1][5] if stack and lengths[-1] == max(stack[-1][3]) else ()
+            stack.append([fillings(rest, lengths, capacity, spare), after, 0, {}, 0, ()])
+            down = False
+        level = stack[-1]
+        found, after, w, pattern, times, _ = level
+        if times:
+            use(pattern, -times)
+            bins, waste = bins - times, waste - w * times
+            spare = (fewest - 1) * capacity - total - waste
+            times = 0 if spare < 0 else min(times - 1, spare // w) if w else times - 1
+        while not times and tries > 0:
+            w, filling = next(found, (spare + 1, ()))
+            if w > spare:
+                break
+            key = (w, tuple((-x, -k) for x, k in filling or ()))
+            if filling is None or key <= after:
+                tries -= 1
+                continue
+            pattern = dict(filling)
+            pattern[lengths[-1]] = pattern.get(lengths[-1], 0) + 1
+            times = min(rest[x] // k for x, k in pattern.items())
+            times = min(times, spare // w) if w else times
+            level[2], level[3], level[5] = w, pattern, key
+        level[4] = times
+        if times:
+            use(pattern, times)
+            bins, waste, down = bins + times, waste + w * times, True
             continue
         stack.pop()
-        if not made:
+        tries -= 1
+        if not stack:
             break
-        pattern, times = made.pop()
-        for x, k in pattern:
-            if not rest[x]:
-                bisect.insort(lengths, x)
-            rest[x] += k * times
-        bins, waste = bins - times, waste - times * (capacity - sum(x * k for x, k in pattern))
     return best
 
 
@@ -215,14 +241,14 @@ def cut(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity:
     return narrow.mapInArrow(pieces, f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, id_col: str = "doc_id") -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, tries: int = TRIES, id_col: str = "doc_id") -> DataFrame:
     """pieces (written, so that its rows are fixed) with sequence_id and offset."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most capacity rows
     found: dict[int, list[tuple[int, int, int, int]]] = {}
     ranks: dict[int, int] = {}
     sequence = 0
-    for pattern, times in bin_completion(counts, capacity, nodes):
+    for pattern, times in bin_completion(counts, capacity, tries):
         at = 0
         for length, each in pattern:
             found.setdefault(length, []).append((ranks.get(length, 0), each, sequence, at))
@@ -257,13 +283,13 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, id_co
     return out.mapInArrow(assign, f"{schema}, sequence_id bigint, offset bigint")
 
 
-def pack_documents(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity: int = CAPACITY, nodes: int = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity: int = CAPACITY, tries: int = TRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, piece, start, length, ids_crc32, sequence_id, offset of every piece."""
-    return place(materialise(cut(df, name, end_id, capacity, id_col=id_col, text_col=text_col), "pack-pieces"), capacity, nodes, id_col)
+    return place(materialise(cut(df, name, end_id, capacity, id_col=id_col, text_col=text_col), "pack-pieces"), capacity, tries, id_col)
 
 
-def sequences(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity: int = CAPACITY, nodes: int = NODES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sequences(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity: int = CAPACITY, tries: int = TRIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The training rows: sequence_id and ids, the pieces of each sequence in place; a group is one sequence."""
-    pieces = place(materialise(cut(df, name, end_id, capacity, True, id_col, text_col), "pack-ids"), capacity, nodes, id_col)
+    pieces = place(materialise(cut(df, name, end_id, capacity, True, id_col, text_col), "pack-ids"), capacity, tries, id_col)
     parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
     return pieces.groupBy("sequence_id").agg(F.flatten(F.transform(parts, lambda p: p["ids"])).alias("ids"))

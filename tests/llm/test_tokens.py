@@ -130,6 +130,28 @@ def test_packing_is_as_small_as_brute_force(capacity, items):
     assert packing.fewest_possible(collections.Counter(items), capacity) <= fewest(items, capacity) == sum(t for _, t in patterns)
 
 
+@pytest.mark.parametrize("seed, pieces", [(2, 2_000), (0, 30_000)])
+def test_packing_without_slack_meets_the_bound(seed, pieces):
+    random_ = random.Random(seed)
+    lengths = [min(2048, 20 + int(random_.expovariate(1 / 600))) for _ in range(pieces)]
+    counts = collections.Counter([*lengths, -sum(lengths) % 2048])
+    patterns = packing.bin_completion(counts)
+    used = collections.Counter()
+    for pattern, times in patterns:
+        assert sum(x * k for x, k in pattern) <= 2048
+        for x, k in pattern:
+            used[x] += k * times
+    assert used == counts and sum(t for _, t in patterns) == packing.fewest_possible(counts, 2048)
+
+
+def test_packing_search_is_complete():
+    random_ = random.Random(5)
+    for _ in range(300):
+        capacity = random_.randint(6, 60)
+        items = [random_.randint(capacity // 6 + 1, capacity * 7 // 10) for _ in range(random_.randint(6, 11))]
+        assert sum(t for _, t in packing.bin_completion(collections.Counter(items), capacity)) == fewest(items, capacity)
+
+
 def test_packed_pieces(spark):
     lib = library("byte_bpe_50k.json")
     got = packing.pack_documents(cases.docs(spark)).collect()
