@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import io
 import uuid
-import zipfile
 
 from pyspark.sql import functions as F
 
 from ..registry import query
 from ..sources import layers
-from .fixtures import gray, lines, mask, raster, spots, weights
+from .fixtures import gray, lines, mask, raster, spots, table, weights
 
 
 def folder(spark, name):
@@ -70,12 +68,9 @@ def release_manifest(spark, sf_dir):
 
 @query("zip_manifest")
 def zip_manifest(spark, sf_dir):
-    """Path and digest of every entry of archives."""
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w") as z:
-        for k in range(5):
-            z.writestr(f"plugin/file{k}.txt", f"content {k}")
-    return layers.zip_manifest(spark.createDataFrame([(packed.getvalue(),)], "content binary"), "plugin/")
+    """Path and digest of every entry of archives: all pages, packed and written by tasks."""
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.coalesce(F.col("page_id").cast("string"), F.lit("null")), F.lit(".html")).alias("name"), F.col("html").alias("text"))
+    return layers.zip_manifest(layers.write_layer(layers.zip_archives(pages, "plugin/"), folder(spark, "archives")), "plugin/")
 
 
 @query("file_signature")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import warnings
 import zipfile
 from collections.abc import Iterator
 
@@ -16,6 +17,8 @@ LINE_LAYER = "fid bigint, id int, elevation double, geom array<struct<x: double,
 SPOT_LAYER = "fid bigint, x double, y double, elevation double"
 #: NumPy types of raster samples.
 SAMPLES = {"u8": "u1", "u16": "<u2", "i16": "<i2", "u32": "<u4", "i32": "<i4", "f32": "<f4", "f64": "<f8"}
+#: An archive is closed at so many entries or so many bytes of text.
+ARCHIVE_ENTRIES, ARCHIVE_BYTES = 500, 8_000_000
 
 
 def decode_blocks(blocks: DataFrame) -> DataFrame:
@@ -57,6 +60,35 @@ def file_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
     return files.select(F.regexp_replace("path", "^.*" + root, "").alias("path"), F.sha2("content", 256).alias("sha256"))
 
 
+def zip_archives(files: DataFrame, prefix: str) -> DataFrame:
+    """content: zip archives of files (name, text), each below prefix; a null text is an empty entry, repeated names are kept each.
+
+    A task closes an archive at ARCHIVE_ENTRIES entries or ARCHIVE_BYTES of text, so its memory is bounded by that and one text.
+    """
+
+    def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            held, size = [], 0
+            for name, text in zip(*(part.column(i).to_pylist() for i in (0, 1))):
+                held.append((name, (text or "").encode()))
+                size += len(held[-1][1])
+                if len(held) >= ARCHIVE_ENTRIES or size >= ARCHIVE_BYTES:
+                    yield packed(held)
+                    held, size = [], 0
+            if held:
+                yield packed(held)
+
+    def packed(held: list[tuple[str, bytes]]) -> pa.RecordBatch:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, warnings.catch_warnings():
+            warnings.simplefilter("ignore")  # repeated names are told
+            for name, data in held:
+                z.writestr(zipfile.ZipInfo(prefix + name), data, zipfile.ZIP_DEFLATED)
+        return pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], names=["content"])
+
+    return files.select("name", "text").mapInArrow(go, "content binary")
+
+
 def zip_manifest(archives: DataFrame, prefix: str) -> DataFrame:
     """path and sha256 of the entries of zip archives (content), prefix taken off; an entry elsewhere fails the query."""
 
@@ -64,10 +96,12 @@ def zip_manifest(archives: DataFrame, prefix: str) -> DataFrame:
         for part in parts:
             for content in part.column(0).to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        if not name.startswith(prefix):
-                            raise ValueError(f"{name} is not below {prefix}")
-                        yield pa.RecordBatch.from_pydict({"path": [name.removeprefix(prefix)], "sha256": [hashlib.sha256(z.read(name)).hexdigest()]})
+                    entries = z.infolist()
+                    for entry in entries:
+                        if not entry.filename.startswith(prefix):
+                            raise ValueError(f"{entry.filename} is not below {prefix}")
+                    digests = [hashlib.sha256(z.read(entry)).hexdigest() for entry in entries]
+                yield pa.RecordBatch.from_arrays([pa.array([e.filename.removeprefix(prefix) for e in entries], pa.string()), pa.array(digests, pa.string())], names=["path", "sha256"])
 
     return archives.select("content").mapInArrow(go, "path string, sha256 string")
 
