@@ -12,8 +12,9 @@ Queries are a stated set and meet the index in blocks: query blocks fall into gr
 is sent to every group, and a task handles one block of each at a time. Only k rows a query leave a
 pair of blocks.
 
-Defined results: vectors that are null or hold a null, NaN or infinite component take no part; a
-shorter vector has zeros beyond its end; a query's candidates are the rows with another id.
+Defined results: vectors that are null or hold a null, NaN or infinite component take no part, nor
+do those with a null id, which is not another id than a query's (nor in the SQL); a shorter vector
+has zeros beyond its end; a query's candidates are the rows with another id.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ FOUND = "query_id bigint, vec_id bigint, score bigint"
 def quantised(df: DataFrame, scale: float, id_col: str, vec_col: str) -> DataFrame:
     """id and v array<bigint>, floor(scale * x), of the rows that take part."""
     usable = F.col(vec_col).isNotNull() & F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf"))))
-    return df.where(usable).select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
+    return df.where(usable & F.col(id_col).cast("bigint").isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))).alias("v"))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

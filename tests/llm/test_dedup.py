@@ -158,6 +158,23 @@ def test_top_k_of_awkward_vectors(spark):
     assert topk_search.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_top_k_with_null_ids_is_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from rasterloom.llm.queries import OP9_SQL
+    from tests.oracle import difference
+
+    rng = np.random.default_rng(3)
+    vectors = [(None if i % 9 == 4 else i, rng.normal(size=8).tolist()) for i in range(120)] + [(None, [100.0] * 8), (None, None)]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    df = spark.read.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = topk_search.top_k(df)
+    assert difference(got, con, OP9_SQL) == "" and got.count() == 5 * 20  # 40 has no id
+    assert topk_search.top_k(df.where("vec_id is null")).count() == 0
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "https://a.example.com/x?q=1#f", "<p>one</p>"), (2, "http://A.example.com:80/x?q=1", "<p>one</p>"), (3, None, None), (4, "", ""), (5, "not a url\twith tab", "é漢"), (7, "https://b.example.org", "x" * 300_000), (7, "https://b.example.org", "y"), (None, "http://[bad", "<p>one</p>"), (9, "https://b.example.org/%", "y")]
     df = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, payload string").repartition(3)
