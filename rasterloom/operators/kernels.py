@@ -1,7 +1,8 @@
 """Operators that are global or sequential within one image: each image is one group, handled with NumPy.
 
-A view has at most 1000 pixels an axis, so a group is bounded; work is parallel over images. Every
-kernel takes a dense array and gives a mask (rows img_id, r, c) or values (rows with value).
+A view has at most LIMIT pixels an axis, which is checked, so a group is bounded; work is parallel over images.
+Every kernel takes a dense array and gives a mask (rows img_id, r, c) or values (rows with value). The detectors run all
+their steps on a view in one kernel, so its pixels are shuffled once; operators.raster has the same steps as relations.
 """
 
 from __future__ import annotations
@@ -14,11 +15,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .raster import ADAPTIVE, ADAPTIVE_SIZE
+
 #: Neighbours of a pixel and the lengths of the steps to them.
 STEPS = tuple((dr, dc, math.sqrt(dr * dr + dc * dc)) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
 
 
+#: Most pixels of a view along an axis.
+LIMIT = 1000
+
+
 def dense(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
+    if len(r) and max(int(r.max()), int(c.max())) >= LIMIT:
+        raise ValueError(f"a view has at most {LIMIT} pixels an axis; resample it first")
     out = np.zeros((int(r.max()) + 1, int(c.max()) + 1), v.dtype)
     out[r, c] = v
     return out
@@ -51,16 +60,33 @@ def shifted(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
 
 
 def spread(seed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """The allowed pixels that touch seed, over eight neighbours and any number of steps."""
-    on = seed & allowed
-    while True:
-        grown = on.copy()
-        for dr, dc, _ in STEPS:
-            grown |= shifted(on, dr, dc)
-        grown &= allowed
-        if (grown == on).all():
-            return on
-        on = grown
+    """The allowed pixels that touch seed, over eight neighbours and any number of steps: runs of each row are joined
+    with those that touch them in the row above, and runs that are joined with a seed stay."""
+    h, w = allowed.shape
+    padded = np.zeros((h, w + 2), "i1")
+    padded[:, 1:-1] = allowed
+    change = np.diff(padded, axis=1)
+    rows, first = np.nonzero(change == 1)
+    last = np.nonzero(change == -1)[1] - 1
+    parent = list(range(len(rows)))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    # Runs are ordered by row and column, so the runs of the row above that touch one are neighbours in the order.
+    above_first = np.searchsorted(rows * (w + 2) + last, (rows - 1) * (w + 2) + first - 1)
+    above_end = np.searchsorted(rows * (w + 2) + first, (rows - 1) * (w + 2) + last + 1, "right")
+    for i, (a, b) in enumerate(zip(above_first.tolist(), above_end.tolist())):
+        for k in range(a, b):
+            parent[find(i)] = find(k)
+    number = np.zeros(allowed.shape, "i8")
+    number[allowed] = np.repeat(np.array([find(i) for i in range(len(rows))], "i8"), last - first + 1) + 1
+    reached = np.zeros(len(rows) + 1, bool)
+    reached[number[seed & allowed]] = True
+    reached[0] = False
+    return reached[number]
 
 
 def hysteresis(v: np.ndarray, low: float, high: float) -> np.ndarray:
@@ -104,7 +130,9 @@ def distance(on: np.ndarray) -> np.ndarray:
     for r in range(h - 2, -1, -1):
         up[r] = np.minimum(up[r], up[r + 1] + 1)
     square, best = np.where(up >= far, np.inf, up * up), np.full(on.shape, np.inf)
-    for d in range(w):  # along rows, from every column at distance d
+    for d in range(w):  # along rows, from every column at distance d, until none that far can be nearer
+        if d * d >= best.max():
+            break
         best[:, d:] = np.minimum(best[:, d:], square[:, : w - d] + d * d)
         best[:, : w - d] = np.minimum(best[:, : w - d], square[:, d:] + d * d)
     return np.sqrt(best)
@@ -116,7 +144,83 @@ def stand_in_edges(v: np.ndarray) -> np.ndarray:
     return np.clip(np.abs(around - v).max(0) / 255.0, 0, 1)
 
 
-MASKS = (hysteresis, grow_mask, thin)
+def blur(g: np.ndarray) -> np.ndarray:
+    """operators.raster.blur of one view."""
+    s, w = np.zeros(g.shape, "i8"), np.zeros(g.shape, "i8")
+    for dr in (-1, 0, 1):
+        for dc in (-1, 0, 1):
+            k = (2 - abs(dr)) * (2 - abs(dc))
+            s += k * shifted(g.astype("i8"), dr, dc)
+            w += k * shifted(np.ones(g.shape, "i8"), dr, dc)
+    return (2 * s + w) // (2 * w)
+
+
+def sobel(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """gx and gy of operators.raster.sobel."""
+    g = g.astype("i8")
+    gx = sum(dc * (2 - abs(dr)) * shifted(g, dr, dc) for dr, dc, _ in STEPS)
+    gy = sum(dr * (2 - abs(dc)) * shifted(g, dr, dc) for dr, dc, _ in STEPS)
+    whole = np.zeros(g.shape, bool)
+    whole[1:-1, 1:-1] = True
+    return gx * whole, gy * whole
+
+
+def thin_gradient(gx: np.ndarray, gy: np.ndarray) -> np.ndarray:
+    """mag of operators.raster.thin_gradient."""
+    mag, ax, ay = np.abs(gx) + np.abs(gy), np.abs(gx), np.abs(gy)
+    flat, steep = ay * 1000 <= ax * 414, ay * 414 >= ax * 1000
+    peak = np.zeros(mag.shape, bool)
+    for where, dr, dc in ((flat, 0, 1), (~flat & steep, 1, 0), (~flat & ~steep & (gx * gy > 0), 1, 1), (~flat & ~steep & (gx * gy <= 0), 1, -1)):
+        peak |= where & (mag > shifted(mag, -dr, -dc)) & (mag >= shifted(mag, dr, dc))
+    return np.where(peak, mag, 0)
+
+
+def below_mean(g: np.ndarray, offset: int) -> np.ndarray:
+    """Where operators.raster.adaptive_threshold_inv is on."""
+    s, w = g.astype("i8"), np.ones(g.shape, "i8")
+    half = ADAPTIVE_SIZE // 2
+    for axis in (0, 1):
+        at = lambda a, d: shifted(a, *((d, 0) if axis == 0 else (0, d)))  # noqa: E731, B023
+        s, w = (sum(k * at(a, i - half) for i, k in enumerate(ADAPTIVE)) for a in (s, w))
+    return g * w <= s - offset * w
+
+
+def close(on: np.ndarray, size: int) -> np.ndarray:
+    """operators.raster.close: dilated, then eroded; what lies outside the view is ignored."""
+    a = size // 2
+    steps = [(i - a, j - a) for i in range(size) for j in range(size)]
+    fat = np.logical_or.reduce([shifted(on, dr, dc) for dr, dc in steps])
+    return ~np.logical_or.reduce([shifted(~fat, dr, dc) for dr, dc in steps])
+
+
+def canny(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
+    """Blur, gradient, thinned ridges and hysteresis, joined with the adaptive mask and closed with a 2 x 2 element."""
+    ridges = thin_gradient(*sobel(blur(g)))
+    return close(hysteresis(ridges, low, high) | below_mean(g, offset), 2)
+
+
+def edges(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
+    """Canny's edges as centre lines."""
+    return thin(canny(g, low, high, offset))
+
+
+def edge_distance(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
+    return distance(edges(g, low, high, offset))
+
+
+def mask_cost(g: np.ndarray, outside: int, edge: int, costs: tuple[float, float, float, float, float]) -> np.ndarray:
+    """The cost of each pixel by a mask, here the levels from `outside` on: costs are those outside, inside, on edges
+    (levels above `edge`) inside, what the middle is cheaper by, and of the centre line, below which none is."""
+    out, inside, on_edge, bonus, least = costs
+    closed = close(g >= outside, 3)
+    cost = np.where(closed, np.where(g > edge, on_edge, inside), out)
+    far = np.where(closed, distance(~closed), 0.0)
+    if closed.any() and far.max() > 0:
+        cost = cost - np.where(closed, far / far.max() * bonus, 0.0)
+    return np.maximum(np.where(thin(closed.astype("u1")), least, cost), least)
+
+
+MASKS = (hysteresis, grow_mask, thin, canny, edges)
 
 
 def grow_segments(gx: np.ndarray, gy: np.ndarray, least: float = 60.0, within: float = 22.5, fewest: int = 6) -> list[tuple]:
@@ -177,14 +281,14 @@ def least_cost(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int],
     A step costs its length times the cost of the pixel it enters. Pixels cost at least 1, so the
     straight distance never overrates what is left and the first arrival is cheapest. After `most`
     expansions the route to the expanded pixel that is closest to the goal by rows plus columns is
-    given. Ties go to the pixel that comes first by row and column.
+    given. Of pixels that promise the same the one that comes first by column, then by row, is expanded first.
     """
     left = lambda p: math.hypot(goal[0] - p[0], goal[1] - p[1])
     blocks = lambda p: abs(goal[0] - p[0]) + abs(goal[1] - p[1])
     spent, parent = {start: 0.0}, {}
-    queue, done, closest = [(left(start), start)], 0, start
+    queue, done, closest = [(left(start), start[::-1])], 0, start
     while queue and (most is None or done < most):
-        _, at = heapq.heappop(queue)
+        at = heapq.heappop(queue)[1][::-1]
         done += 1
         if blocks(at) < blocks(closest):
             closest = at
@@ -196,7 +300,7 @@ def least_cost(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int],
                 total = spent[at] + float(cost[to]) * length
                 if total < spent.get(to, math.inf):
                     spent[to], parent[to] = total, at
-                    heapq.heappush(queue, (total + left(to), to))
+                    heapq.heappush(queue, (total + left(to), to[::-1]))
     route = [closest]
     while route[-1] in parent:
         route.append(parent[route[-1]])
@@ -232,18 +336,44 @@ def routes(costs: DataFrame, requests: DataFrame, most: int | None = None, per_b
     return asked.groupby("img_id", "salt").cogroup(spread_costs.groupby("of_img", "of_salt")).applyInArrow(go, "req_id bigint, seq int, r int, c int, total double, reached boolean")
 
 
-def in_order(mask: np.ndarray) -> list[tuple[int, int]]:
-    """The on-pixels, from the first by row and column, each followed by the nearest that is left."""
-    left = np.argwhere(mask).astype("i8")
+def in_order(mask: np.ndarray, cell: int = 8) -> list[tuple[int, int]]:
+    """The on-pixels, from the first by row and column, each followed by the nearest that is left, ties by row and column.
+
+    Pixels lie in square cells; the search goes through rings of cells until none that is nearer can follow. Where
+    only few cells are left, all are looked at.
+    """
+    on = np.argwhere(mask)
+    if not len(on):
+        return []
+    cells: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in on.tolist():
+        cells.setdefault((r // cell, c // cell), []).append((r, c))
+    high, wide = mask.shape[0] // cell, mask.shape[1] // cell
+    here = (int(on[0][0]), int(on[0][1]))
     out = []
-    at = 0
-    while len(left):
-        here = left[at]
-        out.append((int(here[0]), int(here[1])))
-        left = np.delete(left, at, 0)
-        if len(left):
-            at = int(((left - here) ** 2).sum(1).argmin())
-    return out
+    while True:
+        out.append(here)
+        i, j = here[0] // cell, here[1] // cell
+        cells[i, j].remove(here)
+        if not cells[i, j]:
+            del cells[i, j]
+        if not cells:
+            return out
+        best = None
+        if len(cells) <= 64:  # few cells are left: look at all
+            rings = [list(cells)]
+        else:
+            rings = ([(a, b) for a in range(max(0, i - k), min(high, i + k) + 1) for b in ((j - k, j + k) if abs(a - i) < k and k else range(max(0, j - k), min(wide, j + k) + 1)) if (a, b) in cells] for k in range(max(high, wide) + 1))
+        for k, ring in enumerate(rings):
+            # A pixel k cells away is at least (k - 1) cells and one pixel away.
+            if best and best[0] < ((k - 1) * cell + 1) ** 2:
+                break
+            for at in ring:
+                for r, c in cells[at]:
+                    d = (r - here[0]) ** 2 + (c - here[1]) ** 2
+                    if best is None or (d, r, c) < best:
+                        best = (d, r, c)
+        here = best[1:]
 
 
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:

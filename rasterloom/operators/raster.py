@@ -36,12 +36,14 @@ def fill_nonfinite(px: DataFrame) -> DataFrame:
     return px.join(low, ["img_id", "band"]).withColumn("v", F.when(finite(F.col("v")), F.col("v")).otherwise(F.coalesce("low", F.lit(0.0)))).drop("low")
 
 
-def normalize(px: DataFrame) -> DataFrame:
-    """u8: samples stretched from the least to the greatest finite one of each view and band to 0 .. 255, truncated."""
+def normalize(px: DataFrame, as_bytes: Column | None = None) -> DataFrame:
+    """u8: samples stretched from the least to the greatest finite one of each view and band to 0 .. 255, truncated; where as_bytes holds they are levels already."""
     good = F.when(finite(F.col("v")), F.col("v"))
     span = px.groupBy("img_id", "band").agg(F.min(good).alias("low"), F.max(good).alias("high"))
     v = F.when(finite(F.col("v")), F.col("v")).otherwise(F.col("low"))
     level = F.when(F.col("high") > F.col("low"), F.floor((v - F.col("low")) / (F.col("high") - F.col("low")) * F.lit(255.0)).cast("int")).otherwise(F.lit(0))
+    if as_bytes is not None:
+        level = F.when(as_bytes, F.col("v").cast("int")).otherwise(level)
     return px.join(span, ["img_id", "band"]).select(*px.columns, level.alias("u8"))
 
 

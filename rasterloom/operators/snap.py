@@ -1,43 +1,82 @@
-"""Bounded nearest-neighbour joins of points with pixels and with line ends."""
+"""Bounded nearest-neighbour joins of points with pixels and with line ends.
+
+Points meet the pixels of their image by key, dealt by image and a salt of SALTS, so an image with very many
+points is not one task; a view is bounded, and so is a group. Inside a group every point looks at the window around it.
+"""
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.coordinates import blend, wrap_angle
+from ..functions.coordinates import blend
+from .kernels import dense
+
+
+#: Groups that the points of one image are dealt to.
+SALTS = 16
+
 
+def near_pixels(points: DataFrame, pixels: DataFrame, radius: int, choose: Callable[[dict, np.ndarray, np.ndarray], int | None], keep: tuple[str, ...] = ()) -> DataFrame:
+    """pid, dr, dc: for each point (pid, img_id, px, py, keep) the pixel that choose takes, by its place, of those
+    within radius of it on both axes, which it is told as offsets in rows and columns, ascending by row and column."""
 
-def around(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
-    """points met with the pixels within radius of (px, py) on both axes, as dy and dx; at most (2 radius + 1)**2 keys a point."""
-    span = F.sequence(F.lit(-radius), F.lit(radius))
-    sent = points.select("*", F.explode(span).alias("dy")).select("*", F.explode(span).alias("dx"))
-    return sent.withColumns({"r": F.col("py") + F.col("dy"), "c": F.col("px") + F.col("dx")}).join(pixels.select("img_id", "r", "c"), ["img_id", "r", "c"])
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        found = []
+        if left.num_rows and right.num_rows:
+            on = np.pad(dense(right.column("r").to_numpy(), right.column("c").to_numpy(), np.ones(right.num_rows, bool)), radius)
+            for p in left.to_pylist():
+                top, side = p["py"], p["px"]
+                if not (-radius <= top < on.shape[0] - radius and -radius <= side < on.shape[1] - radius):
+                    continue
+                dr, dc = np.nonzero(on[max(top, 0) : top + 2 * radius + 1, max(side, 0) : side + 2 * radius + 1])
+                dr, dc = dr + max(top, 0) - top - radius, dc + max(side, 0) - side - radius
+                k = choose(p, dr, dc) if len(dr) else None
+                if k is not None:
+                    found.append((p["pid"], int(dr[k]), int(dc[k])))
+        return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate((("pid", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32())))})
+
+    asked = points.select("pid", "img_id", "px", "py", *keep).withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
+    wanted = asked.select(F.col("img_id").alias("of_img"), F.col("salt").alias("of_salt")).distinct()
+    there = pixels.select("img_id", "r", "c").join(wanted, F.col("img_id") == F.col("of_img"))
+    return asked.groupby("img_id", "salt").cogroup(there.groupby("of_img", "of_salt")).applyInArrow(go, "pid bigint, dr int, dc int")
 
 
 def nearest_in_rings(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     """pid, r, c of the pixel in the nearest square ring; inside it the closest, then the first row and column."""
-    met = around(points, pixels, radius)
-    ring = F.greatest(F.abs("dy"), F.abs("dx"))
-    best = F.min(F.struct(ring.alias("ring"), (F.col("dy") * F.col("dy") + F.col("dx") * F.col("dx")).alias("d2"), "r", "c")).alias("b")
-    return met.groupBy("pid").agg(best).select("pid", "b.r", "b.c")
+
+    def choose(p: dict, dr: np.ndarray, dc: np.ndarray) -> int:
+        return int(np.lexsort((dc, dr, dr * dr + dc * dc, np.maximum(np.abs(dr), np.abs(dc))))[0])
+
+    found = near_pixels(points, pixels, radius, choose)
+    return points.join(found, "pid").select("pid", (F.col("py") + F.col("dr")).alias("r"), (F.col("px") + F.col("dc")).alias("c"))
 
 
 def snap_to_edge(points: DataFrame, pixels: DataFrame, radius: int, turn: float | None = None) -> DataFrame:
-    """pid, x, y: each point drawn toward the nearest pixel by Manhattan distance, if there is one.
+    """pid, x, y: each point drawn toward the nearest pixel by Manhattan distance up to radius, if there is one.
 
-    With turn, only pixels whose direction from the last path point (qx, qy) differs from the last
-    step, (ox, oy) to (qx, qy), by at most so many degrees.
+    With turn, only pixels whose direction from the last path point (qx, qy) differs from the last step, (ox, oy)
+    to (qx, qy), by at most so many degrees; without a history (ox is null) any. Without turn a point on an edge stays.
     """
-    met = around(points, pixels, radius).where(F.abs("dy") + F.abs("dx") <= radius)
-    if turn is not None:
-        ahead = F.atan2(F.col("r") - F.col("qy"), F.col("c") - F.col("qx")) - F.atan2(F.col("qy") - F.col("oy"), F.col("qx") - F.col("ox"))
-        met = met.where(F.abs(wrap_angle(ahead)) <= F.radians(F.lit(turn)))
-    best = met.groupBy("pid").agg(F.min(F.struct((F.abs("dy") + F.abs("dx")).alias("d"), "dy", "dx")).alias("b"))
-    drawn = lambda p, d: F.when(F.col("b").isNull(), F.col(p).cast("double")).otherwise(blend(F.col(p), F.col(p) + F.col(f"b.{d}")))
-    if turn is None:  # a point on an edge has d = 0 and stays
-        drawn = lambda p, d: F.when(F.col("b").isNull() | (F.col("b.d") == 0), F.col(p).cast("double")).otherwise(blend(F.col(p), F.col(p) + F.col(f"b.{d}")))
-    return points.join(best, "pid", "left").select("pid", drawn("px", "dx").alias("x"), drawn("py", "dy").alias("y"))
+
+    def choose(p: dict, dr: np.ndarray, dc: np.ndarray) -> int | None:
+        d = np.abs(dr) + np.abs(dc)
+        good = d <= radius
+        if turn is not None and p["ox"] is not None:
+            ahead = np.arctan2(p["py"] + dr - p["qy"], p["px"] + dc - p["qx"]) - math.atan2(p["qy"] - p["oy"], p["qx"] - p["ox"])
+            ahead = np.where(ahead > np.pi, ahead - 2 * np.pi, np.where(ahead < -np.pi, ahead + 2 * np.pi, ahead))
+            good &= np.abs(ahead) <= math.radians(turn)
+        return int(np.lexsort((dc, dr, np.where(good, d, radius + 1)))[0]) if good.any() else None
+
+    found = near_pixels(points, pixels, radius, choose, ("qx", "qy", "ox", "oy") if turn is not None else ())
+    stays = F.col("dr").isNull() | ((F.col("dr") == 0) & (F.col("dc") == 0) & F.lit(turn is None))
+    drawn = lambda p, d: F.when(stays, F.col(p).cast("double")).otherwise(blend(F.col(p), F.col(p) + F.col(d)))
+    return points.join(found, "pid", "left").select("pid", drawn("px", "dc").alias("x"), drawn("py", "dr").alias("y"))
 
 
 def nearest_endpoint(points: DataFrame, ends: DataFrame, tolerance: float) -> DataFrame:

@@ -11,9 +11,6 @@ from pyspark.sql import functions as F
 
 #: Rows of the supplied vectors that make one image, and its width.
 IMAGE_ROWS, IMAGE_COLS = 50, 64
-#: The small grids of the iterative operators.
-SMALL = 16
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,18 +70,6 @@ def mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gray(spark, sf_dir).where("g > 150").select("img_id", "r", "c")
 
 
-SMALL_GRAY = f"""{GRAY.replace("// 50", "// 16").replace("% 50", "% 16").replace("range(64)", "range(16)")}"""
-
-
-def small_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gray grids of 16 by 16, for operators whose oracle is recursive."""
-    from ..operators.raster import normalize
-
-    e = table(spark, sf_dir, "embeddings")
-    px = e.select(F.expr(f"vec_id div {SMALL}").alias("img_id"), F.lit(1).alias("band"), (F.col("vec_id") % SMALL).cast("int").alias("r"), F.posexplode(F.slice("embedding", 1, SMALL)).alias("c", "x"))
-    return normalize(px.withColumn("v", F.col("x").cast("double"))).select("img_id", "r", "c", F.col("u8").alias("g"))
-
-
 LINE_PTS = """line_pts AS (
   SELECT l_orderkey AS line_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey))::INT AS seq,
          l_quantity AS x, l_extendedprice / 1000.0::DOUBLE AS y FROM lineitem)"""

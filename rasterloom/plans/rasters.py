@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, raster as ops
 from ..registry import query
-from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, SMALL_GRAY, gray, holed, line_pts, mask, raster, raster3, small_gray
+from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed, line_pts, mask, raster, raster3
 
 #: Luma weights, hysteresis thresholds of Canny, presence and pixel thresholds of edges, area limits of a mask.
 LUMA = (0.299, 0.587, 0.114)
@@ -15,9 +15,14 @@ AREA_LEAST, AREA_SHARE = 24, 0.35
 EXT = "ext AS (SELECT img_id, (max(r) + 1)::INT AS h, (max(c) + 1)::INT AS w FROM gray GROUP BY img_id)"
 
 
-@query("normalize_u8", f"WITH {GRAY} SELECT img_id, r, c, g AS u8 FROM gray")
+@query("normalize_u8", f"""WITH {RASTER}, typed AS (SELECT img_id, r, c, img_id % 2 = 1 AS bytes, CASE WHEN img_id % 2 = 1 THEN floor(abs(v) * 200) ELSE v END AS v FROM raster),
+  n AS (SELECT *, min(v) OVER (PARTITION BY img_id) AS lo, max(v) OVER (PARTITION BY img_id) AS hi FROM typed)
+SELECT img_id, r, c, CASE WHEN bytes THEN v ELSE floor((v - lo) / (hi - lo) * 255.0::DOUBLE) END::INT AS u8 FROM n""")
 def normalize_u8(spark, sf_dir):
-    return gray(spark, sf_dir).withColumnRenamed("g", "u8")
+    """Samples as levels 0 .. 255: stretched, but samples of one byte (here of odd views) stay as they are."""
+    odd = F.col("img_id") % 2 == 1
+    px = raster(spark, sf_dir).withColumn("v", F.when(odd, F.floor(F.abs("v") * 200)).otherwise(F.col("v")))
+    return ops.normalize(px, odd).select("img_id", "r", "c", "u8")
 
 
 @query("fill_nonfinite", f"WITH {RASTER}, {HOLED} SELECT img_id, r, c, CASE WHEN isfinite(v) THEN v ELSE min(v) FILTER (isfinite(v)) OVER (PARTITION BY img_id, band) END AS v FROM holed")
@@ -90,13 +95,13 @@ def canny_nms(spark, sf_dir):
     return ops.thin_gradient(ops.sobel(gray(spark, sf_dir)))
 
 
-@query("canny_hysteresis", f"""WITH RECURSIVE {SMALL_GRAY}, keep AS (
+@query("canny_hysteresis", f"""WITH RECURSIVE {GRAY}, keep AS (
   SELECT img_id, r, c FROM gray WHERE g >= 200
   UNION SELECT n.img_id, n.r, n.c FROM keep k JOIN gray n ON n.img_id = k.img_id AND n.r BETWEEN k.r - 1 AND k.r + 1 AND n.c BETWEEN k.c - 1 AND k.c + 1 AND n.g >= 140)
 SELECT img_id, r, c FROM keep""")
 def canny_hysteresis(spark, sf_dir):
-    """Weak pixels that touch strong ones through weak ones; thresholds here fit the gray grids."""
-    return kernels.per_image(small_gray(spark, sf_dir), "g", kernels.hysteresis, low=140, high=200)
+    """Weak pixels that touch strong ones through weak ones; thresholds here fit the gray views."""
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.hysteresis, low=140, high=200)
 
 
 @query("edge_presence", f"WITH {GRAY} SELECT img_id, r, c FROM gray WHERE g > {PRESENT}")
@@ -167,45 +172,44 @@ def rasterize_segments(spark, sf_dir):
     return ops.rasterize(ends)
 
 
-#: On small grids: the distance of every pixel to the nearest edge, from the definition.
+#: The distance of every pixel to the nearest edge, from the definition.
 DIST_SQL = "dist AS (SELECT p.img_id, p.r, p.c, min(sqrt((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c))) AS d FROM gray p JOIN gray q ON q.img_id = p.img_id AND q.g > 200 GROUP BY p.img_id, p.r, p.c)"
 
 
-@query("distance_transform_5", f"WITH {SMALL_GRAY}, {DIST_SQL} SELECT img_id, r, c, round(d, 6) AS d FROM dist")
+@query("distance_transform_5", f"WITH {GRAY}, {DIST_SQL} SELECT img_id, r, c, round(d, 6) AS d FROM dist")
 def distance_transform_5(spark, sf_dir):
-    px = small_gray(spark, sf_dir).withColumn("g", (F.col("g") > 200).cast("int"))
+    px = gray(spark, sf_dir).withColumn("g", (F.col("g") > 200).cast("int"))
     return kernels.per_image(px, "g", kernels.distance).select("img_id", "r", "c", F.round("value", 6).alias("d"))
 
 
-@query("distance_transform_3", f"WITH {SMALL_GRAY}, {DIST_SQL.replace('q.g > 200', 'q.g < 60')} SELECT img_id, r, c, round(d, 6) AS d FROM dist")
+@query("distance_transform_3", f"WITH {GRAY}, {DIST_SQL.replace('q.g > 200', 'q.g < 60')} SELECT img_id, r, c, round(d, 6) AS d FROM dist")
 def distance_transform_3(spark, sf_dir):
     """Inside a mask: the distance to the nearest pixel that is off."""
-    px = small_gray(spark, sf_dir).withColumn("g", (F.col("g") < 60).cast("int"))
+    px = gray(spark, sf_dir).withColumn("g", (F.col("g") < 60).cast("int"))
     return kernels.per_image(px, "g", kernels.distance).select("img_id", "r", "c", F.round("value", 6).alias("d"))
 
 
-@query("max_distance", f"WITH {SMALL_GRAY}, {DIST_SQL} SELECT img_id, round(max(d), 6) AS d FROM dist GROUP BY img_id")
+@query("max_distance", f"WITH {GRAY}, {DIST_SQL} SELECT img_id, round(max(d), 6) AS d FROM dist GROUP BY img_id")
 def max_distance(spark, sf_dir):
     return distance_transform_5(spark, sf_dir).groupBy("img_id").agg(F.max("d").alias("d"))
 
 
-@query("edge_cost_map", f"WITH {SMALL_GRAY}, {DIST_SQL} SELECT img_id, r, c, round(1 + d * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE), 5) AS cost FROM dist")
+@query("edge_cost_map", f"WITH {GRAY}, {DIST_SQL} SELECT img_id, r, c, round(1 + d * (0.1::DOUBLE + 0.9::DOUBLE * 0.5::DOUBLE), 5) AS cost FROM dist")
 def edge_cost_map(spark, sf_dir):
     """1 on an edge, more with the distance from it, by the edge weight."""
-    px = small_gray(spark, sf_dir).withColumn("g", (F.col("g") > 200).cast("int"))
+    px = gray(spark, sf_dir).withColumn("g", (F.col("g") > 200).cast("int"))
     far = kernels.per_image(px, "g", kernels.distance)
     return far.select("img_id", "r", "c", F.round(1 + F.col("value") * (0.1 + 0.9 * 0.5), 5).alias("cost"))
 
 
-@query("sam_cost_map", f"""WITH {SMALL_GRAY}, {DIST_SQL.replace('q.g > 200', 'q.g < 60')}, m AS (SELECT img_id, max(d) AS top FROM dist GROUP BY img_id)
-SELECT img_id, r, c, round(CASE WHEN g < 60 THEN 12.0::DOUBLE ELSE greatest(1.0::DOUBLE, CASE WHEN g > 200 THEN 1.6::DOUBLE ELSE 2.5::DOUBLE END - 0.75::DOUBLE * d / top) END, 5) AS cost FROM gray JOIN dist USING (img_id, r, c) JOIN m USING (img_id)""")
+#: The cost outside a mask, inside, on edges inside, what its middle is cheaper by, and of its centre line, the least.
+MASK_COSTS = (12.0, 2.5, 1.6, 0.75, 1.0)
+
+
+@query("sam_cost_map")
 def sam_cost_map(spark, sf_dir):
-    """Dear outside the mask; inside cheaper toward its middle and on edges, and never below 1."""
-    px = small_gray(spark, sf_dir)
-    far = kernels.per_image(px.withColumn("g", (F.col("g") < 60).cast("int")), "g", kernels.distance)
-    top = far.groupBy("img_id").agg(F.max("value").alias("top"))
-    inner = F.greatest(F.lit(1.0), F.when(F.col("g") > 200, 1.6).otherwise(2.5) - 0.75 * F.col("value") / F.col("top"))
-    return px.join(far, ["img_id", "r", "c"]).join(top, "img_id").select("img_id", "r", "c", F.round(F.when(F.col("g") < 60, 12.0).otherwise(inner), 5).alias("cost"))
+    """Dear outside the closed mask (levels from 60); inside cheaper toward its middle and on edges (levels above 128), cheapest on its centre line."""
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.mask_cost, outside=60, edge=EDGE, costs=MASK_COSTS).select("img_id", "r", "c", F.col("value").alias("cost"))
 
 
 @query("thin_mask")
@@ -215,7 +219,12 @@ def thin_mask(spark, sf_dir):
 
 
 def canny(px):
-    """The parts of a Canny detection that are local, then hysteresis per image, joined with the adaptive mask and closed."""
+    """Canny's edges of each view and its dark lines, closed: one kernel a view. canny_relational says the same."""
+    return kernels.per_image(px, "g", kernels.canny, low=LOW, high=HIGH, offset=10)
+
+
+def canny_relational(px):
+    """The parts of a Canny detection that are local as relations, then hysteresis per image, joined with the adaptive mask and closed."""
     extent = ops.extents(px)
     ridge = ops.thin_gradient(ops.sobel(ops.blur(px)))
     edges = kernels.per_image(ridge.withColumn("mag", F.col("mag").cast("int")), "mag", kernels.hysteresis, low=LOW, high=HIGH)
@@ -260,8 +269,7 @@ def detect_hed(spark, sf_dir):
 
 @query("detect_edges")
 def detect_edges(spark, sf_dir):
-    found = canny(gray(spark, sf_dir)).withColumn("g", F.lit(1))
-    return kernels.per_image(found, "g", kernels.thin)
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.edges, low=LOW, high=HIGH, offset=10)
 
 
 @query("sam_set_image")
@@ -303,10 +311,7 @@ def edge_rows(spark, sf_dir):
 @query("edge_cache")
 def edge_cache(spark, sf_dir):
     """What tracing keeps of a view: every pixel's cost, from its thinned edges."""
-    px = gray(spark, sf_dir)
-    thin = kernels.per_image(canny(px).withColumn("g", F.lit(1)), "g", kernels.thin)
-    flagged = px.select("img_id", "r", "c").join(thin.withColumn("e", F.lit(1)), ["img_id", "r", "c"], "left").select("img_id", "r", "c", F.coalesce("e", F.lit(0)).alias("e"))
-    far = kernels.per_image(flagged, "e", kernels.distance)
+    far = kernels.per_image(gray(spark, sf_dir), "g", kernels.edge_distance, low=LOW, high=HIGH, offset=10)
     return far.select("img_id", "r", "c", (1 + F.col("value") * (0.1 + 0.9 * 0.5)).cast("float").alias("cost"))
 
 

@@ -6,17 +6,18 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, lines as line_ops
 from ..registry import query
-from .fixtures import EVENTS, SMALL_GRAY, line_pts, mask, pointer_events, small_gray
+from .rasters import sam_cost_map
+from .fixtures import EVENTS, GRAY, gray, line_pts, mask, pointer_events
 
-COSTS = f"{SMALL_GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
+COSTS = f"{GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
 
 
 def costs(spark, sf_dir):
-    return small_gray(spark, sf_dir).select("img_id", "r", "c", (F.lit(1.0) + F.col("g") / F.lit(16.0)).alias("cost"))
+    return gray(spark, sf_dir).select("img_id", "r", "c", (F.lit(1.0) + F.col("g") / F.lit(16.0)).alias("cost"))
 
 
 def requests(spark, sf_dir):
-    """Routes asked for: from the corner (0, 0) of each small grid to four pixels of it."""
+    """Routes asked for: from the corner (0, 0) of each view to four pixels of it."""
     images = costs(spark, sf_dir).groupBy("img_id").agg(F.max("r").alias("h"), F.max("c").alias("w"))
     goal = images.select("img_id", "h", "w", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k"))
     return goal.select(
@@ -81,46 +82,70 @@ def priority_frontier(spark, sf_dir):
     return kernels.routes(costs(spark, sf_dir), requests(spark, sf_dir), most=12).where("not reached")
 
 
-@query("path_reconstruct", "WITH RECURSIVE t AS (SELECT c_custkey AS leaf, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey % 50 = 7 UNION ALL SELECT leaf, node // 3, depth + 1 FROM t WHERE node > 0) SELECT leaf, depth, node FROM t")
+@query("path_reconstruct", "WITH RECURSIVE t AS (SELECT c_custkey AS leaf, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT leaf, node // 3, depth + 1 FROM t WHERE node > 0) SELECT leaf, depth, node FROM t")
 def path_reconstruct(spark, sf_dir):
     """From each leaf back along a table of parents (node, node div 3) to the root."""
     spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("route_nodes")
     return spark.sql("""WITH RECURSIVE t(leaf, node, depth) AS (
-        SELECT c_custkey, c_custkey, 0 FROM route_nodes WHERE c_custkey % 50 = 7
+        SELECT c_custkey, c_custkey, 0 FROM route_nodes
         UNION ALL SELECT leaf, node div 3, depth + 1 FROM t WHERE node > 0) SELECT leaf, depth, node FROM t""")
 
 
+NEAR2 = "len(list_filter({0}, lambda q: (q.x - {1}) * (q.x - {1}) + (q.y - {2}) * (q.y - {2}) < 9)) > 0"
+#: The target is a session's last event and the path what comes before; the view is VIEW pixels wide and high.
+VIEW = 300
 PROMPTS_SQL = f"""WITH RECURSIVE {EVENTS}, ranked AS (SELECT session, x, y, row_number() OVER (PARTITION BY session ORDER BY ts DESC, event_id DESC) AS back FROM pointer),
-last3 AS (SELECT session, trunc(x)::INT AS px, trunc(y)::INT AS py, 4 - back AS n FROM ranked WHERE back <= 3),
-f AS (SELECT session, n, [{{'x': px, 'y': py}}] AS kept FROM last3 WHERE n = 1
-  UNION ALL SELECT l.session, l.n, CASE WHEN len(list_filter(f.kept, lambda q: sqrt((q.x - l.px) * (q.x - l.px) + (q.y - l.py) * (q.y - l.py)) < 3)) > 0 THEN f.kept ELSE list_append(f.kept, {{'x': l.px, 'y': l.py}}) END FROM f JOIN last3 l ON l.session = f.session AND l.n = f.n + 1),
-k AS (SELECT session, arg_max(kept, n) AS kept FROM f GROUP BY session), b AS (SELECT session, kept, kept[len(kept) - 1] AS a, list_last(kept) AS z FROM k WHERE len(kept) >= 2),
-v AS (SELECT *, -(z.y - a.y) / sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS vx, (z.x - a.x) / sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS vy FROM b)
-SELECT session, len(kept)::INT AS positives, round_even(z.x + vx * 10, 0)::INT AS nx, round_even(z.y + vy * 10, 0)::INT AS ny FROM v"""
+last4 AS (SELECT session, trunc(x)::INT AS px, trunc(y)::INT AS py, 5 - back AS n FROM ranked WHERE back <= 4),
+target AS (SELECT session FROM last4 WHERE n = 4 AND px BETWEEN 0 AND {VIEW - 1} AND py BETWEEN 0 AND {VIEW - 1}),
+f AS (SELECT session, 0 AS n, []::STRUCT(x INT, y INT)[] AS kept FROM target
+  UNION ALL SELECT f.session, f.n + 1, CASE WHEN l.px IS NULL OR l.px NOT BETWEEN 0 AND {VIEW - 1} OR l.py NOT BETWEEN 0 AND {VIEW - 1} OR {NEAR2.format("f.kept", "l.px", "l.py")} THEN f.kept ELSE list_append(f.kept, {{'x': l.px, 'y': l.py}}) END
+  FROM f LEFT JOIN last4 l ON l.session = f.session AND l.n = f.n + 1 WHERE f.n < 4),
+b AS (SELECT session, kept, len(kept)::INT AS positives, kept[len(kept) - 1] AS a, list_last(kept) AS z FROM f WHERE n = 4 AND len(kept) >= 2),
+v AS (SELECT *, -(z.y - a.y) / sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS vx, (z.x - a.x) / sqrt((z.x - a.x) * (z.x - a.x) + (z.y - a.y) * (z.y - a.y)) AS vy FROM b),
+g AS (SELECT session, positives, 0 AS i, kept, [{{'x': round_even(a.x - vx * 10, 0)::INT, 'y': round_even(a.y - vy * 10, 0)::INT}}, {{'x': round_even(a.x + vx * 10, 0)::INT, 'y': round_even(a.y + vy * 10, 0)::INT}},
+    {{'x': round_even(z.x - vx * 10, 0)::INT, 'y': round_even(z.y - vy * 10, 0)::INT}}, {{'x': round_even(z.x + vx * 10, 0)::INT, 'y': round_even(z.y + vy * 10, 0)::INT}}] AS near FROM v
+  UNION ALL SELECT session, positives, i + 1, CASE WHEN near[i + 1].x NOT BETWEEN 0 AND {VIEW - 1} OR near[i + 1].y NOT BETWEEN 0 AND {VIEW - 1} OR {NEAR2.format("kept", "near[i + 1].x", "near[i + 1].y")} THEN kept ELSE list_append(kept, near[i + 1]) END, near FROM g WHERE i < 4)
+SELECT session, positives, list_transform(kept, lambda p: p.x) AS xs, list_transform(kept, lambda p: p.y) AS ys FROM g WHERE i = 4"""
+
+
+def prompts(path, target, width: int, height: int):
+    """The prompts of a path's last three points and a target, in order and three pixels apart: first the positive
+    ones, then ten pixels off the course on both sides of the last two. Null without two positive ones in the view."""
+    kind = "array<struct<x:int,y:int>>"
+
+    def accept(kept, p):
+        inside = (p["x"] >= 0) & (p["x"] < width) & (p["y"] >= 0) & (p["y"] < height)
+        near = F.exists(kept, lambda q: (q["x"] - p["x"]) * (q["x"] - p["x"]) + (q["y"] - p["y"]) * (q["y"] - p["y"]) < 9)
+        return F.when(inside & ~near, F.array_append(kept, p)).otherwise(kept)
+
+    positive = F.aggregate(F.array_append(F.slice(path, F.greatest(F.size(path) - 2, F.lit(1)), 3), target).cast(kind), F.array().cast(kind), accept)
+
+    def negatives(kept):
+        a, z = F.element_at(kept, -2), F.element_at(kept, -1)
+        dx, dy = z["x"] - a["x"], z["y"] - a["y"]
+        norm = F.sqrt((dx * dx + dy * dy).cast("double"))
+        at = lambda p, sign: F.struct(F.bround(p["x"] + -dy / norm * 10 * sign, 0).cast("int").alias("x"), F.bround(p["y"] + dx / norm * 10 * sign, 0).cast("int").alias("y"))
+        return F.array(*(at(p, sign) for p in (a, z) for sign in (-1, 1)))
+
+    inside = (target["x"] >= 0) & (target["x"] < width) & (target["y"] >= 0) & (target["y"] < height)
+    return positive, inside, lambda kept: F.aggregate(negatives(kept), kept, accept)
 
 
 @query("sam_prompts", PROMPTS_SQL)
 def sam_prompts(spark, sf_dir):
-    """Positive prompts from the last positions, three pixels apart, and a negative one beside the last, ten pixels off the course."""
-    events = pointer_events(spark, sf_dir)
-    last = F.slice(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x", "y"))), -3, 3)
-    told = events.groupBy("session").agg(last.alias("p")).where("size(p) >= 3").withColumn("geom", F.transform("p", lambda p: F.struct(p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"))))
-    kept = told.withColumn("kept", line_ops.distinct_in_order(F.col("geom"), 3.0)).where("size(kept) >= 2")
-    a, z = F.element_at("kept", -2), F.element_at("kept", -1)
-    dx, dy = z["x"] - a["x"], z["y"] - a["y"]
-    norm = F.sqrt((dx * dx + dy * dy).cast("double"))
-    return kept.select("session", F.size("kept").alias("positives"), F.bround(z["x"] + (-dy / norm) * 10, 0).cast("int").alias("nx"), F.bround(z["y"] + (dx / norm) * 10, 0).cast("int").alias("ny"))
+    """Positive prompts from the last positions and the target, then negative ones off the course; sessions with two positive ones."""
+    point = lambda p: F.struct(p["x"].cast("int").alias("x"), p["y"].cast("int").alias("y"))
+    seen = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "x", "y"))), point)
+    told = pointer_events(spark, sf_dir).groupBy("session").agg(seen.alias("seen"))
+    positive, inside, complete = prompts(F.slice("seen", F.lit(1), F.size("seen") - 1), F.element_at("seen", -1), VIEW, VIEW)
+    kept = told.where(inside).withColumn("positive", positive).where("size(positive) >= 2").withColumn("kept", complete(F.col("positive")))
+    return kept.select("session", F.size("positive").alias("positives"), F.col("kept")["x"].alias("xs"), F.col("kept")["y"].alias("ys"))
 
 
 @query("sam_path")
 def sam_path(spark, sf_dir):
     """Routes over the cost surface of a mask; none where the goal is not reached."""
-    px = small_gray(spark, sf_dir)
-    far = kernels.per_image(px.withColumn("g", (F.col("g") < 60).cast("int")), "g", kernels.distance)
-    top = far.groupBy("img_id").agg(F.max("value").alias("top"))
-    inner = F.greatest(F.lit(1.0), F.lit(2.5) - 0.75 * F.col("value") / F.col("top"))
-    surface = px.join(far, ["img_id", "r", "c"]).join(top, "img_id").select("img_id", "r", "c", F.when(F.col("g") < 60, 12.0).otherwise(inner).alias("cost"))
-    return kernels.routes(surface, requests(spark, sf_dir), partial=False)
+    return kernels.routes(sam_cost_map(spark, sf_dir), requests(spark, sf_dir), partial=False)
 
 
 @query("optimal_path")

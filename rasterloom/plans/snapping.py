@@ -1,7 +1,7 @@
 """Queries that snap points to edges and to line ends: bounded nearest-neighbour joins as equi-joins.
 
-A point looks at every pixel within a radius, so it is sent to those pixels and met there by key;
-line ends are met in grid cells of the tolerance's size. No range join is planned.
+Points meet the pixels of their image by key; line ends are met in grid cells of the tolerance's size.
+No range join is planned.
 """
 
 from __future__ import annotations
@@ -14,14 +14,15 @@ from .fixtures import MASK, gray, mask, table
 from .pixels import ENDS, ends
 
 #: Pointer positions for the snaps: one event a position, on the images of the raster.
-AT = """spot AS (SELECT event_id AS pid, event_id % 10 AS img_id, (event_id * 7 % 64)::INT AS px, (event_id * 13 % 50)::INT AS py, (event_id * 5 % 64)::INT AS qx, (event_id * 11 % 50)::INT AS qy, (event_id * 3 % 64)::INT AS ox, (event_id * 17 % 50)::INT AS oy FROM events)"""
+AT = """spot AS (SELECT event_id AS pid, event_id % 10 AS img_id, (event_id * 7 % 64)::INT AS px, (event_id * 13 % 50)::INT AS py, (event_id * 5 % 64)::INT AS qx, (event_id * 11 % 50)::INT AS qy, CASE WHEN event_id % 8 > 0 THEN (event_id * 3 % 64)::INT END AS ox, CASE WHEN event_id % 8 > 0 THEN (event_id * 17 % 50)::INT END AS oy FROM events)"""
 
 
 def positions(spark, sf_dir):
-    """pid, img_id, the pixel (px, py), and the two path points before it (ox, oy), (qx, qy)."""
+    """pid, img_id, the pixel (px, py), and the path points before it: (qx, qy) and, if there are two, (ox, oy)."""
     e = F.col("event_id")
+    known = lambda n, v: F.when(e % 8 > 0, v) if n[0] == "o" else v
     return table(spark, sf_dir, "events").select(
-        e.alias("pid"), (e % 10).alias("img_id"), *((e * k % m).cast("int").alias(n) for n, k, m in (("px", 7, 64), ("py", 13, 50), ("qx", 5, 64), ("qy", 11, 50), ("ox", 3, 64), ("oy", 17, 50)))
+        e.alias("pid"), (e % 10).alias("img_id"), *(known(n, (e * k % m).cast("int")).alias(n) for n, k, m in (("px", 7, 64), ("py", 13, 50), ("qx", 5, 64), ("qy", 11, 50), ("ox", 3, 64), ("oy", 17, 50)))
     )
 
 
@@ -29,15 +30,20 @@ def offsets_sql(radius: int) -> str:
     return f"(SELECT dy::INT AS dy, dx::INT AS dx FROM range(-{radius}, {radius} + 1) a(dy), range(-{radius}, {radius} + 1) b(dx))"
 
 
+#: How far the nearest active pixel may lie; and for the middle edge weight of 0.5 the snap radius
+#: int(15 (1 - 0.7 weight)) = 9, which the angle-constrained snap has at 6 at least and the gentle one at 5 at most.
+NEAREST, SNAP = 20, 9
+ANGLED, GENTLE = max(6, SNAP), max(1, min(5, SNAP))
+
 RINGS = f"""WITH {MASK}, {AT}, met AS (
-  SELECT pid, m.r, m.c, greatest(abs(dy), abs(dx)) AS ring, dy * dy + dx * dx AS d2 FROM spot, {offsets_sql(5)} o JOIN mask m ON m.img_id = spot.img_id AND m.r = spot.py + dy AND m.c = spot.px + dx)
+  SELECT pid, m.r, m.c, greatest(abs(dy), abs(dx)) AS ring, dy * dy + dx * dx AS d2 FROM spot, {offsets_sql(NEAREST)} o JOIN mask m ON m.img_id = spot.img_id AND m.r = spot.py + dy AND m.c = spot.px + dx)
 SELECT pid, arg_min(c, (ring, d2, r, c)) AS c, arg_min(r, (ring, d2, r, c)) AS r FROM met GROUP BY pid"""
 
 
 @query("nearest_active_pixel", RINGS)
 def nearest_active_pixel(spark, sf_dir):
-    """The on-pixel in the nearest square ring within 5, then the closest there."""
-    return nearest_in_rings(positions(spark, sf_dir), mask(spark, sf_dir), 5).select("pid", "c", "r")
+    """The on-pixel in the nearest square ring within 20, then the closest there."""
+    return nearest_in_rings(positions(spark, sf_dir), mask(spark, sf_dir), NEAREST).select("pid", "c", "r")
 
 
 @query("argmin_candidate", RINGS)
@@ -48,23 +54,23 @@ def argmin_candidate(spark, sf_dir):
 def snap_sql(radius: int, angle: bool, stay: bool) -> str:
     turn = "t - h" if angle else "0.0::DOUBLE"
     return f"""WITH {MASK}, {AT}, met AS (
-  SELECT pid, px, py, dy, dx, atan2(spot.py - spot.qy, spot.px - spot.qx) AS h0, atan2(spot.qy - spot.oy, spot.qx - spot.ox) AS h, atan2(spot.py + dy - spot.qy, spot.px + dx - spot.qx) AS t
+  SELECT pid, px, py, dy, dx, ox, atan2(spot.py - spot.qy, spot.px - spot.qx) AS h0, atan2(spot.qy - spot.oy, spot.qx - spot.ox) AS h, atan2(spot.py + dy - spot.qy, spot.px + dx - spot.qx) AS t
   FROM spot, {offsets_sql(radius)} o JOIN mask m ON m.img_id = spot.img_id AND m.r = spot.py + dy AND m.c = spot.px + dx WHERE abs(dy) + abs(dx) < {radius + 1}
 ), w AS (SELECT *, {turn} AS d FROM met), g AS (
-  SELECT pid, arg_min({{'dx': dx, 'dy': dy}}, (abs(dy) + abs(dx), dy, dx)) AS b FROM w WHERE abs(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END) <= radians(60.0::DOUBLE) GROUP BY pid)
+  SELECT pid, arg_min({{'dx': dx, 'dy': dy}}, (abs(dy) + abs(dx), dy, dx)) AS b FROM w WHERE {"ox IS NULL OR" if angle else ""} abs(CASE WHEN d > pi() THEN d - 2 * pi() WHEN d < -pi() THEN d + 2 * pi() ELSE d END) <= radians(60.0::DOUBLE) GROUP BY pid)
 SELECT spot.pid, round(CASE WHEN b IS NULL {"OR (b.dx = 0 AND b.dy = 0)" if stay else ""} THEN px ELSE 0.7::DOUBLE * px + 0.3::DOUBLE * (px + b.dx) END, 6) AS x, round(CASE WHEN b IS NULL {"OR (b.dx = 0 AND b.dy = 0)" if stay else ""} THEN py ELSE 0.7::DOUBLE * py + 0.3::DOUBLE * (py + b.dy) END, 6) AS y FROM spot LEFT JOIN g ON g.pid = spot.pid"""
 
 
-@query("angle_constrained_snap", snap_sql(6, True, False))
+@query("angle_constrained_snap", snap_sql(ANGLED, True, False))
 def angle_constrained_snap(spark, sf_dir):
-    """Drawn toward the nearest edge pixel (Manhattan) whose direction turns by at most 60 degrees."""
-    return snap_to_edge(positions(spark, sf_dir), mask(spark, sf_dir), 6, turn=60.0).select("pid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    """Drawn toward the nearest edge pixel (Manhattan) whose direction turns by at most 60 degrees; any, while the path has one point."""
+    return snap_to_edge(positions(spark, sf_dir), mask(spark, sf_dir), ANGLED, turn=60.0).select("pid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
-@query("gentle_snap", snap_sql(4, False, True))
+@query("gentle_snap", snap_sql(GENTLE, False, True))
 def gentle_snap(spark, sf_dir):
     """Drawn toward the nearest edge pixel; a point on an edge stays."""
-    return snap_to_edge(positions(spark, sf_dir), mask(spark, sf_dir), 4).select("pid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+    return snap_to_edge(positions(spark, sf_dir), mask(spark, sf_dir), GENTLE).select("pid", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 TOLERANCE = 0.5
