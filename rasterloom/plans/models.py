@@ -7,33 +7,32 @@ from pyspark.sql import functions as F
 from ..registry import query
 from .fixtures import WEIGHTS, table, weights
 
-#: The models on offer (index, backend, type, file, MB, edge method) and labels in two languages.
+#: The models on offer (index, name in menus, edge method, backend, type, weights file, MB); a model with a
+#: backend is assisted by Canny edges.
 MODELS = (
-    (0, "manual", "none", None, 0, "canny"),
-    (1, "canny", "none", None, 0, "canny"),
-    (2, "lsd", "none", None, 0, "lsd"),
-    (3, "hed", "hed", "hed.caffemodel", 56, "hed"),
-    (4, "mobile_sam", "vit_t", "mobile_sam.pt", 39, "canny"),
-    (5, "sam", "vit_b", "sam_vit_b.pth", 358, "canny"),
-    (6, "sam", "vit_l", "sam_vit_l.pth", 1247, "canny"),
-    (7, "sam", "vit_h", "sam_vit_h.pth", 2445, "canny"),
+    (0, "Canny", "canny", None, None, None, None),
+    (1, "LSD", "lsd", None, None, None, None),
+    (2, "HED", "hed", None, None, None, 56),
+    (3, "MobileSAM", "canny", "mobile_sam", "vit_t", "mobile_sam.pt", 39),
+    (4, "SAM", "canny", "segment_anything", "vit_b", "sam_vit_b_01ec64.pth", 358),
 )
-MODEL_SCHEMA = "model_idx int, backend string, model_type string, filename string, size_mb int, method string"
-MODELS_SQL = "models(model_idx, backend, model_type, filename, size_mb, method) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in m) + ")" for m in MODELS) + ")"
-ALLOWED_HOSTS_END, ALLOWED_SCHEME = "example.com", "https"
+MODEL_SCHEMA = "model_idx int, mode string, method string, backend string, model_type string, filename string, size_mb int"
+MODELS_SQL = "models(model_idx, mode, method, backend, model_type, filename, size_mb) AS (VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else repr(v) for v in m) + ")" for m in MODELS) + ")"
+#: Where weights may be fetched from.
+ALLOWED_HOSTS, ALLOWED_SCHEMES = ("raw.githubusercontent.com", "vcl.ucsd.edu"), ("https",)
 
 
 def models(spark):
-    """The catalogue: a table of eight rows, small enough to broadcast at any data size."""
+    """The catalogue: a table of five rows, small enough to broadcast at any data size."""
     return F.broadcast(spark.createDataFrame(MODELS, MODEL_SCHEMA))
 
 
-ASKED = "asked AS (SELECT event_id, (event_id % 9)::INT AS model_idx, ['ko', 'en', 'fr'][(event_id % 3 + 1)::INT] AS lang FROM events)"
+ASKED = "asked AS (SELECT event_id, (event_id % 7)::INT AS model_idx, ['ko', 'en', 'fr'][(event_id % 3 + 1)::INT] AS lang FROM events)"
 
 
 def asked(spark, sf_dir):
     lang = F.element_at(F.array(F.lit("ko"), F.lit("en"), F.lit("fr")), (F.col("event_id") % 3 + 1).cast("int"))
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 9).cast("int").alias("model_idx"), lang.alias("lang"))
+    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 7).cast("int").alias("model_idx"), lang.alias("lang"))
 
 
 @query("method_for_model", f"WITH {MODELS_SQL}, {ASKED} SELECT event_id, model_idx, coalesce(method, 'canny') AS method FROM asked LEFT JOIN models USING (model_idx)")
@@ -60,35 +59,50 @@ def kv_settings(spark, sf_dir):
     return asked(spark, sf_dir).select("event_id", F.coalesce(F.when(i % 4 != 0, F.col("lang")), F.when(i % 8 == 0, F.lit("ko")), F.lit("en")).alias("language"))
 
 
-@query("display_name", f"WITH {MODELS_SQL} SELECT model_idx, CASE WHEN backend = 'mobile_sam' THEN 'MobileSAM' WHEN backend = 'sam' THEN 'SAM (' || upper(model_type) || ')' ELSE upper(backend) END AS name, CASE WHEN size_mb > 0 THEN 'Download (~' || size_mb || ' MB)' ELSE 'No download' END AS label FROM models")
+DISPLAY_SQL = f"""WITH {MODELS_SQL} SELECT model_idx,
+  CASE WHEN backend = 'segment_anything' THEN 'SAM (' || upper(model_type) || ')' ELSE mode END AS name,
+  CASE WHEN mode = 'HED' THEN 'Download HED' WHEN backend IS NULL THEN 'Download Model'
+       ELSE 'Download ' || mode || CASE WHEN size_mb > 0 THEN ' (~' || size_mb || 'MB)' ELSE '' END END AS label FROM models"""
+
+
+@query("display_name", DISPLAY_SQL)
 def display_name(spark, sf_dir):
-    b = F.col("backend")
-    name = F.when(b == "mobile_sam", "MobileSAM").when(b == "sam", F.concat(F.lit("SAM ("), F.upper("model_type"), F.lit(")"))).otherwise(F.upper(b))
-    label = F.when(F.col("size_mb") > 0, F.concat(F.lit("Download (~"), "size_mb", F.lit(" MB)"))).otherwise("No download")
+    """What a model is called, and what its download button says."""
+    backend, mode = F.col("backend"), F.col("mode")
+    name = F.when(backend == "segment_anything", F.concat(F.lit("SAM ("), F.upper("model_type"), F.lit(")"))).otherwise(mode)
+    size = F.when(F.col("size_mb") > 0, F.concat(F.lit(" (~"), "size_mb", F.lit("MB)"))).otherwise("")
+    label = F.when(mode == "HED", "Download HED").when(backend.isNull(), "Download Model").otherwise(F.concat(F.lit("Download "), mode, size))
     return spark.createDataFrame(MODELS, MODEL_SCHEMA).select("model_idx", name.alias("name"), label.alias("label"))
 
 
-@query("weights_update_check", f"""WITH {WEIGHTS} SELECT l.key, CASE
-  WHEN r.key IS NULL OR NOT r.ok THEN 'error' WHEN NOT l.present THEN 'missing'
+STATUS_SQL = f"""{WEIGHTS}, status AS (SELECT l.key, CASE
+  WHEN r.key IS NULL OR NOT r.ok THEN 'check_failed' WHEN NOT l.present THEN 'not_installed'
   WHEN l.etag <> '' AND r.etag <> '' AND l.etag <> r.etag THEN 'update_available'
-  WHEN l.size > 0 AND r.content_length > 0 AND l.size <> r.content_length THEN 'update_available'
+  WHEN l.size <> 0 AND r.content_length <> 0 AND l.size <> r.content_length THEN 'update_available'
   WHEN coalesce(r.etag, '') = '' AND l.last_modified <> '' AND r.last_modified <> '' AND l.last_modified <> r.last_modified THEN 'update_available'
-  WHEN coalesce(r.etag, '') = '' AND coalesce(r.last_modified, '') = '' AND coalesce(r.content_length, 0) = 0 THEN 'unknown' ELSE 'current' END AS status
-FROM weights_local l LEFT JOIN weights_remote r ON l.key = r.key""")
-def weights_update_check(spark, sf_dir):
-    """Whether weights are current: the first test that applies decides; empty and zero values skip a test."""
-    local, remote = weights(spark, sf_dir)
-    met = local.alias("l").join(remote.alias("r"), F.col("l.key") == F.col("r.key"), "left")
+  WHEN coalesce(r.etag, '') = '' AND coalesce(r.last_modified, '') = '' AND coalesce(r.content_length, 0) = 0 THEN 'unknown' ELSE 'up_to_date' END AS status
+FROM weights_local l LEFT JOIN weights_remote r ON l.key = r.key)"""
+
+
+def update_status():
+    """The first test that applies to local and remote metadata decides; empty and zero values skip a test."""
     differ = lambda a, b: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
     no = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
-    status = (
-        F.when(F.col("r.key").isNull() | ~F.col("ok"), "error").when(~F.col("present"), "missing")
+    return (
+        F.when(F.col("r.key").isNull() | ~F.col("r.ok"), "check_failed").when(~F.col("l.present"), "not_installed")
         .when(differ("l.etag", "r.etag"), "update_available")
-        .when((F.col("size") > 0) & (F.col("content_length") > 0) & (F.col("size") != F.col("content_length")), "update_available")
+        .when((F.col("l.size") != 0) & (F.col("r.content_length") != 0) & (F.col("l.size") != F.col("r.content_length")), "update_available")
         .when(no("r.etag") & differ("l.last_modified", "r.last_modified"), "update_available")
-        .when(no("r.etag") & no("r.last_modified") & (F.coalesce("content_length", F.lit(0)) == 0), "unknown").otherwise("current")
+        .when(no("r.etag") & no("r.last_modified") & (F.coalesce("r.content_length", F.lit(0)) == 0), "unknown").otherwise("up_to_date")
     )
-    return met.select("l.key", status.alias("status"))
+
+
+@query("weights_update_check", f"WITH {STATUS_SQL} SELECT key, status FROM status")
+def weights_update_check(spark, sf_dir):
+    """Whether weights are current."""
+    local, remote = weights(spark, sf_dir)
+    met = local.alias("l").join(remote.alias("r"), F.col("l.key") == F.col("r.key"), "left")
+    return met.select("l.key", update_status().alias("status"))
 
 
 @query("local_weights_info", f"WITH {WEIGHTS} SELECT d.doc_id AS key, coalesce(l.present, false) AS present, coalesce(l.size, 0) AS size, l.etag, l.last_modified FROM documents d LEFT JOIN weights_local l ON d.doc_id = l.key")
@@ -98,14 +112,35 @@ def local_weights_info(spark, sf_dir):
     return keys.join(local, "key", "left").select("key", F.coalesce("present", F.lit(False)).alias("present"), F.coalesce("size", F.lit(0)).alias("size"), "etag", "last_modified")
 
 
-@query("recommendation", f"""WITH {WEIGHTS} SELECT key, CASE WHEN NOT ok THEN 'check network' WHEN content_length IS NULL THEN 'verify manually' WHEN etag IS NULL THEN 'compare size' ELSE 'no action' END AS advice,
-  CASE WHEN NOT ok THEN 'error' WHEN content_length IS NULL OR etag IS NULL THEN 'warning' ELSE 'success' END AS tone FROM weights_remote""")
+#: What to do about each update status, and what is said of any other.
+ADVICE = {
+    "not_installed": "SAM weights are missing. Download is recommended.",
+    "update_available": "A newer SAM weights file appears available. Update is recommended.",
+    "up_to_date": "SAM weights appear up-to-date.",
+    "unknown": "Could not compare exact versions. Re-download if you suspect mismatch.",
+    "check_failed": "Version check failed. Verify internet/proxy/firewall and retry.",
+}
+NO_ADVICE = "No recommendation."
+#: The tone of a message by the reason why a runtime is ready or not; any other is an error.
+TONES = {"ready": "info", "missing_prototxt": "warning", "missing_weights": "warning"}
+
+
+def choose(value, table, other):
+    """The entry of a small fixed table, as a CASE."""
+    out = F
+    for k, v in table.items():
+        out = out.when(value == k, v)
+    return out.otherwise(other)
+
+
+def choose_sql(value: str, table: dict[str, str], other: str) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + f" ELSE '{other}' END"
+
+
+@query("recommendation", f"WITH {STATUS_SQL} SELECT key, status, {choose_sql('status', ADVICE, NO_ADVICE)} AS advice FROM status")
 def recommendation(spark, sf_dir):
-    ok, length, etag = F.col("ok"), F.col("content_length"), F.col("etag")
-    return weights(spark, sf_dir)[1].select(
-        "key", F.when(~ok, "check network").when(length.isNull(), "verify manually").when(etag.isNull(), "compare size").otherwise("no action").alias("advice"),
-        F.when(~ok, "error").when(length.isNull() | etag.isNull(), "warning").otherwise("success").alias("tone"),
-    )
+    """What the update status of each weights file asks for."""
+    return weights_update_check(spark, sf_dir).select("key", "status", choose(F.col("status"), ADVICE, NO_ADVICE).alias("advice"))
 
 
 FACTS = "facts AS (SELECT doc_id AS id, doc_id % 2 = 0 AS has_cv, doc_id % 3 <> 0 AS has_proto, doc_id % 5 <> 0 AS has_weights, doc_id % 7 <> 0 AS loads, doc_id % 4 <> 1 AS backend FROM documents)"
@@ -116,10 +151,10 @@ def facts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(i.alias("id"), (i % 2 == 0).alias("has_cv"), (i % 3 != 0).alias("has_proto"), (i % 5 != 0).alias("has_weights"), (i % 7 != 0).alias("loads"), (i % 4 != 1).alias("backend"))
 
 
-@query("runtime_status", f"WITH {FACTS} SELECT id, CASE WHEN NOT has_cv THEN 'missing_opencv' WHEN NOT has_proto THEN 'missing_prototxt' WHEN NOT has_weights THEN 'missing_weights' WHEN NOT loads THEN 'invalid_runtime' ELSE 'ready' END AS reason, has_cv AND has_proto AND has_weights AND loads AS ok FROM facts")
+@query("runtime_status", f"WITH {FACTS} SELECT id, CASE WHEN NOT has_cv THEN 'missing_opencv' WHEN NOT has_proto THEN 'missing_prototxt' WHEN NOT has_weights THEN 'missing_weights' WHEN NOT loads THEN 'invalid_runtime' ELSE 'ready' END AS reason, has_cv AND has_proto AND has_weights AND loads AS ok, " + choose_sql("reason", TONES, "error") + " AS tone FROM facts")
 def runtime_status(spark, sf_dir):
     reason = F.when(~F.col("has_cv"), "missing_opencv").when(~F.col("has_proto"), "missing_prototxt").when(~F.col("has_weights"), "missing_weights").when(~F.col("loads"), "invalid_runtime").otherwise("ready")
-    return facts(spark, sf_dir).select("id", reason.alias("reason"), (reason == "ready").alias("ok"))
+    return facts(spark, sf_dir).select("id", reason.alias("reason"), (reason == "ready").alias("ok"), choose(reason, TONES, "error").alias("tone"))
 
 
 @query("sam_readiness", f"WITH {FACTS} SELECT id, CASE WHEN NOT backend THEN 'not installed' WHEN loads AND has_cv THEN 'loaded' WHEN loads THEN 'blocked' WHEN has_weights THEN 'download again' ELSE 'file needed' END AS state FROM facts")
@@ -164,21 +199,30 @@ def source_remote_headers(spark, sf_dir):
     return weights(spark, sf_dir)[1].select("key", F.when(~F.col("ok"), "failed").when(F.col("content_length").isNull() & F.col("etag").isNull(), "get").otherwise("head").alias("via"))
 
 
-@query("url_allowlist", "SELECT page_id, url, CASE WHEN NOT regexp_matches(url, '^https:') THEN 'scheme' WHEN NOT ends_with(lower(regexp_extract(url, '^[a-z]+://([^/:?#]*)', 1)), 'example.com') THEN 'host' END AS error FROM pages")
+HOSTS_SQL = ", ".join(f"'{h}'" for h in ALLOWED_HOSTS)
+
+
+@query("url_allowlist", f"""WITH asked AS (SELECT page_id, url FROM pages UNION ALL SELECT -page_id, regexp_replace(url, '^[a-z]+://[^/:?#]*', CASE page_id % 3 WHEN 0 THEN 'https://VCL.ucsd.edu' WHEN 1 THEN 'https://notvcl.ucsd.edu' ELSE 'HTTPS://raw.githubusercontent.com' END) FROM pages)
+SELECT page_id, url, CASE WHEN lower(regexp_extract(url, '^([A-Za-z]+):', 1)) <> 'https' THEN 'scheme' WHEN lower(regexp_extract(url, '^[A-Za-z]+://([^/:?#]*)', 1)) NOT IN ({HOSTS_SQL}) THEN 'host' END AS error FROM asked""")
 def url_allowlist(spark, sf_dir):
-    scheme, host = F.try_parse_url("url", F.lit("PROTOCOL")), F.lower(F.try_parse_url("url", F.lit("HOST")))
-    error = F.when(F.coalesce(scheme, F.lit("")) != ALLOWED_SCHEME, "scheme").when(~F.coalesce(host, F.lit("")).endswith(ALLOWED_HOSTS_END), "host")
-    return table(spark, sf_dir, "pages").select("page_id", "url", error.alias("error"))
+    """Why a download is refused: its scheme or its host is not one of those allowed, in any case of letters."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    i = F.col("page_id")
+    at = F.when(i % 3 == 0, "https://VCL.ucsd.edu").when(i % 3 == 1, "https://notvcl.ucsd.edu").otherwise("HTTPS://raw.githubusercontent.com")
+    moved = pages.select((-i).alias("page_id"), F.regexp_replace("url", F.lit("^[a-z]+://[^/:?#]*"), at).alias("url"))
+    part = lambda p: F.lower(F.coalesce(F.try_parse_url("url", F.lit(p)), F.lit("")))
+    error = F.when(~part("PROTOCOL").isin(*ALLOWED_SCHEMES), "scheme").when(~part("HOST").isin(*ALLOWED_HOSTS), "host")
+    return pages.unionByName(moved).select("page_id", "url", error.alias("error"))
 
 
-@query("format_size", """SELECT doc_id, CASE WHEN n IS NULL THEN '?' WHEN n < 1024 THEN printf('%.1f B', n) WHEN n < 1048576 THEN printf('%.1f KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1f MB', n / 1048576.0::DOUBLE) ELSE printf('%.1f GB', n / 1073741824.0::DOUBLE) END AS size
+@query("format_size", """SELECT doc_id, CASE WHEN n IS NULL THEN '?' WHEN n < 1024 THEN printf('%.1fB', n) WHEN n < 1048576 THEN printf('%.1fKB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN printf('%.1fMB', n / 1048576.0::DOUBLE) ELSE printf('%.1fGB', n / 1073741824.0::DOUBLE) END AS size
 FROM (SELECT doc_id, CASE WHEN doc_id % 10 <> 0 THEN (n_chars * (CASE WHEN doc_id % 3 = 0 THEN 1 WHEN doc_id % 3 = 1 THEN 1000 ELSE 1000000 END))::DOUBLE END AS n FROM documents)""")
 def format_size(spark, sf_dir):
     i = F.col("doc_id")
     n = F.when(i % 10 != 0, (F.col("n_chars") * F.when(i % 3 == 0, 1).when(i % 3 == 1, 1000).otherwise(1000000)).cast("double"))
     size = F.when(n.isNull(), "?")
     for limit, unit, name in ((1024, 1, "B"), (1048576, 1024, "KB"), (1073741824, 1048576, "MB"), (None, 1073741824, "GB")):
-        told = F.format_string(f"%.1f {name}", F.bround(n / F.lit(float(unit)), 1))
+        told = F.format_string(f"%.1f{name}", F.bround(n / F.lit(float(unit)), 1))
         size = size.when(n < limit, told) if limit else size.otherwise(told)
     return table(spark, sf_dir, "documents").select("doc_id", size.alias("size"))
 
@@ -226,14 +270,14 @@ KNOWN_SQL = "known(name, size, held) AS (VALUES " + ", ".join(f"('{n}', {b}, '{h
 
 
 @query("decode_dtype", f"""WITH {KNOWN_SQL}, t AS (SELECT o_orderkey AS id, 'Qgis.' || {TYPES_SQL}[(o_orderkey % {len(TYPE_NAMES)} + 1)::INT] AS told, [1, 2, 4, 8, 3][(o_custkey % 5 + 1)::INT] AS bytes FROM orders)
-SELECT id, CASE WHEN list_last(string_split(told, '.')) IN ({", ".join(f"'{r}'" for r in REJECTED)}) THEN NULL WHEN size = bytes THEN held ELSE CASE bytes WHEN 1 THEN 'u8' WHEN 2 THEN 'u16' WHEN 4 THEN 'f32' WHEN 8 THEN 'f64' END END AS held
+SELECT id, CASE WHEN list_last(string_split(told, '.')) IN ({", ".join(f"'{r}'" for r in REJECTED)}) THEN NULL WHEN size IS NOT NULL THEN CASE WHEN size = bytes THEN held END ELSE CASE bytes WHEN 1 THEN 'u8' WHEN 2 THEN 'u16' WHEN 4 THEN 'f32' WHEN 8 THEN 'f64' END END AS held
 FROM t LEFT JOIN known ON name = list_last(string_split(told, '.'))""")
 def decode_dtype(spark, sf_dir):
-    """The sample type by its name if its size fits, else by size alone; NULL for types that cannot be read."""
+    """The sample type by its name, else by size alone; NULL for types that cannot be read and where a known type has another size."""
     o = table(spark, sf_dir, "orders")
     name = F.element_at(F.array(*map(F.lit, TYPE_NAMES)), (F.col("o_orderkey") % len(TYPE_NAMES) + 1).cast("int"))
     told = o.select(F.col("o_orderkey").alias("id"), F.concat(F.lit("Qgis."), name).alias("told"), F.element_at(F.array(*map(F.lit, (1, 2, 4, 8, 3))), (F.col("o_custkey") % 5 + 1).cast("int")).alias("bytes"))
     last = F.substring_index("told", ".", -1)
     table_of = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv))
     size, held = F.try_element_at(table_of({n: b for n, (b, _) in SAMPLE_TYPES.items()}), last), F.try_element_at(table_of({n: h for n, (_, h) in SAMPLE_TYPES.items()}), last)
-    return told.select("id", F.when(last.isin(*REJECTED), None).when(size == F.col("bytes"), held).otherwise(F.try_element_at(table_of(BY_BYTES), F.col("bytes"))).alias("held"))
+    return told.select("id", F.when(last.isin(*REJECTED), None).when(size.isNotNull(), F.when(size == F.col("bytes"), held)).otherwise(F.try_element_at(table_of(BY_BYTES), F.col("bytes"))).alias("held"))

@@ -145,8 +145,8 @@ def movement_gate(spark, sf_dir):
 UNDO_SQL = f"""WITH RECURSIVE {RANKED}, s AS (
   SELECT session, n, CASE WHEN kind IN ('press', 'drag') THEN 1 ELSE 0 END AS len, CASE WHEN kind = 'press' THEN [0] ELSE []::INT[] END AS cps FROM ranked WHERE n = 1
   UNION ALL SELECT r.session, r.n,
-    CASE WHEN r.kind IN ('press', 'drag') THEN s.len + 1 WHEN r.kind = 'undo' AND len(s.cps) > 0 THEN
-      CASE WHEN s.len - 1 > list_last(s.cps) THEN list_last(s.cps) + 1 WHEN len(s.cps) > 1 THEN s.cps[len(s.cps) - 1] + 1 ELSE s.len END ELSE s.len END,
+    CASE WHEN r.kind IN ('press', 'drag') THEN s.len + 1 WHEN r.kind = 'undo' AND len(s.cps) > 1 THEN
+      CASE WHEN s.len - 1 > list_last(s.cps) THEN list_last(s.cps) + 1 ELSE s.cps[len(s.cps) - 1] + 1 END ELSE s.len END,
     CASE WHEN r.kind = 'press' THEN list_append(s.cps, s.len) WHEN r.kind = 'undo' AND len(s.cps) > 1 AND s.len - 1 <= list_last(s.cps) THEN s.cps[1:len(s.cps) - 1] ELSE s.cps END
   FROM s JOIN ranked r ON r.session = s.session AND r.n = s.n + 1)
 SELECT session, arg_max(len, n)::INT AS path_len, arg_max(cps, n)::INT[] AS checkpoints FROM s GROUP BY session"""
@@ -154,7 +154,8 @@ SELECT session, arg_max(len, n)::INT AS path_len, arg_max(cps, n)::INT[] AS chec
 
 @query("undo_to_checkpoint", UNDO_SQL)
 def undo_to_checkpoint(spark, sf_dir):
-    """A fold over presses, drags and undos: an undo trims to the last checkpoint or, when already there, drops it; the first stays."""
+    """A fold over presses, drags and undos: an undo trims to the last checkpoint or, when already there,
+    drops it; with no checkpoint but the start it does nothing."""
     events = pointer_events(spark, sf_dir)
     kinds = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "kind"))), lambda e: e["kind"])
     start = F.struct(F.lit(0).alias("len"), F.array().cast("array<int>").alias("cps"))
@@ -164,13 +165,13 @@ def undo_to_checkpoint(spark, sf_dir):
         last, many = F.try_element_at(cps, F.lit(-1)), F.size(cps)
         past = n - 1 > last
         undone = F.struct(
-            F.when(past, last + 1).when(many > 1, F.try_element_at(cps, F.lit(-2)) + 1).otherwise(n).alias("len"),
-            F.when(~past & (many > 1), F.slice(cps, F.lit(1), F.greatest(many - 1, F.lit(0)))).otherwise(cps).alias("cps"),
+            F.when(past, last + 1).otherwise(F.try_element_at(cps, F.lit(-2)) + 1).alias("len"),
+            F.when(past, cps).otherwise(F.slice(cps, F.lit(1), F.greatest(many - 1, F.lit(0)))).alias("cps"),
         )
         return (
             F.when(kind == "press", F.struct((n + 1).alias("len"), F.concat(cps, F.array(n)).alias("cps")))
             .when(kind == "drag", F.struct((n + 1).alias("len"), cps.alias("cps")))
-            .when((kind == "undo") & (many > 0), undone).otherwise(s)
+            .when((kind == "undo") & (many > 1), undone).otherwise(s)
         )
 
     return events.groupBy("session").agg(kinds.alias("kinds")).select("session", F.aggregate("kinds", start, step).alias("s")).select("session", F.col("s.len").alias("path_len"), F.col("s.cps").alias("checkpoints"))

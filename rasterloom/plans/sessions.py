@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..streaming.sessions import replay
-from .fixtures import pointer_events, table
+from ..streaming.sessions import OUT, replay
+from .fixtures import pointer_events, pointer_of, table
 
 
 @query("session_press")
 def session_press(spark, sf_dir):
-    return replay(pointer_events(spark, sf_dir)).where("action in ('started', 'closed', 'checkpoint')")
+    return replay(pointer_events(spark, sf_dir)).where("action in ('started', 'resumed', 'spot', 'closed', 'checkpoint')")
 
 
 @query("session_move")
@@ -21,7 +23,7 @@ def session_move(spark, sf_dir):
 
 @query("session_key")
 def session_key(spark, sf_dir):
-    return replay(pointer_events(spark, sf_dir)).where("action in ('undone', 'saved', 'cancelled')")
+    return replay(pointer_events(spark, sf_dir)).where("action in ('undone', 'kept', 'saved', 'cancelled')")
 
 
 @query("reset_session")
@@ -32,8 +34,23 @@ def reset_session(spark, sf_dir):
 
 @query("source_pointer_events")
 def source_pointer_events(spark, sf_dir):
-    """The events as a stream would bring them: file by file, typed, with the schema given."""
-    return pointer_events(spark, sf_dir)
+    """What the stateful stream does with the events, read as a stream until no more are there (availableNow), in the shared folder."""
+    from ..sources.layers import shared_folder
+    from ..streaming.sessions import stream
+
+    # A streaming source reads folders; the events may be one file.
+    source, out, state = (f"{shared_folder(spark)}/{n}-{uuid.uuid4().hex}" for n in ("events", "replayed", "replay-state"))
+    raw = table(spark, sf_dir, "events")
+    raw.withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(source)
+    events = pointer_of(spark.readStream.schema(spark.read.parquet(source).schema).parquet(source))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream(events).writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+    return spark.read.schema(OUT).parquet(out)
 
 
 @query("cache_invalidation", "SELECT user_id AS session, count(*) FILTER (event_type = 'view' AND k % 4 <> coalesce(p, -1)) AS recomputed FROM (SELECT *, lag(k % 4) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM (SELECT *, json_extract(props, '$.k')::INT AS k FROM events WHERE event_type = 'view')) GROUP BY user_id")

@@ -12,9 +12,8 @@ from .fixtures import gray, lines, mask, raster, spots, table, weights
 
 
 def folder(spark, name):
-    """A new path in the folder that driver and executors share; a local one only where none is set, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A new path in the folder that driver and executors share."""
+    return f"{layers.shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("decode_block", "SELECT (vec_id // 50)::BIGINT AS img_id, (vec_id % 50)::INT AS r, c::INT AS c, floor(embedding[c + 1]::DOUBLE * 1000)::DOUBLE AS v FROM embeddings, range(64) t(c)")
@@ -35,15 +34,23 @@ def sink_memory_lines(spark, sf_dir):
     return layers.memory_layer(spark).unionByName(lines(spark, sf_dir))
 
 
-@query("sink_line_file", "SELECT o_orderkey AS fid, o_orderkey::INT AS id, round(o_totalprice / 100, 1) AS elevation, 'EPSG:4326' AS crs FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+@query("sink_line_file", """SELECT o_orderkey::INT AS id, round(o_totalprice / 100, 1) AS elevation, 'EPSG:4326' AS crs, n::INT AS vertices
+FROM orders JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey""")
 def sink_line_file(spark, sf_dir):
-    kept = layers.write_layer(lines(spark, sf_dir).withColumn("crs", F.lit("EPSG:4326")), folder(spark, "lines"))
-    return kept.select("fid", "id", "elevation", "crs")
+    """A line layer written as GeoJSON in a named reference system, and read back."""
+    path = folder(spark, "lines")
+    layers.write_geojson(lines(spark, sf_dir), path, "EPSG:4326")
+    return layers.read_geojson(spark, path).select("id", "elevation", "crs", F.size("geom").alias("vertices"))
 
 
 @query("sink_spots", "SELECT c_custkey AS fid, c_nationkey::DOUBLE AS x, (c_custkey % 100)::DOUBLE AS y, c_acctbal AS elevation FROM customer")
 def sink_spots(spark, sf_dir):
-    return layers.write_layer(spots(spark, sf_dir), folder(spark, "spots"))
+    """The spot layer is made when it is first asked for; the second half of the spots finds it with the first."""
+    path, told = folder(spark, "spots"), spots(spark, sf_dir)
+    for half in (0, 1):
+        layer = layers.get_or_create_layer(spark, path, layers.SPOT_LAYER)
+        kept = layers.append_to_layer(layer, told.where(F.pmod("fid", F.lit(2)) == half), path)
+    return kept
 
 
 @query("sink_edge_raster")

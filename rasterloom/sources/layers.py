@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +42,33 @@ def memory_layer(spark: SparkSession, schema: str = LINE_LAYER) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; one of its own only where all run on one machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "/tmp/checkpoints"
+    return root.rstrip("/")
+
+
+def get_or_create_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The layer at path, made empty with the schema if there is none."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.createDataFrame([], schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def append_to_layer(layer: DataFrame, rows: DataFrame, path: str) -> DataFrame:
+    """The layer at path with rows added, in its columns."""
+    rows.select(*layer.columns).write.mode("append").parquet(path)
+    return layer.sparkSession.read.schema(layer.schema).parquet(path)
+
+
 def write_layer(layer: DataFrame, path: str) -> DataFrame:
     """Write a layer as Parquet and read it back with its schema."""
     layer.write.mode("overwrite").parquet(path)
@@ -54,6 +82,14 @@ def write_geojson(lines: DataFrame, path: str, crs: str) -> None:
     lines.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
 
 
+def read_geojson(spark: SparkSession, path: str) -> DataFrame:
+    """id, elevation, geom and crs of the features that write_geojson wrote."""
+    point = "geometry struct<type: string, coordinates: array<array<double>>>, properties struct<id: int, elevation: double, crs: string>"
+    told = spark.read.text(path).select(F.from_json("value", point).alias("f"))
+    geom = F.transform("f.geometry.coordinates", lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return told.select("f.properties.id", "f.properties.elevation", geom.alias("geom"), "f.properties.crs")
+
+
 def file_manifest(spark: SparkSession, path: str, root: str) -> DataFrame:
     """path below root and sha256 of every file of path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

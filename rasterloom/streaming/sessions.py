@@ -1,8 +1,16 @@
 """Tracing sessions as a fold over pointer and key events, in batch and as a stateful stream.
 
-A session's state is one small row: whether it traces, its smoothed pointer, the anchor of the
-movement gate, its path and its checkpoints. The same step function folds a batch of a session's
-events (one group a session) and a stream's, where the state store keeps the row between batches.
+A session's state is one small row: whether it traces, its smoothed pointer, the anchor of the movement gate, its path,
+its checkpoints, its preview and the line end it resumes. The same step function folds a batch of a session's events (one
+group a session) and a stream's, where the state store keeps the row between batches.
+
+Rules. A press starts a path, at an end of an existing line if one is near (resume). A press near the start, within
+30 while the path is the start alone and within 20 after, makes a spot height or closes the line; any other commits
+the preview or else adds the point, and is a checkpoint; it does not move the gate's anchor. A move or drag nearer than 18 to
+the anchor does nothing but smooth the pointer. A drag adds the raw point, snapped unless the manual key is held, and
+moves the anchor; a move makes a preview: the raw point with the manual key, else the way to the smoothed pointer. An
+undo does nothing while the start is the only checkpoint. Finish saves two points or more.
+The way to the smoothed pointer and the snap need pixels; here they are the pointer itself and the raw point.
 """
 
 from __future__ import annotations
@@ -16,17 +24,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StringType, StructField, StructType
 
-#: Pointer smoothing, the movement gate, the radius that closes a line, and the most points a session keeps in state.
-SHARE, GATE, CLOSE = 0.3, 18.0, 20.0
+#: Pointer smoothing, the movement gate, the radii that close a line and make a spot height, and that resume a line.
+SHARE, GATE, CLOSE, SPOT, RESUME = 0.3, 18.0, 20.0, 30.0, 10.0
 OUT = "session bigint, event_id bigint, action string, n_points int, checkpoint int, x double, y double"
 
 
 def fresh() -> dict:
-    return {"on": False, "sx": None, "sy": None, "ax": None, "ay": None, "path": [], "cps": []}
+    return {"on": False, "sx": None, "sy": None, "ax": None, "ay": None, "path": [], "cps": [], "preview": [], "resume": None}
 
 
-def step(s: dict, kind: str, x: float, y: float, manual: bool) -> str:
-    """Change the state by one event; the name of what it did."""
+def near_end(ends: list[list[tuple[float, float]]], x: float, y: float) -> tuple[int, bool, tuple[float, float]] | None:
+    """(line, whether its start, the point) of the nearest end of a line within RESUME; ties go to the earlier line and its start."""
+    found = [(math.hypot(p[0] - x, p[1] - y), k, at) for k, line in enumerate(ends) for at, p in enumerate((line[0], line[-1]))]
+    d, k, at = min(found, default=(math.inf, 0, 0))
+    return (k, at == 0, tuple(ends[k][-at])) if d < RESUME else None
+
+
+def step(s: dict, kind: str, x: float, y: float, manual: bool, lines: list | None = None) -> str:
+    """Change the state by one event; the name of what it did. lines: the session's saved lines, which a press may resume."""
     if kind in ("move", "drag"):
         s["sx"], s["sy"] = (x, y) if s["sx"] is None else ((1 - SHARE) * s["sx"] + SHARE * x, (1 - SHARE) * s["sy"] + SHARE * y)
         if not s["on"]:
@@ -34,34 +49,38 @@ def step(s: dict, kind: str, x: float, y: float, manual: bool) -> str:
         if math.hypot(x - s["ax"], y - s["ay"]) < GATE:
             return "gated"
         if kind == "move":
+            s["preview"] = [(x, y) if manual else (s["sx"], s["sy"])]
             return "preview"
-        s["path"].append((x, y) if manual else (s["sx"], s["sy"]))
+        s["preview"] = []
+        s["path"].append((x, y))
         s["ax"], s["ay"] = x, y
         return "extended"
     if kind == "press":
         if not s["on"]:
-            s.update(fresh(), on=True, sx=s["sx"], sy=s["sy"], ax=x, ay=y, path=[(x, y)], cps=[0])
-            return "started"
-        if len(s["path"]) > 2 and math.hypot(x - s["path"][0][0], y - s["path"][0][1]) < CLOSE:
-            s.update(fresh())
-            return "closed"
-        s["path"].append((x, y))
+            end = near_end(lines or [], x, y)
+            at = end[2] if end else (x, y)
+            s.update(fresh(), on=True, sx=s["sx"], sy=s["sy"], ax=at[0], ay=at[1], path=[at], cps=[0], resume=[end[0], end[1]] if end else None)
+            return "resumed" if end else "started"
+        if math.hypot(x - s["path"][0][0], y - s["path"][0][1]) < (SPOT if len(s["path"]) == 1 else CLOSE):
+            action = "spot" if len(s["path"]) == 1 else "closed"
+            s.update(fresh(), sx=s["sx"], sy=s["sy"])
+            return action
+        s["path"] += s["preview"] or [(x, y)]
+        s["preview"] = []
         s["cps"].append(len(s["path"]) - 1)
-        s["ax"], s["ay"] = x, y
         return "checkpoint"
     if not s["on"]:
         return "idle"
     if kind == "undo":
-        last = s["cps"][-1]
-        if len(s["path"]) - 1 > last:
-            del s["path"][last + 1 :]
-        elif len(s["cps"]) > 1:
+        if len(s["cps"]) <= 1:
+            return "kept"
+        if len(s["path"]) <= s["cps"][-1] + 1:
             s["cps"].pop()
-            del s["path"][s["cps"][-1] + 1 :]
+        del s["path"][s["cps"][-1] + 1 :]
         s["ax"], s["ay"] = s["path"][-1]
         return "undone"
     saved = len(s["path"]) >= 2
-    s.update(fresh())
+    s.update(fresh(), sx=s["sx"], sy=s["sy"])
     return "saved" if saved else "cancelled"
 
 

@@ -1,4 +1,4 @@
-"""Every query runs; those with a DuckDB twin give its rows."""
+"""Every query runs; those with a DuckDB twin give its rows, those without are held to expected rows in test_views and others."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def test_query(spark, con, name):
     if name in ORACLES:
         assert difference(df, con, ORACLES[name]) == ""
     else:
-        assert df.count() >= 0 and df.columns
+        assert df.count() > 0 and df.columns
 
 
 def test_entry(spark):

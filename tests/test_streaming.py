@@ -27,3 +27,9 @@ def test_stream_equals_batch(spark, tmp_path):
         q.stop()
     want = sorted((tuple(r) for r in replay(pointer_events(spark, SF)).collect()), key=repr)
     assert got == want
+
+
+def test_source_of_events_is_the_stream(spark):
+    from rasterloom.plans.sessions import source_pointer_events
+
+    assert sorted(map(repr, source_pointer_events(spark, SF).collect())) == sorted(map(repr, replay(pointer_events(spark, SF)).collect()))
