@@ -1,13 +1,14 @@
 """64-bit hashes of all words of a batch of texts at once, on the bytes of the Arrow column.
 
 Words are runs of bytes outside [\\x20\\x09-\\x0D] with A-Z taken as a-z; both rules touch ASCII
-only, so bytes and characters agree. A word's hash is a polynomial over random values of its
-bytes, found from running sums, and mixed. Different words share a hash with probability about
-2**-60 a pair.
+only, so bytes and characters agree. A word of up to LANES lanes of eight bytes is mixed lane by
+lane, all words at once; a longer one has a digest of its own. Neither is a polynomial of the bytes,
+so no family of words is bound to collide: two words share a hash with probability about 2**-64.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -15,7 +16,8 @@ import pyarrow as pa
 
 #: Bytes that are hashed together; a longer text is taken alone.
 SPAN = 1 << 20
-MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+#: Lanes of eight bytes up to which a word is mixed in NumPy.
+LANES = 8
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,42 +31,40 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random value for each byte, and which bytes end a word."""
-    value = np.random.default_rng(20).integers(1, 2**63, 256, dtype="u8") * np.uint64(2) + np.uint64(1)
-    value[65:91] = value[97:123]
+    """Each byte in lower case, and which bytes end a word."""
+    lower = np.arange(256, dtype="u1")
+    lower[65:91] = lower[97:123]
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
-    return value, space
-
-
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, "u8"), "down": np.ones(1, "u8")}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The multiplier's powers and inverse powers up to n."""
-    if len(_powers["up"]) < n:
-        size = max(n, SPAN + 1)
-        inverse = np.uint64(pow(int(MULTIPLIER), -1, 2**64))
-        for k, m in (("up", MULTIPLIER), ("down", inverse)):
-            table = np.full(size, m, "u8")
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype="u8")
-    return _powers["up"], _powers["down"]
+    return lower, space
 
 
 def _hash_span(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes in raw and the number of words in each text; starts are the texts' edges in raw."""
-    value, space = _tables()
+    lower, space = _tables()
     blank = space[raw]
     edge = np.zeros(len(raw) + 1, bool)
     edge[starts] = True
     before = np.concatenate([[True], blank[:-1]]) | edge[:-1]
     after = np.concatenate([blank[1:], [True]]) | edge[1:]
-    first, last = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after)
-    up, down = _power(len(raw) + 1)
-    running = np.concatenate([[np.uint64(0)], np.cumsum(value[raw] * up[: len(raw)], dtype="u8")])
-    h = (running[last + 1] - running[first]) * down[first]
-    h = mix(h + (last - first + 1).astype("u8") * np.uint64(0xD6E8FEB86659FD93))
+    first, size = np.flatnonzero(~blank & before), np.flatnonzero(~blank & after) + 1
+    size -= first
+    plain = np.concatenate([lower[raw], np.zeros(8, "u1")])
+    lanes = np.ndarray(len(raw) + 1, "<u8", plain, strides=(1,))  # the eight bytes from each place
+    h = mix(size.astype("u8"))
+    open_ = np.arange(len(first))
+    for k in range(LANES):
+        left = size[open_] - 8 * k
+        open_ = open_[left > 0]
+        if not len(open_):
+            break
+        left = left[left > 0]
+        lane = lanes[first[open_] + 8 * k]
+        cut = left < 8
+        lane[cut] &= (np.uint64(1) << (8 * left[cut]).astype("u8")) - np.uint64(1)
+        h[open_] = mix(h[open_] + lane)
+    for i in np.flatnonzero(size > 8 * LANES):
+        h[i] = int.from_bytes(hashlib.blake2b(plain[first[i] : first[i] + size[i]].tobytes(), digest_size=8).digest(), "little")
     return h, np.searchsorted(first, starts[1:]) - np.searchsorted(first, starts[:-1])
 
 
