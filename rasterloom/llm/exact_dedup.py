@@ -3,7 +3,8 @@
 The index is a table bucketed and sorted by the SHA-256 of the normalised text, one row a digest.
 A new batch is reduced to one row a digest (map-side combined, so a group of copies of any size
 shrinks before the shuffle), anti-joined with the index by sort-merge join - the index side is
-read as it lies, without shuffle or sort - and what is new is appended. Rows then learn their
+read as it lies, without a shuffle; each bucket is sorted once more, as it may have several files -
+and what is new is appended. Rows then learn their
 group's fate by a join of two shuffled sides, whose hot digests adaptive execution splits.
 
 Defined results: a null text counts as empty, and empty texts form one group; a null id loses
@@ -14,7 +15,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WHITESPACE, materialise, partitions, shared_path, text_of
@@ -50,13 +51,8 @@ class DigestIndex:
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
 
-def dedup_batch(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id, keep_id, group_size, kept, text_sha256.
-
-    Of equal texts the longest original, then the smallest id, stays, unless the index holds the
-    digest from an earlier batch: then none of the batch stays and keep_id names the earlier row.
-    group_size counts the rows of this batch.
-    """
+def fold_batch(df: DataFrame, index: DigestIndex, id_col: str, text_col: str) -> tuple[DataFrame, str, DataFrame]:
+    """(digests of df's rows, name of the batch, groups of equal texts), after the index has learned what is new; both tables are written."""
     batch = uuid.uuid4().hex
     hashed = materialise(
         df.select(F.col(id_col).cast("bigint").alias("id"), text_digest(text_col).alias("digest"), F.length(text_of(text_col)).alias("points"), F.monotonically_increasing_id().alias("row")),
@@ -66,6 +62,17 @@ def dedup_batch(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
     best = F.max(F.struct("points", F.bitwise_not("id").alias("rank"), F.bitwise_not("row").alias("row_rank")))
     groups = materialise(hashed.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     index.append(index.unseen(groups).select("digest", F.bitwise_not("best.rank").alias("keep_id"), F.bitwise_not("best.row_rank").alias("keep_row"), F.lit(batch).alias("batch")))
+    return hashed, batch, groups
+
+
+def dedup_batch(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: id, keep_id, group_size, kept, text_sha256.
+
+    Of equal texts the longest original, then the smallest id, stays, unless the index holds the
+    digest from an earlier batch: then none of the batch stays and keep_id names the earlier row.
+    group_size counts the rows of this batch.
+    """
+    hashed, batch, groups = fold_batch(df, index, id_col, text_col)
     # Written, so that the last join shuffles both sides and a hot digest can be split.
     fates = materialise(groups.select("digest", "group_size").hint("merge").join(index.rows(), "digest"), "dedup-fates")
     kept = (F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))
@@ -73,8 +80,16 @@ def dedup_batch(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_
 
 
 def keep_distinct(df: DataFrame, index: DigestIndex, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df that stay, with df's columns; a repeated id with one text stays once."""
-    kept = dedup_batch(df, index, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"), F.lit(True).alias("__kept"))
-    marked = df.withColumns({"__id": F.col(id_col).cast("bigint"), "__digest": text_digest(text_col)})
-    joined = marked.join(kept, marked["__id"].eqNullSafe(kept["__id"]) & (marked["__digest"] == kept["__digest"]), "left_semi")
-    return joined.dropDuplicates(["__id", "__digest"]).select(*df.columns)
+    """The rows of df that stay, with df's columns: of equal texts the longest original, then the smallest id.
+
+    Of rows that agree in both, the one whose text has the smallest hash stays, so that reruns agree.
+    """
+    batch, groups = fold_batch(df, index, id_col, text_col)[1:]
+    new = groups.join(index.rows().where(F.col("batch") == batch).select("digest"), "digest", "left_semi")
+    row = {"__digest": F.col("digest"), "__points": F.col("best.points"), "__rank": F.coalesce("best.rank", F.lit(0)), "__lone": F.col("best.rank").isNull()}
+    kept = materialise(new.select(*(c.alias(k) for k, c in row.items())), "dedup-kept")
+    rank = F.bitwise_not(F.col(id_col).cast("bigint"))
+    marked = df.withColumns({"__digest": text_digest(text_col), "__points": F.length(text_of(text_col)), "__rank": F.coalesce(rank, F.lit(0)), "__lone": rank.isNull()})
+    # The window lies on the join's own partitions; copies with other ids or lengths lie elsewhere.
+    here = Window.partitionBy(*row).orderBy(F.xxhash64(text_of(text_col)), F.col(text_col).isNull())
+    return marked.join(kept.hint("merge"), list(row)).withColumn("__nth", F.row_number().over(here)).where("__nth = 1").select(*df.columns)
