@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +18,11 @@ LOCAL_SHARED = "/tmp/checkpoints"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
+    """The folder that the driver and all executors share; one of its own only where all run on one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.conf.set("spark.checkpoint.dir", root := LOCAL_SHARED)
     return root.rstrip("/")
 
@@ -54,6 +57,17 @@ def id_bucket(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+_memos: dict[str, Callable[[], None]] = {}
+
+
+def only_memo(owner: str, clear: Callable[[], None] | None = None) -> None:
+    """A Python worker outlives its stage: when an operator's task begins, what others remember there is dropped."""
+    for other in [k for k in _memos if k != owner]:
+        _memos.pop(other)()
+    if clear:
+        _memos[owner] = clear
+
+
 def single_threaded() -> None:
     """Keep native libraries inside a task to the core that the task has."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

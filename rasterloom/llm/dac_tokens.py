@@ -11,7 +11,7 @@ Parquet table written by Spark, names the files of the tasks that were committed
 attempts are never read. Global starts come from the shard sizes, first by partition, then inside.
 
 Defined results: a null text counts as empty and holds the end id alone; documents with a null id
-come first; repeated ids keep a row each; a document lies in one shard.
+come first; repeated ids keep a row each, in order of a hash of the text; a document lies in one shard.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, shared_path, text_of
-from .tokenizing import batches, chunk_tokenizer
+from .tokenizing import batches, coder_for
 
 DEFAULT_FILE, END_ID = "word_bpe_49k.json", 2
 #: Ids after which a shard is closed, and bits of a superblock.
@@ -133,7 +133,7 @@ def write_shards(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID,
 
         system, folder = fs.FileSystem.from_uri(root)
         system.create_dir(folder)
-        number, end, coder = TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), chunk_tokenizer(name)
+        number, end, coder = TaskContext.get().partitionId(), np.uint32(end_id).tobytes(), coder_for(name)
         held: list[tuple[int | None, bytes]] = []
         shard = size = 0
 
@@ -158,7 +158,7 @@ def write_shards(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID,
             yield close()
 
     narrow = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
-    placed = narrow.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id")
+    placed = narrow.repartitionByRange(partitions(spark), "id").sortWithinPartitions("id", F.xxhash64("text"))
     manifest = materialise(placed.mapInArrow(write, MANIFEST), "token-manifest")
     of_part = manifest.groupBy("part").agg(F.sum("n_ids").alias("ids")).withColumn("part_start", F.sum("ids").over(Window.orderBy("part")) - F.col("ids"))
     inside = F.sum("n_ids").over(Window.partitionBy("part").orderBy("shard")) - F.col("n_ids")

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, partitions, text_of
-from .tokenizing import batches, chunk_tokenizer
+from .tokenizing import batches, coder_for
 
 DEFAULT_FILE, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
 #: Fillings that the search may give up, as dominated or as leading to no better packing, before it keeps
@@ -218,7 +218,7 @@ def cut(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity:
     """id, piece, start, length, ids_crc32 (and ids) of every piece of every document of df."""
 
     def pieces(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, end = chunk_tokenizer(name), np.uint32(end_id).tobytes()
+        coder, end = coder_for(name), np.uint32(end_id).tobytes()
         for part in parts:
             ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
             for a, b in batches(texts):

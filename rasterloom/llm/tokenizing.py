@@ -14,15 +14,15 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import single_threaded
+from .common import only_memo, single_threaded
 
 #: Characters on whose class (letter, digit, space, other) and lower case all Unicode versions agree.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-\xff]*\Z")
 #: Pairs that may be part of a run of white space in which a space is neither first nor last.
 RUNS = ("  ", "\n ", "\t ", "\r ")
 CHUNKS = re.compile(r"\s+(?!\S)|\s?\S+")
-#: Chunks in a generation of the memo, of which a Python worker holds two; about 200 bytes each.
-MEMO = 400_000
+#: Bytes, as estimated, in a generation of the memo, of which a Python worker holds two.
+MEMO_BYTES = 64 << 20
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,15 +45,20 @@ class ChunkTokenizer:
             told = json.load(f)
         self.special = [t["content"] for t in told["added_tokens"]]
         self.words = told["model"].get("end_of_word_suffix") is not None
+        self.forget()
+
+    def forget(self) -> None:
         self.inner: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
         self.old: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         if new := [c for c in chunks if c not in memo]:
+            self.held += sum(130 + 5 * len(c) for c in new)  # a key, an entry, and ids of four bytes
             memo.update((c, old[c]) for c in new if c in old)
             if new := [c for c in new if c not in memo]:
                 memo.update(zip(new, self._encode([prefix + c for c in new])))
@@ -69,8 +74,8 @@ class ChunkTokenizer:
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.inner) + len(self.first) > MEMO:
-            self.old, self.inner, self.first = (self.inner, self.first), {}, {}  # what comes back stays
+        if self.held > MEMO_BYTES:
+            self.old, self.inner, self.first, self.held = (self.inner, self.first), {}, {}, 0  # what comes back stays
         cut: list = []
         heads, inner = set(), set()
         for text in texts:
@@ -103,10 +108,17 @@ class ChunkTokenizer:
 
 @lru_cache(maxsize=4)
 def chunk_tokenizer(name: str) -> ChunkTokenizer:
-    """One a worker and file; its memo lives as long as the worker."""
+    """One a worker and file."""
     return ChunkTokenizer(name)
 
 
+def coder_for(name: str) -> ChunkTokenizer:
+    """The worker's tokenizer at the start of a task; its memo lives until another operator's task."""
+    coder = chunk_tokenizer(name)
+    only_memo("tokens-" + name, coder.forget)
+    return coder
+
+
 def batches(texts: list[str], most: int = 4_000_000):
     """Runs of texts of about most characters, as (start, end)."""
     start = size = 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialise, text_of
+from .common import id_bucket, materialise, only_memo, text_of
 
 #: Labelled rows that training uses, as an expected number, and features kept.
 SAMPLE, FEATURES = 20_000, 8_192
@@ -208,6 +208,7 @@ def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: st
 
     def rate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rater = shipped.value
+        only_memo(f"toxicity-{id(rater)}", rater.memo.clear)
         for part in parts:
             scores = [rater.score(t or "") for t in part.column("__text").to_pylist()]
             kept = part.drop_columns(["__text"])
