@@ -53,7 +53,7 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = plan_mix(documents(spark, sf_dir))
-    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+    return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.size("shards")).alias("taken"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, coalesce('=' || source, '') AS key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('17|' || coalesce(doc_id::VARCHAR, '')) AS perm
+         md5('17|' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))) AS perm
   FROM documents
 ), s AS (
   SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key
