@@ -1,20 +1,24 @@
 """Language-model scores from a sharded Elias-Fano n-gram trie.
 
 Words become hashes in bounded blocks of tokens, a bucketed table that is written once. A block's
-distinct words are routed to word shards, which count and number them and answer the block. The model is a bigram model with Dirichlet
-smoothing: P(w|b) = a(b,w) + l(b) P(w), with a = c(b,w) / (c(b) + MU), l = MU / (c(b) + MU) and P(w)
-the add-one unigram probability of the base score, so P(.|b) sums to one.
-
-Each block's distinct pairs are routed, with their training counts, to the shard of their context.
-A shard adds the counts up and writes its part of the trie: the contexts, the pointers to their
-successors and the successors themselves are monotone sequences in Elias-Fano code (a context's
-successors are stored relative to the last value of the context before), with a and l as one-byte
-levels of their logarithm. The file is memory-mapped, the shard's pairs are looked up by successor
-search inside their context's range, and the levels go back to the blocks, which add up documents.
-Frequent contexts are spread over shards by their successors, so no shard has a hot context.
+distinct words are routed to word shards, which count and number them and answer the block. The model is
+a trigram model with Dirichlet back-off: with P1 the add-one unigram probability of the base score,
+P2(w|b) = (c(b,w) + MU2 P1(w)) / (c(b) + MU2) and P(w|a,b) = (c(a,b,w) + MU3 P2(w|b)) / (c(a,b) + MU3), so
+each sums to one. A text's first word has the start as its only context and is scored by P2.
+
+Each block's distinct trigrams are routed, with their training counts, to the shard of their first
+word. A shard adds the counts up and writes its part of the trie: three levels of words, the pointers from a
+level to the next, all monotone sequences in Elias-Fano code (the successors of a context stand above the
+last value of the context before), with the shares c / (c + MU) and the rests MU / (c + MU) as two-byte levels of
+their logarithm. The file is memory-mapped and stays packed: a word is sought among the successors of its
+context by a select in the high bits, through a directory of ranks, and by the low bits of that one bucket. The levels
+go back to the blocks, which add up documents. Frequent first words are spread over shards by their
+second word. There are as many shards as SHARD_TOKENS of the corpus's tokens ask for, so none grows with it.
+
+A share or a rest is off by at most half a level, so a token's log10 probability by at most 1.4e-4.
 
 Defined results: a null text counts as empty, its only token is the end; repeated rows count and
-are scored each; without training documents every count is 0.
+are scored each; without training documents every count is 0; more than 2**32 - 1 different words are an error.
 """
 
 from __future__ import annotations
@@ -31,19 +35,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialise, partitions, shared_path, text_of
+from .common import id_bucket, materialise, only_memo, partitions, shared_path, text_of
 from .word_hash import hash_words, mix
 
 #: The fold that is not learned from.
 FOLDS, HELD_FOLD = 7, 2
 #: Tokens after which a block is closed.
 BLOCK_TOKENS = 1 << 20
-#: Weight of the unigram distribution in a context, as a number of tokens.
-MU = 64.0
-#: One-byte levels of log10 probabilities from LOWEST to 0; level 0 means none.
-LEVELS, LOWEST = 255, -9.0
+#: Tokens for each shard of the trie and, as a block has fewer different words, for each shard of the words.
+SHARD_TOKENS, WORD_SHARD_TOKENS = 1 << 21, 1 << 23
+#: Weights of the shorter context's distribution in a context of one and of two words, as numbers of tokens.
+MU2, MU3 = 32.0, 2.0
+#: Two-byte levels of log10 probabilities from LOWEST to 0; level 0 means none.
+LEVELS, LOWEST = 65_535, -9.0
 END_WORD = np.uint64(0x45AF1D3B9C0E7711)
-#: The context of a text's first word.
+#: The word before a text's first and the one after its end.
 START = np.int64(0)
 BLOCKS = "block bigint, doc_ids binary, nulls binary, held binary, lengths binary, words binary, counts binary, size bigint, tokens binary"
 
@@ -58,6 +64,8 @@ def stretch(b: bytes, kind: str) -> np.ndarray:
 
 def squeeze_planes(a: np.ndarray) -> bytes:
     """Whole numbers below 2**32 in four planes of bytes, the higher ones mostly zeros."""
+    if len(a) and int(a.max()) >= 1 << 32:
+        raise OverflowError("more than 2**32 - 1 different words or counts")
     return zlib.compress(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
 
 
@@ -65,8 +73,14 @@ def stretch_planes(b: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
 
 
+#: Set bits of each byte, and the place of the k-th set bit in it.
+ONES = np.unpackbits(np.arange(256, dtype="u1")[:, None], axis=1, bitorder="little")
+POPULATION = ONES.sum(1).astype("u1")
+PLACE_OF = np.argsort(ONES == 0, axis=1, kind="stable").astype("u1")
+
+
 class EliasFano:
-    """A monotone sequence: low bits packed, high bits in unary, read back from mapped bytes."""
+    """A monotone sequence: low bits packed, high bits in unary with the set bits before each 64, read from mapped bytes."""
 
     @staticmethod
     def encode(values: np.ndarray) -> dict:
@@ -74,69 +88,126 @@ class EliasFano:
         top = int(values[-1]) + 1 if n else 1
         low = max(0, int(math.log2(top / n))) if n else 0
         v = values.astype("u8")
-        bits = ((v[:, None] >> np.arange(low, dtype="u8")) & np.uint64(1)).astype("u1") if low else np.zeros((n, 0), "u1")
-        high = np.zeros(n + (top >> low) + 1, "u1")
+        lows = []
+        for at in range(0, n if low else 0, 1 << 14):  # whole bytes each
+            lows.append(np.packbits(((v[at : at + (1 << 14), None] >> np.arange(low, dtype="u8")) & np.uint64(1)).astype("u1").ravel(), bitorder="little"))
+        high = np.zeros(-(-(n + (top >> low) + 1) // 64) * 64, "u1")
         high[(v >> np.uint64(low)).astype("i8") + np.arange(n)] = 1
-        packed = np.concatenate([np.packbits(bits.ravel(), bitorder="little"), np.zeros(8, "u1")])
-        return {"n": n, "low": low, "lows": packed, "highs": np.packbits(high, bitorder="little")}
+        highs = np.packbits(high, bitorder="little")
+        ranks = np.cumsum(POPULATION[highs].reshape(-1, 8).sum(1))
+        return {"n": n, "low": low, "lows": np.concatenate([*lows, np.zeros(9, "u1")]), "highs": highs, "ranks": np.concatenate([[0], ranks[:-1]]).astype("<u4")}
 
-    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray):
+    def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ranks: np.ndarray):
         self.n, self.low, self.lows = n, low, lows
-        self.ones = np.flatnonzero(np.unpackbits(highs, bitorder="little"))[:n]  # select, for this task's queries
+        self.words, self.ranks = highs.reshape(-1, 8), ranks.view("<u4")
+
+    def _in_word(self, word: np.ndarray, k: np.ndarray, flip: int) -> np.ndarray:
+        """The place of the k-th set bit, or with flip 255 clear bit, of each word of 64."""
+        raw = self.words[word] ^ np.uint8(flip)
+        upto = np.cumsum(POPULATION[raw], 1, dtype="i8")
+        byte = (upto <= k[:, None]).sum(1)
+        rows = np.arange(len(word))
+        before = np.where(byte > 0, upto[rows, byte - 1], 0)
+        return word * 64 + byte * 8 + PLACE_OF[raw[rows, byte], k - before]
 
     def __getitem__(self, i: np.ndarray) -> np.ndarray:
         """The values at places i."""
         i = np.asarray(i, "i8")
-        high = (self.ones[i] - i).astype("u8") << np.uint64(self.low)
+        word = np.searchsorted(self.ranks, i, "right") - 1
+        high = self._in_word(word, i - self.ranks[word], 0) - i
+        return high.astype("u8") << np.uint64(self.low) | self._low(i)
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        value = np.zeros(len(i), "u8")
         if not self.low:
-            return high
+            return value
         at = i * self.low
-        byte, value = at >> 3, np.zeros(len(i), "u8")
         for k in range((self.low + 7 + 7) // 8):
-            value |= self.lows[byte + k].astype("u8") << np.uint64(8 * k)
-        return high | ((value >> (at & 7).astype("u8")) & np.uint64((1 << self.low) - 1))
-
-    def successor(self, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """The first place in [start, end) whose value is at least key, or end."""
-        lo, hi = start.astype("i8").copy(), end.astype("i8").copy()
-        while (open_ := lo < hi).any():
-            mid = (lo + hi) >> 1
-            less = np.zeros(len(lo), bool)
-            less[open_] = self[mid[open_]] < key[open_]
-            lo = np.where(open_ & less, mid + 1, lo)
-            hi = np.where(open_ & ~less, mid, hi)
+            value |= self.lows[(at >> 3) + k].astype("u8") << np.uint64(8 * k)
+        return value >> (at & 7).astype("u8") & np.uint64((1 << self.low) - 1)
+
+    def _below(self, high: np.ndarray) -> np.ndarray:
+        """How many values have high bits below high: the clear bit that ends the high before tells."""
+        zeros = np.arange(len(self.ranks), dtype="i8") * 64 - self.ranks
+        out = np.zeros(len(high), "i8")
+        some = high > 0
+        k = np.minimum(high[some] - 1, len(self.words) * 64 - self.n - 1)
+        word = np.searchsorted(zeros, k, "right") - 1
+        out[some] = self._in_word(word, k - zeros[word], 255) - k
+        return out
+
+    def successor(self, key: np.ndarray) -> np.ndarray:
+        """The first place whose value is at least key, or n."""
+        if not self.n:
+            return np.zeros(len(key), "i8")
+        key = key.astype("u8")
+        high, low = (key >> np.uint64(self.low)).astype("i8"), key & np.uint64((1 << self.low) - 1)
+        lo, hi = self._below(high), self._below(high + 1)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # in the one bucket that shares the high bits
+            mid = (lo[open_] + hi[open_]) >> 1
+            less = self._low(mid) < low[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """The place of each key, or -1."""
+        at = self.successor(key)
+        there = at < self.n
+        there[there] = self[at[there]] == key[there].astype("u8")
+        return np.where(there, at, -1)
+
 
 def to_level(p: np.ndarray) -> np.ndarray:
-    """One byte for a probability above 0."""
-    return (1 + np.clip(np.rint((np.log10(p) - LOWEST) / -LOWEST * (LEVELS - 1)), 0, LEVELS - 1)).astype("u1")
+    """Two bytes for a probability above 0."""
+    return (1 + np.clip(np.rint((np.log10(p) - LOWEST) / -LOWEST * (LEVELS - 1)), 0, LEVELS - 1)).astype("<u2")
 
 
 #: The probability of each level.
 OF_LEVEL = np.concatenate([[0.0], 10 ** (LOWEST - LOWEST * np.arange(LEVELS) / (LEVELS - 1))])
 
 
-def trie_bytes(context: np.ndarray, word: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> bytes:
-    """A shard's file from its pairs, sorted by context and word; totals: of contexts that other shards share."""
-    contexts, first, pairs = np.unique(context, return_index=True, return_counts=True)
-    total = np.add.reduceat(count, first).astype("f8") if len(first) else np.zeros(0)
-    for i, c in enumerate(contexts.tolist()):
-        if c in totals:
-            total[i] = totals[c]
-    # Relative successors: a context's words stand above the last value of the context before.
-    last = word[np.append(first[1:], len(word)) - 1] + 1 if len(first) else np.zeros(0, "i8")
-    base = np.concatenate([[0], np.cumsum(last)[:-1]]).astype("i8") if len(first) else np.zeros(0, "i8")
-    of_pair = np.repeat(np.arange(len(contexts)), pairs)
+def firsts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new combination begins in rows that are sorted by the columns."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def above_before(word: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The words, each above the last value of the group before; groups begin at first."""
+    last = word[np.append(first[1:], len(word)) - 1] + 1
+    base = np.concatenate([[0], np.cumsum(last)[:-1]])
+    return word + np.repeat(base, np.diff(np.append(first, len(word))))
+
+
+def trie_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, count: np.ndarray, totals: dict[int, int]) -> bytes:
+    """A shard's file from its trigrams, sorted and distinct; totals: of first words that other shards share."""
+    if not len(x):
+        return (0).to_bytes(8, "little")
+    pair = firsts(x, y)
+    of_pair = np.add.reduceat(count, pair)
+    context = firsts(x[pair])
+    total = np.add.reduceat(of_pair, context).astype("f8")
+    contexts = x[pair][context]
+    for i in np.flatnonzero(np.isin(contexts, list(totals))):
+        total[i] = totals[int(contexts[i])]
+    pairs_of, third = np.diff(np.append(context, len(pair))), np.diff(np.append(pair, len(x)))
     parts = {
-        "contexts": EliasFano.encode(contexts), "pointers": EliasFano.encode(np.append(first, len(word))), "bases": EliasFano.encode(base), "words": EliasFano.encode(word + base[of_pair]),
+        "contexts": EliasFano.encode(contexts), "pointers": EliasFano.encode(np.append(context, len(pair))), "seconds": EliasFano.encode(above_before(y[pair], context)),
+        "pair_pointers": EliasFano.encode(np.append(pair, len(x))), "thirds": EliasFano.encode(above_before(z, pair)),
+    }
+    arrays = {f"{k}.{a}": e[a] for k, e in parts.items() for a in ("lows", "highs", "ranks")}
+    arrays |= {
+        "rest2": to_level(MU2 / (total + MU2)), "share2": to_level(of_pair / (np.repeat(total, pairs_of) + MU2)),
+        "rest3": to_level(MU3 / (of_pair + MU3)), "share3": to_level(count / (np.repeat(of_pair, third) + MU3)),
     }
-    arrays = {f"{k}.{x}": e[x] for k, e in parts.items() for x in ("lows", "highs")}
-    arrays |= {"share": to_level(count / (total[of_pair] + MU)), "rest": to_level(MU / (total + MU))}
     places, at = {}, 0
     for k, a in arrays.items():
-        places[k] = [at, len(a)]
-        at += len(a)
+        places[k] = [at, a.nbytes]
+        at += a.nbytes
     header = json.dumps({"places": places, **{k: [e["n"], e["low"]] for k, e in parts.items()}}).encode()
     return b"".join([len(header).to_bytes(8, "little"), header, *(a.tobytes() for a in arrays.values())])
 
@@ -147,11 +218,18 @@ class Trie:
     def __init__(self, buffer):
         data = np.frombuffer(buffer, "u1")
         size = int.from_bytes(data[:8].tobytes(), "little")
+        self.empty = not size
+        if self.empty:
+            return
         header = json.loads(data[8 : 8 + size].tobytes())
-        part = lambda k: data[8 + size + header["places"][k][0] :][: header["places"][k][1]]
-        level = lambda k: EliasFano(*header[k], part(f"{k}.lows"), part(f"{k}.highs"))
-        self.contexts, self.pointers, self.bases, self.words = map(level, ("contexts", "pointers", "bases", "words"))
-        self.share, self.rest = part("share"), part("rest")
+
+        def part(k: str, kind: str = "u1") -> np.ndarray:
+            at, length = header["places"][k]
+            return np.frombuffer(data[8 + size + at : 8 + size + at + length], kind)
+
+        level = lambda k: EliasFano(*header[k], part(f"{k}.lows"), part(f"{k}.highs"), part(f"{k}.ranks", "<u4"))
+        self.contexts, self.pointers, self.seconds, self.pair_pointers, self.thirds = map(level, ("contexts", "pointers", "seconds", "pair_pointers", "thirds"))
+        self.rest2, self.share2, self.rest3, self.share3 = (part(k, "<u2") for k in ("rest2", "share2", "rest3", "share3"))
 
     @staticmethod
     def open(uri: str) -> Trie:
@@ -163,26 +241,32 @@ class Trie:
         with system.open_input_file(path) as f:
             return Trie(f.read_buffer())
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(level of a, level of l) of each pair; 0 where the trie has no such pair or context."""
-        n = len(context)
-        share, rest = np.zeros(n, "u1"), np.zeros(n, "u1")
-        if not self.contexts.n:
-            return share, rest
-        ctx, back = np.unique(context, return_inverse=True)
-        at = self.contexts.successor(ctx.astype("u8"), np.zeros(len(ctx), "i8"), np.full(len(ctx), self.contexts.n))
-        there = at < self.contexts.n
-        there[there] = self.contexts[at[there]] == ctx[there].astype("u8")
-        known = np.flatnonzero(there[back])
-        place = at[back[known]]
-        rest[known] = self.rest[place]
-        key = word[known].astype("u8") + self.bases[place]
-        start, end = self.pointers[place].astype("i8"), self.pointers[place + 1].astype("i8")
-        found = self.words.successor(key, start, end)
-        hit = found < end
-        hit[hit] = self.words[found[hit]] == key[hit]
-        share[known[hit]] = self.share[found[hit]]
-        return share, rest
+    @staticmethod
+    def _among(level: EliasFano, pointers: EliasFano, parent: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The place on a level of each word among the successors of its parent; -1 if either is missing."""
+        out = np.full(len(word), -1)
+        known = np.flatnonzero(parent >= 0)
+        own, back = np.unique(parent[known], return_inverse=True)
+        start, end = pointers[own].astype("i8"), pointers[own + 1].astype("i8")
+        base = np.zeros(len(own), "u8")
+        base[start > 0] = level[start[start > 0] - 1] + np.uint64(1)
+        # The value of the first group is the word itself; every other stands above the one before.
+        at = level.find(word[known].astype("u8") + base[back])
+        out[known] = np.where((at >= start[back]) & (at < end[back]), at, -1)
+        return out
+
+    def find(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Levels of share3 of each trigram, share2 and rest3 of each pair, rest2 of each first word; 0 where the
+        trie has none. The trigrams are sorted and distinct; pairs and first words are told once, in order."""
+        pair = firsts(x, y)
+        context = firsts(x[pair])
+        if self.empty:
+            return tuple(np.zeros(n, "<u2") for n in (len(x), len(pair), len(pair), len(context)))
+        of = lambda level, at: np.where(at >= 0, level[at], 0).astype("<u2")
+        first = self.contexts.find(x[pair][context])
+        second = self._among(self.seconds, self.pointers, np.repeat(first, np.diff(np.append(context, len(pair)))), y[pair])
+        third = self._among(self.thirds, self.pair_pointers, np.repeat(second, np.diff(np.append(pair, len(x)))), z)
+        return of(self.share3, third), of(self.share2, second), of(self.rest3, second), of(self.rest2, first)
 
 
 def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -240,16 +324,12 @@ def _routes(words: np.ndarray, shards: int) -> list[np.ndarray]:
     return np.split(order, np.searchsorted(shard[order], np.arange(1, shards)))
 
 
-def number_words(blocks: DataFrame) -> DataFrame:
-    """(block, shard, data) written: for each block and shard the numbers and training counts of its words there.
+def number_words(blocks: DataFrame, tokens: int, shards: int) -> DataFrame:
+    """(block, shard, data) written, by `shards` of the words: for each block and shard the numbers and training counts of its words there.
 
     Rows with a null block hold, as JSON, a shard's sums and its frequent words, at most 4 a shard
     on average. A word's number falls as its count grows, and is unique over shards.
     """
-    spark = blocks.sparkSession
-    shards = partitions(spark)
-    tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for block, raw, counts in zip(*(c.to_pylist() for c in part.columns)):
@@ -292,60 +372,73 @@ def _block(row: dict, numbered: dict[int, bytes], shards: int) -> dict[str, np.n
     return b
 
 
-def _pairs(b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(context, word, place of each token's pair) of a block; contexts and words ascend."""
-    word = b["numbers"][b["tokens"]]
-    context = np.concatenate([[START], word[:-1]])
-    context[np.cumsum(b["lengths"])[:-1]] = START
-    key, place = np.unique(context.astype("u8") << np.uint64(32) | word.astype("u8"), return_inverse=True)
-    return (key >> np.uint64(32)).astype("i8"), (key & np.uint64(0xFFFFFFFF)).astype("i8"), place
-
-
-def _shards(context: np.ndarray, word: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
-    """(shard, places of its pairs): that of the context; for a frequent context, that of the pair."""
-    key = mix(context.astype("u8"))
-    spread = np.isin(context, hot)
-    key[spread] = mix(key[spread] ^ mix(word[spread].astype("u8") + np.uint64(7)))
+def _trigrams(b: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(first, second and third words of a block's distinct trigrams, sorted, and the place of the one around each token)."""
+    numbers, rank = np.unique(np.append(b["numbers"], START), return_inverse=True)
+    second = rank[b["tokens"]]
+    first, third = np.concatenate([[0], second[:-1]]), np.append(second[1:], 0)  # START has the least rank
+    ends = np.cumsum(b["lengths"])
+    first[ends[:-1]] = 0
+    third[ends - 1] = 0
+    bits = np.int64(len(numbers).bit_length())
+    if 3 * bits < 63:
+        key, place = np.unique((first << 2 * bits) | (second << bits) | third, return_inverse=True)
+        pair, third = key >> bits, key & ((1 << bits) - 1)
+    else:
+        pair, of = np.unique((first << bits) | second, return_inverse=True)
+        key, place = np.unique((of << bits) | third, return_inverse=True)
+        pair, third = pair[key >> bits], key & ((1 << bits) - 1)
+    return numbers[pair >> bits], numbers[pair & ((1 << bits) - 1)], numbers[third], place
+
+
+def _shards(x: np.ndarray, y: np.ndarray, hot: np.ndarray, shards: int) -> list[tuple[int, np.ndarray]]:
+    """(shard, places of its trigrams, in order): that of the first word; for a frequent one, that of the pair."""
+    key = mix(x.astype("u8"))
+    spread = np.isin(x, hot)
+    key[spread] = mix(key[spread] ^ mix(y[spread].astype("u8") + np.uint64(7)))
     shard = (key % np.uint64(shards)).astype("i8")
     order = np.argsort(shard, kind="stable")
     return [(int(shard[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(g)]
 
 
-def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], root: str | None = None) -> DataFrame:
-    """Build the trie's shards and look up every block's pairs: (block, shard, file, data), written.
+def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_shards: int, shards: int, root: str | None = None) -> DataFrame:
+    """Build the trie's shards and look up every block's trigrams: (block, shard, file, data), written.
 
-    hot: frequent contexts and their training totals, at most 4 a shard.
+    hot: frequent first words and their training totals, at most 4 a shard of the words.
     """
-    spark = blocks.sparkSession
-    shards, folder = partitions(spark), root or shared_path(spark, "lm-trie")
+    folder = root or shared_path(blocks.sparkSession, "lm-trie")
     spread = np.array(sorted(hot), "i8")
 
     def route(left: pa.Table, right: pa.Table) -> pa.Table:
         found = dict(zip(right.column("shard").to_pylist(), right.column("data").to_pylist()))
         out = []
         for row in left.to_pylist():
-            b = _block(row, found, shards)
-            context, word, place = _pairs(b)
-            count = np.bincount(place[np.repeat(b["held"] == 0, b["lengths"])], minlength=len(word))
-            out += [(row["block"], s, squeeze_planes(np.concatenate([np.diff(context[g], prepend=0), word[g], count[g]]))) for s, g in _shards(context, word, spread, shards)]
+            b = _block(row, found, word_shards)
+            x, y, z, place = _trigrams(b)
+            count = np.bincount(place[np.repeat(b["held"] == 0, b["lengths"])], minlength=len(x))
+            out += [(row["block"], s, squeeze_planes(np.concatenate([np.diff(x[g], prepend=0), y[g], z[g], count[g]]))) for s, g in _shards(x, y, spread, shards)]
         block, shard, data = zip(*out)
         return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(data, pa.binary())})
 
     def build_and_find(group: pa.Table) -> pa.Table:
         from pyarrow import fs
 
-        parts = [stretch_planes(p).reshape(3, -1) for p in group.column("data").to_pylist()]
-        context, word, count = (np.concatenate(x) for x in zip(*((np.cumsum(p[0]), p[1], p[2]) for p in parts)))
+        only_memo("scores")
+        parts = [stretch_planes(p).reshape(4, -1) for p in group.column("data").to_pylist()]
+        x, y, z, count = (np.concatenate(c) for c in zip(*((np.cumsum(p[0]), p[1], p[2], p[3]) for p in parts)))
         seen = count > 0
-        key, back = np.unique(context[seen].astype("u8") << np.uint64(32) | word[seen].astype("u8"), return_inverse=True)
-        total = np.bincount(back, count[seen], len(key)).astype("i8")
+        pair, of = np.unique(x[seen].astype("u8") << np.uint64(32) | y[seen].astype("u8"), return_inverse=True)
+        key, back = np.unique(of.astype("u8") << np.uint64(32) | z[seen].astype("u8"), return_inverse=True)
+        total, pair = np.bincount(back, count[seen], len(key)).astype("i8"), pair[(key >> np.uint64(32)).astype("i8")]
+        half = lambda k: (k & np.uint64(0xFFFFFFFF)).astype("i8")
         system, path = fs.FileSystem.from_uri(folder)
         system.create_dir(path)
         name = f"shard-{group.column('shard')[0].as_py():06d}-{uuid.uuid4().hex}.eft"
         with system.open_output_stream(f"{path}/{name}", compression=None) as out:
-            out.write(trie_bytes((key >> np.uint64(32)).astype("i8"), (key & np.uint64(0xFFFFFFFF)).astype("i8"), total, hot))
+            out.write(trie_bytes((pair >> np.uint64(32)).astype("i8"), half(pair), half(key), total, hot))
+        del x, y, z, count, seen, of, back
         trie = Trie.open(f"{folder}/{name}")
-        found = [squeeze(np.concatenate(trie.find(np.cumsum(p[0]), p[1]))) for p in parts]
+        found = [squeeze(np.concatenate(trie.find(np.cumsum(p[0]), p[1], p[2]))) for p in parts]
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "file": pa.array([f"{folder}/{name}"] * len(parts)), "data": pa.array(found, pa.binary())})
 
     routed = blocks.select("block", "doc_ids", "nulls", "held", "lengths", "words", "tokens").groupby("block").cogroup(numbered.groupby("block")).applyInArrow(route, "block bigint, shard bigint, data binary")
@@ -355,39 +448,49 @@ def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], root: s
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of df."""
     blocks = token_blocks(df, id_col, text_col)
-    shards = partitions(df.sparkSession)
-    told = number_words(blocks)
+    tokens = blocks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    word_shards, shards = (max(partitions(df.sparkSession), -(-tokens // most)) for most in (WORD_SHARD_TOKENS, SHARD_TOKENS))
+    told = number_words(blocks, tokens, word_shards)
     sums = [json.loads(r[0]) for r in told.where("block is null").select("data").collect()]  # one row a shard
     numbered = told.where("block is not null")
     train_tokens, vocabulary = sum(x["n"] for x in sums), sum(x["v"] for x in sums)
     hot = {int(k): n for x in sums for k, n in x["hot"].items()}
     hot[int(START)] = sum(x["starts"] for x in sums)  # every text has one start, as it has one end
-    levels = look_up(blocks, numbered, hot)
+    levels = look_up(blocks, numbered, hot, word_shards, shards)
     spread = np.array(sorted(hot), "i8")
-    spread_rest = OF_LEVEL[to_level(MU / (np.array([hot[k] for k in sorted(hot)], "f8") + MU))]
+    spread_rest = OF_LEVEL[to_level(MU2 / (np.array([hot[k] for k in sorted(hot)], "f8") + MU2))]
 
     def add_up(left: pa.Table, right: pa.Table) -> pa.Table:
         tables = []
         by = {(k, s): d for k, s, d in zip(*(right.column(c).to_pylist() for c in ("kind", "shard", "data")))}
         for row in left.to_pylist():
-            b = _block(row, {s: d for (k, s), d in by.items() if k == "words"}, shards)
-            context, word, place = _pairs(b)
-            share, rest = np.zeros(len(word)), np.ones(len(word))
-            for s, g in _shards(context, word, spread, shards):
-                found = stretch(by["levels", s], "u1")
-                share[g] = OF_LEVEL[found[: len(g)]]
-                rest[g] = np.where(found[len(g) :] > 0, OF_LEVEL[found[len(g) :]], 1.0)
-            # A frequent context is spread over shards, and one without any of its pairs doesn't know it.
-            at = np.searchsorted(spread, context).clip(max=len(spread) - 1)
-            rest = np.where(spread[at] == context, spread_rest[at], rest)
+            b = _block(row, {s: d for (k, s), d in by.items() if k == "words"}, word_shards)
+            x, y, z, place = _trigrams(b)
+            share3, share2, rest3, rest2 = np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x)), np.ones(len(x))
+            for s, g in _shards(x, y, spread, shards):
+                found = OF_LEVEL[stretch(by["levels", s], "<u2")]
+                pair = firsts(x[g], y[g])
+                context = firsts(x[g][pair])
+                pairs, thirds = np.diff(np.append(context, len(pair))), np.diff(np.append(pair, len(g)))
+                of_third, of_pair, left3, left2 = np.split(found, np.cumsum([len(g), len(pair), len(pair)]))
+                share3[g], share2[g] = of_third, np.repeat(of_pair, thirds)
+                rest3[g], rest2[g] = np.repeat(np.where(left3 > 0, left3, 1.0), thirds), np.repeat(np.repeat(np.where(left2 > 0, left2, 1.0), pairs), thirds)
+            # A frequent first word is spread over shards, and one without any of its pairs doesn't know it.
+            at = np.searchsorted(spread, x).clip(max=len(spread) - 1)
+            rest2 = np.where(spread[at] == x, spread_rest[at], rest2)
             count = b["n"][b["tokens"]]
             unigram = (count + 1) / (train_tokens + vocabulary + 1)
             start = np.cumsum(b["lengths"]) - b["lengths"]
+            # The trigram around a token tells its P2, the one around the token before tells its share with two words before.
+            p = share2[place] + rest2[place] * unigram
+            before = np.concatenate([[0], place[:-1]])
+            p3 = share3[before] + rest3[before] * p
+            p3[start] = p[start]
             total = lambda x: np.add.reduceat(x, start)
             tables.append(pa.table({
                 id_col: pa.array(b["doc_ids"], pa.int64(), mask=b["nulls"].astype(bool)), "held_out": pa.array(b["held"].astype(bool)), "n_tokens": pa.array(b["lengths"]),
                 "n_known": pa.array(total((count > 0).astype("i8"))), "train_tokens": pa.array(np.full(len(start), train_tokens)),
-                "base_score": pa.array(total(np.log10(unigram))), "score": pa.array(total(np.log10(np.minimum(share[place] + rest[place] * unigram, 1.0)))),
+                "base_score": pa.array(total(np.log10(unigram))), "score": pa.array(total(np.log10(np.minimum(p3, 1.0)))),
             }))
         return pa.concat_tables(tables)
 
