@@ -3,11 +3,12 @@
 In such a vocabulary the encoding of a byte string is the one sequence of tokens whose neighbours
 are all compatible, that is, encode to themselves as a pair. So the last token of a prefix of
 length i is the one token t that ends there and is compatible with the last token of the prefix of
-length i - len(t), and count[i] = count[i - len(t)] + 1. One pass gives the count of every prefix;
-truncation and budget questions then read the table and encode nothing.
+length i - len(t), and count[i] = count[i - len(t)] + 1. One pass gives the count of every prefix. The
+table is stored as the steps from prefix to prefix, which are small numbers, in rows of a bounded number of prefixes
+with the count before the first and at the last; totals, truncation and budget questions read it and encode nothing.
 
-The pre-tokenizer's pieces are independent, so tables are made per piece, kept in a bounded memo,
-and added up. Where a prefix changes the pieces themselves (inside a run of white space, a cut
+The pre-tokenizer's pieces are independent, so tables are made per piece; the steps of a run of white space with what
+follows it depend on nothing before, so they are kept in a bounded memo and strung together. Where a prefix changes the pieces themselves (inside a run of white space, a cut
 contraction, a cut special token), the count at that prefix is that of the pieces it then has.
 
 Defined results: a null text counts as empty; an empty text has 0 tokens; special strings inside a
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,12 +28,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
-from .tokenizing import CHUNKS, PLAIN, RUNS, batches, tokenizer_path
+from .common import materialise, only_memo, text_of
+from .tokenizing import PLAIN, RUNS, batches, tokenizer_path
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Pieces and chunks remembered in one Python worker.
-MEMO = 500_000
+#: Units remembered in one Python worker (and a fifth as many pieces), and the longest remembered.
+MEMO, LONGEST = 500_000, 64
+#: White space with what follows it.
+UNITS = re.compile(r"\s*\S+|\s+")
+#: Prefixes of a stored row.
+ROW = 65_536
+TABLE = "n_bytes bigint, start bigint, before bigint, last bigint, final boolean, kind string, steps binary"
 #: The split of a plain text into pieces: the file's pattern, with the classes of PLAIN written out.
 LETTER = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\s{LETTER}0-9]+|\s+(?!\S)|\s+")
@@ -70,10 +77,14 @@ class PrefixCounter:
                 self.parts.append(pair)
             self.merged.setdefault(pair, n)
         self.longest = max(map(len, self.token))
-        self.fits: dict[int, bool] = {}
         self.alone: dict[int, bool] = {}
+        self.finder = None
+        self.forget()
+
+    def forget(self) -> None:
+        self.fits: dict[int, bool] = {}
         self.tables: dict[bytes, tuple[int, ...]] = {}
-        self.chunks: dict[str, int] = {}
+        self.units: dict[str, bytes] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether the bytes of a and b together encode to a, b: no merge across the seam comes first."""
@@ -115,18 +126,36 @@ class PrefixCounter:
         n = len(piece)
         last, count = [-1] * (n + 1), [0] * (n + 1)
         token, fits = self.token, self.compatible
+        if n > LONGEST:
+            self._long_table(piece, last, count)
+            return tuple(count)
         for i in range(1, n + 1):
             for start in range(max(0, i - self.longest), i):
                 t = token.get(piece[start:i])
                 if t is not None and (fits(last[start], t) if start else self.whole(t)):
                     last[i], count[i] = t, count[start] + 1
                     break
-        if n <= 64:
-            if len(self.tables) > MEMO:
-                self.tables.clear()
-            self.tables[piece] = tuple(count)
+        if len(self.tables) > MEMO // 5:
+            self.tables.clear()
+        self.tables[piece] = tuple(count)
         return tuple(count)
 
+    def _long_table(self, piece: bytes, last: list[int], count: list[int]) -> None:
+        """The same for a piece of any length: an automaton tells the tokens that end at each byte, so no other bytes are tried."""
+        if self.finder is None:
+            import ahocorasick
+
+            self.finder = ahocorasick.Automaton()
+            for raw, t in self.token.items():
+                self.finder.add_word(raw.decode("latin-1"), (t, len(raw)))
+            self.finder.make_automaton()
+        for end, (t, length) in self.finder.iter(piece.decode("latin-1")):
+            i = end + 1
+            if last[i] < 0:
+                start = i - length
+                if self.compatible(last[start], t) if start else self.whole(t):
+                    last[i], count[i] = t, count[start] + 1
+
     def pieces(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces of a text without special strings."""
         if PLAIN.match(text):
@@ -136,28 +165,53 @@ class PrefixCounter:
     def _segments(self, text: str) -> list[str]:
         return self.at_special.split(text) if self.at_special else [text]
 
-    def count(self, text: str) -> int:
-        """Tokens of the whole text: the sum of its pieces' last counts."""
-        if PLAIN.match(text) and not any(s in text for s in self.special):
-            return self._count_plain(text)
-        return sum(1 if s in self.special else sum(self.table(p.encode())[-1] for p in self.pieces(s)) for s in self._segments(text))
-
-    def _count_plain(self, text: str) -> int:
+    def steps(self, text: str) -> np.ndarray:
+        """The differences of prefixes(text), as one byte each if they fit."""
+        if not PLAIN.match(text) or any(s in text for s in self.special):
+            return narrow(np.diff(self.prefixes(text)))
         if any(r in text for r in RUNS):
-            chunks = CHUNKS.findall(text)
-        else:
+            units = UNITS.findall(text)
+        else:  # the spaces are single: the same units by a plain split
             head, *rest = text.split(" ")
-            chunks = [head, *(" " + c for c in rest)]
-        known = self.chunks
+            units = [head, *(" " + c for c in rest)]
+        known = self.units
         try:
-            return sum(map(known.__getitem__, chunks))
+            return np.frombuffer(b"".join(map(known.__getitem__, units)), "i1")
         except KeyError:
             if len(known) > MEMO:
                 known.clear()
-            for c in chunks:
-                if c not in known:
-                    known[c] = sum(self.table(p.encode())[-1] for p in PIECES.findall(c))
-            return sum(map(known.__getitem__, chunks))
+            once: dict[str, np.ndarray] = {}
+            for u in units:
+                if u not in known and u not in once:
+                    made = self._unit_steps(u)
+                    if len(u) <= LONGEST and isinstance(made, bytes):
+                        known[u] = made
+                    else:
+                        once[u] = np.frombuffer(made, "i1") if isinstance(made, bytes) else made
+            if not once:
+                return np.frombuffer(b"".join(map(known.__getitem__, units)), "i1")
+            return np.concatenate([once[u] if u in once else np.frombuffer(known[u], "i1") for u in units])
+
+    def _unit_steps(self, unit: str) -> bytes | np.ndarray:
+        """The steps of a unit: bytes where each is below 128, else numbers."""
+        if not unit[:2].isspace() and "'" not in unit and len(unit) <= LONGEST:
+            out = bytearray()  # pieces of letters, digits or signs, none of which a cut prefix splits anew
+            for piece in PIECES.findall(unit):
+                table = self.table(piece.encode())
+                if not piece.isascii():  # a plain sign beyond ASCII has two bytes
+                    ends, at = [0], 0
+                    for c in piece:
+                        at += 1 if c < "\x80" else 2
+                        ends.append(at)
+                    table = [table[at] for at in ends]
+                out += bytes([b - a & 255 for a, b in zip(table, table[1:])])
+            return bytes(out)
+        made = narrow(np.diff(self.prefixes(unit)))
+        return made.tobytes() if made.dtype == np.int8 else made
+
+    def count(self, text: str) -> int:
+        """Tokens of the whole text."""
+        return int(self.steps(text).sum(dtype="i8"))
 
     def prefixes(self, text: str) -> np.ndarray:
         """Token counts of text[:0] ... text[:len(text)], each as the library would count that prefix."""
@@ -190,49 +244,80 @@ class PrefixCounter:
         return np.array(out, "int32")
 
 
+def narrow(steps: np.ndarray) -> np.ndarray:
+    return steps.astype("i1" if not len(steps) or np.abs(steps).max() < 128 else "<i4")
+
+
 @lru_cache(maxsize=2)
 def prefix_counter(name: str) -> PrefixCounter:
     return PrefixCounter(name)
 
 
-def token_counts(df: DataFrame, name: str = DEFAULT_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_bytes, n_tokens of every row of df, whole texts."""
+def prefix_tables(df: DataFrame, name: str = DEFAULT_FILE, row: int = ROW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored table: id and, for each row of prefixes, n_bytes of the text, start (code points of the prefix before
+    the first), before (its tokens), last (tokens of the row's last prefix), final (whether that is the text) and the steps.
+
+    A long text has several rows of at most `row` prefixes, so no row grows without bound.
+    """
 
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tabulate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(name)
+        only_memo("prefixes-" + name, counter.forget)
         for part in parts:
-            n = [counter.count(t) for t in part.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64())], names=[id_col, "n_bytes", "n_tokens"])
+            ids, texts, sizes = (part.column(i).to_pylist() for i in range(3))
+            for a, b in batches(texts, 4_000_000):
+                rows = []
+                for i, t, n in zip(ids[a:b], texts[a:b], sizes[a:b]):
+                    steps, before = counter.steps(t), 0
+                    for start in range(0, max(len(steps), 1), row):
+                        some = steps[start : start + row]
+                        last = before + int(some.sum(dtype="i8"))
+                        rows.append((i, n, start, before, last, start + row >= len(steps), some.dtype.str, zlib.compress(some.tobytes(), 1)))
+                        before = last
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=[id_col, "n_bytes", "start", "before", "last", "final", "kind", "steps"])
 
-    narrow = df.select(F.col(id_col).cast("bigint").alias(id_col), text_of(text_col).alias("text"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"))
-    return narrow.mapInArrow(count, f"{id_col} bigint, n_bytes bigint, n_tokens bigint")
+    narrowed = df.select(F.col(id_col).cast("bigint").alias(id_col), text_of(text_col).alias("text"), F.octet_length(text_of(text_col)).cast("bigint").alias("n_bytes"))
+    return narrowed.mapInArrow(tabulate, f"{id_col} bigint, {TABLE}")
 
 
-def prefix_tables(df: DataFrame, name: str = DEFAULT_FILE, chunk: int = 65_536, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, start, counts: the stored table, counts[j] being the tokens of the prefix of start + j code points.
+def _counts(before: int, kind: str, steps: bytes) -> np.ndarray:
+    """Tokens of a stored row's prefixes, that before the first included."""
+    return before + np.concatenate([[0], np.cumsum(np.frombuffer(zlib.decompress(steps), kind), dtype="i8")])
 
-    A long text has several rows of at most chunk counts, so no row grows without bound.
-    """
 
-    def tabulate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = prefix_counter(name)
-        for part in parts:
-            ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-            for a, b in batches(texts, 1_000_000):
-                rows = [(i, s, c[s : s + chunk]) for i, t in zip(ids[a:b], texts[a:b]) for c in [counter.prefixes(t)] for s in range(0, len(c), chunk)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int32()))], names=[id_col, "start", "counts"])
+def token_counts(df: DataFrame, name: str = DEFAULT_FILE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_bytes, n_tokens of every row of df, whole texts, read from the stored table."""
+    return totals(materialise(prefix_tables(df, name, id_col=id_col, text_col=text_col), "prefix-tables"), id_col)
 
-    narrow = df.select(F.col(id_col).cast("bigint").alias(id_col), text_of(text_col).alias("text"))
-    return narrow.mapInArrow(tabulate, f"{id_col} bigint, start bigint, counts array<int>")
+
+def totals(tables: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id, n_bytes, n_tokens of every text; the steps are not read."""
+    return tables.where("final").select(id_col, "n_bytes", F.col("last").alias("n_tokens"))
 
 
 def fit_budget(tables: DataFrame, budget: int, id_col: str = "doc_id") -> DataFrame:
     """id, fits: the most code points of each text whose prefix has at most budget tokens; reads the table alone."""
-    last = F.aggregate(F.transform("counts", lambda c, j: F.when(c <= budget, F.col("start") + j)), F.lit(None).cast("bigint"), lambda a, b: F.coalesce(F.greatest(a, b), a, b))
-    return tables.groupBy(id_col).agg(F.max(last).alias("fits"))
 
+    def fit(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            best = []
+            for start, *stored in zip(*(part.column(i).to_pylist() for i in range(1, 5))):
+                within = np.flatnonzero(_counts(*stored) <= budget)
+                best.append(start + int(within[-1]) if len(within) else None)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(best, pa.int64())], names=[id_col, "fits"])
+
+    return tables.select(id_col, "start", "before", "kind", "steps").mapInArrow(fit, f"{id_col} bigint, fits bigint").groupBy(id_col).agg(F.max("fits").alias("fits"))
+
+
+def tokens_at(tables: DataFrame, asked: DataFrame, row: int = ROW, id_col: str = "doc_id") -> DataFrame:
+    """asked (id, length) with n_tokens, the tokens of that prefix, which is no longer than the text; one equi-join, no encoding."""
+
+    def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            found = [int(_counts(*stored)[length - start]) for length, start, *stored in zip(*(part.column(i).to_pylist() for i in range(1, 6)))]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.int64())], names=[id_col, "length", "n_tokens"])
 
-def tokens_at(tables: DataFrame, asked: DataFrame, chunk: int = 65_536, id_col: str = "doc_id") -> DataFrame:
-    """asked (id, length) with n_tokens, the tokens of that prefix; one equi-join, no encoding."""
-    at = asked.withColumn("start", F.floor(F.col("length") / chunk) * chunk)
-    return at.join(tables, [id_col, "start"]).select(id_col, "length", F.element_at("counts", (F.col("length") - F.col("start") + 1).cast("int")).alias("n_tokens"))
+    # The last prefix of a row is also the one before the next: the row that ends with it tells it.
+    at = asked.select(F.col(id_col), F.col("length").cast("bigint").alias("length"), (F.floor(F.greatest(F.col("length") - 1, F.lit(0)) / row) * row).alias("start"))
+    return at.join(tables, [id_col, "start"]).select(id_col, "length", "start", "before", "kind", "steps").mapInArrow(look, f"{id_col} bigint, length bigint, n_tokens bigint")

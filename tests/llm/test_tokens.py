@@ -59,14 +59,14 @@ def test_counts_of_awkward_rows(spark):
 
 def test_budget_and_prefix_questions(spark, counter):
     df = cases.docs(spark).where("doc_id in (1, 8, 9)")
-    tables = token_counts.prefix_tables(df, chunk=1000)
+    tables = token_counts.prefix_tables(df, row=1000)
     fits = {r.doc_id: r.fits for r in token_counts.fit_budget(tables, 5).collect()}
     texts = dict(t for t in cases.TEXTS if t[0] in fits)
     for i, t in texts.items():
         counts = counter.prefixes(t)
         assert fits[i] == max(j for j, n in enumerate(counts) if n <= 5)
     asked = spark.createDataFrame([(8, 0), (8, 999), (8, 1000), (8, 54321), (1, 7)], "doc_id long, length long")
-    for r in token_counts.tokens_at(tables, asked, chunk=1000).collect():
+    for r in token_counts.tokens_at(tables, asked, row=1000).collect():
         assert r.n_tokens == counter.prefixes(texts[r.doc_id])[r.length]
 
 
