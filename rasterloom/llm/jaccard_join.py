@@ -2,23 +2,26 @@
 
 1. Every text becomes its set of word n-grams as 64-bit hashes; texts with equal sets are one class.
    A sketch of fixed size counts all n-grams of the corpus by hash bucket.
-2. In the order (bucket count, hash), a set of n that shares at least `percent` with another shares
-   with it at least l of its first n - ceil(percent n) + l n-grams. Only these prefixes are posted:
-   the sketch puts n-grams that very many texts share last, so they are hardly ever posted.
-3. The postings, dealt by n-gram, are the columns of the product. A column up to HOT documents adds
-   one to the overlap of each pair whose sizes are compatible; overlaps are added up in the task
-   and then over tasks, and pairs below their bound l are dropped. A larger column emits no pairs:
-   its documents, in order of size, are chained where neighbours are compatible in size.
-4. What is left falls into clusters; two texts that link are always in one cluster. A cluster is
-   cut into blocks of bounded size, and a block's exact overlaps come from a product of its
-   incidence matrix by its transpose, column block by column block. Of each block only a spanning
-   forest of the links is kept. A cluster of several blocks compares every block with itself and
-   the first; then what is not in the cluster's largest component so far is compared with all blocks.
-   Pairs inside one component need no test, so no link that matters to a component is lost.
+2. Two sets that link share all but e of the n n-grams of either, e being what its size allows. So in
+   the order (bucket count, hash) they share l of their first e + l n-grams, for every l. These
+   prefixes are dealt into g = l - 1 groups by hash; two sets that link share two n-grams of one group,
+   and each pair of n-grams in a group is a column. g is fixed for sizes within a factor of four, and
+   a set that may have a partner beyond posts its columns there too. The sketch puts n-grams that
+   very many texts share last, so they are hardly ever posted.
+3. A column emits at most one row a document: in order of size and class, a document is chained to the one
+   before it if their sizes are compatible. So the rows grow with the postings, whatever the size of a
+   group of copies, and two sets that link are always in one cluster of chained sets.
+4. A cluster is cut into blocks of bounded size, and a block's exact overlaps come from the product of
+   its incidence matrix by its transpose: columns with the same documents are one weighted column,
+   columns of few documents add to their pairs alone, the others are multiplied tile by tile. Pairs below
+   the bound of their sizes are discarded, and of the links only stars of what they join leave the block. A
+   cluster of several blocks compares every block with itself and the first; then what is not in the
+   cluster's largest component so far is compared with all blocks. Pairs inside one component need
+   no test, so no link that matters to a component is lost.
 
 Defined results: a null text counts as empty; an empty set links with nothing and is its own
 component; a text of fewer words than n has its whole word sequence as its one n-gram; repeated
-rows and equal texts are in one component; a component's id is its smallest id.
+rows and equal texts are in one component; a component's id is its smallest id, null if it has none.
 """
 
 from __future__ import annotations
@@ -29,17 +32,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, text_of
-from .components import components
+from .common import materialise, only_memo, partitions, text_of
+from .components import components, nodes_of
 from .word_hash import hash_words, mix
 
 #: Buckets of the sketch and the slices in which it is added up.
 BUCKET_BITS, SLICES = 18, 64
-#: Documents of a column that still emits pairs; documents and n-grams of a block; columns of a product.
-HOT, BLOCK_DOCS, BLOCK_GRAMS, PRODUCT_COLUMNS = 64, 1024, 4_000_000, 4096
+#: Documents and n-grams of a block; columns of up to FEW documents add to pairs alone; columns of a tile.
+BLOCK_DOCS, BLOCK_GRAMS, FEW, TILE_COLUMNS = 512, 1_000_000, 24, 1024
+#: Pairs of a product, and chained pairs of a task, that are held before they are added up.
+HELD_PAIRS = 1 << 21
 #: Texts hashed at once.
 SLICE_DOCS = 1000
 
@@ -73,18 +78,36 @@ def class_of(grams: np.ndarray) -> int:
     return int(mix(both).view("i8")[0])
 
 
-def bounds(n, percent: int):
-    """(least overlap with any partner, l) for sets of n."""
-    least = -(-percent * n // 100)
-    return least, 1 + (n - least + 1) // 4
+def least_overlap(n, percent: int):
+    """What a set of n shares with any partner, at least."""
+    return -(-percent * n // 100)
+
+
+def level_of(n: int) -> int:
+    """Sizes within a factor of four are on one level."""
+    return (n.bit_length() - 1) // 2
+
+
+def groups_of(level: int, percent: int) -> int:
+    """Groups of a level: as many as a middling size may lose n-grams, which makes the fewest columns; 0 means
+    that some set of the level may share less than two n-grams, so that single n-grams are the columns."""
+    middle = 2 * 4**level
+    groups = max(1, middle - least_overlap(middle, percent))
+    for n in range(max(1, least_overlap(4**level, percent)), 4 ** (level + 1)):
+        if least_overlap(n, percent) > groups:
+            break
+        if least_overlap(n, percent) < n or 100 * n // percent > n:
+            return 0
+    return groups
 
 
 def survey(docs: DataFrame, words: int) -> DataFrame:
-    """A written table: rows (id, n, class) of all documents and, per task, its part of the sketch."""
+    """A written table: rows (id, sign, n, class) of all documents and, per task, its part of the sketch; sign is a hash of the text."""
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memo("n-grams")
         sketch = np.zeros(1 << BUCKET_BITS, "i8")
-        names = ["id", "n", "class", "task", "slice", "counts"]
+        names = ["id", "sign", "n", "class", "task", "slice", "counts"]
         empty = lambda k, t: pa.nulls(k, t)
         for part in parts:
             n, cls, waiting = [], [], []
@@ -98,12 +121,12 @@ def survey(docs: DataFrame, words: int) -> DataFrame:
             if waiting:
                 sketch += np.bincount(np.concatenate(waiting), minlength=len(sketch))
             k = part.num_rows
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty(k, pa.int64()), empty(k, pa.int32()), empty(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), empty(k, pa.int64()), empty(k, pa.int32()), empty(k, pa.binary())], names=names)
         task = TaskContext.get().partitionId()
         slices = [zlib.compress(s.astype("<i8").tobytes(), 1) for s in np.split(sketch, SLICES)]
-        yield pa.RecordBatch.from_arrays([empty(SLICES, pa.int64()), empty(SLICES, pa.int64()), empty(SLICES, pa.int64()), pa.array(np.full(SLICES, task)), pa.array(np.arange(SLICES, dtype="i4")), pa.array(slices, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(empty(SLICES, pa.int64()) for _ in range(4)), pa.array(np.full(SLICES, task)), pa.array(np.arange(SLICES, dtype="i4")), pa.array(slices, pa.binary())], names=names)
 
-    return materialise(docs.mapInArrow(go, "id bigint, n bigint, class bigint, task bigint, slice int, counts binary"), "gram-survey")
+    return materialise(docs.mapInArrow(go, "id bigint, sign bigint, n bigint, class bigint, task bigint, slice int, counts binary"), "gram-survey")
 
 
 def sketch_of(surveyed: DataFrame) -> np.ndarray:
@@ -118,168 +141,203 @@ def sketch_of(surveyed: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(zlib.decompress(rows[s]), "<i8") for s in range(SLICES)]) if rows else np.zeros(1 << BUCKET_BITS, "i8")
 
 
+def columns_of(grams: np.ndarray, edges: np.ndarray, groups: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the set, column) of the pairs of n-grams that lie in one group of a set; edges are the sets' edges in grams."""
+    owner = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+    salted = mix(grams + np.uint64(2 * salt + 1))
+    if not groups:
+        return owner, salted
+    group = owner * groups + (salted % np.uint64(groups)).astype("i8")
+    order = np.lexsort((salted, group))
+    owner, group, salted = owner[order], group[order], salted[order]
+    owners, columns = [], []
+    for apart in range(1, len(group)):
+        same = group[apart:] == group[:-apart]
+        if not same.any():
+            break
+        owners.append(owner[apart:][same])
+        columns.append(mix(salted[:-apart][same] * np.uint64(3) + salted[apart:][same]))
+    return np.concatenate([*owners, np.zeros(0, "i8")]).astype("i8"), np.concatenate([*columns, np.zeros(0, "u8")]).astype("u8")
+
+
 def postings(docs: DataFrame, sketch: np.ndarray, words: int, percent: int) -> DataFrame:
-    """(gram, n, class): the prefix of each class, at least once."""
+    """(gram, n, class): the columns of each class, at least once."""
     shipped = docs.sparkSession.sparkContext.broadcast(sketch)  # 2**BUCKET_BITS numbers at any size
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only_memo("n-grams")
         counts, seen = shipped.value, set()
+        groups: dict[int, int] = {}
+        waiting: dict[int, list[tuple[np.ndarray, int, int]]] = {}
+
+        def close(level: int) -> pa.RecordBatch:
+            sets = waiting.pop(level)
+            owner, column = columns_of(np.concatenate([s for s, _, _ in sets]), np.cumsum([0, *(len(s) for s, _, _ in sets)]), groups[level], level)
+            n, c = (np.array([s[k] for s in sets])[owner] for k in (1, 2))
+            return pa.RecordBatch.from_arrays([pa.array(column.view("i8")), pa.array(n), pa.array(c)], names=["gram", "n", "class"])
+
         for part in parts:
-            grams, sizes, classes = [], [], []
             for g in gram_sets(part.column(1), words):
                 n, c = len(g), class_of(g)
-                if not n or c in seen:
+                larger = 100 * n // percent  # the largest partner
+                if not n or c in seen or (larger == n and least_overlap(n, percent) == n):
                     continue
                 seen.add(c)
-                least, l = bounds(n, percent)
-                rarest = g[np.lexsort((g, counts[(g >> np.uint64(64 - BUCKET_BITS)).astype("i8")]))[: min(n, n - least + l)]]
-                grams.append(rarest)
-                sizes.append(np.full(len(rarest), n))
-                classes.append(np.full(len(rarest), c))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view("i8")), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(classes))], names=["gram", "n", "class"])
+                order = np.lexsort((g, counts[(g >> np.uint64(64 - BUCKET_BITS)).astype("i8")]))
+                for level in {level_of(n), level_of(larger)}:
+                    if level not in groups:
+                        groups[level] = groups_of(level, percent)
+                    waiting.setdefault(level, []).append((g[order[: n - least_overlap(n, percent) + groups[level] + 1]], n, c))
+                    if len(waiting[level]) >= SLICE_DOCS:
+                        yield close(level)
+        for level in list(waiting):
+            yield close(level)
 
     return docs.mapInArrow(go, "gram bigint, n bigint, class bigint")
 
 
-def compatible(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
-    return 100 * small >= percent * large
-
-
 def candidate_edges(posted: DataFrame, percent: int) -> DataFrame:
-    """(u, v): pairs whose posted overlap reaches their bound, and chains of the large columns."""
+    """(u, v): stars that join neighbours of compatible sizes in each column; at most one row a document and task."""
 
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = [np.zeros(0, "i8")] * 3  # the column that the last batch left open
-        parent: dict[int, int] = {}  # chains of this task's large columns
+        only_memo("n-grams")
+        held = [np.zeros(0, "i8")] * 3  # the last posting of the batch before
+        parent: dict[int, int] = {}
         pairs: list[np.ndarray] = []
         room = 0
 
         def find(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = x = parent[parent[x]]
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent[up]
             return x
 
-        def flush() -> pa.RecordBatch:
+        def join() -> None:
             nonlocal pairs, room
-            p = np.concatenate(pairs) if pairs else np.zeros((0, 3), "i8")
-            key, first, n = np.unique(p[:, :2], axis=0, return_index=True, return_counts=True) if len(p) else (p[:, :2], np.zeros(0, "i8"), np.zeros(0, "i8"))
+            p = np.concatenate(pairs) if pairs else np.zeros((0, 2), "i8")
+            p = p[np.lexsort((p[:, 1], p[:, 0]))]
+            for u, v in p[np.concatenate([[True], (p[1:] != p[:-1]).any(1)])[: len(p)]].tolist():
+                a, b = find(u), find(v)
+                parent[max(a, b)] = min(a, b)
             pairs, room = [], 0
-            return pa.RecordBatch.from_arrays([pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(n.astype("i8")), pa.array(p[first, 2].copy())], names=["u", "v", "shared", "need"])
-
-        def column(n: np.ndarray, c: np.ndarray) -> None:
-            nonlocal room
-            if len(c) > HOT:
-                for i in np.flatnonzero(compatible(n[:-1], n[1:], percent)):
-                    parent[find(int(c[i]))] = find(int(c[i + 1]))
-                return
-            reach = np.searchsorted(n, 100 * n // percent, "right") - np.arange(len(n)) - 1
-            reach = reach.clip(0)
-            if not reach.any():
-                return
-            a = np.repeat(np.arange(len(n)), reach)
-            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
-            # The bound of the smaller set is the smaller bound.
-            pairs.append(np.stack([np.maximum(c[a], c[b]), np.minimum(c[a], c[b]), bounds(n[a], percent)[1]], 1))
-            room += len(a)
 
         for part in parts:
             gram, n, c = (np.concatenate([h, x.to_numpy()]) for h, x in zip(held, part.columns))
-            new = np.ones(len(gram), bool)
-            new[1:] = (gram[1:] != gram[:-1]) | (c[1:] != c[:-1])  # a class posts once
-            gram, n, c = gram[new], n[new], c[new]
-            starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-            lengths = np.diff(np.append(starts, len(gram)))
-            for s, k in zip(starts[:-1][lengths[:-1] > 1], lengths[:-1][lengths[:-1] > 1]):
-                column(n[s : s + k], c[s : s + k])
-            open_ = starts[-1] if len(starts) else 0
-            if len(gram) - open_ > 4 * HOT:  # chain a long column as it comes, and keep enough to know it is long
-                column(n[open_:], c[open_:])
-                open_ = len(gram) - HOT - 1
-            held = [x[open_:] for x in (gram, n, c)]
-            if room > 500_000:
-                yield flush()
-        if len(held[0]) > 1:
-            column(held[1], held[2])
-        yield flush()
-        chained = [(x, find(x)) for x in list(parent)]
-        stars = [(max(x, r), min(x, r)) for x, r in chained if x != r]
-        if stars:
-            u, v = (np.array(x, "i8") for x in zip(*stars))
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v), pa.array(np.full(len(u), 1 << 30)), pa.array(np.zeros(len(u), "i8"))], names=["u", "v", "shared", "need"])
+            next_ = np.flatnonzero((gram[1:] == gram[:-1]) & (c[1:] != c[:-1]) & (100 * n[:-1] >= percent * n[1:])) + 1
+            pairs.append(np.stack([c[next_], c[next_ - 1]], 1))
+            room += len(next_)
+            held = [x[-1:] for x in (gram, n, c)]
+            if room > HELD_PAIRS:
+                join()
+        join()
+        stars = np.array([(x, r) for x in list(parent) if (r := find(x)) != x], "i8").reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(stars[:, 0].copy()), pa.array(stars[:, 1].copy())], names=["u", "v"])
 
     dealt = posted.repartition(partitions(posted.sparkSession), "gram").sortWithinPartitions("gram", "n", "class")
-    counted = dealt.mapInArrow(go, "u bigint, v bigint, shared bigint, need bigint")
-    return counted.groupBy("u", "v").agg(F.sum("shared").alias("shared"), F.min("need").alias("need")).where("shared >= need").select("u", "v")
-
-
-def block_links(sets: list[np.ndarray], classes: np.ndarray, percent: int, known: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the links between sets, from the exact product of their incidence; pairs of one known component are joined before."""
-    n = np.array([len(s) for s in sets])
-    grams, place, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count > 1
-    number = np.cumsum(shared) - 1
-    keep = shared[place]
-    col, row = number[place[keep]], np.repeat(np.arange(len(sets)), n)[keep]
-    order = np.argsort(col, kind="stable")
-    col, row = col[order], row[order]
-    overlap = np.zeros((len(sets), len(sets)), "f4")
-    for start in range(0, int(shared.sum()), PRODUCT_COLUMNS):
-        a, b = np.searchsorted(col, [start, start + PRODUCT_COLUMNS])
-        tile = np.zeros((len(sets), min(PRODUCT_COLUMNS, int(shared.sum()) - start)), "f4")
-        tile[row[a:b], col[a:b] - start] = 1
-        overlap += tile @ tile.T
-    linked = 100 * overlap.astype("f8") >= percent * (n[:, None] + n[None, :] - overlap)
-    parent = np.arange(len(sets))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    if known is not None:
-        first: dict[int, int] = {}
-        for i, k in enumerate(known.tolist()):
-            parent[find(i)] = find(first.setdefault(k, i))
-    forest = []
-    for i, j in zip(*np.nonzero(np.triu(linked, 1))):
-        a, b = find(i), find(j)
-        if a != b:
-            parent[a] = b
-            forest.append((int(max(classes[i], classes[j])), int(min(classes[i], classes[j]))))
-    return forest
+    return dealt.mapInArrow(go, "u bigint, v bigint")
+
+
+def overlaps(grams: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The overlap of each two sets, above the diagonal; grams holds the sets one after the other, n their sizes."""
+    docs = len(n)
+    row = np.repeat(np.arange(docs, dtype="i4"), n)
+    order = np.argsort(grams, kind="stable")
+    grams, row = grams[order], row[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])[: len(grams)])
+    size = np.diff(np.append(starts, len(grams)))
+    out = np.zeros(docs * docs, "i4")
+    if not len(starts):
+        return out.reshape(docs, docs)
+    # Columns of the same documents are one column with a weight.
+    owners = np.add.reduceat(mix(row.astype("u8") + np.uint64(1)), starts)
+    _, first, weight = np.unique(owners, return_index=True, return_counts=True)
+    kept = size[first] > 1
+    starts, size, weight = starts[first[kept]], size[first[kept]], weight[kept]
+    for m in np.unique(size[size <= FEW]):
+        a, b = np.triu_indices(m, 1)
+        here = np.flatnonzero(size == m)
+        step = max(1, HELD_PAIRS // len(a))
+        for at in range(0, len(here), step):
+            some = here[at : at + step]
+            members = row[starts[some][:, None] + np.arange(m)].astype("i8")  # ascending, as the sort is stable
+            key = (members[:, a] * docs + members[:, b]).ravel()
+            found, place = np.unique(key, return_inverse=True)
+            out[found] += np.bincount(place, np.repeat(weight[some], len(a))).astype("i4")
+    out = out.reshape(docs, docs)
+    many = np.flatnonzero(size > FEW)
+    for at in range(0, len(many), TILE_COLUMNS):
+        some = many[at : at + TILE_COLUMNS]
+        tile = np.zeros((docs, len(some)), "f4")
+        column = np.repeat(np.arange(len(some)), size[some])
+        within = np.arange(len(column)) - np.repeat(np.cumsum(size[some]) - size[some], size[some])
+        tile[row[starts[some][column] + within], column] = 1
+        product = (tile * weight[some].astype("f4")) @ tile.T  # whole numbers below 2**24
+        out += np.triu(product, 1).astype("i4")
+    return out
+
+
+def block_links(grams: np.ndarray, n: np.ndarray, classes: np.ndarray, percent: int, known: np.ndarray) -> list[tuple[int, int]]:
+    """Stars that join what the links between the sets of a block join; sets of one known component count as joined,
+    and one of them stands for all."""
+    n = np.asarray(n, "i8")
+    linked = overlaps(grams, n)
+    for i in range(len(n)):
+        linked[i] = (100 + percent) * linked[i].astype("i8") >= percent * (n[i] + n)
+    linked = np.triu(linked, 1).astype(bool)
+    linked |= linked.T
+    _, first, known = np.unique(known, return_index=True, return_inverse=True)
+    seen, stars = np.zeros(len(first), bool), []
+    for start in range(len(first)):
+        joined, waiting = [], [] if seen[start] else [start]
+        seen[start] = True
+        while waiting:
+            joined.append(k := waiting.pop())
+            for i in np.flatnonzero(known == k):
+                new = np.unique(known[linked[i] & ~seen[known]])
+                seen[new] = True
+                waiting += new.tolist()
+        ends = sorted(int(classes[first[k]]) for k in joined)
+        stars += [(e, ends[0]) for e in ends[1:]]
+    return stars
 
 
 def link_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """(u, v): forests of the links in each (cluster, block) of members, over classes; rows with equal known are joined."""
+    """(u, v): stars of the links in each (cluster, block) of members, over classes; rows with equal known are joined."""
 
     def go(group: pa.Table) -> pa.Table:
         classes, at = np.unique(group.column("class").to_numpy(), return_index=True)
         known = group.column("known").to_numpy()[at]
-        sets = group.column("grams").to_pylist()
-        forest = block_links([np.frombuffer(zlib.decompress(sets[i]), "<u8") for i in at], classes, percent, known)
-        return pa.table({"u": pa.array([x[0] for x in forest], pa.int64()), "v": pa.array([x[1] for x in forest], pa.int64())})
+        sets = group.column("grams")
+        grams = [np.frombuffer(sets[int(i)].as_py(), "<u8") for i in at]
+        n = np.array([len(g) for g in grams], "i8")
+        grams = np.concatenate([*grams, np.zeros(0, "u8")])
+        stars = block_links(grams, n, classes, percent, known)
+        return pa.table({"u": pa.array([x[0] for x in stars], pa.int64()), "v": pa.array([x[1] for x in stars], pa.int64())})
 
     return members.select("cluster", "block", "class", "known", "grams").groupby("cluster", "block").applyInArrow(go, "u bigint, v bigint")
 
 
-def links(docs: DataFrame, surveyed: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
-    """A written table of edges (u, v) between classes, whose components are those of all links."""
+def linked_classes(docs: DataFrame, surveyed: DataFrame, clusters: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes that have links."""
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a class once, though its first row may be repeated
         for part in parts:
-            cluster, blocks, cls = (part.column(i).to_pylist() for i in (2, 3, 4))
-            rows = [(c, b, k, zlib.compress(g.tobytes(), 1)) for g, c, b, k in zip(gram_sets(part.column(1), words), cluster, blocks, cls) if class_of(g) == k]
+            rows = []
+            for g, c, b, k in zip(gram_sets(part.column(1), words), *(part.column(i).to_pylist() for i in (2, 3, 4))):
+                if k not in seen and class_of(g) == k:
+                    seen.add(k)
+                    rows.append((c, b, k, g.tobytes()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["cluster", "blocks", "class", "grams"])
 
-    classes = surveyed.where("n > 0").groupBy("class").agg(F.min("id").alias("first_id"), F.first("n").alias("n"))
+    first_row = F.min_by("sign", F.coalesce("id", F.lit(2**63 - 1))).alias("first_sign")
+    classes = surveyed.where("n > 0").groupBy("class").agg(F.min("id").alias("first_id"), first_row, F.first("n").alias("n"))
     told = clusters.select(F.col("node").alias("class"), F.col("component").alias("cluster")).join(classes, "class")
     sizes = told.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n") / BLOCK_GRAMS)).alias("blocks"))
-    wanted = materialise(told.join(sizes, "cluster").select("class", "cluster", "blocks", "first_id"), "gram-clusters")
+    wanted = materialise(told.join(sizes, "cluster").select("class", "cluster", "blocks", "first_id", "first_sign"), "gram-clusters")
     # Always by shuffle: wanted grows with the data, so it is not one to broadcast at any size.
-    met = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first_id"))).select("id", "text", "cluster", "blocks", "class")
+    met = docs.join(wanted.hint("merge"), F.col("id").eqNullSafe(F.col("first_id")) & (F.col("sign") == F.col("first_sign"))).select("id", "text", "cluster", "blocks", "class")
     members = materialise(met.mapInArrow(cut, "cluster bigint, blocks bigint, class bigint, grams binary").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))), "gram-members")
     alone = F.col("class").alias("known")
     # Each block with itself and the first block of its cluster.
@@ -287,8 +345,10 @@ def links(docs: DataFrame, surveyed: DataFrame, clusters: DataFrame, words: int,
     first = materialise(link_blocks(members.unionByName(with_first).withColumn("known", alone), percent), "gram-links")
     many = members.where("blocks > 1")
     if many.isEmpty():
-        return first
-    so_far = components(first).select(F.col("node").alias("class"), F.col("component").alias("known"))
+        return nodes_of(first)
+    of_many = many.select(F.col("class").alias("u")).distinct()
+    whole, parted = first.join(of_many, "u", "left_anti"), first.join(of_many, "u", "left_semi")
+    so_far = components(parted).select(F.col("node").alias("class"), F.col("component").alias("known"))
     labelled = materialise(many.join(so_far, "class", "left").withColumn("known", F.coalesce("known", "class")), "gram-labelled")
     largest = labelled.groupBy("cluster", "known").count().groupBy("cluster").agg(F.max(F.struct("count", "known"))["known"].alias("largest"))
     rest = labelled.join(largest, "cluster").where("known <> largest").drop("largest")
@@ -299,20 +359,51 @@ def links(docs: DataFrame, surveyed: DataFrame, clusters: DataFrame, words: int,
     held = labelled.join(parts_of, "cluster").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("block", F.col("part") * F.col("blocks") + F.col("block"))
     columns = ["cluster", "block", "class", "known", "grams"]
     second = link_blocks(held.select(columns).unionByName(asked.select(columns)), percent)
-    return materialise(first.unionByName(second), "gram-all-links")
+    joined = labelled.select(F.col("class").alias("u"), F.col("known").alias("v"))
+    return nodes_of(whole).unionByName(components(joined.unionByName(second)))
 
 
-def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_shingles, component_id of every row of df; texts link when 100 * overlap >= percent * union."""
-    docs = df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"))
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id, text and sign of the rows of df; rows that agree in id and sign have one text."""
+    return df.select(F.col(id_col).cast("bigint").alias("id"), text_of(text_col).alias("text"), F.xxhash64(text_of(text_col)).alias("sign"))
+
+
+def grouped_classes(df: DataFrame, words: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, sign, n, class) of every row, and (class, component, first_id) of every class that is not empty."""
+    docs = keyed(df, id_col, text_col)
     surveyed = survey(docs, words)
     clusters = components(materialise(candidate_edges(postings(docs, sketch_of(surveyed), words, percent), percent), "gram-candidates"))
-    linked = components(links(docs, surveyed, clusters, words, percent))
-    told = surveyed.where(F.col("slice").isNull()).select("id", "n", "class")
+    linked = linked_classes(docs, surveyed, clusters, words, percent)
+    told = surveyed.where(F.col("slice").isNull()).select("id", "sign", "n", "class")
     classes = told.where("n > 0").groupBy("class").agg(F.min("id").alias("first_id"))
-    grouped = classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return told, classes.join(linked.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+
+
+def jaccard_components(df: DataFrame, words: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_shingles, component_id of every row of df; texts link when 100 * overlap >= percent * union."""
+    told, grouped = grouped_classes(df, words, percent, id_col, text_col)
     of_component = grouped.groupBy("component").agg(F.min("first_id").alias("component_id"))
     # Written, so that the last join shuffles both sides and a hot class can be split.
     of_class = materialise(grouped.join(of_component, "component").select("class", "component_id"), "gram-components")
     full = told.where("n > 0").join(of_class, "class").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return full.unionByName(told.where("n = 0").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("id").alias("component_id")))
+
+
+def one_of_each(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df's rows without near copies: of each component the row with the smallest id, a null id last.
+
+    Rows stay by id and text, not by id alone. Of a component's rows with one id and different texts one stays,
+    by a hash of the text, and of rows that agree in id and text one. Texts without words all stay.
+    """
+    told, grouped = grouped_classes(df, words, percent, id_col, text_col)
+    of_class = materialise(grouped.select("class", "component"), "gram-components")
+    lone = F.col("id").isNull().alias("lone")
+    first = told.where("n > 0").join(of_class, "class").groupBy("component").agg(F.min(F.struct(lone, F.coalesce("id", F.lit(0)).alias("i"), "sign")).alias("row"))
+    empty = told.where("n = 0").select(lone, F.coalesce("id", F.lit(0)).alias("i"), "sign").distinct()
+    kept = materialise(first.select("row.*", F.lit(False).alias("every")).unionByName(empty.withColumn("every", F.lit(True))), "gram-kept")
+    kept = kept.select(*(F.col(c).alias(f"__{c}") for c in kept.columns))
+    marked = df.withColumns({"__lone": F.col(id_col).isNull(), "__i": F.coalesce(F.col(id_col).cast("bigint"), F.lit(0)), "__sign": F.xxhash64(text_of(text_col))})
+    keys = ["__lone", "__i", "__sign"]
+    # The window lies on the join's own partitions.
+    met = marked.join(kept.hint("merge"), keys).withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*keys)))
+    return met.where("__every or __nth = 1").select(*df.columns)

@@ -127,19 +127,50 @@ def test_mixture_meets_its_targets(spark):
     assert len(rows) == 3000 and abs(sum(v[0].target for v in by.values()) - 1.5 * sum(r.size for r in rows)) < 1
     for v in by.values():
         assert v[0].source_size == sum(r.size for r in v) and v[0].target <= 2 * v[0].source_size + 1e-6
-        assert abs(sum(r.size * r.copies for r in v) - v[0].target) <= 17
-    assert all(r.copies <= 2 and len(r.shards) == r.copies for r in rows)
-    assert sorted(map(tuple, plan.select("doc_id", "copies", "shards").collect())) == sorted(map(tuple, mixing.plan_mix(df.repartition(7)).select("doc_id", "copies", "shards").collect()))
+        assert abs(sum(r.size * len(r.shards) for r in v) - v[0].target) <= 17
+    assert all(len(r.shards) <= 2 for r in rows)
+    assert sorted(map(tuple, plan.select("doc_id", "shards").collect())) == sorted(map(tuple, mixing.plan_mix(df.repartition(7)).select("doc_id", "shards").collect()))
     mixed = mixing.mixed_rows(df, plan)
-    assert mixed.count() == sum(r.copies for r in rows) and mixed.columns == [*df.columns, "shard"]
+    assert mixed.count() == sum(len(r.shards) for r in rows) and mixed.columns == [*df.columns, "shard"]
     shards = collections.Counter(r.shard for r in mixed.select("shard").collect())
     assert len(shards) == 16 and max(shards.values()) < 2 * min(shards.values())
 
 
+def test_tree_keeps_quotas(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BANDS", 3)
+    quotas = {f"k{i}": n for i, n in enumerate([0, 1, 2, 5, 40, 41, 300, 7, 0, 12000])}
+    root = spark.createDataFrame(list(quotas.items()), "key string, quota long")
+    whole = sum(quotas.values())
+    for depth in range(4):
+        leaves = collections.defaultdict(dict)
+        for r in mixing.split_tree(root, depth, 5).collect():
+            leaves[r.node][r.key] = r.quota
+        assert len(leaves) == 2**depth and {k: sum(v.get(k, 0) for v in leaves.values()) for k in quotas} == quotas
+        sizes = [sum(v.values()) for v in leaves.values()]
+        assert max(sizes) - min(sizes) <= depth and sum(sizes) == whole
+
+
+def test_hypergeometric_draws(spark):
+    """The inverted draws have the distribution's mean and variance, and never leave its support."""
+    from pyspark.sql import functions as F
+
+    cases_ = [(50, 20, 25), (10, 10, 5), (10, 0, 5), (7, 3, 7), (2, 1, 1), (4000, 100, 2000)]
+    df = spark.range(4000).crossJoin(spark.createDataFrame(cases_, "total long, ours long, drawn long"))
+    got = df.select("total", "ours", "drawn", mixing.hypergeometric(F.col("total"), F.col("ours"), F.col("drawn"), (F.col("id") + 0.5) / 4000).alias("k"))
+    for r in got.groupBy("total", "ours", "drawn").agg(F.avg("k").alias("mean"), F.var_pop("k").alias("var"), F.min("k").alias("low"), F.max("k").alias("high")).collect():
+        n, k, m = r.total, r.ours, r.drawn
+        assert abs(r.mean - m * k / n) < 0.01 + 0.001 * k and max(0, m - n + k) <= r.low <= r.high <= min(m, k)
+        assert abs(r["var"] - (m * k * (n - k) * (n - m) / (n * n * (n - 1)))) <= 0.01 * (1 + r["var"])
+
+
 def test_mixture_of_awkward_rows(spark):
-    rows = mixing.plan_mix(cases.docs(spark)).collect()
+    docs = cases.docs(spark)
+    plan = mixing.plan_mix(docs)
+    rows = plan.collect()
     assert collections.Counter((r.doc_id, r.size) for r in rows) == collections.Counter((i, len(cases.words(t))) for i, t in cases.TEXTS)
-    assert all(r.copies == 0 for r in rows if r.size == 0)
+    assert all(r.shards == [] for r in rows if r.size == 0)
+    mixed = mixing.mixed_rows(docs, plan)
+    assert mixed.columns == [*docs.columns, "shard_"] and mixed.count() == sum(len(r.shards) for r in rows)
     assert mixing.plan_mix(cases.none(spark)).count() == 0
 
 
@@ -175,6 +206,44 @@ def test_top_k_with_null_ids_is_as_in_sql(spark, tmp_path):
     assert topk_search.top_k(df.where("vec_id is null")).count() == 0
 
 
+def index_of(ids, m, size):
+    """Blocks of the vectors in order, and how to read them."""
+    blocks, raw = [], []
+    for at in range(0, len(ids), size):
+        told, parts = topk_search.block_parts(ids[at : at + size], m[at : at + size])
+        raw.append(b"".join(parts))
+        blocks.append({**told, "file": len(raw) - 1})
+    return [topk_search.Block(b, lambda f, at, n: raw[f][at : at + n]) for b in blocks]
+
+
+def test_search_skips_what_cannot_be_found():
+    rng = np.random.default_rng(8)
+    m = np.floor(rng.normal(size=(2000, 16)) * 8 * np.exp(-np.arange(2000) / 250)[:, None]).astype("i8")
+    ids = np.arange(2000)
+    best = topk_search.TopK(ids[:100:20], m[:100:20], 10)
+    for block in index_of(ids, m, 200):
+        best.search(block)
+    assert best.skipped > 0 and best.read_levels < sum(len(b.told["levels"]) for b in index_of(ids, m, 200))
+    for i, q in enumerate(ids[:100:20]):
+        want = sorted((-int(m[q] @ m[j]), int(j)) for j in ids if j != q)[:10]
+        mine = best.row == i
+        assert [(-s, j) for s, j in zip(best.score[mine].tolist(), best.id[mine].tolist())] == want
+
+
+def test_levels_are_left_unread():
+    """One level tells enough where the others are small."""
+    rng = np.random.default_rng(9)
+    m = rng.integers(-1, 2, (3000, 200))
+    m[np.arange(3000), rng.integers(0, 200, 3000)] = 1000
+    best = topk_search.TopK(np.arange(0, 60, 20), m[:60:20], 5)
+    for block in index_of(np.arange(3000), m, 500):
+        best.search(block)
+    assert best.unread_levels > 0
+    for i, q in enumerate((0, 20, 40)):
+        want = sorted((-int(m[q] @ m[j]), j) for j in range(3000) if j != q)[:5]
+        assert [(-s, j) for s, j in zip(best.score[best.row == i].tolist(), best.id[best.row == i].tolist())] == want
+
+
 def test_archives_round_trip(spark):
     pages = [(1, "https://a.example.com/x?q=1#f", "<p>one</p>"), (2, "http://A.example.com:80/x?q=1", "<p>one</p>"), (3, None, None), (4, "", ""), (5, "not a url\twith tab", "é漢"), (7, "https://b.example.org", "x" * 300_000), (7, "https://b.example.org", "y"), (None, "http://[bad", "<p>one</p>"), (9, "https://b.example.org/%", "y")]
     df = spark.createDataFrame([(*p, "c") for p in pages], "page_id long, url string, html string, payload string").repartition(3)
@@ -229,33 +298,65 @@ def test_toxicity_of_awkward_rows(spark):
 
 
 def test_scores_against_brute_force(spark):
-    got = lm_scoring.score_documents(cases.docs(spark)).collect()
-    toks = [(i, [*cases.words(t), None]) for i, t in cases.TEXTS]
+    rng = random.Random(6)
+    texts = cases.TEXTS + [(100 + i, " ".join(f"w{int(rng.expovariate(0.2))}" for _ in range(rng.randint(0, 60)))) for i in range(150)]
+    got = lm_scoring.score_documents(cases.docs(spark, texts)).collect()
+    toks = [(i, ["<s>", *cases.words(t), None]) for i, t in texts]
     held = lambda i: zlib.crc32(str(i if i is not None else "").encode()) % 7 == 2
-    uni, pair = collections.Counter(), collections.Counter()
+    uni, pair, triple, after = (collections.Counter() for _ in range(4))
     for i, x in toks:
         if not held(i):
-            uni.update(x)
-            pair.update(zip(["<s>", *x], x))
+            uni.update(x[1:])
+            after.update(x[:-1])
+            pair.update(zip(x, x[1:]))
+            triple.update(zip(x, x[1:], x[2:]))
     n, v = sum(uni.values()), len(uni)
-    starts = sum(not held(i) for i, _ in toks)
     want = []
     for i, x in toks:
-        p = [(uni[w] + 1) / (n + v + 1) for w in x]
-        model = sum(math.log10((pair[a, w] + lm_scoring.MU * q) / ((starts if a == "<s>" else uni[a]) + lm_scoring.MU)) for a, w, q in zip(["<s>", *x], x, p))
-        want.append((str(i), held(i), len(x), sum(uni[w] > 0 for w in x), n, sum(map(math.log10, p)), model))
+        p = [(uni[w] + 1) / (n + v + 1) for w in x[1:]]
+        model = 0.0
+        for k, q in enumerate(p, 1):
+            q = (pair[x[k - 1], x[k]] + lm_scoring.MU2 * q) / (after[x[k - 1]] + lm_scoring.MU2)
+            if k > 1:
+                q = (triple[x[k - 2], x[k - 1], x[k]] + lm_scoring.MU3 * q) / (pair[x[k - 2], x[k - 1]] + lm_scoring.MU3)
+            model += math.log10(q)
+        want.append((str(i), held(i), len(p), sum(uni[w] > 0 for w in x[1:]), n, sum(map(math.log10, p)), model))
     key = lambda r: (r[0], r[2], round(r[5], 3))
     for a, b in zip(sorted(want, key=key), sorted(((str(r.doc_id), *tuple(r)[1:]) for r in got), key=key)):
-        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * max(1, abs(a[5])) and abs(a[6] - b[6]) < 0.04 * max(1, abs(a[6]))
+        assert a[:5] == b[:5] and abs(a[5] - b[5]) < 1e-6 * max(1, abs(a[5])) and abs(a[6] - b[6]) <= 1.4e-4 * a[2] + 1e-6
     assert lm_scoring.score_documents(cases.none(spark)).count() == 0
 
 
+def test_too_many_words_are_an_error():
+    with pytest.raises(OverflowError):
+        lm_scoring.squeeze_planes(np.array([1 << 32]))
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_elias_fano(seed):
     rng = np.random.default_rng(seed)
     values = np.sort(rng.integers(0, 10 ** (2 + 2 * seed), 500))
     e = lm_scoring.EliasFano.encode(values)
-    code = lm_scoring.EliasFano(e["n"], e["low"], e["lows"], e["highs"])
+    code = lm_scoring.EliasFano(e["n"], e["low"], e["lows"], e["highs"], e["ranks"])
     assert code[np.arange(500)].tolist() == values.tolist()
-    keys = rng.integers(0, 10 ** (2 + 2 * seed), 200).astype("u8")
-    assert code.successor(keys, np.zeros(200, "i8"), np.full(200, 500)).tolist() == np.searchsorted(values, keys).tolist()
+    keys = np.concatenate([rng.integers(0, 10 ** (2 + 2 * seed), 200), values[::7], [values[-1] + 1, 10**12]]).astype("u8")
+    assert code.successor(keys).tolist() == np.searchsorted(values, keys).tolist()
+    assert [int(k) if a >= 0 else -1 for k, a in zip(keys, code.find(keys))] == [int(k) if k in set(values.tolist()) else -1 for k in keys.tolist()]
+
+
+def test_trie_finds_what_it_holds():
+    rng = np.random.default_rng(3)
+    rows = np.unique(rng.integers(1, 30, (3000, 3)), axis=0)
+    count = rng.integers(1, 9, len(rows))
+    held = rng.random(len(rows)) < 0.6
+    trie = lm_scoring.Trie(lm_scoring.trie_bytes(*rows[held].T, count[held], {}))
+    share3, share2, rest3, rest2 = (lm_scoring.OF_LEVEL[x] for x in trie.find(*rows.T))
+    c2, c1 = collections.Counter(), collections.Counter()
+    for (x, y, _), c in zip(rows[held].tolist(), count[held].tolist()):
+        c2[x, y] += c
+        c1[x] += c
+    pairs = sorted({(x, y) for x, y, _ in rows.tolist()})
+    near = lambda a, b: abs(a - b) <= 2e-4 * b
+    assert all(near(s, c / (c2[x, y] + lm_scoring.MU3)) if h else s == 0 for s, h, (x, y, _), c in zip(share3, held, rows.tolist(), count))
+    assert len(share2) == len(pairs) and all(near(s, c2[p] / (c1[p[0]] + lm_scoring.MU2)) if c2[p] else s == 0 for s, p in zip(share2, pairs))
+    assert all(near(s, lm_scoring.MU3 / (c2[p] + lm_scoring.MU3)) if c2[p] else s == 0 for s, p in zip(rest3, pairs)) and len(rest2) == len({x for x, _ in pairs})
