@@ -33,21 +33,25 @@ def dense(r: np.ndarray, c: np.ndarray, v: np.ndarray) -> np.ndarray:
     return out
 
 
-def per_image(px: DataFrame, value: str, kernel: Callable[..., np.ndarray], **options) -> DataFrame:
-    """kernel over each image of px (img_id, r, c, value); a boolean result gives its on-pixels, another all pixels."""
+def per_image(px: DataFrame, value: str, kernel: Callable[..., np.ndarray | tuple], columns: str = "value double", **options) -> DataFrame:
+    """kernel over each image of px (img_id, r, c, value): one of MASKS gives its on-pixels, another all pixels, with an
+    array for each of the columns (names and types, as in a schema)."""
+    names = [] if kernel in MASKS else [c.split()[0] for c in columns.split(",")]
+    kinds = {"int": "i4", "double": "f8"}
+    types = [] if kernel in MASKS else [kinds[c.split()[1]] for c in columns.split(",")]
 
     def go(group: pa.Table) -> pa.Table:
         r, c, v = (group.column(n).to_numpy() for n in ("r", "c", value))
         out = kernel(dense(r, c, v), **options)
-        if out.dtype == bool:
-            rows, cols = np.nonzero(out)
-            extra = {}
+        if not names:
+            (rows, cols), extra = np.nonzero(out), {}
         else:
-            rows, cols = (x.ravel() for x in np.indices(out.shape))
-            extra = {"value": pa.array(out.ravel().astype("f8"))}
+            outs = out if isinstance(out, tuple) else (out,)
+            rows, cols = (x.ravel() for x in np.indices(outs[0].shape))
+            extra = {n: pa.array(o.ravel().astype(t)) for n, t, o in zip(names, types, outs)}
         return pa.table({"img_id": pa.array(np.full(len(rows), group.column("img_id")[0].as_py())), "r": pa.array(rows.astype("i4")), "c": pa.array(cols.astype("i4")), **extra})
 
-    schema = "img_id bigint, r int, c int" + ("" if kernel in MASKS else ", value double")
+    schema = "img_id bigint, r int, c int" + ("" if kernel in MASKS else f", {columns}")
     return px.select("img_id", "r", "c", value).groupby("img_id").applyInArrow(go, schema)
 
 
@@ -195,8 +199,7 @@ def close(on: np.ndarray, size: int) -> np.ndarray:
 
 def canny(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
     """Blur, gradient, thinned ridges and hysteresis, joined with the adaptive mask and closed with a 2 x 2 element."""
-    ridges = thin_gradient(*sobel(blur(g)))
-    return close(hysteresis(ridges, low, high) | below_mean(g, offset), 2)
+    return close(hysteresis(ridges(blur(g)), low, high) | below_mean(g, offset), 2)
 
 
 def edges(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
@@ -204,6 +207,61 @@ def edges(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
     return thin(canny(g, low, high, offset))
 
 
+def gradient(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """gx, gy and their magnitude."""
+    gx, gy = sobel(g)
+    return gx, gy, np.abs(gx) + np.abs(gy)
+
+
+def ridges(g: np.ndarray) -> np.ndarray:
+    """The gradient's magnitude where no neighbour along its direction is larger."""
+    return thin_gradient(*sobel(g))
+
+
+def adaptive(g: np.ndarray, offset: int) -> np.ndarray:
+    return np.where(below_mean(g, offset), 255, 0)
+
+
+def closed_above(g: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Pixels above the level, closed."""
+    return close(g > level, size)
+
+
+def dark_lines(g: np.ndarray, level: int, size: int) -> np.ndarray:
+    """Pixels that are below the level when blurred, closed."""
+    return close(blur(g) < level, size)
+
+
+def drawn(segments: list[tuple], shape: tuple[int, int], width: int = 2) -> np.ndarray:
+    """operators.raster.rasterize of whole-number ends inside a view."""
+    on = np.zeros(shape, bool)
+    for x1, y1, x2, y2 in ((int(v) for v in s[:4]) for s in segments):
+        n = max(abs(x2 - x1), abs(y2 - y1))
+        i = np.arange(n + 1)
+        r, c = (np.floor(a + i * (b - a) / max(n, 1) + 0.5).astype(int) for a, b in ((y1, y2), (x1, x2)))
+        for dr in range(width):
+            for dc in range(width):
+                good = (r + dr >= 0) & (r + dr < shape[0]) & (c + dc >= 0) & (c + dc < shape[1])
+                on[r[good] + dr, c[good] + dc] = True
+    return on
+
+
+def line_edges(g: np.ndarray, offset: int) -> np.ndarray:
+    """Line segments drawn two pixels wide, joined with the adaptive mask and closed with a 3 x 3 element."""
+    return close(drawn(grow_segments(*sobel(g)), g.shape) | below_mean(g, offset), 3)
+
+
+def network_edges(g: np.ndarray, level: int) -> np.ndarray:
+    """The stand-in network's map as levels, above `level`, closed with a 2 x 2 element."""
+    return close(np.floor(stand_in_edges(g) * 255) > level, 2)
+
+
+def prompted_mask(g: np.ndarray, row: int, col: int, within: int, least: int, share: float) -> np.ndarray:
+    """The stand-in's mask closed with a 3 x 3 element; none if it is a speck or a large part of the view."""
+    on = close(grow_mask(g, row, col, within), 3)
+    return on & (least <= on.sum() <= int(share * on.size))
+
+
 def edge_distance(g: np.ndarray, low: int, high: int, offset: int) -> np.ndarray:
     return distance(edges(g, low, high, offset))
 
@@ -220,7 +278,7 @@ def mask_cost(g: np.ndarray, outside: int, edge: int, costs: tuple[float, float,
     return np.maximum(np.where(thin(closed.astype("u1")), least, cost), least)
 
 
-MASKS = (hysteresis, grow_mask, thin, canny, edges)
+MASKS = (hysteresis, grow_mask, thin, canny, edges, closed_above, dark_lines, line_edges, network_edges, prompted_mask)
 
 
 def grow_segments(gx: np.ndarray, gy: np.ndarray, least: float = 60.0, within: float = 22.5, fewest: int = 6) -> list[tuple]:
@@ -263,16 +321,15 @@ def grow_segments(gx: np.ndarray, gy: np.ndarray, least: float = 60.0, within: f
     return found
 
 
-def segments_of(gradient: DataFrame) -> DataFrame:
-    """img_id and the segments of each image of gradient (img_id, r, c, gx, gy)."""
+def segments_of(px: DataFrame, value: str = "g") -> DataFrame:
+    """img_id and the segments of each image of px (img_id, r, c, value)."""
     names = ("x1", "y1", "x2", "y2", "width", "prec", "density")
 
     def go(group: pa.Table) -> pa.Table:
-        r, c, gx, gy = (group.column(n).to_numpy() for n in ("r", "c", "gx", "gy"))
-        rows = grow_segments(dense(r, c, gx), dense(r, c, gy))
+        rows = grow_segments(*sobel(dense(*(group.column(n).to_numpy() for n in ("r", "c", value)))))
         return pa.table({"img_id": pa.array([group.column("img_id")[0].as_py()] * len(rows), pa.int64()), **{n: pa.array([x[i] for x in rows], pa.float64()) for i, n in enumerate(names)}})
 
-    return gradient.groupby("img_id").applyInArrow(go, "img_id bigint, " + ", ".join(f"{n} double" for n in names))
+    return px.select("img_id", "r", "c", value).groupby("img_id").applyInArrow(go, "img_id bigint, " + ", ".join(f"{n} double" for n in names))
 
 
 def least_cost(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], most: int | None = None) -> tuple[list[tuple[int, int]], float, bool]:

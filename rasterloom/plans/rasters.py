@@ -61,7 +61,7 @@ BLUR_SQL = """blurred AS (SELECT p.img_id, p.r, p.c, ((2 * sum(k.w * q.g) + sum(
 
 @query("gaussian_blur_3x3", f"WITH {GRAY}, {BLUR_SQL} SELECT img_id, r, c, g FROM blurred")
 def gaussian_blur_3x3(spark, sf_dir):
-    return ops.blur(gray(spark, sf_dir))
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.blur, "g int")
 
 
 TAPS = "taps(d, w) AS (VALUES " + ", ".join(f"({i - ops.ADAPTIVE_SIZE // 2}, {w})" for i, w in enumerate(ops.ADAPTIVE)) + ")"
@@ -71,7 +71,7 @@ meant AS (SELECT p.img_id, p.r, p.c, sum(t.w * q.s)::BIGINT AS s, sum(t.w * q.w)
 
 @query("adaptive_threshold_inv", f"WITH {GRAY}, {TAPS}, {ADAPTIVE_SQL} SELECT img_id, r, c, CASE WHEN g * w <= s - 10 * w THEN 255 ELSE 0 END AS \"on\" FROM gray JOIN meant USING (img_id, r, c)")
 def adaptive_threshold_inv(spark, sf_dir):
-    return ops.adaptive_threshold_inv(gray(spark, sf_dir), 10)
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.adaptive, "on int", offset=10)
 
 
 SOBEL_SQL = """sob AS (SELECT img_id, r, c, CASE WHEN n = 9 THEN gx ELSE 0 END::INT AS gx, CASE WHEN n = 9 THEN gy ELSE 0 END::INT AS gy FROM (
@@ -82,7 +82,7 @@ grad AS (SELECT *, abs(gx) + abs(gy) AS mag FROM sob)"""
 
 @query("sobel_gradient", f"WITH {GRAY}, {SOBEL_SQL} SELECT img_id, r, c, gx, gy, mag FROM grad")
 def sobel_gradient(spark, sf_dir):
-    return ops.sobel(gray(spark, sf_dir))
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.gradient, "gx int, gy int, mag int")
 
 
 NMS_SQL = """dirs AS (SELECT *, CASE WHEN abs(gy) * 1000 <= abs(gx) * 414 THEN 0 ELSE 1 END AS dr, CASE WHEN abs(gy) * 1000 <= abs(gx) * 414 THEN 1 WHEN abs(gy) * 414 >= abs(gx) * 1000 THEN 0 WHEN gx * gy > 0 THEN 1 ELSE -1 END AS dc FROM grad),
@@ -92,7 +92,7 @@ nms AS (SELECT d.img_id, d.r, d.c, CASE WHEN d.mag > coalesce(a.mag, 0) AND d.ma
 
 @query("canny_nms", f"WITH {GRAY}, {SOBEL_SQL}, {NMS_SQL} SELECT img_id, r, c, mag FROM nms")
 def canny_nms(spark, sf_dir):
-    return ops.thin_gradient(ops.sobel(gray(spark, sf_dir)))
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.ridges, "mag int")
 
 
 @query("canny_hysteresis", f"""WITH RECURSIVE {GRAY}, keep AS (
@@ -141,16 +141,14 @@ lean AS (SELECT g.img_id, g.r, g.c FROM gray g, {box} k JOIN ext e ON e.img_id =
 
 @query("morph_close", f"WITH {MASK}, {close_sql(3)} SELECT img_id, r, c FROM lean")
 def morph_close(spark, sf_dir):
-    px = gray(spark, sf_dir)
-    return ops.close(mask(spark, sf_dir), ops.extents(px), 3)
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.closed_above, level=150, size=3)
 
 
 @query("hed_postprocess", f"WITH {MASK.replace('g > 150', 'floor(g / 255.0::DOUBLE * 255) > 50')}, {close_sql(2)} SELECT img_id, r, c FROM lean")
 def hed_postprocess(spark, sf_dir):
     """A probability map to levels, thresholded and closed with a 2 x 2 element."""
-    px = gray(spark, sf_dir)
-    level = F.floor(F.col("g") / F.lit(255.0) * 255)
-    return ops.close(px.where(level > PRESENT), ops.extents(px), 2)
+    level = F.floor(F.col("g") / F.lit(255.0) * 255).cast("int")
+    return kernels.per_image(gray(spark, sf_dir).withColumn("g", level), "g", kernels.closed_above, level=PRESENT, size=2)
 
 
 @query("hed_crop", f"WITH {GRAY} SELECT img_id, r - 5 AS r, c - 12 AS c, g FROM gray WHERE r BETWEEN 5 AND 44 AND c BETWEEN 12 AND 51")
@@ -240,16 +238,19 @@ def detect_canny(spark, sf_dir):
 @query("lsd_segments")
 def lsd_segments(spark, sf_dir):
     """Line segments grown from pixels of one gradient direction."""
-    return kernels.segments_of(ops.sobel(gray(spark, sf_dir)))
+    return kernels.segments_of(gray(spark, sf_dir))
+
+
+def lsd_relational(px):
+    """What detect_lsd gives, from relations: the segments drawn, joined with the adaptive mask and closed."""
+    extent = ops.extents(px)
+    found = kernels.segments_of(px).select("img_id", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
+    return ops.close(ops.union_masks(ops.inside(ops.rasterize(found), extent), ops.adaptive_threshold_inv(px, 8).where(F.col("on") > 0)), extent, 3)
 
 
 @query("detect_lsd")
 def detect_lsd(spark, sf_dir):
-    px = gray(spark, sf_dir)
-    extent = ops.extents(px)
-    found = kernels.segments_of(ops.sobel(px)).select("img_id", *(F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")))
-    drawn = ops.inside(ops.rasterize(found), extent)
-    return ops.close(ops.union_masks(drawn, ops.adaptive_threshold_inv(px, 8).where(F.col("on") > 0)), extent, 3)
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.line_edges, offset=8)
 
 
 @query("hed_forward")
@@ -262,9 +263,8 @@ def hed_forward(spark, sf_dir):
 def detect_hed(spark, sf_dir):
     """Network edges where the backend is ready (even images), else Canny's."""
     px = gray(spark, sf_dir)
-    ready = px.where("img_id % 2 = 0")
-    net = kernels.per_image(ready, "g", kernels.stand_in_edges).where(F.floor(F.col("value") * 255) > PRESENT)
-    return ops.union_masks(ops.close(net, ops.extents(ready), 2), canny(px.where("img_id % 2 = 1")))
+    net = kernels.per_image(px.where("img_id % 2 = 0"), "g", kernels.network_edges, level=PRESENT)
+    return net.unionByName(canny(px.where("img_id % 2 = 1")))
 
 
 @query("detect_edges")
@@ -287,10 +287,8 @@ def sam_predict(spark, sf_dir):
 
 @query("sam_mask")
 def sam_mask(spark, sf_dir):
-    px = gray(spark, sf_dir)
-    closed = ops.close(kernels.per_image(px, "g", kernels.grow_mask, row=25, col=32, within=40), ops.extents(px), 3)
-    sizes = closed.groupBy("img_id").agg(F.count(F.lit(1)).alias("n")).where(f"n between {AREA_LEAST} and {int(AREA_SHARE * 3200)}")
-    return closed.join(sizes, "img_id", "left_semi")
+    """The closed mask of a prompt, where it is neither a speck nor a third of the view."""
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.prompted_mask, row=25, col=32, within=40, least=AREA_LEAST, share=AREA_SHARE)
 
 
 #: The flagship: dark-line edge pixels of a view, counted a row.
@@ -304,7 +302,7 @@ def edge_rows(spark, sf_dir):
     """Clip, normalise, blur, threshold, close, and count the pixels of every row."""
     view = raster(spark, sf_dir).where("r between 5 and 44 and c between 8 and 55").withColumns({"r": F.col("r") - 5, "c": F.col("c") - 8})
     px = ops.normalize(view).select("img_id", "r", "c", F.col("u8").alias("g"))
-    closed = ops.close(ops.blur(px).where("g < 110"), ops.extents(px), 2)
+    closed = kernels.per_image(px, "g", kernels.dark_lines, level=110, size=2)
     return closed.groupBy("img_id", (F.col("r") + 5).alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 

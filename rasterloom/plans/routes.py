@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, lines as line_ops
 from ..registry import query
-from .rasters import sam_cost_map
+from . import rasters
 from .fixtures import EVENTS, GRAY, gray, line_pts, mask, pointer_events
 
 COSTS = f"{GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
@@ -145,7 +145,7 @@ def sam_prompts(spark, sf_dir):
 @query("sam_path")
 def sam_path(spark, sf_dir):
     """Routes over the cost surface of a mask; none where the goal is not reached."""
-    return kernels.routes(sam_cost_map(spark, sf_dir), requests(spark, sf_dir), partial=False)
+    return kernels.routes(rasters.sam_cost_map(spark, sf_dir), requests(spark, sf_dir), partial=False)
 
 
 @query("optimal_path")

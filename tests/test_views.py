@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 
-from rasterloom.operators import kernels
+from rasterloom.operators import kernels, raster
 from rasterloom.plans import rasters
 from rasterloom.plans.fixtures import gray
 
@@ -28,11 +28,54 @@ def test_canny_is_as_the_relations_say(spark):
     assert on(rasters.canny(px)) == on(rasters.canny_relational(px))
 
 
-def test_one_scan_of_a_view(spark):
-    plan = rasters.detect_canny(spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
+def test_lines_are_as_the_relations_say(spark):
+    px = gray(spark, SF)
+    assert on(rasters.detect_lsd(spark, SF)) == on(rasters.lsd_relational(px))
+
+
+@pytest.mark.parametrize("name", ["detect_canny", "detect_lsd", "edge_cache", "edge_rows", "morph_close", "sam_mask"])
+def test_few_scans_of_a_view(spark, name):
+    plan = getattr(rasters, name)(spark, SF)._jdf.queryExecution().toString().split("== Physical Plan ==")[1]
     assert plan.count("FileScan") <= 3 and plan.count("Exchange") <= 6
 
 
+def test_local_steps_are_as_the_relations_say(spark):
+    px = gray(spark, SF)
+    rows = lambda df, *c: {tuple(r) for r in df.select("img_id", "r", "c", *c).collect()}
+    assert rows(rasters.gaussian_blur_3x3(spark, SF), "g") == rows(raster.blur(px), "g")
+    assert rows(rasters.adaptive_threshold_inv(spark, SF), "on") == rows(raster.adaptive_threshold_inv(px, 10), "on")
+    assert rows(rasters.sobel_gradient(spark, SF), "gx", "gy", "mag") == rows(raster.sobel(px), "gx", "gy", "mag")
+    assert rows(rasters.canny_nms(spark, SF), "mag") == rows(raster.thin_gradient(raster.sobel(px)), "mag")
+    assert on(rasters.morph_close(spark, SF)) == on(raster.close(px.where("g > 150"), raster.extents(px), 3))
+
+
+def test_prompted_masks(spark):
+    """Of a made view: the connected region of the prompt's level, closed; none where it is too small or too large."""
+    v = np.zeros((20, 20), "i4")
+    v[5:10, 5:12] = 200
+    v[15:18, 15:18] = 200
+    want = np.zeros(v.shape, bool)
+    want[5:10, 5:12] = True
+    assert (kernels.prompted_mask(v, 7, 7, 40, 24, 0.35) == want).all()
+    assert not kernels.prompted_mask(v, 16, 16, 40, 24, 0.35).any() and not kernels.prompted_mask(v, 0, 0, 40, 24, 0.35).any()
+    got = rasters.sam_mask(spark, SF).groupBy("img_id").count().collect()
+    assert all(24 <= r["count"] <= 0.35 * 3200 for r in got)
+
+
+def test_best_route_of_each_request(spark):
+    """optimal_path takes the mask's route, else the edge costs', else the goal alone."""
+    from rasterloom.plans import routes
+
+    ends = {r.req_id: (r.er, r.ec) for r in routes.requests(spark, SF).collect()}
+    ways = {n: {} for n in ("sam", "edge")}
+    for name, df in (("sam", routes.sam_path(spark, SF)), ("edge", routes.astar_path(spark, SF))):
+        for r in sorted(df.collect(), key=lambda r: r.seq):
+            ways[name].setdefault(r.req_id, []).append((r.r, r.c))
+    got = {r.req_id: [tuple(p) for p in r.path] for r in routes.optimal_path(spark, SF).collect()}
+    assert got == {i: (ways["sam"].get(i) if i % 3 == 0 else None) or (ways["edge"].get(i) if i % 3 < 2 else None) or [e] for i, e in ends.items()}
+    assert all(p[-1] == ends[i] for i, p in got.items())
+
+
 def around(v, r, c, reach):
     return [(i, j) for i in range(r - reach, r + reach + 1) for j in range(c - reach, c + reach + 1) if 0 <= i < v.shape[0] and 0 <= j < v.shape[1]]
 
