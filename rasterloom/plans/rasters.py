@@ -281,14 +281,14 @@ def sam_set_image(spark, sf_dir):
 
 @query("sam_predict")
 def sam_predict(spark, sf_dir):
-    """The mask of a prompt in the middle of each image: connected pixels within 40 levels of it."""
-    return kernels.per_image(gray(spark, sf_dir), "g", kernels.grow_mask, row=25, col=32, within=40)
+    """The mask of a prompt in the middle of each image: connected pixels within 18 levels of it."""
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.grow_mask, row=25, col=32, within=18)
 
 
 @query("sam_mask")
 def sam_mask(spark, sf_dir):
     """The closed mask of a prompt, where it is neither a speck nor a third of the view."""
-    return kernels.per_image(gray(spark, sf_dir), "g", kernels.prompted_mask, row=25, col=32, within=40, least=AREA_LEAST, share=AREA_SHARE)
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.prompted_mask, row=25, col=32, within=18, least=AREA_LEAST, share=AREA_SHARE)
 
 
 #: The flagship: dark-line edge pixels of a view, counted a row.
