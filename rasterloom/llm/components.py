@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions
+from .common import discard, materialise, partitions
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -41,5 +41,6 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = _least(now).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).repartition(partitions(edges.sparkSession), "u")
         small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         both = F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))
-        now = materialise(small.select(F.explode(both).alias("e")).select("e.*").where("u <> v").distinct(), "stars")
+        before, now = now, materialise(small.select(F.explode(both).alias("e")).select("e.*").where("u <> v").distinct(), "stars")
+        discard(before)
     raise RuntimeError("the components did not settle")
