@@ -55,6 +55,7 @@ class PrefixCounter:
     """Token counts of all prefixes for one byte-level BPE file."""
 
     def __init__(self, name: str = DEFAULT_FILE):
+        import ahocorasick
         from tokenizers import Tokenizer
 
         path = tokenizer_path(name)
@@ -76,9 +77,11 @@ class PrefixCounter:
             if n == len(self.parts):
                 self.parts.append(pair)
             self.merged.setdefault(pair, n)
-        self.longest = max(map(len, self.token))
-        self.alone: dict[int, bool] = {}
-        self.finder = None
+        self.alone: dict[int, bool] = dict.fromkeys(range(256), True)
+        self.finder = ahocorasick.Automaton()
+        for token, t in self.token.items():
+            self.finder.add_word(token.decode("latin-1"), (t, len(token)))
+        self.finder.make_automaton()
         self.forget()
 
     def forget(self) -> None:
@@ -112,49 +115,36 @@ class PrefixCounter:
 
     def whole(self, t: int) -> bool:
         """Whether the token's own bytes encode to it alone."""
-        if t < 256:
-            return True
         if (known := self.alone.get(t)) is None:
             a, b = self.parts[t]
             known = self.alone[t] = self.whole(a) and self.whole(b) and self._seam(a, b, t)
         return known
 
     def table(self, piece: bytes) -> tuple[int, ...]:
-        """Token counts of piece[:0], piece[:1], ... for one pre-tokenizer piece."""
+        """Token counts of piece[:0], piece[:1], ... for one pre-tokenizer piece; the automaton tells the tokens that end
+        at each byte, so no other bytes are tried, however long the piece."""
         if (known := self.tables.get(piece)) is not None:
             return known
         n = len(piece)
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        token, fits = self.token, self.compatible
-        if n > LONGEST:
-            self._long_table(piece, last, count)
-            return tuple(count)
-        for i in range(1, n + 1):
-            for start in range(max(0, i - self.longest), i):
-                t = token.get(piece[start:i])
-                if t is not None and (fits(last[start], t) if start else self.whole(t)):
-                    last[i], count[i] = t, count[start] + 1
-                    break
-        if len(self.tables) > MEMO // 5:
-            self.tables.clear()
-        self.tables[piece] = tuple(count)
-        return tuple(count)
-
-    def _long_table(self, piece: bytes, last: list[int], count: list[int]) -> None:
-        """The same for a piece of any length: an automaton tells the tokens that end at each byte, so no other bytes are tried."""
-        if self.finder is None:
-            import ahocorasick
-
-            self.finder = ahocorasick.Automaton()
-            for raw, t in self.token.items():
-                self.finder.add_word(raw.decode("latin-1"), (t, len(raw)))
-            self.finder.make_automaton()
+        fits, alone = self.fits, self.alone
         for end, (t, length) in self.finder.iter(piece.decode("latin-1")):
             i = end + 1
-            if last[i] < 0:
-                start = i - length
-                if self.compatible(last[start], t) if start else self.whole(t):
-                    last[i], count[i] = t, count[start] + 1
+            if last[i] >= 0:
+                continue
+            start = i - length
+            if start:
+                if (good := fits.get(last[start] << 20 | t)) is None:
+                    good = self.compatible(last[start], t)
+            elif (good := alone.get(t)) is None:
+                good = self.whole(t)
+            if good:
+                last[i], count[i] = t, count[start] + 1
+        if n <= LONGEST:
+            if len(self.tables) > MEMO // 5:
+                self.tables.clear()
+            self.tables[piece] = tuple(count)
+        return tuple(count)
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokenizer's pieces of a text without special strings."""
