@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,10 +85,13 @@ def fillings(rest: dict[int, int], lengths: list[int], capacity: int, most: int)
     the pieces left can make are followed, so each step leads to a filling.
     """
     room = capacity - lengths[-1]
-    counts = {x: rest[x] for x in lengths[: bisect.bisect_right(lengths, room)]}
-    if lengths[-1] in counts:
+    # By length, in eight bytes each: a level of the search keeps its counts, and there may be thousands of levels.
+    counts = array("q", [0]) * (room + 1)
+    for x in lengths[: bisect.bisect_right(lengths, room)]:
+        counts[x] = rest[x]
+    if lengths[-1] <= room:
         counts[lengths[-1]] -= 1
-    sizes = [x for x, n in counts.items() if n]
+    sizes = array("i", (x for x, n in enumerate(counts) if n))
     every = (1 << room + 1) - 1
     reach = [1]  # as bits: the sums that the first i sizes make; all of the rest are as the last
     for x in sizes:

@@ -179,7 +179,7 @@ def test_packed_pieces(spark):
 def test_memo_forgets_and_stays_right(monkeypatch):
     from rasterloom.llm import tokenizing
 
-    monkeypatch.setattr(tokenizing, "MEMO", 20)
+    monkeypatch.setattr(tokenizing, "MEMO_BYTES", 200 * 20)
     coder, random_ = ChunkTokenizer("byte_bpe_50k.json"), random.Random(6)
     for _ in range(30):
         texts = [" ".join(f"w{random_.randint(0, 60)}" for _ in range(12)) for _ in range(3)]
