@@ -9,13 +9,13 @@ each sums to one. A text's first word has the start as its only context and is s
 Each block's distinct trigrams are routed, with their training counts, to the shard of their first
 word. A shard adds the counts up and writes its part of the trie: three levels of words, the pointers from a
 level to the next, all monotone sequences in Elias-Fano code (the successors of a context stand above the
-last value of the context before), with the shares c / (c + MU) and the rests MU / (c + MU) as two-byte levels of
-their logarithm. The file is memory-mapped and stays packed: a word is sought among the successors of its
+last value of the context before), with the rests MU / (c + MU) as two-byte levels of their logarithm: a context's rest is
+what it leaves to the shorter one, and a word's share of a context is its count, which its own level tells, times that rest. The file is memory-mapped and stays packed: a word is sought among the successors of its
 context by a select in the high bits, through a directory of ranks, and by the low bits of that one bucket. The levels
 go back to the blocks, which add up documents. Frequent first words are spread over shards by their
 second word. There are as many shards as SHARD_TOKENS of the corpus's tokens ask for, so none grows with it.
 
-A share or a rest is off by at most half a level, so a token's log10 probability by at most 1.4e-4.
+Counts up to 3,000 come back exactly; else a level is off by at most half a step, and a token's log10 probability by at most 2.1e-4.
 
 Defined results: a null text counts as empty, its only token is the end; repeated rows count and
 are scored each; without training documents every count is 0; more than 2**32 - 1 different words are an error.
@@ -26,11 +26,11 @@ from __future__ import annotations
 import json
 import math
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,23 +54,40 @@ START = np.int64(0)
 BLOCKS = "block bigint, doc_ids binary, nulls binary, held binary, lengths binary, words binary, counts binary, size bigint, tokens binary"
 
 
+def pack(raw: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(raw)
+
+
+def unpack(b: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(b)
+
+
 def squeeze(a: np.ndarray) -> bytes:
-    return zlib.compress(a.tobytes(), 1)
+    return pack(a.tobytes())
 
 
 def stretch(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(b), kind)
+    return np.frombuffer(unpack(b), kind)
 
 
 def squeeze_planes(a: np.ndarray) -> bytes:
     """Whole numbers below 2**32 in four planes of bytes, the higher ones mostly zeros."""
     if len(a) and int(a.max()) >= 1 << 32:
         raise OverflowError("more than 2**32 - 1 different words or counts")
-    return zlib.compress(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes(), 1)
+    return pack(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def squeeze_levels(a: np.ndarray) -> bytes:
+    """Two-byte levels in two planes of bytes."""
+    return pack(a.astype("<u2").view("u1").reshape(-1, 2).T.tobytes())
+
+
+def stretch_levels(b: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(unpack(b), "u1").reshape(2, -1).T).view("<u2").ravel()
 
 
 def stretch_planes(b: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(b), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
+    return np.ascontiguousarray(np.frombuffer(unpack(b), "u1").reshape(4, -1).T).view("<u4").ravel().astype("i8")
 
 
 #: Set bits of each byte, and the place of the k-th set bit in it.
@@ -98,7 +115,8 @@ class EliasFano:
         return {"n": n, "low": low, "lows": np.concatenate([*lows, np.zeros(9, "u1")]), "highs": highs, "ranks": np.concatenate([[0], ranks[:-1]]).astype("<u4")}
 
     def __init__(self, n: int, low: int, lows: np.ndarray, highs: np.ndarray, ranks: np.ndarray):
-        self.n, self.low, self.lows = n, low, lows
+        self.n, self.low, self.highs = n, low, highs
+        self.lanes = np.ndarray(len(lows) - 7, "<u8", lows, strides=(1,))  # the eight bytes from each byte on
         self.words, self.ranks = highs.reshape(-1, 8), ranks.view("<u4")
 
     def _in_word(self, word: np.ndarray, k: np.ndarray, flip: int) -> np.ndarray:
@@ -118,13 +136,17 @@ class EliasFano:
         return high.astype("u8") << np.uint64(self.low) | self._low(i)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
-        value = np.zeros(len(i), "u8")
         if not self.low:
-            return value
+            return np.zeros(len(i), "u8")
         at = i * self.low
-        for k in range((self.low + 7 + 7) // 8):
-            value |= self.lows[(at >> 3) + k].astype("u8") << np.uint64(8 * k)
-        return value >> (at & 7).astype("u8") & np.uint64((1 << self.low) - 1)
+        return self.lanes[at >> 3] >> (at & 7).astype("u8") & np.uint64((1 << self.low) - 1)
+
+    def _has(self, high: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Whether the value at place i has these high bits: then it is the set bit at their sum."""
+        at = high + i
+        inside = at < len(self.highs) * 8
+        at = np.where(inside, at, 0)
+        return inside & (self.highs[at >> 3] >> (at & 7).astype("u1") & 1).astype(bool)
 
     def _below(self, high: np.ndarray) -> np.ndarray:
         """How many values have high bits below high: the clear bit that ends the high before tells."""
@@ -142,9 +164,16 @@ class EliasFano:
             return np.zeros(len(key), "i8")
         key = key.astype("u8")
         high, low = (key >> np.uint64(self.low)).astype("i8"), key & np.uint64((1 << self.low) - 1)
-        lo, hi = self._below(high), self._below(high + 1)
-        open_ = np.flatnonzero(lo < hi)
-        while len(open_):  # in the one bucket that shares the high bits
+        lo = self._below(high)
+        # In the one bucket that shares the high bits: two steps, then, in long buckets, by halves.
+        open_ = np.arange(len(key))
+        for _ in range(2):
+            open_ = open_[self._has(high[open_], lo[open_]) & (self._low(np.minimum(lo[open_], self.n - 1)) < low[open_])]
+            lo[open_] += 1
+        hi = lo.copy()
+        hi[open_] = self._below(high[open_] + 1)
+        open_ = open_[lo[open_] < hi[open_]]
+        while len(open_):
             mid = (lo[open_] + hi[open_]) >> 1
             less = self._low(mid) < low[open_]
             lo[open_[less]] = mid[less] + 1
@@ -155,9 +184,12 @@ class EliasFano:
     def find(self, key: np.ndarray) -> np.ndarray:
         """The place of each key, or -1."""
         at = self.successor(key)
-        there = at < self.n
-        there[there] = self[at[there]] == key[there].astype("u8")
-        return np.where(there, at, -1)
+        key = key.astype("u8")
+        there = np.flatnonzero(at < self.n)
+        same = self._has((key[there] >> np.uint64(self.low)).astype("i8"), at[there]) & (self._low(at[there]) == key[there] & np.uint64((1 << self.low) - 1))
+        out = np.full(len(key), -1)
+        out[there[same]] = at[there[same]]
+        return out
 
 
 def to_level(p: np.ndarray) -> np.ndarray:
@@ -169,6 +201,15 @@ def to_level(p: np.ndarray) -> np.ndarray:
 OF_LEVEL = np.concatenate([[0.0], 10 ** (LOWEST - LOWEST * np.arange(LEVELS) / (LEVELS - 1))])
 
 
+def level_of_count(count: np.ndarray) -> np.ndarray:
+    return to_level(MU3 / (count + MU3))
+
+
+def count_of(level: np.ndarray) -> np.ndarray:
+    """The count that a level tells; 0 for no level."""
+    return np.where(level > 0, np.rint(MU3 / np.maximum(OF_LEVEL[level], 1e-12) - MU3), 0.0)
+
+
 def firsts(*columns: np.ndarray) -> np.ndarray:
     """Where a new combination begins in rows that are sorted by the columns."""
     new = np.ones(len(columns[0]), bool)
@@ -194,15 +235,13 @@ def trie_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, count: np.ndarray, t
     contexts = x[pair][context]
     for i in np.flatnonzero(np.isin(contexts, list(totals))):
         total[i] = totals[int(contexts[i])]
-    pairs_of, third = np.diff(np.append(context, len(pair))), np.diff(np.append(pair, len(x)))
     parts = {
         "contexts": EliasFano.encode(contexts), "pointers": EliasFano.encode(np.append(context, len(pair))), "seconds": EliasFano.encode(above_before(y[pair], context)),
         "pair_pointers": EliasFano.encode(np.append(pair, len(x))), "thirds": EliasFano.encode(above_before(z, pair)),
     }
     arrays = {f"{k}.{a}": e[a] for k, e in parts.items() for a in ("lows", "highs", "ranks")}
     arrays |= {
-        "rest2": to_level(MU2 / (total + MU2)), "share2": to_level(of_pair / (np.repeat(total, pairs_of) + MU2)),
-        "rest3": to_level(MU3 / (of_pair + MU3)), "share3": to_level(count / (np.repeat(of_pair, third) + MU3)),
+        "rest2": to_level(MU2 / (total + MU2)), "count2": level_of_count(of_pair), "count3": level_of_count(count),
     }
     places, at = {}, 0
     for k, a in arrays.items():
@@ -229,7 +268,7 @@ class Trie:
 
         level = lambda k: EliasFano(*header[k], part(f"{k}.lows"), part(f"{k}.highs"), part(f"{k}.ranks", "<u4"))
         self.contexts, self.pointers, self.seconds, self.pair_pointers, self.thirds = map(level, ("contexts", "pointers", "seconds", "pair_pointers", "thirds"))
-        self.rest2, self.share2, self.rest3, self.share3 = (part(k, "<u2") for k in ("rest2", "share2", "rest3", "share3"))
+        self.rest2, self.count2, self.count3 = (part(k, "<u2") for k in ("rest2", "count2", "count3"))
 
     @staticmethod
     def open(uri: str) -> Trie:
@@ -256,17 +295,17 @@ class Trie:
         return out
 
     def find(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Levels of share3 of each trigram, share2 and rest3 of each pair, rest2 of each first word; 0 where the
+        """Levels of the count of each trigram, of the count of each pair, and of the rest of each first word; 0 where the
         trie has none. The trigrams are sorted and distinct; pairs and first words are told once, in order."""
         pair = firsts(x, y)
         context = firsts(x[pair])
         if self.empty:
-            return tuple(np.zeros(n, "<u2") for n in (len(x), len(pair), len(pair), len(context)))
+            return tuple(np.zeros(n, "<u2") for n in (len(x), len(pair), len(context)))
         of = lambda level, at: np.where(at >= 0, level[at], 0).astype("<u2")
         first = self.contexts.find(x[pair][context])
         second = self._among(self.seconds, self.pointers, np.repeat(first, np.diff(np.append(context, len(pair)))), y[pair])
         third = self._among(self.thirds, self.pair_pointers, np.repeat(second, np.diff(np.append(pair, len(x)))), z)
-        return of(self.share3, third), of(self.share2, second), of(self.rest3, second), of(self.rest2, first)
+        return of(self.count3, third), of(self.count2, second), of(self.rest2, first)
 
 
 def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -402,7 +441,7 @@ def _shards(x: np.ndarray, y: np.ndarray, hot: np.ndarray, shards: int) -> list[
 
 
 def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_shards: int, shards: int, root: str | None = None) -> DataFrame:
-    """Build the trie's shards and look up every block's trigrams: (block, shard, file, data), written.
+    """Build the trie's shards and look up every block's trigrams: (block, shard, file, data).
 
     hot: frequent first words and their training totals, at most 4 a shard of the words.
     """
@@ -438,11 +477,11 @@ def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_sh
             out.write(trie_bytes((pair >> np.uint64(32)).astype("i8"), half(pair), half(key), total, hot))
         del x, y, z, count, seen, of, back
         trie = Trie.open(f"{folder}/{name}")
-        found = [squeeze(np.concatenate(trie.find(np.cumsum(p[0]), p[1], p[2]))) for p in parts]
+        found = [squeeze_levels(np.concatenate(trie.find(np.cumsum(p[0]), p[1], p[2]))) for p in parts]
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "file": pa.array([f"{folder}/{name}"] * len(parts)), "data": pa.array(found, pa.binary())})
 
     routed = blocks.select("block", "doc_ids", "nulls", "held", "lengths", "words", "tokens").groupby("block").cogroup(numbered.groupby("block")).applyInArrow(route, "block bigint, shard bigint, data binary")
-    return materialise(routed.groupby("shard").applyInArrow(build_and_find, "block bigint, shard bigint, file string, data binary"), "lm-levels")
+    return routed.groupby("shard").applyInArrow(build_and_find, "block bigint, shard bigint, file string, data binary")
 
 
 def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -468,13 +507,16 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             x, y, z, place = _trigrams(b)
             share3, share2, rest3, rest2 = np.zeros(len(x)), np.zeros(len(x)), np.ones(len(x)), np.ones(len(x))
             for s, g in _shards(x, y, spread, shards):
-                found = OF_LEVEL[stretch(by["levels", s], "<u2")]
+                found = stretch_levels(by["levels", s])
                 pair = firsts(x[g], y[g])
                 context = firsts(x[g][pair])
                 pairs, thirds = np.diff(np.append(context, len(pair))), np.diff(np.append(pair, len(g)))
-                of_third, of_pair, left3, left2 = np.split(found, np.cumsum([len(g), len(pair), len(pair)]))
-                share3[g], share2[g] = of_third, np.repeat(of_pair, thirds)
-                rest3[g], rest2[g] = np.repeat(np.where(left3 > 0, left3, 1.0), thirds), np.repeat(np.repeat(np.where(left2 > 0, left2, 1.0), pairs), thirds)
+                of_third, of_pair, left2 = np.split(found, np.cumsum([len(g), len(pair)]))
+                left2 = np.repeat(np.where(left2 > 0, OF_LEVEL[left2], 1.0), pairs)
+                of_pair = count_of(of_pair)
+                share2[g], rest2[g] = np.repeat(of_pair * left2 / MU2, thirds), np.repeat(left2, thirds)
+                rest3[g] = np.repeat(MU3 / (of_pair + MU3), thirds)
+                share3[g] = count_of(of_third) * rest3[g] / MU3
             # A frequent first word is spread over shards, and one without any of its pairs doesn't know it.
             at = np.searchsorted(spread, x).clip(max=len(spread) - 1)
             rest2 = np.where(spread[at] == x, spread_rest[at], rest2)
