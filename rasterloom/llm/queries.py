@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import documents
 from .dac_tokens import read_documents, write_shards
 from .exact_dedup import DigestIndex, dedup_batch
+from .fill_in_middle import fill_in_middle, restored
 from .jaccard_join import jaccard_components
+from .language_id import language
 from .lm_scoring import score_documents
 from .mixing import plan_mix
 from .packing import pack_documents
@@ -18,6 +20,7 @@ from .token_counts import token_counts
 from .topk_search import top_k
 from .toxicity import toxicity
 from .warc_index import archive_and_read
+from .whitening import whiten
 
 #: Context length of the over_limit column.
 TOKEN_LIMIT = 1024
@@ -64,6 +67,22 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(documents(spark, sf_dir))
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language(documents(spark, sf_dir))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    return cut.select(
+        "doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2(F.col("fim_output"), 256).alias("output_sha256"), F.sha2(restored(F.col("fim_output"), F.col("fim_form")), 256).alias("restored_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -158,7 +177,31 @@ SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, coalesce(min
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN r ON r.node = d.doc_id GROUP BY d.doc_id
 """
 
-QUERIES = (op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op7_jaccard_join, op8_source_mix, op9_exact_top_k, op10_lm_scoring)
+OP12_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+         sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex
+  FROM documents
+), h AS (
+  SELECT *, list_transform(range(4), lambda k: ('0x' || substr(hex, (8 * k + 1)::INT, 8))::BIGINT) AS h FROM d
+), c AS (
+  SELECT *, least(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS a, greatest(h[1] % (len(t) + 1), h[2] % (len(t) + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 50 THEN 'plain'
+              WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), p AS (
+  SELECT *, array_to_string(t[1:a], '') AS prefix, array_to_string(t[a + 1:b], '') AS middle, array_to_string(t[b + 1:], '') AS suffix FROM c
+)
+SELECT doc_id, len(t)::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+QUERIES = (
+    op1_warc_index, op2_token_counts, op3_best_fit_packing, op4_exact_dedup, op5_token_files, op6_toxicity, op7_jaccard_join, op8_source_mix, op9_exact_top_k, op10_lm_scoring,
+    op11_language, op12_fill_in_middle, op13_whitening,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -166,4 +209,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_index": OP1_SQL, "op7_jaccard_join": OP7_SQL, "op4_exact_dedup": OP4_SQL, "op8_source_mix": OP8_SQL, "op9_exact_top_k": OP9_SQL}
+    return {"op1_warc_index": OP1_SQL, "op7_jaccard_join": OP7_SQL, "op4_exact_dedup": OP4_SQL, "op8_source_mix": OP8_SQL, "op9_exact_top_k": OP9_SQL, "op12_fill_in_middle": OP12_SQL}
