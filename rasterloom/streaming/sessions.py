@@ -1,69 +1,147 @@
 """Tracing sessions as a fold over pointer and key events, in batch and as a stateful stream.
 
 A session's state is one small row: whether it traces, its smoothed pointer, the anchor of the movement gate, its path,
-its checkpoints, its preview and the line end it resumes. The same step function folds a batch of a session's events (one
-group a session) and a stream's, where the state store keeps the row between batches.
+its checkpoints, its preview and the line end it resumes. Beside it stand the ends of the lines that the session has
+saved or merged, under the grid cell of each end, so that a later press meets them. The same step function folds a
+batch of a session's events (one group a session) and a stream's, where the state store keeps both between batches.
 
 Rules. A press starts a path, at an end of an existing line if one is near (resume). A press near the start, within
-30 while the path is the start alone and within 20 after, makes a spot height or closes the line; any other commits
-the preview or else adds the point, and is a checkpoint; it does not move the gate's anchor. A move or drag nearer than 18 to
-the anchor does nothing but smooth the pointer. A drag adds the raw point, snapped unless the manual key is held, and
-moves the anchor; a move makes a preview: the raw point with the manual key, else the way to the smoothed pointer. An
-undo does nothing while the start is the only checkpoint. Finish saves two points or more.
-The way to the smoothed pointer and the snap need pixels; here they are the pointer itself and the raw point.
+30 pixels while the path is the start alone and within 20 after, makes a spot height or closes the line; any other commits
+the preview or else adds the point, and is a checkpoint; it does not move the gate's anchor. A move or drag nearer than 18
+pixels to the anchor does nothing but smooth the pointer. A drag adds the raw point, snapped unless the manual key is held,
+and moves the anchor; a move makes a preview: the raw point with the manual key, else the way to the smoothed pointer. An
+undo does nothing while the start is the only checkpoint. Finish saves two points or more: a resumed line takes them at
+its end, any other is new; cancel drops them. What ends a path also clears the smoothed pointer.
+Distances are pixels times the event's `unit`, map units a pixel; the gate keeps the unit of its start.
+The way to the smoothed pointer and the snap need pixels: streaming.tracing folds with a view; here they are the pointer
+itself and the raw point.
+
+Time. Events are folded in order (ts, event_id), whatever the order in which they arrive: the stream holds an event until
+the watermark has passed it, and drops one that comes later than that. After `timeout` without an event a path is given
+up (action `expired`, a row without an event); after `keep` without one the session's line ends go too, and with them the
+last of its state. By then the given layer must hold what was saved.
 """
 
 from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from ..operators.lines import merge_at_end, merge_at_start
 
-#: Pointer smoothing, the movement gate, the radii that close a line and make a spot height, and that resume a line.
+#: Pointer smoothing; in pixels the movement gate, the radii that close a line and make a spot height, and that resume a line.
 SHARE, GATE, CLOSE, SPOT, RESUME = 0.3, 18.0, 20.0, 30.0, 10.0
-OUT = "session bigint, event_id bigint, action string, n_points int, checkpoint int, x double, y double"
+#: Map units of a grid cell that line ends lie in, and the cells up to which a press looks at cells instead of all ends.
+CELL, MOST_CELLS = 10.0, 256
+#: Microseconds without an event after which a path is given up, and after which a session's line ends are forgotten.
+TIMEOUT, KEEP = 24 * 3600 * 10**6, 7 * 24 * 3600 * 10**6
+#: A new line's number is the event's that saved it, from FIRST on: unique without a counter that outlives its session.
+FIRST = 1_000_000_000
+OUT = "session bigint, event_id bigint, action string, n_points int, checkpoint int, x double, y double, us bigint, line_id bigint, side string, line array<struct<x:double,y:double>>"
+EVENT = ("us", "event_id", "kind", "x", "y", "manual", "unit", "line_id", "x0", "y0", "x1", "y1")
 
 
 def fresh() -> dict:
-    return {"on": False, "sx": None, "sy": None, "ax": None, "ay": None, "path": [], "cps": [], "preview": [], "resume": None}
+    return {"on": False, "sx": None, "sy": None, "ax": None, "ay": None, "gate": GATE, "path": [], "cps": [], "preview": [], "resume": None}
+
+
+class Layer:
+    """The ends of the lines that a session has saved or merged: line -> (x0, y0, x1, y1), and cell -> [line, at its end]."""
+
+    def __init__(self, lines=None, cells=None):
+        self.lines, self.cells = {} if lines is None else lines, {} if cells is None else cells
+
+    @staticmethod
+    def cell(x: float, y: float) -> str:
+        return f"{math.floor(x / CELL)},{math.floor(y / CELL)}"
+
+    def put(self, line: int, ends: tuple[float, float, float, float]) -> None:
+        before = self.lines.get(str(line))
+        for at_end in (0, 1) if before else ():
+            cell = self.cell(*before[2 * at_end : 2 * at_end + 2])
+            left = [e for e in self.cells.get(cell) if e != [line, at_end]]
+            if left:
+                self.cells[cell] = left
+            else:
+                del self.cells[cell]
+        self.lines[str(line)] = list(ends)
+        for at_end in (0, 1):
+            cell = self.cell(*ends[2 * at_end : 2 * at_end + 2])
+            self.cells[cell] = [*(self.cells.get(cell) or []), [line, at_end]]
+
+    def near(self, x: float, y: float, reach: float, given: Iterable[tuple] = ()) -> tuple[int, bool, tuple[float, float], tuple] | None:
+        """(line, whether its start, the point, the line's ends) of the nearest end within reach, of the session's lines and
+        of those given (line, x0, y0, x1, y1) that it has not changed; ties go to the smaller line and its start."""
+        span = [range(math.floor((v - reach) / CELL), math.floor((v + reach) / CELL) + 1) for v in (x, y)]
+        if len(span[0]) * len(span[1]) <= MOST_CELLS:
+            own = [line for i in span[0] for j in span[1] for line, _ in self.cells.get(f"{i},{j}") or ()]
+        else:
+            own = [int(line) for line in self.lines]
+        known = {g[0]: tuple(g[1:]) for g in given if self.lines.get(str(g[0])) is None} | {line: tuple(self.lines.get(str(line))) for line in own}
+        found = [(math.hypot(e[2 * k] - x, e[2 * k + 1] - y), line, k) for line, e in known.items() for k in (0, 1)]
+        d, line, at_end = min(found, default=(math.inf, 0, 0))
+        return (line, not at_end, known[line][2 * at_end : 2 * at_end + 2], known[line]) if d < reach else None
+
+    def clear(self) -> None:
+        self.lines.clear()
+        self.cells.clear()
 
 
-def near_end(ends: list[list[tuple[float, float]]], x: float, y: float) -> tuple[int, bool, tuple[float, float]] | None:
-    """(line, whether its start, the point) of the nearest end of a line within RESUME; ties go to the earlier line and its start."""
-    found = [(math.hypot(p[0] - x, p[1] - y), k, at) for k, line in enumerate(ends) for at, p in enumerate((line[0], line[-1]))]
-    d, k, at = min(found, default=(math.inf, 0, 0))
-    return (k, at == 0, tuple(ends[k][-at])) if d < RESUME else None
+def save(s: dict, layer: Layer, closed: bool, number: int) -> str:
+    """Hand the path out as s["saved"] = (line, side, points): of a resumed line the part that goes on at that side."""
+    path = [tuple(p) for p in s["path"]]
+    if closed and path[-1] != path[0]:
+        path.append(path[0])
+    if s["resume"] and not closed:
+        line, at_start, ends = s["resume"]
+        layer.put(line, (*path[-1], *ends[2:]) if at_start else (*ends[:2], *path[-1]))
+        s["saved"] = (line, "start" if at_start else "end", path)
+        return "merged"
+    line = FIRST + number
+    layer.put(line, (*path[0], *path[-1]))
+    s["saved"] = (line, None, path)
+    return "closed" if closed else "saved"
 
 
-def step(s: dict, kind: str, x: float, y: float, manual: bool, lines: list | None = None) -> str:
-    """Change the state by one event; the name of what it did. lines: the session's saved lines, which a press may resume."""
+def step(s: dict, kind: str, x: float, y: float, manual: bool = False, unit: float = 1.0, layer: Layer | None = None, given: Iterable[tuple] = (), view=None, number: int = 0) -> str:
+    """Change the state by one event; the name of what it did. layer: the ends the session has made; given: those of the
+    existing lines near a press; view: pixels that routes and snaps use (streaming.tracing.View); number: the event's."""
+    layer = Layer() if layer is None else layer
     if kind in ("move", "drag"):
         s["sx"], s["sy"] = (x, y) if s["sx"] is None else ((1 - SHARE) * s["sx"] + SHARE * x, (1 - SHARE) * s["sy"] + SHARE * y)
         if not s["on"]:
             return "idle"
-        if math.hypot(x - s["ax"], y - s["ay"]) < GATE:
+        if math.hypot(x - s["ax"], y - s["ay"]) < s["gate"]:
             return "gated"
         if kind == "move":
-            s["preview"] = [(x, y) if manual else (s["sx"], s["sy"])]
+            s["preview"] = [(x, y)] if manual else view.preview(s["path"][-1], (s["sx"], s["sy"])) if view else [(s["sx"], s["sy"])]
             return "preview"
         s["preview"] = []
-        s["path"].append((x, y))
+        s["path"].append((x, y) if manual or not view else view.snap(s["path"], (x, y)))
         s["ax"], s["ay"] = x, y
         return "extended"
     if kind == "press":
         if not s["on"]:
-            end = near_end(lines or [], x, y)
+            end = layer.near(x, y, RESUME * unit, given)
             at = end[2] if end else (x, y)
-            s.update(fresh(), on=True, sx=s["sx"], sy=s["sy"], ax=at[0], ay=at[1], path=[at], cps=[0], resume=[end[0], end[1]] if end else None)
+            s.update(on=True, ax=at[0], ay=at[1], gate=GATE * unit, path=[tuple(at)], cps=[0], preview=[], resume=[end[0], end[1], list(end[3])] if end else None)
             return "resumed" if end else "started"
-        if math.hypot(x - s["path"][0][0], y - s["path"][0][1]) < (SPOT if len(s["path"]) == 1 else CLOSE):
-            action = "spot" if len(s["path"]) == 1 else "closed"
-            s.update(fresh(), sx=s["sx"], sy=s["sy"])
+        if math.hypot(x - s["path"][0][0], y - s["path"][0][1]) < (SPOT if len(s["path"]) == 1 else CLOSE) * unit:
+            if len(s["path"]) == 1:
+                action, s["saved"] = "spot", (None, None, s["path"][:1])
+            else:
+                s["path"] += view.preview(s["path"][-1], s["path"][0]) if view else s["path"][:1]
+                if s["path"][-1] == s["path"][0]:
+                    s["path"].pop()
+                action = save(s, layer, True, number)
+            s.update(fresh())
             return action
         s["path"] += s["preview"] or [(x, y)]
         s["preview"] = []
@@ -79,46 +157,185 @@ def step(s: dict, kind: str, x: float, y: float, manual: bool, lines: list | Non
         del s["path"][s["cps"][-1] + 1 :]
         s["ax"], s["ay"] = s["path"][-1]
         return "undone"
-    saved = len(s["path"]) >= 2
-    s.update(fresh(), sx=s["sx"], sy=s["sy"])
-    return "saved" if saved else "cancelled"
+    action = save(s, layer, False, number) if kind == "finish" and len(s["path"]) >= 2 else "cancelled"
+    s.update(fresh())
+    return action
+
+
+class Fold:
+    """One session: its state, its layer, and what time does to them."""
+
+    def __init__(self, session: int, state: dict | None = None, layer: Layer | None = None, timeout: int | None = TIMEOUT, keep: int | None = KEEP, view=None):
+        self.session, self.state, self.layer, self.timeout, self.keep, self.view = session, state or fresh(), layer or Layer(), timeout, keep, view
+
+    def waits(self) -> list[int]:
+        """When time alone will change something, as far as that is known now."""
+        last, s = self.state.get("last"), self.state
+        if last is None:
+            return []
+        return [last + t for t, due in ((self.timeout, s["on"] or s["sx"] is not None), (self.keep, True)) if t is not None and due]
+
+    def pass_time(self, us: float) -> list[tuple]:
+        """The rows of what ended before us."""
+        last, rows, s = self.state.get("last"), [], self.state
+        if last is not None and self.timeout is not None and us - last > self.timeout and (s["on"] or s["sx"] is not None):
+            if s["on"]:
+                rows.append((self.session, None, "expired", len(s["path"]), s["cps"][-1], *s["path"][-1], last + self.timeout, None, None, None))
+            s.update(fresh())
+        if last is not None and self.keep is not None and us - last > self.keep:
+            self.layer.clear()
+            s.clear()
+            s.update(fresh())
+        return rows
+
+    def run(self, events: list[tuple]) -> list[tuple]:
+        """One row an event; events are tuples of EVENT in any order, of which kind `end` tells of a line near a press."""
+        near: dict[tuple, list[tuple]] = {}
+        for e in events:
+            if e[2] == "end":
+                near.setdefault(e[:2], []).append((int(e[7]), *e[8:12]))
+        rows = []
+        for e in sorted((e for e in events if e[2] not in ("end", "tick")), key=lambda e: e[:2]):
+            us, event_id, kind, x, y, manual, unit = e[:7]
+            rows += self.pass_time(us)
+            s = self.state
+            action = step(s, kind, x, y, bool(manual), unit, self.layer, near.get((us, event_id), ()), self.view, int(event_id))
+            s["last"] = us
+            line, side, points = s.pop("saved", (None, None, None))
+            px, py = s["path"][-1] if s["path"] else (None, None)
+            rows.append((self.session, event_id, action, len(s["path"]), s["cps"][-1] if s["cps"] else None, px, py, us, line, side, points and [{"x": p[0], "y": p[1]} for p in points]))
+        return rows
+
+
+def table_of(rows: list[tuple]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+    return out.astype({"event_id": "Int64", "checkpoint": "Int32", "n_points": "int32", "line_id": "Int64", "session": "int64", "us": "int64", "x": "float64", "y": "float64"})
+
 
+def tuples_of(pdf: pd.DataFrame) -> list[tuple]:
+    return list(zip(*(pdf[c].tolist() for c in EVENT)))
 
-def fold(session: int, state: dict, events: pd.DataFrame) -> pd.DataFrame:
-    """One row an event, events in order."""
-    rows = []
-    for e in events.sort_values(["ts", "event_id"]).itertuples():
-        action = step(state, e.kind, e.x, e.y, bool(e.manual))
-        px, py = state["path"][-1] if state["path"] else (None, None)
-        rows.append((session, e.event_id, action, len(state["path"]), state["cps"][-1] if state["cps"] else None, px, py))
-    out = pd.DataFrame(rows, columns=["session", "event_id", "action", "n_points", "checkpoint", "x", "y"])
-    return out.astype({"checkpoint": "Int32", "n_points": "int32"})
 
+def with_ends(events: DataFrame, layer: DataFrame | None = None, largest: float = 1.0) -> DataFrame:
+    """(session, us, event_id, kind, x, y, manual, unit) and, as rows of kind `end`, the lines of the session's layer
+    (session, line_id, x0, y0, x1, y1) with an end near each press. Presses and ends meet by grid cell, without
+    an aggregation, so the same join serves a stream; no event's unit may be above largest."""
+    plain = events.withColumn("us", F.unix_micros("ts")) if "us" not in events.columns else events
+    plain = plain if "unit" in events.columns else plain.withColumn("unit", F.lit(1.0))
+    plain = plain.select(*events.columns, *(c for c in ("us", "unit") if c not in events.columns))
+    nothing = {"line_id": "string", **dict.fromkeys(("x0", "y0", "x1", "y1"), "double")}
+    whole = plain.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
+    if layer is None:
+        return whole
+    size = RESUME * largest
+    cell = lambda c: F.floor(c / F.lit(size))
+    near = F.sequence(F.lit(-1), F.lit(1))
+    ends = layer.select(F.col("session").alias("of"), F.col("line_id").cast("string").alias("line_id"), "x0", "y0", "x1", "y1", F.explode(F.array(*(F.struct(cell(F.col(f"x{k}")).alias("i"), cell(F.col(f"y{k}")).alias("j")) for k in (0, 1)))).alias("at"))
+    around = ends.select("*", F.explode(near).alias("di")).select("of", *nothing, (F.col("at.i") + F.col("di")).alias("i"), F.col("at.j").alias("j0"), F.explode(near).alias("dj"))
+    around = around.select("of", *nothing, "i", (F.col("j0") + F.col("dj")).alias("j")).distinct()
+    fits = F.when(F.col("unit") <= largest, F.col("x")).otherwise(F.raise_error(F.lit("a unit is above largest")).cast("double"))
+    press = plain.where("kind = 'press'").withColumns({"i": cell(fits), "j": cell(F.col("y"))})
+    met = press.join(around, (press["session"] == around["of"]) & (press["i"] == around["i"]) & (press["j"] == around["j"]))
+    close = lambda k: F.hypot(F.col(f"x{k}") - F.col("x"), F.col(f"y{k}") - F.col("y")) < F.lit(RESUME) * F.col("unit")
+    return whole.unionByName(met.where(close(0) | close(1)).select(*plain.columns, *nothing).withColumn("kind", F.lit("end")).select(*whole.columns))
 
-def replay(events: DataFrame) -> DataFrame:
-    """What every event of (session, ts, event_id, kind, x, y, manual) did, in batch."""
-    return events.groupBy("session").applyInPandas(lambda key, pdf: fold(key[0], fresh(), pdf), OUT)
+
+def replay(events: DataFrame, layer: DataFrame | None = None, largest: float = 1.0, timeout: int | None = TIMEOUT, keep: int | None = KEEP) -> DataFrame:
+    """What every event of (session, ts, event_id, kind, x, y, manual[, unit]) did, in batch, and which paths were given up."""
+
+    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fold = Fold(key[0], timeout=timeout, keep=keep)
+        return table_of(fold.run(tuples_of(pdf)) + fold.pass_time(math.inf))
+
+    return with_ends(events, layer, largest).select("session", *EVENT).groupBy("session").applyInPandas(go, OUT)
+
+
+class Stored:
+    """A map of the state store, as the layer uses one; values are JSON."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, key: str):
+        return json.loads(self.state.getValue((key,))[0]) if self.state.containsKey((key,)) else None
+
+    def __setitem__(self, key: str, value) -> None:
+        self.state.updateValue((key,), (json.dumps(value),))
+
+    def __delitem__(self, key: str) -> None:
+        self.state.removeKey((key,))
+
+    def __iter__(self) -> Iterator[str]:
+        return (k[0] for k in list(self.state.keys()))
+
+    def clear(self) -> None:
+        self.state.clear()
 
 
 class Sessions(StatefulProcessor):
-    """The stream's form of replay: the session's row is JSON in the state store and goes when the session ends."""
+    """The stream's form of replay. Events wait in a list until the watermark has passed them; timers of event time then
+    fold them, give up paths and drop what is left of a session."""
+
+    def __init__(self, timeout: int | None = TIMEOUT, keep: int | None = KEEP):
+        self.timeout, self.keep = timeout, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.row = handle.getValueState("session", StructType([StructField("state", StringType())]))
+        text = lambda *names: StructType([StructField(n, StringType()) for n in names])
+        self.handle = handle
+        self.row = handle.getValueState("session", text("state"))
+        self.lines = Stored(handle.getMapState("lines", text("line"), text("ends")))
+        self.cells = Stored(handle.getMapState("cells", text("cell"), text("ends")))
+        self.waiting = handle.getListState("waiting", StructType([StructField("us", LongType()), StructField("event", StringType())]))
+
+    def wake(self, us: int) -> None:
+        """A timer at the first millisecond that is no earlier."""
+        self.handle.registerTimer(-(-us // 1000))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        new = [e for pdf in rows for e in tuples_of(pdf) if e[2] != "tick"]
+        if new:
+            self.waiting.appendList([(int(e[0]), json.dumps(e)) for e in new])
+            self.wake(min(int(e[0]) for e in new))
+        return iter(())
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        held = list(self.waiting.get()) if self.waiting.exists() else []
+        due, later = [tuple(json.loads(e)) for us, e in held if us <= now], [(us, e) for us, e in held if us > now]
         state = json.loads(self.row.get()[0]) if self.row.exists() else fresh()
-        out = fold(key[0], state, pd.concat(list(rows)))
-        if state["on"] or state["sx"] is not None:
-            self.row.update((json.dumps(state),))
-        else:
+        for name in ("path", "preview"):
+            state[name] = [tuple(p) for p in state[name]]
+        fold = Fold(key[0], state, Layer(self.lines, self.cells), self.timeout, self.keep)
+        out = fold.run(due) + fold.pass_time(now)
+        if due:
+            self.waiting.put(later) if later else self.waiting.clear()
+        if later:
+            self.wake(min(us for us, _ in later))
+        if fold.state == fresh():
             self.row.clear()
-        yield out
+        else:
+            self.row.update((json.dumps(fold.state),))
+            for us in fold.waits():
+                if us + 1 > now:
+                    self.wake(us + 1)
+        yield table_of(out)
 
     def close(self) -> None:
         pass
 
 
-def stream(events: DataFrame) -> DataFrame:
-    """The streaming query of replay over a streaming DataFrame of events."""
-    return events.groupBy("session").transformWithStateInPandas(statefulProcessor=Sessions(), outputStructType=OUT, outputMode="Append", timeMode="None")
+def stream(events: DataFrame, layer: DataFrame | None = None, largest: float = 1.0, delay: str = "0 seconds", timeout: int | None = TIMEOUT, keep: int | None = KEEP) -> DataFrame:
+    """The streaming query of replay over a streaming DataFrame of events; one may come as late as delay. An event of kind
+    `tick` does nothing but move the watermark on."""
+    told = with_ends(events.withWatermark("ts", delay), layer, largest).select("session", "ts", *EVENT)
+    return told.groupBy("session").transformWithStateInPandas(statefulProcessor=Sessions(timeout, keep), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+
+
+def written(layer: DataFrame, replayed: DataFrame) -> DataFrame:
+    """session, line_id, geom, changed: the layer (session, line_id, geom) after what the sessions saved, closed and merged."""
+    saved = replayed.where("line_id is not null").groupBy("session", "line_id").agg(F.array_sort(F.collect_list(F.struct("us", "event_id", "side", "line"))).alias("parts"))
+    grown = lambda geom, p: F.when(p["side"] == "start", merge_at_start(geom, p["line"])).when(p["side"] == "end", merge_at_end(geom, p["line"])).otherwise(p["line"])
+    both = layer.join(saved, ["session", "line_id"], "full")
+    base = F.coalesce("geom", F.expr("cast(array() as array<struct<x:double,y:double>>)"))
+    geom = F.aggregate(F.coalesce("parts", F.expr("cast(array() as array<struct<us:bigint,event_id:bigint,side:string,line:array<struct<x:double,y:double>>>>)")), base, grown)
+    return both.select("session", "line_id", geom.alias("geom"), F.col("parts").isNotNull().alias("changed"))

@@ -7,17 +7,61 @@ from pyspark.sql import functions as F
 
 from rasterloom.operators import snap
 from rasterloom.plans import models, routes
-from rasterloom.streaming.sessions import fresh, step
+from rasterloom.streaming.sessions import FIRST, Layer, fresh, step
 
 SF = "/root/testdata/sf0.001"
 
 
-def run(events, lines=None):
-    state = fresh()
-    told = [step(state, *e, lines=lines) if len(e) == 4 else step(state, *e, False, lines=lines) for e in events]
+def run(events, lines=None, layer=None, unit=1.0):
+    state, given = fresh(), [(k, *line[0], *line[-1]) for k, line in enumerate(lines or [])]
+    told = [step(state, *e, layer=layer, given=given, unit=unit) for e in events]
     return told, state
 
 
+def test_what_ends_a_path_clears_the_smoothed_pointer():
+    for end in [("finish", 0, 0)], [("press", 90, 0), ("finish", 0, 0)], [("press", 1, 1)], [("press", 90, 0), ("press", 1, 1)], [("cancel", 0, 0)]:
+        told, s = run([("move", 40, 40), ("press", 0, 0), *end])
+        assert told[-1] in ("cancelled", "saved", "spot", "closed") and s["sx"] is None and s["sy"] is None
+        assert {k: v for k, v in s.items() if k != "saved"} == fresh()
+    # The start keeps it: three tenths of the way from 40 to 140.
+    assert run([("move", 40, 40), ("press", 0, 0), ("move", 140, 40)])[1]["sx"] == pytest.approx(70)
+
+
+def test_radii_are_pixels_of_the_event():
+    assert run([("press", 0, 0), ("press", 29, 0)], unit=0.5)[0] == ["started", "checkpoint"]
+    assert run([("press", 0, 0), ("drag", 9, 0)], unit=0.5)[0] == ["started", "extended"] and run([("press", 0, 0), ("drag", 35, 0)], unit=2.0)[0] == ["started", "gated"]
+    assert run([("press", 15, 0)], [[(0, 0), (90, 90)]], unit=2.0)[0] == ["resumed"]
+
+
+def test_a_saved_line_is_resumed_and_grows():
+    layer = Layer()
+    told, s = run([("press", 0, 0), ("press", 100, 0), ("finish", 0, 0), ("press", 95, 2), ("press", 200, 0), ("finish", 0, 0)], layer=layer)
+    assert told == ["started", "checkpoint", "saved", "resumed", "checkpoint", "merged"] and s["saved"] == (FIRST, "end", [(100, 0), (200, 0)])
+    assert layer.lines == {str(FIRST): [0, 0, 200, 0]} and layer.cells == {"0,0": [[FIRST, 0]], "20,0": [[FIRST, 1]]}
+    # Its old end is no end now; its start is resumed backwards.
+    assert run([("press", 100, 0)], layer=layer)[0] == ["started"]
+    told, s = run([("press", 3, 0), ("press", 3, 80), ("finish", 0, 0)], layer=layer)
+    assert told[-1] == "merged" and s["saved"] == (FIRST, "start", [(0, 0), (3, 80)]) and layer.lines == {str(FIRST): [3, 80, 200, 0]}
+
+
+def test_a_resumed_line_that_is_closed_is_a_new_one():
+    layer = Layer()
+    told, s = run([("press", 5, 5), ("press", 90, 0), ("press", 90, 90), ("press", 6, 6)], [[(5, 5), (50, 50)]], layer=layer)
+    assert told == ["resumed", "checkpoint", "checkpoint", "closed"] and s["saved"] == (FIRST, None, [(5, 5), (90, 0), (90, 90), (5, 5)])
+
+
+def test_a_given_line_that_the_session_has_changed_is_no_longer_given():
+    layer, line = Layer(), [[(5, 5), (50, 50)]]
+    run([("press", 50, 50), ("press", 150, 150), ("finish", 0, 0)], line, layer=layer)
+    assert layer.lines == {"0": [5, 5, 150, 150]} and run([("press", 50, 50)], line, layer=layer)[0] == ["started"] and run([("press", 5, 6)], line, layer=layer)[0] == ["resumed"]
+
+
+def test_a_wide_reach_looks_at_all_ends():
+    layer = Layer()
+    layer.put(7, (0.0, 0.0, 5000.0, 0.0))
+    assert layer.near(900.0, 0.0, 1000.0)[:2] == (7, True) and layer.near(2000.0, 0.0, 1000.0) is None
+
+
 def test_undo_with_only_the_start_does_nothing():
     told, s = run([("press", 0, 0), ("drag", 50, 0), ("drag", 100, 0), ("undo", 0, 0)])
     assert told == ["started", "extended", "extended", "kept"] and s["path"] == [(0, 0), (50, 0), (100, 0)]
@@ -58,8 +102,8 @@ def test_the_gate_counts_from_the_anchor():
 def test_a_press_resumes_a_line_at_its_nearer_end():
     line = [[(5, 5), (50, 50)]]
     told, s = run([("press", 6, 6)], line)
-    assert told == ["resumed"] and s["path"] == [(5, 5)] and s["resume"] == [0, True]
-    assert run([("press", 49, 50)], line)[1]["resume"] == [0, False] and run([("press", 30, 30)], line)[0] == ["started"]
+    assert told == ["resumed"] and s["path"] == [(5, 5)] and s["resume"] == [0, True, [5, 5, 50, 50]]
+    assert run([("press", 49, 50)], line)[1]["resume"][:2] == [0, False] and run([("press", 30, 30)], line)[0] == ["started"]
 
 
 def test_finish_saves_two_points():
