@@ -63,9 +63,9 @@ def shifted(a: np.ndarray, dr: int, dc: int) -> np.ndarray:
     return out
 
 
-def spread(seed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
-    """The allowed pixels that touch seed, over eight neighbours and any number of steps: runs of each row are joined
-    with those that touch them in the row above, and runs that are joined with a seed stay."""
+def labels_of(allowed: np.ndarray) -> np.ndarray:
+    """The number, from 1, of each allowed pixel's component over eight neighbours, 0 elsewhere: runs of each row are
+    joined with those that touch them in the row above."""
     h, w = allowed.shape
     padded = np.zeros((h, w + 2), "i1")
     padded[:, 1:-1] = allowed
@@ -87,7 +87,13 @@ def spread(seed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
             parent[find(i)] = find(k)
     number = np.zeros(allowed.shape, "i8")
     number[allowed] = np.repeat(np.array([find(i) for i in range(len(rows))], "i8"), last - first + 1) + 1
-    reached = np.zeros(len(rows) + 1, bool)
+    return number
+
+
+def spread(seed: np.ndarray, allowed: np.ndarray) -> np.ndarray:
+    """The allowed pixels that touch seed, over eight neighbours and any number of steps."""
+    number = labels_of(allowed)
+    reached = np.zeros(int(number.max(initial=0)) + 1, bool)
     reached[number[seed & allowed]] = True
     reached[0] = False
     return reached[number]
@@ -105,21 +111,27 @@ def grow_mask(v: np.ndarray, row: int, col: int, within: int) -> np.ndarray:
     return spread(seed, np.abs(v.astype(int) - int(v[row, col])) <= within)
 
 
-def thin(v: np.ndarray) -> np.ndarray:
-    """Zhang and Suen (1984): rounds of two passes that take border pixels off both sides until none goes."""
-    on = v > 0
+def thin_round(on: np.ndarray) -> np.ndarray:
+    """Two passes of Zhang and Suen (1984) that take border pixels off both sides; each looks one pixel far."""
     ring = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+    for first in (True, False):
+        p = [shifted(on, *d) for d in ring]
+        count = sum(x.astype("i1") for x in p)
+        rises = sum((~a & b).astype("i1") for a, b in zip(p, p[1:] + p[:1]))
+        n, e, s, w = p[0], p[2], p[4], p[6]
+        sides = (~(n & e & s) & ~(e & s & w)) if first else (~(n & e & w) & ~(n & s & w))
+        on = on & ~((count >= 2) & (count <= 6) & (rises == 1) & sides)
+    return on
+
+
+def thin(v: np.ndarray) -> np.ndarray:
+    """Rounds of thinning until no pixel goes."""
+    on, after = v > 0, None
     while True:
-        before = on.copy()
-        for first in (True, False):
-            p = [shifted(on, *d) for d in ring]
-            count = sum(x.astype(int) for x in p)
-            rises = sum((~a & b).astype(int) for a, b in zip(p, p[1:] + p[:1]))
-            n, e, s, w = p[0], p[2], p[4], p[6]
-            sides = (~(n & e & s) & ~(e & s & w)) if first else (~(n & e & w) & ~(n & s & w))
-            on = on & ~((count >= 2) & (count <= 6) & (rises == 1) & sides)
-        if (on == before).all():
+        after = thin_round(on)
+        if (after == on).all():
             return on
+        on = after
 
 
 def distance(on: np.ndarray) -> np.ndarray:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import kernels, raster as ops
+from ..operators import kernels, tiles, raster as ops
 from ..registry import query
 from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed, line_pts, mask, raster, raster3
 
@@ -151,6 +151,40 @@ def hed_postprocess(spark, sf_dir):
     return kernels.per_image(gray(spark, sf_dir).withColumn("g", level), "g", kernels.closed_above, level=PRESENT, size=2)
 
 
+#: All supplied vectors as one image, for the operators that work on tiles.
+WHOLE = GRAY.replace("(vec_id // 50)::BIGINT AS img_id", "0::BIGINT AS img_id").replace("(vec_id % 50)::INT AS r", "vec_id::INT AS r")
+
+
+def whole_gray(spark, sf_dir):
+    """img_id, r, c, g: one image of as many rows as there are vectors."""
+    px = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("bigint").alias("img_id"), F.lit(1).alias("band"), F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v"))
+    return ops.normalize(px.withColumn("v", F.col("v").cast("double"))).select("img_id", "r", "c", F.col("u8").alias("g"))
+
+
+@query("tiled_hysteresis", f"""WITH RECURSIVE {WHOLE}, keep AS (
+  SELECT img_id, r, c FROM gray WHERE g >= 200
+  UNION SELECT n.img_id, n.r, n.c FROM keep k JOIN gray n ON n.img_id = k.img_id AND n.r BETWEEN k.r - 1 AND k.r + 1 AND n.c BETWEEN k.c - 1 AND k.c + 1 AND n.g >= 140)
+SELECT img_id, r, c FROM keep""")
+def tiled_hysteresis(spark, sf_dir):
+    """canny_hysteresis of an image that no task holds whole."""
+    return tiles.hysteresis(whole_gray(spark, sf_dir), "g", 140, 200, TILE)
+
+
+@query("tiled_thin")
+def tiled_thin(spark, sf_dir):
+    """thin_mask of such an image."""
+    return tiles.thin(whole_gray(spark, sf_dir).where("g > 150"), TILE)
+
+
+@query("tiled_distance", f"""WITH {WHOLE}, near AS (
+  SELECT p.img_id, p.r, p.c, min((p.r - q.r) * (p.r - q.r) + (p.c - q.c) * (p.c - q.c)) AS d2 FROM gray p JOIN gray q ON q.img_id = p.img_id AND q.g > 200 AND q.r BETWEEN p.r - 40 AND p.r + 40 GROUP BY p.img_id, p.r, p.c)
+SELECT img_id, r, c, round(sqrt(d2), 6) AS d FROM near""")
+def tiled_distance(spark, sf_dir):
+    """distance_transform_5 of such an image."""
+    far = tiles.distance(whole_gray(spark, sf_dir).withColumn("g", (F.col("g") > 200).cast("int")), "g", TILE)
+    return far.select("img_id", "r", "c", F.round("value", 6).alias("d"))
+
+
 @query("hed_crop", f"WITH {GRAY} SELECT img_id, r - 5 AS r, c - 12 AS c, g FROM gray WHERE r BETWEEN 5 AND 44 AND c BETWEEN 12 AND 51")
 def hed_crop(spark, sf_dir):
     """The middle 40 by 40, counted from its own corner."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import warnings
 import zipfile
 from collections.abc import Iterator
@@ -52,6 +53,13 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def written_table(df: DataFrame, name: str) -> DataFrame:
+    """df, written in the shared folder and read back: lineage ends there, and a lost executor costs only its tasks."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def get_or_create_layer(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The layer at path, made empty with the schema if there is none."""
     try:
