@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, tiles, raster as ops
 from ..registry import query
-from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed, line_pts, mask, raster, raster3
+from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed, line_pts, mask, raster, raster3, table
 
 #: Luma weights, hysteresis thresholds of Canny, presence and pixel thresholds of edges, area limits of a mask.
 LUMA = (0.299, 0.587, 0.114)
