@@ -11,6 +11,8 @@ from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed,
 #: Luma weights, hysteresis thresholds of Canny, presence and pixel thresholds of edges, area limits of a mask.
 LUMA = (0.299, 0.587, 0.114)
 LOW, HIGH, PRESENT, EDGE = 30, 100, 50, 128
+#: Pixels of a tile along an axis in the tiled queries: so small that the supplied images are cut.
+TILE = 32
 AREA_LEAST, AREA_SHARE = 24, 0.35
 EXT = "ext AS (SELECT img_id, (max(r) + 1)::INT AS h, (max(c) + 1)::INT AS w FROM gray GROUP BY img_id)"
 
