@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from .dac_tokens import read_documents, write_shards
-from .exact_dedup import DigestIndex, dedup_batch
+from .exact_dedup import DigestIndex, dedup_batches
 from .fill_in_middle import fill_in_middle, restored
 from .jaccard_join import jaccard_components
 from .language_id import language
@@ -39,7 +39,9 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_batch(documents(spark, sf_dir), DigestIndex(spark))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    first = F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+    return dedup_batches([docs.where(first), docs.where(~first)], DigestIndex(spark))
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,6 +49,32 @@ def test_index_remembers_batches(spark):
     assert again.rows().count() == 3 and again.unseen(index.rows().select("digest")).count() == 0
 
 
+def test_index_keeps_its_buckets_whatever_the_session_has(spark):
+    texts = [(i, f"text number {i}") for i in range(200)]
+    index = exact_dedup.DigestIndex(spark, buckets=16)
+    assert exact_dedup.dedup_batch(cases.docs(spark, texts), index).where("kept").count() == 200
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for partitions in ("4", "16", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            again = exact_dedup.DigestIndex(spark, index.path)
+            assert again.buckets == 16 and exact_dedup.dedup_batch(cases.docs(spark, texts), again).where("kept").count() == 0
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(ValueError, match="16 buckets"):
+        exact_dedup.DigestIndex(spark, index.path, 8)
+
+
+def test_batches_agree_with_one(spark):
+    texts = [*cases.TEXTS, *((100 + i, "x" * (i % 7) + " " * (i % 5)) for i in range(60))]
+    want = collections.Counter(map(tuple, exact_dedup.dedup_batch(cases.docs(spark, texts), exact_dedup.DigestIndex(spark)).collect()))
+    parts = [cases.docs(spark, texts[k::3]) for k in range(3)]
+    index = exact_dedup.DigestIndex(spark)
+    assert collections.Counter(map(tuple, exact_dedup.dedup_batches(parts, index).collect())) == want
+    assert index.rows().count() > index.best().count() == len({normal(t) for _, t in texts})
+    assert exact_dedup.dedup_batches([cases.none(spark), cases.none(spark)], exact_dedup.DigestIndex(spark)).count() == 0
+
+
 def test_kept_rows_have_their_columns(spark):
     df = cases.docs(spark)
     kept = exact_dedup.keep_distinct(df, exact_dedup.DigestIndex(spark))
@@ -332,6 +358,16 @@ def test_too_many_words_are_an_error():
         lm_scoring.squeeze_planes(np.array([1 << 32]))
 
 
+def test_trigrams_come_back_from_their_steps():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 500):
+        rows = np.unique(rng.integers(0, [3, 9, 1 << 31], (n, 3)), axis=0)
+        count = rng.integers(0, 1 << 20, len(rows))
+        back = lm_scoring.stretch_trigrams(lm_scoring.squeeze_trigrams(*rows.T, count))
+        assert all(np.array_equal(a, b) for a, b in zip(back, (*rows.T, count)))
+
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_elias_fano(seed):
     rng = np.random.default_rng(seed)
