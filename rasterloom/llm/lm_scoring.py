@@ -55,7 +55,7 @@ BLOCKS = "block bigint, doc_ids binary, nulls binary, held binary, lengths binar
 
 
 def pack(raw: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(raw)
+    return zstandard.ZstdCompressor(level=3).compress(raw)
 
 
 def unpack(b: bytes) -> bytes:
@@ -440,6 +440,28 @@ def _shards(x: np.ndarray, y: np.ndarray, hot: np.ndarray, shards: int) -> list[
     return [(int(shard[g[0]]), g) for g in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1) if len(g)]
 
 
+def squeeze_trigrams(x: np.ndarray, y: np.ndarray, z: np.ndarray, count: np.ndarray) -> bytes:
+    """Sorted trigrams by their steps: each word counts from the one before it, as long as the words to its left stay the same."""
+    new_x = np.diff(x, prepend=-1) != 0
+    new_pair = new_x | (np.diff(y, prepend=-1) != 0)
+    step = lambda v, new: np.where(new, v, np.diff(v, prepend=0))
+    return squeeze_planes(np.concatenate([np.diff(x, prepend=0), step(y, new_x), step(z, new_pair), count]))
+
+
+def stretch_trigrams(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    dx, dy, dz, count = stretch_planes(b).reshape(4, -1)
+
+    def run(d: np.ndarray, new: np.ndarray) -> np.ndarray:
+        whole, at = np.cumsum(d), np.flatnonzero(new)
+        return whole - np.repeat(whole[at] - d[at], np.diff(np.append(at, len(d))))
+
+    new_x = dx > 0
+    new_x[:1] = True
+    y = run(dy, new_x)
+    new_pair = new_x | (dy > 0)
+    return np.cumsum(dx), y, run(dz, new_pair), count
+
+
 def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_shards: int, shards: int, root: str | None = None) -> DataFrame:
     """Build the trie's shards and look up every block's trigrams: (block, shard, file, data).
 
@@ -455,7 +477,7 @@ def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_sh
             b = _block(row, found, word_shards)
             x, y, z, place = _trigrams(b)
             count = np.bincount(place[np.repeat(b["held"] == 0, b["lengths"])], minlength=len(x))
-            out += [(row["block"], s, squeeze_planes(np.concatenate([np.diff(x[g], prepend=0), y[g], z[g], count[g]]))) for s, g in _shards(x, y, spread, shards)]
+            out += [(row["block"], s, squeeze_trigrams(x[g], y[g], z[g], count[g])) for s, g in _shards(x, y, spread, shards)]
         block, shard, data = zip(*out)
         return pa.table({"block": pa.array(block, pa.int64()), "shard": pa.array(shard, pa.int64()), "data": pa.array(data, pa.binary())})
 
@@ -463,8 +485,8 @@ def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_sh
         from pyarrow import fs
 
         only_memo("scores")
-        parts = [stretch_planes(p).reshape(4, -1) for p in group.column("data").to_pylist()]
-        x, y, z, count = (np.concatenate(c) for c in zip(*((np.cumsum(p[0]), p[1], p[2], p[3]) for p in parts)))
+        parts = [stretch_trigrams(p) for p in group.column("data").to_pylist()]
+        x, y, z, count = (np.concatenate(c) for c in zip(*parts))
         seen = count > 0
         pair, of = np.unique(x[seen].astype("u8") << np.uint64(32) | y[seen].astype("u8"), return_inverse=True)
         key, back = np.unique(of.astype("u8") << np.uint64(32) | z[seen].astype("u8"), return_inverse=True)
@@ -477,7 +499,7 @@ def look_up(blocks: DataFrame, numbered: DataFrame, hot: dict[int, int], word_sh
             out.write(trie_bytes((pair >> np.uint64(32)).astype("i8"), half(pair), half(key), total, hot))
         del x, y, z, count, seen, of, back
         trie = Trie.open(f"{folder}/{name}")
-        found = [squeeze_levels(np.concatenate(trie.find(np.cumsum(p[0]), p[1], p[2]))) for p in parts]
+        found = [squeeze_levels(np.concatenate(trie.find(*p[:3]))) for p in parts]
         return pa.table({"block": group.column("block"), "shard": group.column("shard"), "file": pa.array([f"{folder}/{name}"] * len(parts)), "data": pa.array(found, pa.binary())})
 
     routed = blocks.select("block", "doc_ids", "nulls", "held", "lengths", "words", "tokens").groupby("block").cogroup(numbered.groupby("block")).applyInArrow(route, "block bigint, shard bigint, data binary")
