@@ -77,6 +77,15 @@ def squeeze_planes(a: np.ndarray) -> bytes:
     return pack(a.astype("<u4").view("u1").reshape(-1, 4).T.tobytes())
 
 
+def squeeze_words(words: np.ndarray) -> bytes:
+    """Hashes by their steps (that wrap where they fall), in eight planes of bytes: in runs of rising hashes the higher ones are mostly zeros."""
+    return pack(np.diff(words.astype("<u8"), prepend=np.uint64(0)).view("u1").reshape(-1, 8).T.tobytes())
+
+
+def stretch_words(b: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(unpack(b), "u1").reshape(8, -1).T).view("<u8").ravel(), dtype="u8")
+
+
 def squeeze_levels(a: np.ndarray) -> bytes:
     """Two-byte levels in two planes of bytes."""
     return pack(a.astype("<u2").view("u1").reshape(-1, 2).T.tobytes())
@@ -331,7 +340,7 @@ def token_blocks(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             train = np.bincount(tokens[np.repeat(held == 0, lengths)], minlength=len(words))
             return pa.RecordBatch.from_pydict({
                 "block": pa.array([number << 32 | made], pa.int64()), "doc_ids": [np.where(nulls, 0, ids).astype("<i8").tobytes()], "nulls": [nulls.astype("u1").tobytes()], "held": [held.astype("u1").tobytes()],
-                "lengths": [lengths.astype("<i8").tobytes()], "words": [words.astype("<u8").tobytes()], "counts": [squeeze(np.concatenate([train, n]).astype("<u4"))], "size": pa.array([size], pa.int64()), "tokens": [squeeze_planes(tokens)],
+                "lengths": [lengths.astype("<i8").tobytes()], "words": [squeeze_words(words)], "counts": [squeeze_planes(np.concatenate([train, n]))], "size": pa.array([size], pa.int64()), "tokens": [squeeze_planes(tokens)],
             })
 
         for part in parts:
@@ -372,16 +381,16 @@ def number_words(blocks: DataFrame, tokens: int, shards: int) -> DataFrame:
     def route(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for block, raw, counts in zip(*(c.to_pylist() for c in part.columns)):
-                words = np.frombuffer(raw, "<u8")
-                n = stretch(counts, "<u4").reshape(2, -1)
+                words = stretch_words(raw)
+                n = stretch_planes(counts).reshape(2, -1)
                 routes = [(s, g) for s, g in enumerate(_routes(words, shards)) if len(g)]
-                halves = [(squeeze(np.diff(words[g], prepend=np.uint64(0))), squeeze(n[:, g])) for _, g in routes]
+                halves = [(squeeze_words(words[g]), squeeze_planes(n[:, g].ravel())) for _, g in routes]
                 data, cut = [a + b for a, b in halves], [len(a) for a, _ in halves]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(routes), block)), pa.array([s for s, _ in routes], pa.int64()), pa.array(cut, pa.int64()), pa.array(data, pa.binary())], names=["block", "shard", "cut", "data"])
 
     def number(group: pa.Table) -> pa.Table:
         shard = group.column("shard")[0].as_py()
-        parts = [(np.cumsum(stretch(d[:c], "<u8"), dtype="u8"), stretch(d[c:], "<u4").reshape(2, -1)) for d, c in zip(group.column("data").to_pylist(), group.column("cut").to_pylist())]
+        parts = [(stretch_words(d[:c]), stretch_planes(d[c:]).reshape(2, -1)) for d, c in zip(group.column("data").to_pylist(), group.column("cut").to_pylist())]
         words, back = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
         n, n_all = (np.bincount(back, np.concatenate([m[k] for _, m in parts]), len(words)).astype("i8") for k in (0, 1))
         rank = np.empty(len(words), "i8")
@@ -402,7 +411,8 @@ def number_words(blocks: DataFrame, tokens: int, shards: int) -> DataFrame:
 
 def _block(row: dict, numbered: dict[int, bytes], shards: int) -> dict[str, np.ndarray]:
     """A block's arrays, with the numbers and training counts of its words."""
-    b = {k: np.frombuffer(row[k], kind) for k, kind in (("doc_ids", "<i8"), ("nulls", "u1"), ("held", "u1"), ("lengths", "<i8"), ("words", "<u8"))}
+    b = {k: np.frombuffer(row[k], kind) for k, kind in (("doc_ids", "<i8"), ("nulls", "u1"), ("held", "u1"), ("lengths", "<i8"))}
+    b["words"] = stretch_words(row["words"])
     b["tokens"] = stretch_planes(row["tokens"])
     b["numbers"], b["n"] = np.zeros(len(b["words"]), "i8"), np.zeros(len(b["words"]), "i8")
     for s, g in enumerate(_routes(b["words"], shards)):

@@ -358,6 +358,11 @@ def test_too_many_words_are_an_error():
         lm_scoring.squeeze_planes(np.array([1 << 32]))
 
 
+def test_hashes_come_back_from_their_steps():
+    words = np.array([5, 7, 1 << 63, 3, 3, (1 << 64) - 1, 0], "u8")
+    assert np.array_equal(lm_scoring.stretch_words(lm_scoring.squeeze_words(words)), words) and len(lm_scoring.stretch_words(lm_scoring.squeeze_words(words[:0]))) == 0
+
+
 def test_trigrams_come_back_from_their_steps():
     rng = np.random.default_rng(2)
     for n in (0, 1, 2, 500):
