@@ -1,7 +1,9 @@
 """Bounded nearest-neighbour joins of points with pixels and with line ends.
 
-Points meet the pixels of their image by key, dealt by image and a salt of SALTS, so an image with very many
-points is not one task; a view is bounded, and so is a group. Inside a group every point looks at the window around it.
+Where the choice of a pixel depends on the place alone, it is made once for every place of a view: a feature transform, filled
+by whole-view passes in the order of preference, which points then look up by key. Where it depends on the point's
+history, points meet the pixels of their image by image and salt, as many salts as an image has PER_GROUP points, and all
+points of a group go through the order of preference at once. No step loops over points.
 """
 
 from __future__ import annotations
@@ -17,44 +19,88 @@ from pyspark.sql import functions as F
 from ..functions.coordinates import blend
 from .kernels import dense
 
+#: Points of an image for each group that they are dealt to.
+PER_GROUP = 50_000
 
-#: Groups that the points of one image are dealt to.
-SALTS = 16
 
+def ordered_offsets(radius: int, prefer: Callable[[np.ndarray, np.ndarray], tuple], within: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> np.ndarray:
+    """(dr, dc) up to radius on both axes where `within` holds, by what prefer gives (first key first), then by row and column."""
+    dr, dc = (x.ravel() for x in np.mgrid[-radius : radius + 1, -radius : radius + 1])
+    keep = within(dr, dc) if within else np.ones(len(dr), bool)
+    dr, dc = dr[keep], dc[keep]
+    return np.stack([dr, dc], 1)[np.lexsort((dc, dr, *reversed(prefer(dr, dc))))]
 
-def near_pixels(points: DataFrame, pixels: DataFrame, radius: int, choose: Callable[[dict, np.ndarray, np.ndarray], int | None], keep: tuple[str, ...] = ()) -> DataFrame:
-    """pid, dr, dc: for each point (pid, img_id, px, py, keep) the pixel that choose takes, by its place, of those
-    within radius of it on both axes, which it is told as offsets in rows and columns, ascending by row and column."""
 
-    def go(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = []
-        if left.num_rows and right.num_rows:
-            on = np.pad(dense(right.column("r").to_numpy(), right.column("c").to_numpy(), np.ones(right.num_rows, bool)), radius)
-            for p in left.to_pylist():
-                top, side = p["py"], p["px"]
-                if not (-radius <= top < on.shape[0] - radius and -radius <= side < on.shape[1] - radius):
-                    continue
-                dr, dc = np.nonzero(on[max(top, 0) : top + 2 * radius + 1, max(side, 0) : side + 2 * radius + 1])
-                dr, dc = dr + max(top, 0) - top - radius, dc + max(side, 0) - side - radius
-                k = choose(p, dr, dc) if len(dr) else None
-                if k is not None:
-                    found.append((p["pid"], int(dr[k]), int(dc[k])))
-        return pa.table({n: pa.array([f[i] for f in found], t) for i, (n, t) in enumerate((("pid", pa.int64()), ("dr", pa.int32()), ("dc", pa.int32())))})
-
-    asked = points.select("pid", "img_id", "px", "py", *keep).withColumn("salt", F.pmod(F.xxhash64("pid"), F.lit(SALTS)))
-    wanted = asked.select(F.col("img_id").alias("of_img"), F.col("salt").alias("of_salt")).distinct()
-    there = pixels.select("img_id", "r", "c").join(wanted, F.col("img_id") == F.col("of_img"))
-    return asked.groupby("img_id", "salt").cogroup(there.groupby("of_img", "of_salt")).applyInArrow(go, "pid bigint, dr int, dc int")
+def transform(on: np.ndarray, offsets: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(found, dr, dc) for every place up to radius around the view: the first of offsets that leads to an on-pixel."""
+    wide = np.pad(on, 2 * radius)
+    high, across = on.shape[0] + 2 * radius, on.shape[1] + 2 * radius
+    found, best = np.zeros((high, across), bool), np.zeros((2, high, across), "i4")
+    for dr, dc in offsets:
+        new = wide[radius + dr : radius + dr + high, radius + dc : radius + dc + across] & ~found
+        best[:, new] = [[dr], [dc]]
+        found |= new
+        if found.all():
+            break
+    return found, *best
+
+
+def feature_transform(pixels: DataFrame, offsets: np.ndarray, radius: int) -> DataFrame:
+    """img_id, py, px, dr, dc: for each place within reach of an on-pixel (img_id, r, c) the offset to the preferred one."""
+
+    def go(group: pa.Table) -> pa.Table:
+        on = dense(group.column("r").to_numpy(), group.column("c").to_numpy(), np.ones(group.num_rows, bool))
+        found, dr, dc = transform(on, offsets, radius)
+        r, c = np.nonzero(found)
+        return pa.table({"img_id": pa.array(np.full(len(r), group.column("img_id")[0].as_py(), "i8")), "py": pa.array((r - radius).astype("i4")), "px": pa.array((c - radius).astype("i4")), "dr": pa.array(dr[r, c]), "dc": pa.array(dc[r, c])})
+
+    return pixels.select("img_id", "r", "c").groupby("img_id").applyInArrow(go, "img_id bigint, py int, px int, dr int, dc int")
 
 
 def nearest_in_rings(points: DataFrame, pixels: DataFrame, radius: int) -> DataFrame:
     """pid, r, c of the pixel in the nearest square ring; inside it the closest, then the first row and column."""
+    offsets = ordered_offsets(radius, lambda dr, dc: (np.maximum(np.abs(dr), np.abs(dc)), dr * dr + dc * dc))
+    found = points.join(feature_transform(pixels, offsets, radius), ["img_id", "py", "px"])
+    return found.select("pid", (F.col("py") + F.col("dr")).alias("r"), (F.col("px") + F.col("dc")).alias("c"))
+
 
-    def choose(p: dict, dr: np.ndarray, dc: np.ndarray) -> int:
-        return int(np.lexsort((dc, dr, dr * dr + dc * dc, np.maximum(np.abs(dr), np.abs(dc))))[0])
+def _diamond(radius: int) -> np.ndarray:
+    far = lambda dr, dc: np.abs(dr) + np.abs(dc)
+    return ordered_offsets(radius, lambda dr, dc: (far(dr, dc),), lambda dr, dc: far(dr, dc) <= radius)
 
-    found = near_pixels(points, pixels, radius, choose)
-    return points.join(found, "pid").select("pid", (F.col("py") + F.col("dr")).alias("r"), (F.col("px") + F.col("dc")).alias("c"))
+
+def ahead_of(points: DataFrame, pixels: DataFrame, radius: int, turn: float) -> DataFrame:
+    """pid, dr, dc: for each point the nearest pixel by Manhattan distance that its path, (ox, oy) then (qx, qy), turns to by
+    at most `turn` degrees; any pixel, where ox is null."""
+    offsets = _diamond(radius)
+
+    def go(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {"pid": pa.array([], pa.int64()), "dr": pa.array([], pa.int32()), "dc": pa.array([], pa.int32())}
+        if left.num_rows and right.num_rows:
+            on = np.pad(dense(right.column("r").to_numpy(), right.column("c").to_numpy(), np.ones(right.num_rows, bool)), 2 * radius)
+            pid = left.column("pid").to_numpy()
+            px, py, qx, qy, ox, oy = (left.column(n).cast(pa.float64()).to_numpy(zero_copy_only=False) for n in ("px", "py", "qx", "qy", "ox", "oy"))
+            row, col = py.astype("i8") + 2 * radius, px.astype("i8") + 2 * radius
+            open_ = np.flatnonzero((row >= radius) & (row < on.shape[0] - radius) & (col >= radius) & (col < on.shape[1] - radius))
+            history, course = ~np.isnan(ox), np.arctan2(qy - oy, qx - ox)
+            best, found = np.zeros((2, len(pid)), "i4"), np.zeros(len(pid), bool)
+            for dr, dc in offsets:
+                hit = open_[on[row[open_] + dr, col[open_] + dc]]
+                ahead = np.arctan2(py[hit] + dr - qy[hit], px[hit] + dc - qx[hit]) - course[hit]
+                ahead = np.where(ahead > np.pi, ahead - 2 * np.pi, np.where(ahead < -np.pi, ahead + 2 * np.pi, ahead))
+                hit = hit[~history[hit] | (np.abs(ahead) <= math.radians(turn))]
+                best[:, hit], found[hit] = [[dr], [dc]], True
+                open_ = open_[~found[open_]]
+                if not len(open_):
+                    break
+            out = {"pid": pa.array(pid[found]), "dr": pa.array(best[0, found]), "dc": pa.array(best[1, found])}
+        return pa.table(out)
+
+    dealt = points.groupBy("img_id").agg(F.ceil(F.count(F.lit(1)) / PER_GROUP).alias("groups"))
+    asked = points.select("pid", "img_id", "px", "py", "qx", "qy", "ox", "oy").join(dealt, "img_id").withColumn("salt", F.pmod(F.xxhash64("pid"), "groups")).drop("groups")
+    salts = dealt.select(F.col("img_id").alias("of_img"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("of_salt"))
+    there = pixels.select("img_id", "r", "c").join(salts, F.col("img_id") == F.col("of_img"))
+    return asked.groupby("img_id", "salt").cogroup(there.groupby("of_img", "of_salt")).applyInArrow(go, "pid bigint, dr int, dc int")
 
 
 def snap_to_edge(points: DataFrame, pixels: DataFrame, radius: int, turn: float | None = None) -> DataFrame:
@@ -63,20 +109,13 @@ def snap_to_edge(points: DataFrame, pixels: DataFrame, radius: int, turn: float
     With turn, only pixels whose direction from the last path point (qx, qy) differs from the last step, (ox, oy)
     to (qx, qy), by at most so many degrees; without a history (ox is null) any. Without turn a point on an edge stays.
     """
-
-    def choose(p: dict, dr: np.ndarray, dc: np.ndarray) -> int | None:
-        d = np.abs(dr) + np.abs(dc)
-        good = d <= radius
-        if turn is not None and p["ox"] is not None:
-            ahead = np.arctan2(p["py"] + dr - p["qy"], p["px"] + dc - p["qx"]) - math.atan2(p["qy"] - p["oy"], p["qx"] - p["ox"])
-            ahead = np.where(ahead > np.pi, ahead - 2 * np.pi, np.where(ahead < -np.pi, ahead + 2 * np.pi, ahead))
-            good &= np.abs(ahead) <= math.radians(turn)
-        return int(np.lexsort((dc, dr, np.where(good, d, radius + 1)))[0]) if good.any() else None
-
-    found = near_pixels(points, pixels, radius, choose, ("qx", "qy", "ox", "oy") if turn is not None else ())
+    if turn is None:
+        found = points.join(feature_transform(pixels, _diamond(radius), radius), ["img_id", "py", "px"], "left")
+    else:
+        found = points.join(ahead_of(points, pixels, radius, turn), "pid", "left")
     stays = F.col("dr").isNull() | ((F.col("dr") == 0) & (F.col("dc") == 0) & F.lit(turn is None))
     drawn = lambda p, d: F.when(stays, F.col(p).cast("double")).otherwise(blend(F.col(p), F.col(p) + F.col(d)))
-    return points.join(found, "pid", "left").select("pid", drawn("px", "dc").alias("x"), drawn("py", "dr").alias("y"))
+    return found.select("pid", drawn("px", "dc").alias("x"), drawn("py", "dr").alias("y"))
 
 
 def nearest_endpoint(points: DataFrame, ends: DataFrame, tolerance: float) -> DataFrame:
