@@ -62,14 +62,6 @@ def unpack(b: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(b)
 
 
-def squeeze(a: np.ndarray) -> bytes:
-    return pack(a.tobytes())
-
-
-def stretch(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(unpack(b), kind)
-
-
 def squeeze_planes(a: np.ndarray) -> bytes:
     """Whole numbers below 2**32 in four planes of bytes, the higher ones mostly zeros."""
     if len(a) and int(a.max()) >= 1 << 32:
