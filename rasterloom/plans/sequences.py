@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import lines as ops
+from ..operators import lines as ops, scans
+from ..operators.numbering import number_rows
 from ..registry import query
 from .fixtures import EVENTS, LINE_PTS, LINES, line_pts, lines, pointer_events, table
 
@@ -17,12 +18,6 @@ def moving_mean_5(spark, sf_dir):
     return ops.moving_mean(line_pts(spark, sf_dir)).select("line_id", "seq", *(F.floor(F.col(c) * 1000000 + F.lit(0.3)).alias(f"{c}6") for c in ("x", "y")))
 
 
-def ordered(events):
-    """session and geom: the pointer's positions of each session in order."""
-    told = F.array_sort(F.collect_list(F.struct("ts", "event_id", "x", "y")))
-    return events.groupBy("session").agg(F.transform(told, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("geom"))
-
-
 RANKED = f"{EVENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY ts, event_id) AS n FROM pointer)"
 
 
@@ -31,8 +26,7 @@ RANKED = f"{EVENTS}, ranked AS (SELECT *, row_number() OVER (PARTITION BY sessio
   UNION ALL SELECT r.session, r.n, 0.7::DOUBLE * s.x + 0.3::DOUBLE * r.x, 0.7::DOUBLE * s.y + 0.3::DOUBLE * r.y FROM s JOIN ranked r ON r.session = s.session AND r.n = s.n + 1)
 SELECT session, n::INT AS n, round(x, 6) AS x, round(y, 6) AS y FROM s""")
 def ema_pointer(spark, sf_dir):
-    smooth = ordered(pointer_events(spark, sf_dir)).select("session", F.posexplode(ops.ema(F.col("geom"))).alias("n", "p"))
-    return smooth.select("session", (F.col("n") + 1).alias("n"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y"))
+    return scans.smooth(pointer_events(spark, sf_dir)).select("session", "n", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 STEPS = f"""{LINE_PTS}, steps AS (SELECT line_id, seq, sqrt(dx * dx + dy * dy) AS length, atan2(dy, dx) AS heading FROM (
@@ -96,7 +90,7 @@ def assign_ids(spark, sf_dir):
     """New features of a layer are numbered on from its largest id."""
     base = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("layer")).agg(F.max("s_suppkey").alias("base"))
     new = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), F.col("c_nationkey").alias("layer")).join(base, "layer")
-    return new.select("fid", "layer", (F.row_number().over(Window.partitionBy("layer").orderBy("fid")) + F.col("base")).alias("id"))
+    return number_rows(new, "layer", "fid").select("fid", "layer", (F.col("number") + F.col("base")).alias("id"))
 
 
 @query("checkpoint_index", f"WITH {EVENTS} SELECT session, event_id, grown - 1 AS checkpoint FROM (SELECT *, count(*) FILTER (kind IN ('press', 'drag')) OVER (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS grown FROM pointer) WHERE kind = 'press'")
@@ -129,7 +123,8 @@ def undo_points(spark, sf_dir):
 SELECT session, list_transform(kept, lambda p: p.x) AS xs FROM (SELECT session, arg_max(kept, n) AS kept FROM s GROUP BY session)""")
 def distinct_prompts(spark, sf_dir):
     """Prompts that are 40 apart from all kept before them, in order."""
-    return ordered(pointer_events(spark, sf_dir)).select("session", ops.distinct_in_order(F.col("geom"), 40.0)["x"].alias("xs"))
+    kept = scans.space(pointer_events(spark, sf_dir), 40.0)
+    return kept.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("n", "x")))["x"].alias("xs"))
 
 
 @query("movement_gate", f"""WITH RECURSIVE {RANKED}, s AS (
@@ -139,7 +134,7 @@ def distinct_prompts(spark, sf_dir):
 SELECT session, x, y FROM s WHERE kept""")
 def movement_gate(spark, sf_dir):
     """Moves closer than 90 to the last one kept are dropped."""
-    return ordered(pointer_events(spark, sf_dir)).select("session", F.explode(ops.gate(F.col("geom"), 90.0)).alias("p")).select("session", "p.x", "p.y")
+    return scans.gate(pointer_events(spark, sf_dir), 90.0).select("session", "x", "y")
 
 
 UNDO_SQL = f"""WITH RECURSIVE {RANKED}, s AS (
