@@ -20,18 +20,6 @@ def moving_mean(points: DataFrame, least: int = 6, reach: int = 2) -> DataFrame:
     return points.select("line_id", "seq", *(F.when(many, F.avg(c).over(near)).otherwise(F.col(c)).alias(c) for c in ("x", "y")))
 
 
-def ema(geom: Column, share: float = 0.3) -> Column:
-    """Exponential smoothing of an array of (x, y): the first as it is, then (1 - share) of the last plus share of the next."""
-    keep, take = F.lit(1.0 - share), F.lit(share)
-
-    def step(out: Column, p: Column) -> Column:
-        last = F.element_at(out, -1)
-        return F.concat(out, F.array(F.struct((keep * last["x"] + take * p["x"]).alias("x"), (keep * last["y"] + take * p["y"]).alias("y"))))
-
-    start = F.slice(geom, 1, 1)
-    return F.aggregate(F.slice(geom, F.lit(2), F.greatest(F.size(geom) - 1, F.lit(0))), start, step)
-
-
 def chaikin(points: DataFrame, rounds: int = 3, closed: bool = False) -> DataFrame:
     """points smoothed by corner cutting: each edge gives its points at a quarter and three quarters.
 
@@ -77,15 +65,3 @@ def headings(points: DataFrame) -> DataFrame:
     dx, dy = F.col("x") - F.lag("x").over(line), F.col("y") - F.lag("y").over(line)
     stepped = points.withColumns({"length": F.hypot(dx, dy), "heading": F.atan2(dy, dx)})
     return stepped.withColumn("turn", wrap_angle(F.col("heading") - F.lag("heading").over(line)))
-
-
-def distinct_in_order(geom: Column, least: float = 3.0) -> Column:
-    """The points that are at least so far from every point kept before them."""
-    empty = F.slice(geom, 1, 0)
-    return F.aggregate(geom, empty, lambda kept, p: F.when(F.exists(kept, lambda q: F.hypot(p["x"] - q["x"], p["y"] - q["y"]) < F.lit(float(least))), kept).otherwise(F.concat(kept, F.array(p))))
-
-
-def gate(geom: Column, least: float) -> Column:
-    """Points kept because they are at least so far from the last one kept."""
-    empty = F.slice(geom, 1, 0)
-    return F.aggregate(geom, empty, lambda kept, p: F.when((F.size(kept) > 0) & (F.hypot(p["x"] - F.element_at(kept, -1)["x"], p["y"] - F.element_at(kept, -1)["y"]) < F.lit(float(least))), kept).otherwise(F.concat(kept, F.array(p))))

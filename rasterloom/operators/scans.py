@@ -1,31 +1,26 @@
 """Folds over a session's positions in time that grows with their number: smoothing, the movement gate, spaced prompts.
 
-A session is one Arrow group, sorted once. operators.lines says the same of short arrays as column expressions.
+A session is one Arrow group, sorted once.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Positions that are smoothed by one product, and that the gate looks at first when it seeks the next one it keeps.
-BLOCK, LOOK = 64, 16
+#: Positions that the gate looks at first when it seeks the next one it keeps.
+LOOK = 16
 
 
 def smoothed(xy: np.ndarray, share: float = 0.3) -> np.ndarray:
-    """Exponential smoothing: the first as it is, then (1 - share) of the last plus share of the next; a block is one product."""
-    out, keep = np.array(xy, "f8"), 1 - share
-    i = np.arange(BLOCK)
-    inner = np.where(i[:, None] >= i, share * keep ** np.maximum(i[:, None] - i, 0).astype("f8"), 0.0)
-    carry = keep ** (i + 1.0)
-    for at in range(1, len(out), BLOCK):
-        n = min(BLOCK, len(out) - at)
-        out[at : at + n] = inner[:n, :n] @ xy[at : at + n] + carry[:n, None] * out[at - 1]
-    return out
+    """Exponential smoothing: the first as it is, then (1 - share) of the last plus share of the next, in that order of operations."""
+    step = lambda a, b: (1 - share) * a + share * b
+    return np.array([list(accumulate(c, step)) for c in xy.T.tolist()], "f8").reshape(2, -1).T
 
 
 def gated(xy: np.ndarray, least: float) -> np.ndarray:
