@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernels, lines as line_ops
+from ..operators.snap import nearest_in_rings
 from ..registry import query
 from . import rasters
 from .fixtures import EVENTS, GRAY, gray, line_pts, mask, pointer_events
+from .snapping import NEAREST
 
 COSTS = f"{GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
 
@@ -142,21 +144,41 @@ def sam_prompts(spark, sf_dir):
     return kept.select("session", F.size("positive").alias("positives"), F.col("kept")["x"].alias("xs"), F.col("kept")["y"].alias("ys"))
 
 
+def mask_route(asked, mask_costs, outside):
+    """Routes over the cost surface of a mask between the pixels of its centre line that are nearest to start and goal,
+    within 20; where one has none, of the mask. None without both, and none where the goal is not reached."""
+    ends = asked.select("img_id", F.explode(F.array(F.struct((F.col("req_id") * 2).alias("pid"), F.col("sr").alias("py"), F.col("sc").alias("px")), F.struct((F.col("req_id") * 2 + 1).alias("pid"), F.col("er").alias("py"), F.col("ec").alias("px")))).alias("e")).select("img_id", "e.*")
+    inside = mask_costs.where(F.col("cost") < outside)
+
+    def both(pixels):
+        near = nearest_in_rings(ends, pixels, NEAREST).select(F.expr("pid div 2").alias("req_id"), (F.col("pid") % 2).alias("goal"), "r", "c")
+        told = near.groupBy("req_id").agg(*(F.max(F.when(F.col("goal") == k, F.col(c))).alias(n) for k, c, n in ((0, "r", "sr"), (0, "c", "sc"), (1, "r", "er"), (1, "c", "ec"))))
+        return told.where("sr is not null and er is not null")
+
+    line, body = both(inside.where("cost = 1")), both(inside)
+    found = line.unionByName(body.join(line, "req_id", "left_anti")).join(asked.select("req_id", "img_id"), "req_id")
+    return kernels.routes(mask_costs, found, partial=False)
+
+
 @query("sam_path")
 def sam_path(spark, sf_dir):
-    """Routes over the cost surface of a mask; none where the goal is not reached."""
-    return kernels.routes(rasters.sam_cost_map(spark, sf_dir), requests(spark, sf_dir), partial=False)
+    return mask_route(requests(spark, sf_dir), rasters.sam_cost_map(spark, sf_dir), rasters.MASK_COSTS[0])
+
+
+def way(asked, first, second):
+    """req_id, path, by: the first route of a request that has one, by what was found; else the goal alone."""
+    gather = lambda found, name: found.groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r", "c"))), lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c"))).alias(name))
+    alone = F.array(F.struct(F.col("er").alias("r"), F.col("ec").alias("c")))
+    met = asked.join(gather(first, "mask"), "req_id", "left").join(gather(second, "edge"), "req_id", "left")
+    by = F.when(F.col("mask").isNotNull(), "mask").when(F.col("edge").isNotNull(), "edge").otherwise("goal")
+    return met.select("req_id", F.coalesce("mask", "edge", alone).alias("path"), by.alias("by"))
 
 
 @query("optimal_path")
 def optimal_path(spark, sf_dir):
-    """The mask's route where there is one, else the edge cost's, else the goal alone."""
+    """The mask's route where there is one, else the edge cost's, partial where its search ends early, else the goal alone."""
     asked = requests(spark, sf_dir)
-    gather = lambda found, name: found.groupBy("req_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "r", "c"))), lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c"))).alias(name))
-    first = gather(sam_path(spark, sf_dir).where("req_id % 3 = 0"), "sam")
-    second = gather(astar_path(spark, sf_dir).where("req_id % 3 < 2"), "edge")
-    alone = F.array(F.struct(F.col("er").alias("r"), F.col("ec").alias("c")))
-    return asked.join(first, "req_id", "left").join(second, "req_id", "left").select("req_id", F.coalesce("sam", "edge", alone).alias("path"))
+    return way(asked, sam_path(spark, sf_dir), astar_path(spark, sf_dir))
 
 
 @query("nn_order")

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..registry import query
-from ..sources import layers
-from .fixtures import gray, lines, mask, raster, spots, table, weights
+from ..sources import layers, tiled_raster
+from .fixtures import MASK, RASTER, gray, lines, mask, raster, spots, table, weights
 
 
 def folder(spark, name):
@@ -53,11 +53,21 @@ def sink_spots(spark, sf_dir):
     return kept
 
 
-@query("sink_edge_raster")
+@query("sink_edge_raster", f"WITH {MASK} SELECT img_id, r, c, 255 AS value, [0.0::DOUBLE, 50.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE] AS transform FROM mask")
 def sink_edge_raster(spark, sf_dir):
-    """The on-pixels of an edge raster, with its affine transform in every row's partition."""
-    affine = F.array(*map(F.lit, (0.0, 1.0, 0.0, 50.0, 0.0, -1.0)))
-    return layers.write_layer(mask(spark, sf_dir).select("img_id", "r", "c", F.lit(255).alias("value"), affine.alias("transform")), folder(spark, "edges"))
+    """An edge raster written in tiles, its transform once, and read back."""
+    path = folder(spark, "edges")
+    tiled_raster.write_raster(mask(spark, sf_dir).withColumn("v", F.lit(255)), path, held="u8", transform=(0.0, 50.0, 1.0, 1.0), tile=32)
+    transform = F.array(*map(F.lit, tiled_raster.geometry_of(spark, path).first()["transform"]))  # told once, by the one write
+    return tiled_raster.read_raster(spark, path).where("v > 0").select("img_id", "r", "c", F.col("v").cast("int").alias("value"), transform.alias("transform"))
+
+
+@query("scan_raster_extent", f"WITH {RASTER} SELECT img_id, r, c, v::FLOAT::DOUBLE AS v FROM raster WHERE r BETWEEN 10 AND 29 AND c BETWEEN 5 AND 40")
+def scan_raster_extent(spark, sf_dir):
+    """The pixels of an extent, of all images, read from the tiles that it meets."""
+    path = folder(spark, "raster")
+    tiled_raster.write_raster(raster(spark, sf_dir), path, transform=(0.0, 50.0, 1.0, 1.0), tile=16)
+    return tiled_raster.read_raster(spark, path, extent=(5.0, 20.0, 41.0, 40.0))
 
 
 def files(spark, sf_dir):

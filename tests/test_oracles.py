@@ -1,4 +1,4 @@
-"""Every query runs; those with a DuckDB twin give its rows, those without are held to expected rows in test_views and others."""
+"""Every query runs; those with a DuckDB twin give its rows, those without are held to expected rows in test_named_queries, test_streaming, test_views and others."""
 
 from __future__ import annotations
 
