@@ -40,7 +40,10 @@ def pack(px: DataFrame, value: str, size: int = TILE, fill: float = 0.0) -> Data
         return pa.table({"img_id": pa.array([img], pa.int64()), "i": pa.array([i], pa.int32()), "j": pa.array([j], pa.int32()), "data": pa.array([a.tobytes()], pa.binary())})
 
     at = lambda c: F.floor(F.col(c) / size).cast("int")
-    return px.select("img_id", "r", "c", F.col(value).cast("double").alias("v"), at("r").alias("i"), at("c").alias("j")).groupBy("img_id", "i", "j").applyInArrow(go, f"{KEY}, data binary")
+    parts = int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = px.select("img_id", "r", "c", F.col(value).cast("double").alias("v"), at("r").alias("i"), at("c").alias("j")).repartition(parts, "img_id", "i", "j")
+    # Dealt by a number, so that few small tiles, on each of which much work waits, do not become one task.
+    return dealt.groupBy("img_id", "i", "j").applyInArrow(go, f"{KEY}, data binary")
 
 
 def _rows(part: pa.RecordBatch):

@@ -59,20 +59,23 @@ def kv_settings(spark, sf_dir):
     return asked(spark, sf_dir).select("event_id", F.coalesce(F.when(i % 4 != 0, F.col("lang")), F.when(i % 8 == 0, F.lit("ko")), F.lit("en")).alias("language"))
 
 
-DISPLAY_SQL = f"""WITH {MODELS_SQL} SELECT model_idx,
+DISPLAY_SQL = f"""WITH {MODELS_SQL}, named AS (SELECT model_idx,
   CASE WHEN backend = 'segment_anything' THEN 'SAM (' || upper(model_type) || ')' ELSE mode END AS name,
   CASE WHEN mode = 'HED' THEN 'Download HED' WHEN backend IS NULL THEN 'Download Model'
-       ELSE 'Download ' || mode || CASE WHEN size_mb > 0 THEN ' (~' || size_mb || 'MB)' ELSE '' END END AS label FROM models"""
+       ELSE 'Download ' || mode || CASE WHEN size_mb > 0 THEN ' (~' || size_mb || 'MB)' ELSE '' END END AS label FROM models)
+SELECT doc_id, model_idx, name, label FROM (SELECT doc_id, (doc_id % 6)::INT AS model_idx FROM labels) JOIN named USING (model_idx)"""
 
 
 @query("display_name", DISPLAY_SQL)
 def display_name(spark, sf_dir):
-    """What a model is called, and what its download button says."""
+    """What the model that a document's label asks for (doc_id % 6; there is no model 5) is called, and what its download button says."""
     backend, mode = F.col("backend"), F.col("mode")
     name = F.when(backend == "segment_anything", F.concat(F.lit("SAM ("), F.upper("model_type"), F.lit(")"))).otherwise(mode)
     size = F.when(F.col("size_mb") > 0, F.concat(F.lit(" (~"), "size_mb", F.lit("MB)"))).otherwise("")
     label = F.when(mode == "HED", "Download HED").when(backend.isNull(), "Download Model").otherwise(F.concat(F.lit("Download "), mode, size))
-    return spark.createDataFrame(MODELS, MODEL_SCHEMA).select("model_idx", name.alias("name"), label.alias("label"))
+    models = spark.createDataFrame(MODELS, MODEL_SCHEMA).select("model_idx", name.alias("name"), label.alias("label"))
+    asked = table(spark, sf_dir, "labels").select("doc_id", (F.col("doc_id") % 6).cast("int").alias("model_idx"))
+    return asked.join(F.broadcast(models), "model_idx").select("doc_id", "model_idx", "name", "label")  # the catalogue, five rows
 
 
 STATUS_SQL = f"""{WEIGHTS}, status AS (SELECT l.key, CASE

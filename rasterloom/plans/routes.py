@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import kernels, lines as line_ops
+from ..operators.portals import least_costs
 from ..operators.snap import nearest_in_rings
 from ..registry import query
 from . import rasters
@@ -18,9 +19,9 @@ def costs(spark, sf_dir):
     return gray(spark, sf_dir).select("img_id", "r", "c", (F.lit(1.0) + F.col("g") / F.lit(16.0)).alias("cost"))
 
 
-def requests(spark, sf_dir):
-    """Routes asked for: from the corner (0, 0) of each view to four pixels of it."""
-    images = costs(spark, sf_dir).groupBy("img_id").agg(F.max("r").alias("h"), F.max("c").alias("w"))
+def requests(spark, sf_dir, px=None):
+    """Routes asked for: from the corner (0, 0) of each view (of px) to four pixels of it."""
+    images = (costs(spark, sf_dir) if px is None else px).groupBy("img_id").agg(F.max("r").alias("h"), F.max("c").alias("w"))
     goal = images.select("img_id", "h", "w", F.explode(F.array(*(F.lit(k) for k in range(4)))).alias("k"))
     return goal.select(
         (F.col("img_id") * 4 + F.col("k")).alias("req_id"), "img_id", F.lit(0).alias("sr"), F.lit(0).alias("sc"),
@@ -55,6 +56,14 @@ def astar_cost(spark, sf_dir):
     return found.groupBy("req_id").agg(F.round(F.max("total"), 5).alias("total"))
 
 
+@query("tiled_cost", ASTAR.replace(GRAY, rasters.WHOLE))
+def tiled_cost(spark, sf_dir):
+    """astar_cost in one image that no task holds whole."""
+    px = rasters.whole_gray(spark, sf_dir).select("img_id", "r", "c", (F.lit(1.0) + F.col("g") / F.lit(16.0)).alias("cost"))
+    found = least_costs(px, requests(spark, sf_dir, px).where("er > 0 or ec > 0"), 64)
+    return found.select("req_id", F.round("total", 5).alias("total"))
+
+
 @query("path_cost", ASTAR)
 def path_cost(spark, sf_dir):
     """The cost of each route, added up over its pixels: what the search reported, found again by a join."""
