@@ -23,6 +23,8 @@ RUNS = ("  ", "\n ", "\t ", "\r ")
 CHUNKS = re.compile(r"\s+(?!\S)|\s?\S+")
 #: Bytes, as estimated, in a generation of the memo, of which a Python worker holds two.
 MEMO_BYTES = 64 << 20
+#: Characters that the library encodes at once: what it returns of each text is many times the ids.
+ENCODED = 200_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -54,7 +56,10 @@ class ChunkTokenizer:
         self.held = 0
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[bytes] = []
+        for start, end in batches(texts, ENCODED):
+            out += [np.array(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts[start:end], add_special_tokens=False)]
+        return out
 
     def _learn(self, memo: dict[str, bytes], old: dict[str, bytes], chunks: set[str], prefix: str) -> None:
         if new := [c for c in chunks if c not in memo]:
