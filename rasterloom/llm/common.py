@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from pyspark.sql import functions as F
 WHITESPACE = " \t\n\x0b\f\r"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Bytes of an Arrow batch of texts, set only where the session leaves Spark's own bound of 64 MB.
+BATCH_BYTES = 2 << 20
+
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_SHARED = "/tmp/checkpoints"
 
@@ -47,6 +52,19 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts reach Python in batches of about BATCH_BYTES, whatever their lengths: a batch is held several times over on its way."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def give_back() -> None:
+    """What a worker has freed goes back to the system, as Arrow and the C library else keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -70,8 +88,10 @@ _memos: dict[str, Callable[[], None]] = {}
 
 def only_memo(owner: str, clear: Callable[[], None] | None = None) -> None:
     """A Python worker outlives its stage: when an operator's task begins, what others remember there is dropped."""
-    for other in [k for k in _memos if k != owner]:
-        _memos.pop(other)()
+    if others := [k for k in _memos if k != owner]:
+        for other in others:
+            _memos.pop(other)()
+        give_back()
     if clear:
         _memos[owner] = clear
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, partitions, text_of
+from .common import bound_batches, give_back, materialise, partitions, text_of
 from .tokenizing import batches, coder_for
 
 DEFAULT_FILE, END_ID, CAPACITY = "byte_bpe_50k.json", 0, 2048
@@ -240,7 +240,9 @@ def cut(df: DataFrame, name: str = DEFAULT_FILE, end_id: int = END_ID, capacity:
                     out.append(pa.array([x.astype("i4") for x in cols[5]], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(out, names=names)
+            give_back()
 
+    bound_batches(df.sparkSession)
     narrow = df.select(F.col(id_col).cast("bigint").alias(id_col), text_of(text_col).alias("text"))
     return narrow.mapInArrow(pieces, f"{id_col} bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids)
 

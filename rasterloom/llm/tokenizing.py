@@ -118,10 +118,9 @@ def chunk_tokenizer(name: str) -> ChunkTokenizer:
 
 
 def coder_for(name: str) -> ChunkTokenizer:
-    """The worker's tokenizer at the start of a task; its memo lives until another operator's task."""
-    coder = chunk_tokenizer(name)
-    only_memo("tokens-" + name, coder.forget)
-    return coder
+    """The worker's tokenizer at the start of a task; it lives, with its memo, until another operator's task."""
+    only_memo("tokens-" + name, chunk_tokenizer.cache_clear)
+    return chunk_tokenizer(name)
 
 
 def batches(texts: list[str], most: int = 4_000_000):

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_bucket, materialise, only_memo, text_of
+from .common import bound_batches, id_bucket, materialise, only_memo, text_of
 
 #: Labelled rows that training uses, as an expected number, and features kept.
 SAMPLE, FEATURES = 20_000, 8_192
@@ -39,8 +39,8 @@ LEAST_TEXTS = 3
 LEAST_CHI = 20.0
 #: Weights of the ridge and of the counterfactual penalty.
 RIDGE, COUNTERFACTUAL = 1e-4, 0.5
-#: Tokens whose features a Python worker remembers.
-MEMO = 200_000
+#: Bytes, as estimated, of the tokens whose features a Python worker remembers.
+MEMO_BYTES = 32 << 20
 WORDS = re.compile(r"[^\W\d_]+")
 
 #: Groups of identity terms that may replace each other.
@@ -163,16 +163,20 @@ class Classifier:
 
     def __init__(self, features: np.ndarray, weights: np.ndarray):
         self.places = {int(f): float(w) for f, w in zip(features, weights)}
-        self.bias, self.memo = float(weights[-1]), {}
+        self.bias, self.memo, self.held = float(weights[-1]), {}, 0
+
+    def forget(self) -> None:
+        self.memo, self.held = {}, 0
 
     def score(self, text: str) -> float:
+        if self.held > MEMO_BYTES:
+            self.forget()
         memo, active = self.memo, set()
-        if len(memo) > MEMO:
-            memo.clear()
         for token in set(text.lower().split()):
             known = memo.get(token)
             if known is None:
                 known = memo[token] = tuple(f for f in token_features(token) if f in self.places)
+                self.held += 150 + len(token)
             if known:
                 active.update(known)
         z = self.bias + sum(self.places[f] for f in sorted(active))
@@ -208,12 +212,13 @@ def score(df: DataFrame, model: Classifier, id_col: str = "doc_id", text_col: st
 
     def rate(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rater = shipped.value
-        only_memo(f"toxicity-{id(rater)}", rater.memo.clear)
+        only_memo(f"toxicity-{id(rater)}", rater.forget)
         for part in parts:
             scores = [rater.score(t or "") for t in part.column("__text").to_pylist()]
             kept = part.drop_columns(["__text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(scores, pa.float64())], names=[*kept.schema.names, "__score"])
 
+    bound_batches(df.sparkSession)
     told = df.select(*df.columns, (id_bucket(id_col, FOLDS) == 0).alias("__held"), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in told.drop("__text").schema)
     return told.mapInArrow(rate, f"{schema}, __score double")
