@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .raster import ADAPTIVE, ADAPTIVE_SIZE
+from .segments import NAMES as SEGMENT
+from .segments import line_segments
 
 #: Neighbours of a pixel and the lengths of the steps to them.
 STEPS = tuple((dr, dc, math.sqrt(dr * dr + dc * dc)) for dr in (-1, 0, 1) for dc in (-1, 0, 1) if dr or dc)
@@ -244,7 +246,7 @@ def dark_lines(g: np.ndarray, level: int, size: int) -> np.ndarray:
     return close(blur(g) < level, size)
 
 
-def drawn(segments: list[tuple], shape: tuple[int, int], width: int = 2) -> np.ndarray:
+def drawn(segments: np.ndarray, shape: tuple[int, int], width: int = 2) -> np.ndarray:
     """operators.raster.rasterize of whole-number ends inside a view."""
     on = np.zeros(shape, bool)
     for x1, y1, x2, y2 in ((int(v) for v in s[:4]) for s in segments):
@@ -260,7 +262,7 @@ def drawn(segments: list[tuple], shape: tuple[int, int], width: int = 2) -> np.n
 
 def line_edges(g: np.ndarray, offset: int) -> np.ndarray:
     """Line segments drawn two pixels wide, joined with the adaptive mask and closed with a 3 x 3 element."""
-    return close(drawn(grow_segments(*sobel(g)), g.shape) | below_mean(g, offset), 3)
+    return close(drawn(line_segments(g), g.shape) | below_mean(g, offset), 3)
 
 
 def network_edges(g: np.ndarray, level: int) -> np.ndarray:
@@ -293,55 +295,14 @@ def mask_cost(g: np.ndarray, outside: int, edge: int, costs: tuple[float, float,
 MASKS = (hysteresis, grow_mask, thin, canny, edges, closed_above, dark_lines, line_edges, network_edges, prompted_mask)
 
 
-def grow_segments(gx: np.ndarray, gy: np.ndarray, least: float = 60.0, within: float = 22.5, fewest: int = 6) -> list[tuple]:
-    """Line segments after von Gioi et al.: regions of like gradient direction, grown from the strongest pixels, and the box around each.
-
-    (x1, y1, x2, y2, width, precision, density), the ends along the region's main axis.
-    """
-    strength, angle = np.hypot(gx, gy), np.arctan2(gx, -gy)
-    used, found = strength < least, []
-    limit = math.radians(within)
-    for start in np.argsort(-strength, axis=None, kind="stable"):
-        r0, c0 = divmod(int(start), gx.shape[1])
-        if used[r0, c0]:
-            if strength[r0, c0] < least:
-                break
-            continue
-        used[r0, c0] = True
-        region, sx, sy = [(r0, c0)], math.cos(angle[r0, c0]), math.sin(angle[r0, c0])
-        for r, c in region:  # grows while it is walked
-            for dr, dc, _ in STEPS:
-                a, b = r + dr, c + dc
-                if 0 <= a < gx.shape[0] and 0 <= b < gx.shape[1] and not used[a, b]:
-                    turn = (angle[a, b] - math.atan2(sy, sx) + math.pi) % (2 * math.pi) - math.pi
-                    if abs(turn) <= limit:
-                        used[a, b] = True
-                        region.append((a, b))
-                        sx, sy = sx + math.cos(angle[a, b]), sy + math.sin(angle[a, b])
-        if len(region) < fewest:
-            continue
-        pts = np.array(region, "f8")[:, ::-1]
-        mid = pts.mean(0)
-        values, axes = np.linalg.eigh(np.cov((pts - mid).T))
-        main, cross = axes[:, 1], axes[:, 0]
-        if main[np.argmax(np.abs(main))] < 0:
-            main = -main
-        t, u = (pts - mid) @ main, (pts - mid) @ cross
-        ends = np.concatenate([mid + t.min() * main, mid + t.max() * main])
-        width = float(u.max() - u.min()) + 1
-        found.append((*map(float, ends), width, within / 180.0, len(region) / (width * (float(t.max() - t.min()) + 1))))
-    return found
-
-
 def segments_of(px: DataFrame, value: str = "g") -> DataFrame:
     """img_id and the segments of each image of px (img_id, r, c, value)."""
-    names = ("x1", "y1", "x2", "y2", "width", "prec", "density")
 
     def go(group: pa.Table) -> pa.Table:
-        rows = grow_segments(*sobel(dense(*(group.column(n).to_numpy() for n in ("r", "c", value)))))
-        return pa.table({"img_id": pa.array([group.column("img_id")[0].as_py()] * len(rows), pa.int64()), **{n: pa.array([x[i] for x in rows], pa.float64()) for i, n in enumerate(names)}})
+        rows = line_segments(dense(*(group.column(n).to_numpy() for n in ("r", "c", value))))
+        return pa.table({"img_id": pa.array([group.column("img_id")[0].as_py()] * len(rows), pa.int64()), **{n: pa.array(rows[:, i].copy()) for i, n in enumerate(SEGMENT)}})
 
-    return px.select("img_id", "r", "c", value).groupby("img_id").applyInArrow(go, "img_id bigint, " + ", ".join(f"{n} double" for n in names))
+    return px.select("img_id", "r", "c", value).groupby("img_id").applyInArrow(go, "img_id bigint, " + ", ".join(f"{n} double" for n in SEGMENT))
 
 
 def least_cost(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int], most: int | None = None) -> tuple[list[tuple[int, int]], float, bool]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import kernels, tiles, raster as ops
 from ..registry import query
-from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, gray, holed, line_pts, mask, raster, raster3, table
+from .fixtures import GRAY, HOLED, LINE_PTS, MASK, RASTER, RASTER3, WHOLE, gray, holed, line_pts, mask, raster, raster3, table
 
 #: Luma weights, hysteresis thresholds of Canny, presence and pixel thresholds of edges, area limits of a mask.
 LUMA = (0.299, 0.587, 0.114)
@@ -153,10 +153,6 @@ def hed_postprocess(spark, sf_dir):
     return kernels.per_image(gray(spark, sf_dir).withColumn("g", level), "g", kernels.closed_above, level=PRESENT, size=2)
 
 
-#: All supplied vectors as one image, for the operators that work on tiles.
-WHOLE = GRAY.replace("(vec_id // 50)::BIGINT AS img_id", "0::BIGINT AS img_id").replace("(vec_id % 50)::INT AS r", "vec_id::INT AS r")
-
-
 def whole_gray(spark, sf_dir):
     """img_id, r, c, g: one image of as many rows as there are vectors."""
     px = table(spark, sf_dir, "embeddings").select(F.lit(0).cast("bigint").alias("img_id"), F.lit(1).alias("band"), F.col("vec_id").cast("int").alias("r"), F.posexplode("embedding").alias("c", "v"))
@@ -273,7 +269,7 @@ def detect_canny(spark, sf_dir):
 
 @query("lsd_segments")
 def lsd_segments(spark, sf_dir):
-    """Line segments grown from pixels of one gradient direction."""
+    """Line segments: regions of one gradient direction that noise is not expected to have."""
     return kernels.segments_of(gray(spark, sf_dir))
 
 

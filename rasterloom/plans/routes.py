@@ -9,7 +9,7 @@ from ..operators.portals import least_costs
 from ..operators.snap import nearest_in_rings
 from ..registry import query
 from . import rasters
-from .fixtures import EVENTS, GRAY, gray, line_pts, mask, pointer_events
+from .fixtures import EVENTS, GRAY, WHOLE, gray, line_pts, mask, pointer_events
 from .snapping import NEAREST
 
 COSTS = f"{GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
@@ -56,7 +56,7 @@ def astar_cost(spark, sf_dir):
     return found.groupBy("req_id").agg(F.round(F.max("total"), 5).alias("total"))
 
 
-@query("tiled_cost", ASTAR.replace(GRAY, rasters.WHOLE))
+@query("tiled_cost", ASTAR.replace(GRAY, WHOLE))
 def tiled_cost(spark, sf_dir):
     """astar_cost in one image that no task holds whole."""
     px = rasters.whole_gray(spark, sf_dir).select("img_id", "r", "c", (F.lit(1.0) + F.col("g") / F.lit(16.0)).alias("cost"))

@@ -5,11 +5,13 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from hypothesis.extra import numpy as hnp
 
 from rasterloom.operators import kernels as k
+from rasterloom.operators.segments import line_segments, log_tail
 
 MASKS = hnp.arrays(np.int64, st.tuples(st.integers(1, 9), st.integers(1, 9)), elements=st.integers(0, 1))
 COSTS = hnp.arrays(np.float64, st.tuples(st.integers(2, 6), st.integers(2, 6)), elements=st.floats(1, 9))
@@ -90,8 +92,38 @@ def test_simplify_and_order():
     assert k.in_order(mask) == [(1, 0), (1, 1), (1, 4)]
 
 
-def test_segment_of_an_edge():
-    gx = np.zeros((20, 20))
-    gx[3:17, 9] = 500
-    found = k.grow_segments(gx, np.zeros((20, 20)))
-    assert len(found) == 1 and abs(found[0][0] - 9) < 1 and abs(found[0][1] - found[0][3]) > 10
+def planted(degrees, shape=(60, 70)):
+    """A view with an edge through its middle, and how far from the edge a place is."""
+    a = math.radians(degrees)
+    far = lambda x, y: (x - shape[1] // 2) * math.sin(a) - (y - shape[0] // 2) * math.cos(a)
+    r, c = np.indices(shape)
+    return np.where(far(c, r) > 1e-9, 200, 40), far
+
+
+@pytest.mark.parametrize("degrees", [0, 17, 30, 45, 60, 90, 133, 170])
+def test_segments_of_a_planted_edge(degrees):
+    view, far = planted(degrees)
+    found = line_segments(view)
+    assert len(found) and max(abs(far(x, y)) for s in found for x, y in (s[:2], s[2:4])) <= 1
+    assert max(math.hypot(s[2] - s[0], s[3] - s[1]) for s in found) > 40
+
+
+def test_segments_of_noise_and_of_nothing():
+    assert sum(len(line_segments(np.random.default_rng(s).integers(0, 256, (40, 40)))) > 0 for s in range(100)) <= 5
+    for shape in ((1, 1), (1, 9), (9, 1), (9, 9)):
+        assert line_segments(np.full(shape, 7)).shape == (0, 8)
+
+
+def test_a_bar_has_two_sides_that_run_opposite_ways():
+    view = np.full((40, 60), 200)
+    view[20:23, 5:55] = 40
+    found = [s for s in line_segments(view) if abs(s[2] - s[0]) > 40]
+    assert len(found) == 2 and found[0][2] > found[0][0] and found[1][2] < found[1][0] or found[0][2] < found[0][0] and found[1][2] > found[1][0]
+    assert sorted(round((s[1] + s[3]) / 2, 1) for s in found) == [19.5, 22.5]
+
+
+def test_tail_of_chance():
+    factorials = np.concatenate([[0.0], np.cumsum(np.log(np.arange(1, 31)))])
+    for n, m, p in ((30, 30, 0.125), (30, 7, 0.125), (12, 0, 0.0625), (25, 11, 0.03125)):
+        plain = sum(math.comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(m, n + 1))
+        assert abs(log_tail(n, m, p, factorials) - math.log10(plain)) < 1e-9

@@ -10,6 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 from rasterloom.operators import kernels
+from rasterloom.operators.segments import line_segments
 from rasterloom.plans import rasters, routes
 from rasterloom.plans.fixtures import gray, line_pts, lines, weights
 
@@ -166,10 +167,15 @@ def test_pixel_orders_and_lines(spark, views):
         assert made.get(i) == want
 
 
-def test_segments_lie_on_edges(spark, views):
-    for r in query(spark, "lsd_segments"):
-        assert 0 <= min(r["x1"], r["x2"]) and max(r["x1"], r["x2"]) <= 63.5 and 0 <= min(r["y1"], r["y2"]) and max(r["y1"], r["y2"]) <= 49.5
-        assert r["width"] >= 1 and 0 < r["density"] <= 1.01 and r["prec"] == pytest.approx(0.125)
+def test_segments_of_all_views(spark, views):
+    """The query's rows are those of each view alone; a planted edge among the views is found."""
+    names = kernels.SEGMENT
+    rows = lambda found: sorted((r["img_id"], *(round(r[n], 6) for n in names)) for r in found)
+    alone = sorted((i, *(round(float(x), 6) for x in s)) for i, v in views.items() for s in line_segments(v))
+    assert rows(query(spark, "lsd_segments")) == alone
+    edge = spark.createDataFrame([(7, r, c, 200 if c > 20 else 40) for r in range(30) for c in range(40)] + [(8, r, c, 9) for r in range(5) for c in range(5)], "img_id long, r int, c int, g int")
+    found = kernels.segments_of(edge).collect()
+    assert [(r["img_id"], r["x1"], r["x2"]) for r in found] == [(7, 20.5, 20.5)] and found[0]["nfa"] > 0
 
 
 def test_layers_and_files(spark, views):
