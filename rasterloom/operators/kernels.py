@@ -292,7 +292,12 @@ def mask_cost(g: np.ndarray, outside: int, edge: int, costs: tuple[float, float,
     return np.maximum(np.where(thin(closed.astype("u1")), least, cost), least)
 
 
-MASKS = (hysteresis, grow_mask, thin, canny, edges, closed_above, dark_lines, line_edges, network_edges, prompted_mask)
+def mask_line(g: np.ndarray, outside: int) -> np.ndarray:
+    """The centre line of a mask, closed as in mask_cost. Its pixels are not told by their cost, as edges in the middle cost the least too."""
+    return thin(close(g >= outside, 3).astype("u1"))
+
+
+MASKS = (hysteresis, grow_mask, thin, canny, edges, closed_above, dark_lines, line_edges, network_edges, prompted_mask, mask_line)
 
 
 def segments_of(px: DataFrame, value: str = "g") -> DataFrame:

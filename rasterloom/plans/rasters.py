@@ -233,13 +233,18 @@ def edge_cost_map(spark, sf_dir):
 
 
 #: The cost outside a mask, inside, on edges inside, what its middle is cheaper by, and of its centre line, the least.
-MASK_COSTS = (12.0, 2.5, 1.6, 0.75, 1.0)
+MASK_COSTS, MASK_LEVEL = (12.0, 2.5, 1.6, 0.75, 1.0), 60
 
 
 @query("sam_cost_map")
 def sam_cost_map(spark, sf_dir):
     """Dear outside the closed mask (levels from 60); inside cheaper toward its middle and on edges (levels above 128), cheapest on its centre line."""
-    return kernels.per_image(gray(spark, sf_dir), "g", kernels.mask_cost, outside=60, edge=EDGE, costs=MASK_COSTS).select("img_id", "r", "c", F.col("value").alias("cost"))
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.mask_cost, outside=MASK_LEVEL, edge=EDGE, costs=MASK_COSTS).select("img_id", "r", "c", F.col("value").alias("cost"))
+
+
+def mask_lines(spark, sf_dir):
+    """The centre lines of the masks of sam_cost_map."""
+    return kernels.per_image(gray(spark, sf_dir), "g", kernels.mask_line, outside=MASK_LEVEL)
 
 
 @query("thin_mask")

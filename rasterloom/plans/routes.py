@@ -153,9 +153,10 @@ def sam_prompts(spark, sf_dir):
     return kept.select("session", F.size("positive").alias("positives"), F.col("kept")["x"].alias("xs"), F.col("kept")["y"].alias("ys"))
 
 
-def mask_route(asked, mask_costs, outside):
-    """Routes over the cost surface of a mask between the pixels of its centre line that are nearest to start and goal,
-    within 20; where one has none, of the mask. None without both, and none where the goal is not reached."""
+def mask_route(asked, mask_costs, centre, outside):
+    """Routes over the cost surface of a mask between the pixels of its centre line (img_id, r, c) that are nearest to start
+    and goal, within 20; where one has none, of the mask. None without both, and none where the goal is not reached. A route
+    so ends at the pixel nearest to its goal."""
     ends = asked.select("img_id", F.explode(F.array(F.struct((F.col("req_id") * 2).alias("pid"), F.col("sr").alias("py"), F.col("sc").alias("px")), F.struct((F.col("req_id") * 2 + 1).alias("pid"), F.col("er").alias("py"), F.col("ec").alias("px")))).alias("e")).select("img_id", "e.*")
     inside = mask_costs.where(F.col("cost") < outside)
 
@@ -164,14 +165,14 @@ def mask_route(asked, mask_costs, outside):
         told = near.groupBy("req_id").agg(*(F.max(F.when(F.col("goal") == k, F.col(c))).alias(n) for k, c, n in ((0, "r", "sr"), (0, "c", "sc"), (1, "r", "er"), (1, "c", "ec"))))
         return told.where("sr is not null and er is not null")
 
-    line, body = both(inside.where("cost = 1")), both(inside)
+    line, body = both(centre), both(inside)
     found = line.unionByName(body.join(line, "req_id", "left_anti")).join(asked.select("req_id", "img_id"), "req_id")
     return kernels.routes(mask_costs, found, partial=False)
 
 
 @query("sam_path")
 def sam_path(spark, sf_dir):
-    return mask_route(requests(spark, sf_dir), rasters.sam_cost_map(spark, sf_dir), rasters.MASK_COSTS[0])
+    return mask_route(requests(spark, sf_dir), rasters.sam_cost_map(spark, sf_dir), rasters.mask_lines(spark, sf_dir), rasters.MASK_COSTS[0])
 
 
 def way(asked, first, second):

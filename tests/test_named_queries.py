@@ -113,14 +113,15 @@ def test_way_by_outcome(spark):
 
 
 def test_mask_route(spark):
-    """A bar of the mask with its centre line: ends snap to the line, and no end within 20 means no route."""
+    """A bar of the mask with its centre line: ends snap to the line, not to an edge that costs as little, and no end within 20 means no route."""
     cost = np.full((40, 60), 12.0)
     cost[18:23, 5:38] = 2.5
-    cost[20, 5:38] = 1.0
+    cost[20, 5:38] = cost[18, 5:38] = 1.0
+    line = spark.createDataFrame([(0, 20, c) for c in range(5, 38)], "img_id long, r int, c int")
     px = spark.createDataFrame([(0, r, c, float(cost[r, c])) for r in range(40) for c in range(60)], "img_id long, r int, c int, cost double")
     asked = spark.createDataFrame([(1, 0, 10, 5, 25, 37), (2, 0, 10, 5, 20, 57), (3, 0, 10, 5, 20, 58)], "req_id long, img_id long, sr int, sc int, er int, ec int")
     got = {}
-    for r in sorted(routes.mask_route(asked, px, 12.0).collect(), key=lambda r: r["seq"]):
+    for r in sorted(routes.mask_route(asked, px, line, 12.0).collect(), key=lambda r: r["seq"]):
         got.setdefault(r["req_id"], []).append((r["r"], r["c"]))
     assert got == {1: [(20, c) for c in range(6, 38)], 2: [(20, c) for c in range(6, 38)]}
 

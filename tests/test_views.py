@@ -63,9 +63,24 @@ def test_prompted_masks(spark):
 
 
 def test_best_route_of_each_request(spark):
-    """optimal_path takes the mask's route, else the edge costs', else the goal alone."""
+    """optimal_path takes the mask's route, else the edge costs', else the goal alone. The mask's route ends at the pixel of
+    the centre line (where start or goal has none within 20, of the mask) that is in the nearest ring to the goal and closest
+    there, the edge costs' at the goal."""
     from rasterloom.plans import routes
 
+    line, body = {}, {}
+    for kernel, told in ((kernels.mask_line, line), (lambda g, outside: kernels.close(g >= outside, 3), body)):
+        levels = {}
+        for r in gray(spark, SF).collect():
+            levels.setdefault(r.img_id, np.zeros((50, 64), int))[r.r, r.c] = r.g
+        for i, v in levels.items():
+            told[i] = [tuple(p) for p in np.argwhere(kernel(v, rasters.MASK_LEVEL)).tolist()]
+
+    def nearest(pixels, r, c):
+        found = [(max(abs(a - r), abs(b - c)), (a - r) ** 2 + (b - c) ** 2, a, b) for a, b in pixels]
+        return min((f for f in found if f[0] <= 20), default=(None,) * 4)[2:]
+
+    asked = {r.req_id: r for r in routes.requests(spark, SF).collect()}
     ends = {r.req_id: (r.er, r.ec) for r in routes.requests(spark, SF).collect()}
     ways = {n: {} for n in ("sam", "edge")}
     for name, df in (("sam", routes.sam_path(spark, SF)), ("edge", routes.astar_path(spark, SF))):
@@ -73,7 +88,16 @@ def test_best_route_of_each_request(spark):
             ways[name].setdefault(r.req_id, []).append((r.r, r.c))
     got = {r.req_id: [tuple(p) for p in r.path] for r in routes.optimal_path(spark, SF).collect()}
     assert got == {i: ways["sam"].get(i) or ways["edge"].get(i) or [e] for i, e in ends.items()}
-    assert all(p[-1] == ends[i] for i, p in got.items())
+    for i, path in got.items():
+        q = asked[i]
+        if i in ways["sam"]:
+            pixels = line[q.img_id]
+            if None in nearest(pixels, q.sr, q.sc) + nearest(pixels, q.er, q.ec):
+                pixels = body[q.img_id]
+            assert path[-1] == nearest(pixels, q.er, q.ec)
+        else:
+            assert path[-1] == ends[i]
+    assert ways["sam"] and len(got) == len(ends)
 
 
 def around(v, r, c, reach):
