@@ -189,9 +189,10 @@ def envelope(square: np.ndarray) -> np.ndarray:
     return square[best] + (x - best) ** 2
 
 
-def distance(px: DataFrame, value: str, size: int = TILE) -> DataFrame:
+def distance(px: DataFrame, value: str, size: int = TILE, rows_away: int | None = None) -> DataFrame:
     """img_id, r, c, value: each pixel's exact distance to the nearest of px (img_id, r, c, value) that is not 0, in images
-    without gaps; the image's diagonal where there is none."""
+    without gaps; the image's diagonal where there is none. With rows_away, to the nearest of those at most so many rows
+    away, and no row for a pixel without one."""
     shape = px.groupBy("img_id").agg((F.max("r") + 1).alias("high"), (F.max("c") + 1).alias("wide"))
     strip = lambda c, other: F.floor(F.col(c) / F.greatest(F.lit(1), F.floor(F.lit(size * size) / F.col(other)))).cast("int")
     whole = px.select("img_id", "r", "c", (F.col(value) != 0).alias("on")).join(shape, "img_id")
@@ -205,6 +206,8 @@ def distance(px: DataFrame, value: str, size: int = TILE) -> DataFrame:
         above = np.maximum.accumulate(np.where(mask, rows, -np.inf), 0)
         below = np.minimum.accumulate(np.where(mask, rows, np.inf)[::-1], 0)[::-1]
         far = np.minimum(rows - above, below - rows)
+        if rows_away is not None:
+            far = np.where(far <= rows_away, far, np.inf)
         return pa.table({**{n: group.column(n) for n in ("img_id", "r", "c", "high", "wide")}, "far": pa.array(far[r, c - left])})
 
     def rows(group: pa.Table) -> pa.Table:
@@ -213,8 +216,11 @@ def distance(px: DataFrame, value: str, size: int = TILE) -> DataFrame:
         a = np.full((int(r.max()) - top + 1, wide), np.inf)
         a[r - top, c] = far
         best = np.stack([envelope(row) for row in a * a])
-        best[~np.isfinite(best)] = high * high + wide * wide
-        return pa.table({**{n: group.column(n) for n in ("img_id", "r", "c")}, "value": pa.array(np.sqrt(best[r - top, c]))})
+        if rows_away is None:
+            best[~np.isfinite(best)] = high * high + wide * wide
+        value = np.sqrt(best[r - top, c])
+        told = pa.table({**{n: group.column(n) for n in ("img_id", "r", "c")}, "value": pa.array(value)})
+        return told.filter(pa.array(np.isfinite(value)))
 
     down = whole.withColumn("strip", strip("c", "high")).groupBy("img_id", "strip").applyInArrow(columns, "img_id bigint, r int, c int, high int, wide int, far double")
     return down.withColumn("strip", strip("r", "wide")).groupBy("img_id", "strip").applyInArrow(rows, "img_id bigint, r int, c int, value double")

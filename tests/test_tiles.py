@@ -110,3 +110,15 @@ def test_whole_image_query(spark):
     for r in px:
         on[r["r"], r["c"]] = True
     assert found(tiled_thin(spark, "/root/testdata/sf0.001")) == {(0, int(r), int(c)) for r, c in zip(*np.nonzero(kernels.thin(on)))}
+
+
+def test_distance_looks_only_so_many_rows_away(spark):
+    v = np.zeros((90, 20), int)
+    v[3, 2], v[9, 17] = 9, 9
+    r, c = np.indices(v.shape)
+    far = np.full(v.shape, np.inf)
+    for a, b in np.argwhere(v):
+        far = np.where(abs(r - a) <= 40, np.minimum(far, np.hypot(r - a, c - b)), far)
+    got = {(q.r, q.c): q.value for q in tiles.distance(table(spark, v), "g", 16, 40).collect()}
+    assert set(got) == {(int(a), int(b)) for a, b in np.argwhere(np.isfinite(far))}
+    assert all(abs(got[at] - far[at]) < 1e-9 for at in got)
