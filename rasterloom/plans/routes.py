@@ -9,7 +9,7 @@ from ..operators.portals import least_costs
 from ..operators.snap import nearest_in_rings
 from ..registry import query
 from . import rasters
-from .fixtures import EVENTS, GRAY, WHOLE, gray, line_pts, mask, pointer_events
+from .fixtures import EVENTS, GRAY, WHOLE, gray, line_pts, mask, pointer_events, table
 from .snapping import NEAREST
 
 COSTS = f"{GRAY}, costs AS (SELECT img_id, r, c, 1.0::DOUBLE + g / 16.0::DOUBLE AS cost FROM gray)"
@@ -95,11 +95,12 @@ def priority_frontier(spark, sf_dir):
 
 @query("path_reconstruct", "WITH RECURSIVE t AS (SELECT c_custkey AS leaf, c_custkey AS node, 0 AS depth FROM customer UNION ALL SELECT leaf, node // 3, depth + 1 FROM t WHERE node > 0) SELECT leaf, depth, node FROM t")
 def path_reconstruct(spark, sf_dir):
-    """From each leaf back along a table of parents (node, node div 3) to the root."""
-    spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey").createOrReplaceTempView("route_nodes")
-    return spark.sql("""WITH RECURSIVE t(leaf, node, depth) AS (
-        SELECT c_custkey, c_custkey, 0 FROM route_nodes
-        UNION ALL SELECT leaf, node div 3, depth + 1 FROM t WHERE node > 0) SELECT leaf, depth, node FROM t""")
+    """From each leaf back along the parents (node, node div 3) to the root. A leaf's way has as many steps as there are powers
+    of 3 up to it, so each leaf gives its own rows: no recursion, whose rows Spark limits, and no round of joins a step."""
+    leaf, powers = F.col("c_custkey"), F.array(*(F.lit(3**k).cast("bigint") for k in range(40)))  # 3**39 is the last below 2**63
+    steps = F.size(F.filter(powers, lambda p: p <= leaf))
+    walked = table(spark, sf_dir, "customer").select(leaf.alias("leaf"), F.explode(F.sequence(F.lit(0), steps)).alias("depth"))
+    return walked.withColumn("power", F.get(powers, F.col("depth"))).select("leaf", "depth", F.expr("if(power is null, 0, leaf div power)").alias("node"))
 
 
 NEAR2 = "len(list_filter({0}, lambda q: (q.x - {1}) * (q.x - {1}) + (q.y - {2}) * (q.y - {2}) < 9)) > 0"

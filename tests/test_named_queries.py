@@ -201,3 +201,22 @@ def test_stand_ins_are_deterministic(spark, views):
     assert hed == on(even, lambda v: kernels.network_edges(v, rasters.PRESENT)) | on(odd, lambda v: kernels.canny(v, 30, 100, 10))
     means = {r["img_id"]: r["embedding"] for r in query(spark, "sam_set_image")}
     assert all(np.allclose(means[i], v[:50, :64].reshape(5, 10, 8, 8).mean((1, 3)).ravel()) for i, v in views.items())
+
+
+def test_ways_to_the_root_have_no_limit_of_rows(spark, tmp_path):
+    """More than the million rows that Spark allows a recursion; awkward and largest leaves too."""
+    from rasterloom.plans.routes import path_reconstruct
+
+    odd = [0, 1, -7, 3**39 - 1, 3**39, 2**63 - 1]
+    leaves = spark.range(1, 120_001).selectExpr("id as c_custkey").unionByName(spark.createDataFrame([(k,) for k in odd] + [(None,)], "c_custkey long"))
+    leaves.write.parquet(f"{tmp_path}/customer.parquet")
+    found = path_reconstruct(spark, str(tmp_path))
+    assert found.count() > 1_000_000 and dict(found.dtypes) == {"leaf": "bigint", "depth": "int", "node": "bigint"}
+    got = {}
+    for r in found.where("leaf is null or leaf > 120000 or leaf < 1000").collect():
+        got.setdefault(r.leaf, []).append((r.depth, r.node))
+    for leaf in [*odd, None, 999]:
+        way = [leaf]
+        while way[-1] is not None and way[-1] > 0:
+            way.append(way[-1] // 3)
+        assert sorted(got[leaf], key=lambda t: t[0]) == sorted([*enumerate(way)] * (2 if leaf == 1 else 1), key=lambda t: t[0])
