@@ -89,7 +89,8 @@ def endpoint_snap(spark, sf_dir):
     k = F.col("c_custkey")
     asked = table(spark, sf_dir, "customer").select(k.alias("pid"), (k % 50 + 1).cast("double").alias("x"), (k % 97).cast("double").alias("y"))
     told = ends(spark, sf_dir)
-    both = told.select("line_id", F.col("x1").alias("ex"), F.col("y1").alias("ey"), F.lit(True).alias("is_start")).unionByName(told.select("line_id", F.col("x2").alias("ex"), F.col("y2").alias("ey"), F.lit(False).alias("is_start")))
+    end = lambda k, start: F.struct(F.col(f"x{k}").alias("ex"), F.col(f"y{k}").alias("ey"), F.lit(start).alias("is_start"))
+    both = told.select("line_id", F.explode(F.array(end(1, True), end(2, False))).alias("e")).select("line_id", "e.*")
     return nearest_endpoint(asked, both, TOLERANCE).select("pid", "line_id", "is_start")
 
 
