@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PIXEL = ["img_id", "r", "c"]
@@ -146,9 +146,15 @@ def union_masks(*masks: DataFrame) -> DataFrame:
 
 
 def rasterize(segments: DataFrame, width: int = 2) -> DataFrame:
-    """Pixels of segments (img_id, x1, y1, x2, y2, whole numbers), one step at a time along the longer axis, width pixels wide."""
+    """Pixels of segments (img_id, x1, y1, x2, y2, whole numbers), one step at a time along the longer axis, width pixels wide.
+
+    A segment's pixels are made distinct in its row, as numbers; only those of images with several segments are compared."""
+    row, half = 1 << 32, 1 << 31  # a pixel is r * row + c + half
     n = F.greatest(F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1")))
-    steps = segments.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n"))))
-    at = lambda a, b: F.when(F.col("n") == 0, F.col(a)).otherwise(F.floor(F.col(a) + F.col("i") * (F.col(b) - F.col(a)) / F.col("n") + F.lit(0.5)).cast("int"))
-    line = steps.select("img_id", at("y1", "y2").alias("r"), at("x1", "x2").alias("c")).distinct()
-    return send(line, [(i, j, 1) for i in range(width) for j in range(width)]).drop("weight").distinct()
+    at = lambda a, b, i: F.when(n == 0, F.col(a)).otherwise(F.floor(F.col(a) + i * (F.col(b) - F.col(a)) / n + F.lit(0.5))).cast("bigint")
+    line = F.transform(F.sequence(F.lit(0), n), lambda i: at("y1", "y2", i) * F.lit(row) + at("x1", "x2", i) + F.lit(half))
+    brush = F.flatten(F.transform(line, lambda p: F.array(*(p + F.lit(i * row + j) for i in range(width) for j in range(width)))))
+    counted = segments.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("img_id")) > 1)
+    pixels = lambda some: some.select("img_id", F.explode(F.array_distinct(brush)).alias("p"))
+    both = pixels(counted.where("not many")).unionByName(pixels(counted.where("many")).distinct())
+    return both.select("img_id", F.shiftright("p", 32).cast("int").alias("r"), (F.col("p").bitwiseAND(F.lit(row - 1)) - F.lit(half)).cast("int").alias("c"))
