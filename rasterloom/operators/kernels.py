@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .lines import per_line
 from .raster import ADAPTIVE, ADAPTIVE_SIZE
 from .segments import NAMES as SEGMENT
 from .segments import line_segments
@@ -411,36 +412,47 @@ def in_order(mask: np.ndarray, cell: int = 8) -> list[tuple[int, int]]:
         here = best[1:]
 
 
+def kept_vertices(x: np.ndarray, y: np.ndarray, first: np.ndarray, tolerance: float) -> np.ndarray:
+    """Douglas and Peucker: which vertices of lines that begin at the places `first` are farther than tolerance from the chords
+    kept so far. A round looks at all chords of all lines at once."""
+    ends = np.append(first[1:], len(x)) - 1
+    keep = np.zeros(len(x), bool)
+    keep[first] = keep[ends] = True
+    a, b = first, ends
+    while True:
+        wide = b - a >= 2
+        a, b = a[wide], b[wide]
+        if not len(a):
+            return keep
+        many = b - a - 1
+        start = np.cumsum(many) - many
+        chord = np.repeat(np.arange(len(a)), many)
+        place = np.arange(len(chord))
+        inner = (a + 1 - start)[chord] + place
+        cx, cy, ix, iy = (x[b] - x[a])[chord], (y[b] - y[a])[chord], x[inner] - x[a][chord], y[inner] - y[a][chord]
+        size = np.fromiter(map(math.hypot, (x[b] - x[a]).tolist(), (y[b] - y[a]).tolist()), "f8", len(a))[chord]
+        off = np.where(size > 0, np.abs(cx * iy - cy * ix) / np.where(size > 0, size, 1.0), np.hypot(ix, iy))
+        most = np.maximum.reduceat(off, start)
+        k = np.minimum.reduceat(np.where(off == most[chord], place, len(place)), start)  # the first of equally far ones
+        far = most > tolerance
+        middle = inner[k[far]]
+        keep[middle] = True
+        a, b = np.concatenate([a[far], middle]), np.concatenate([middle, b[far]])
+
+
 def simplify(points: np.ndarray, tolerance: float) -> np.ndarray:
-    """Douglas and Peucker: the vertices that are farther than tolerance from the chords kept so far."""
-    keep = np.zeros(len(points), bool)
-    keep[[0, -1]] = True
-    spans = [(0, len(points) - 1)]
-    while spans:
-        a, b = spans.pop()
-        if b - a < 2:
-            continue
-        chord, inner = points[b] - points[a], points[a + 1 : b] - points[a]
-        size = math.hypot(*chord)
-        off = np.abs(chord[0] * inner[:, 1] - chord[1] * inner[:, 0]) / size if size else np.hypot(inner[:, 0], inner[:, 1])
-        k = int(off.argmax())
-        if off[k] > tolerance:
-            keep[a + 1 + k] = True
-            spans += [(a, a + 1 + k), (a + 1 + k, b)]
-    return points[keep]
+    """One line's vertices that are kept."""
+    return points[kept_vertices(points[:, 0], points[:, 1], np.array([0]), tolerance)]
 
 
 def simplify_lines(points: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """line_id, seq, x, y: each line (line_id, seq, x, y) simplified."""
 
-    def go(group: pa.Table) -> pa.Table:
-        order = np.argsort(group.column("seq").to_numpy(), kind="stable")
-        pts = np.stack([group.column(n).to_numpy()[order] for n in ("x", "y")], 1)
-        kept = simplify(pts, tolerance)
-        n = len(kept)
-        return pa.table({"line_id": pa.array([group.column("line_id")[0].as_py()] * n, pa.int64()), "seq": pa.array(np.arange(1, n + 1, dtype="i4")), "x": pa.array(kept[:, 0].copy()), "y": pa.array(kept[:, 1].copy())})
+    def kernel(x: np.ndarray, y: np.ndarray, first: np.ndarray) -> tuple:
+        keep = kept_vertices(x, y, first, tolerance)
+        return np.add.reduceat(keep.astype("i8"), first), x[keep], y[keep]
 
-    return points.select("line_id", "seq", "x", "y").groupby("line_id").applyInArrow(go, "line_id bigint, seq int, x double, y double")
+    return per_line(points, kernel)
 
 
 def ordered_pixels(mask: DataFrame) -> DataFrame:
