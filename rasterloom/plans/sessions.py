@@ -12,23 +12,29 @@ from ..streaming.tracing import trace
 from .fixtures import pointer_events, table
 
 
+def line_owners(spark, sf_dir):
+    """line_id, session: the user whose line it is."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_id"), F.expr("o_custkey div 10").alias("session"))
+
+
 def user_layer(spark, sf_dir):
     """session, line_id, geom: each user's own output layer, ten customers' orders as lines."""
     from ..operators.lines import make_polyline
     from .fixtures import line_pts
 
-    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_id"), F.expr("o_custkey div 10").alias("session"))
-    return make_polyline(line_pts(spark, sf_dir)).join(owner, "line_id").select("session", "line_id", "geom")
+    return make_polyline(line_pts(spark, sf_dir)).join(line_owners(spark, sf_dir), "line_id").select("session", "line_id", "geom")
+
 
+def user_ends(spark, sf_dir):
+    """The first and the last point of each line of user_layer, found without the lines."""
+    from .pixels import ends
 
-def layer_ends(layer):
-    """The first and the last point of each line."""
-    end = lambda k: F.element_at("geom", k)
-    return layer.select("session", "line_id", end(1)["x"].alias("x0"), end(1)["y"].alias("y0"), end(-1)["x"].alias("x1"), end(-1)["y"].alias("y1"))
+    told = ends(spark, sf_dir).select("line_id", F.col("x1").alias("x0"), F.col("y1").alias("y0"), F.col("x2").alias("x1"), F.col("y2").alias("y1"))
+    return told.join(line_owners(spark, sf_dir), "line_id").select("session", "line_id", "x0", "y0", "x1", "y1")
 
 
 def replayed(spark, sf_dir):
-    return replay(pointer_events(spark, sf_dir), layer_ends(user_layer(spark, sf_dir)))
+    return replay(pointer_events(spark, sf_dir), user_ends(spark, sf_dir))
 
 
 @query("session_press")
@@ -44,7 +50,7 @@ def session_move(spark, sf_dir):
 
     pixels = costs(spark, sf_dir).withColumns({"edge": F.col("cost") > 1 + 150 / 16, "px_w": F.lit(8.0), "px_h": F.lit(2.0), "y_max": F.lit(100.0)})
     events = pointer_events(spark, sf_dir).withColumn("img_id", F.col("session") % 10)
-    return trace(events, pixels, layer_ends(user_layer(spark, sf_dir))).where("action in ('extended', 'preview', 'gated')")
+    return trace(events, pixels, user_ends(spark, sf_dir)).where("action in ('extended', 'preview', 'gated')")
 
 
 @query("session_key")
@@ -63,7 +69,7 @@ def reset_session(spark, sf_dir):
 def session_lines(spark, sf_dir):
     """The lines that sessions made or changed, as they are at the end."""
     layer = user_layer(spark, sf_dir)
-    return written(layer, replay(pointer_events(spark, sf_dir), layer_ends(layer))).where("changed").select("session", "line_id", "geom")
+    return written(layer, replay(pointer_events(spark, sf_dir), user_ends(spark, sf_dir))).where("changed").select("session", "line_id", "geom")
 
 
 @query("source_pointer_events")
@@ -79,7 +85,7 @@ def source_pointer_events(spark, sf_dir):
     events.write.parquet(source)
     tick = F.timestamp_micros(F.unix_micros(F.max("ts")) + F.lit(KEEP + 60_000_000)).alias("ts")
     events.agg(tick).where("ts is not null").select(F.lit(-1).cast("bigint").alias("session"), "ts", F.lit(-1).cast("bigint").alias("event_id"), *(F.lit(0.0).alias(c) for c in "xy"), F.lit("tick").alias("kind"), F.lit(False).alias("manual")).select(*events.columns).write.mode("append").parquet(source)
-    layer_ends(user_layer(spark, sf_dir)).write.parquet(ends)
+    user_ends(spark, sf_dir).write.parquet(ends)
     read = spark.readStream.schema(events.schema).parquet(source)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider, None)

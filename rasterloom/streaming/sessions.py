@@ -230,24 +230,42 @@ def with_ends(events: DataFrame, layer: DataFrame | None = None, largest: float
     size = RESUME * largest
     cell = lambda c: F.floor(c / F.lit(size))
     near = F.sequence(F.lit(-1), F.lit(1))
-    ends = layer.select(F.col("session").alias("of"), F.col("line_id").cast("string").alias("line_id"), "x0", "y0", "x1", "y1", F.explode(F.array(*(F.struct(cell(F.col(f"x{k}")).alias("i"), cell(F.col(f"y{k}")).alias("j")) for k in (0, 1)))).alias("at"))
-    around = ends.select("*", F.explode(near).alias("di")).select("of", *nothing, (F.col("at.i") + F.col("di")).alias("i"), F.col("at.j").alias("j0"), F.explode(near).alias("dj"))
-    around = around.select("of", *nothing, "i", (F.col("j0") + F.col("dj")).alias("j")).distinct()
+    # Presses, of which there are fewer, look into the cells around them; a line stands in the cells of its two ends only.
+    ends = layer.select(F.col("session").alias("of"), F.col("line_id").cast("string").alias("line_id"), "x0", "y0", "x1", "y1", F.posexplode(F.array(*(F.struct(cell(F.col(f"x{k}")).alias("i"), cell(F.col(f"y{k}")).alias("j")) for k in (0, 1)))).alias("end", "at")).select("of", *nothing, "end", "at.i", "at.j")
     fits = F.when(F.col("unit") <= largest, F.col("x")).otherwise(F.raise_error(F.lit("a unit is above largest")).cast("double"))
-    press = plain.where("kind = 'press'").withColumns({"i": cell(fits), "j": cell(F.col("y"))})
-    met = press.join(around, (press["session"] == around["of"]) & (press["i"] == around["i"]) & (press["j"] == around["j"]))
-    close = lambda k: F.hypot(F.col(f"x{k}") - F.col("x"), F.col(f"y{k}") - F.col("y")) < F.lit(RESUME) * F.col("unit")
-    return whole.unionByName(met.where(close(0) | close(1)).select(*plain.columns, *nothing).withColumn("kind", F.lit("end")).select(*whole.columns))
+    press = plain.where("kind = 'press'").withColumns({"i0": cell(fits), "j0": cell(F.col("y"))})
+    around = press.select("*", F.explode(near).alias("di")).select("*", F.explode(near).alias("dj")).withColumns({"i": F.col("i0") + F.col("di"), "j": F.col("j0") + F.col("dj")})
+    met = around.join(ends, (around["session"] == ends["of"]) & (around["i"] == ends["i"]) & (around["j"] == ends["j"]))
+    close = lambda k: F.coalesce(F.hypot(F.col(f"x{k}") - F.col("x"), F.col(f"y{k}") - F.col("y")) < F.lit(RESUME) * F.col("unit"), F.lit(False))
+    once = F.when(F.col("end") == 0, close(0)).otherwise(close(1) & ~close(0))  # of a line with both ends near, the start tells
+    return whole.unionByName(met.where(once).select(*plain.columns, *nothing).withColumn("kind", F.lit("end")).select(*whole.columns))
 
 
 def replay(events: DataFrame, layer: DataFrame | None = None, largest: float = 1.0, timeout: int | None = TIMEOUT, keep: int | None = KEEP) -> DataFrame:
     """What every event of (session, ts, event_id, kind, x, y, manual[, unit]) did, in batch, and which paths were given up."""
 
-    def go(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        fold = Fold(key[0], timeout=timeout, keep=keep)
-        return table_of(fold.run(tuples_of(pdf)) + fold.pass_time(math.inf))
-
-    return with_ends(events, layer, largest).select("session", *EVENT).groupBy("session").applyInPandas(go, OUT)
+    def folded(session: int, told: list[tuple]) -> list[tuple]:
+        fold = Fold(session, timeout=timeout, keep=keep)
+        return fold.run(told) + fold.pass_time(math.inf)
+
+    def go(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come session by session; many short sessions make one table."""
+        now, held = None, []
+        for pdf in parts:
+            rows = []
+            for session, event in zip(pdf["session"].tolist(), tuples_of(pdf)):
+                if held and session != now:
+                    rows += folded(now, held)
+                    held = []
+                now = session
+                held.append(event)
+            if rows:
+                yield table_of(rows)
+        if held:
+            yield table_of(folded(now, held))
+
+    told = with_ends(events, layer, largest).select("session", *EVENT)
+    return told.repartition("session").sortWithinPartitions("session").mapInPandas(go, OUT)
 
 
 class Stored:

@@ -240,3 +240,11 @@ def test_queries_say_what_their_names_do(spark):
     lines = plans.session_lines(spark, SF).collect()
     assert {(r["session"], r["line_id"]) for r in lines} == {(r["session"], r["line_id"]) for r in every if r["line_id"] is not None}
     assert all(len(r["geom"]) >= 2 for r in lines)
+
+
+def test_a_line_with_both_ends_near_is_met_once(spark):
+    """Presses look into the cells around them and a line stands in the cells of its ends, so no line is told twice and no distinct is needed."""
+    layer = spark.createDataFrame([(1, 7, 0.0, 0.0, 3.0, 0.0), (1, 8, 500.0, 0.0, 3.0, 9.5), (2, 9, 1.0, 1.0, 1.0, 1.0)], "session long, line_id long, x0 double, y0 double, x1 double, y1 double")
+    told = sessions.with_ends(spark.createDataFrame([(1, 0, 5, "press", 2.0, 1.0, False)], "session long, us long, event_id long, kind string, x double, y double, manual boolean"), layer)
+    assert sorted(r.line_id for r in told.where("kind = 'end'").collect()) == ["7", "8"]
+    assert "HashAggregate" not in told._jdf.queryExecution().executedPlan().toString()
