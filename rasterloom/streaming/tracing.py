@@ -106,14 +106,16 @@ def trace(events: DataFrame, pixels: DataFrame, layer: DataFrame | None = None,
         if len(seen):
             r, c = seen["r"].to_numpy(), seen["c"].to_numpy()
             view = View(dense(r, c, seen["cost"].to_numpy("f8")), dense(r, c, seen["edge"].to_numpy(bool)), *(float(seen[n].iloc[0]) for n in placed))
-        rows = []
-        for session, some in told.groupby("session", sort=True):
-            fold = Fold(int(session), timeout=timeout, keep=keep, view=view)
-            rows += fold.run(tuples_of(some)) + fold.pass_time(math.inf)
+        rows, of = [], {}
+        for session, event in zip(told["session"].tolist(), tuples_of(told)):
+            of.setdefault(int(session), []).append(event)
+        for session in sorted(of):
+            fold = Fold(session, timeout=timeout, keep=keep, view=view)
+            rows += fold.run(of[session]) + fold.pass_time(math.inf)
         return table_of(rows)
 
     dealt = events.groupBy("img_id").agg(F.ceil(F.count(F.lit(1)) / per_group).alias("groups"))
     salted = with_ends(events, layer, largest).join(dealt, "img_id").withColumn("salt", F.pmod(F.xxhash64("session"), "groups"))
-    wanted = salted.select(F.col("img_id").alias("of"), F.col("salt").alias("of_salt")).distinct()
+    wanted = dealt.select(F.col("img_id").alias("of"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("groups") - 1)).alias("of_salt"))
     spread = px.join(wanted, F.col("img_id") == F.col("of"))
     return salted.select("img_id", "salt", "session", *EVENT).groupBy("img_id", "salt").cogroup(spread.drop("img_id").groupBy("of", "of_salt")).applyInPandas(go, OUT)
