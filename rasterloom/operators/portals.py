@@ -1,16 +1,16 @@
-"""Least costs between pixels of an image of any size, by a graph of portals.
-
-The portals are the border pixels of tiles. Inside a tile the exact costs from each of its portals to the others are edges, as are
-the steps between portals of neighbouring tiles; so is what a request's start costs to the portals of its tile, and what
-the goal costs from those of its. A least-cost route is a chain of these, so the costs are those of a search of
-the whole image. They are found by a join a round: what has become cheaper goes along its edges, as long as it is below the
-request's best total so far. A round reaches one tile further; no group is larger than a tile, and a start that many
-requests share is worked out once.
+"""Least costs between pixels of an image of any size, by blocks of tiles that are merged two by two.
+
+A block knows the exact costs, inside it, between its portals: its pixels on borders to other blocks, and the asked pixels. Two
+blocks are merged by the steps between them: only their pixels on the common border can stand in the middle of a chain, and
+after that they are portals no more. Rounds so grow with the logarithm of the tiles. Blocks are merged while two have at most
+MOST portals; what is left then is searched by a join a round: what has become cheaper goes along its edges, as long as it
+is below the request's best total so far. A least-cost route is a chain of such costs, so they are those of a search of the
+whole image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +23,10 @@ from .tiles import SHIFT, pack
 
 #: Sources that are relaxed at once in a tile, and a difference of costs that is none.
 LANES, SAME = 32, 1e-9
+#: Portals of two blocks that are merged, and what a block is.
+MOST = 1024
+BLOCK = {"img_id": pa.int64(), "i": pa.int32(), "j": pa.int32(), "high": pa.int32(), "wide": pa.int32(), "n": pa.int32(), **dict.fromkeys(("node", "cost", "asked", "data"), pa.binary())}
+BLOCK_ROW = "img_id bigint, i int, j int, high int, wide int, n int, node binary, cost binary, asked binary, data binary"
 #: Rounds: a route that needs more tiles than this is an error.
 MOST_ROUNDS = 100_000
 
@@ -44,80 +48,112 @@ def relaxed(cost: np.ndarray, sources: np.ndarray, backwards: bool = False) -> n
             return d
 
 
-def ring(cost: np.ndarray) -> np.ndarray:
-    """The border pixels of a tile that exist."""
-    edge = np.zeros(cost.shape, bool)
-    edge[[0, -1]] = edge[:, [0, -1]] = True
-    return np.argwhere(edge & np.isfinite(cost))
+def facing(r: np.ndarray, c: np.ndarray, i: int, j: int, h: int, w: int, high: int, wide: int) -> np.ndarray:
+    """Whether pixels of block (i, j), of h by w, lie on its border to another block of an image of high by wide."""
+    return ((r == i * h) & (i > 0)) | ((r == (i + 1) * h - 1) & (r < high - 1)) | ((c == j * w) & (j > 0)) | ((c == (j + 1) * w - 1) & (c < wide - 1))
 
 
-def _edges(size: int):
+def _block(img: int, i: int, j: int, high: int, wide: int, node: np.ndarray, cost: np.ndarray, asked: np.ndarray, d: np.ndarray) -> dict:
+    values = (img, i, j, high, wide, len(node), node.tobytes(), cost.tobytes(), asked.tobytes(), np.ascontiguousarray(d).tobytes())
+    return {name: pa.array([v], kind) for (name, kind), v in zip(BLOCK.items(), values)}
+
+
+def _first(size: int) -> Callable:
+    """Tiles as blocks."""
+
     def go(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for img, i, j, data in zip(*(part.column(n).to_pylist() for n in ("img_id", "i", "j", "data"))):
-                cost = np.frombuffer(data).reshape(size, size)
-                at = ring(cost)
-                node = (at[:, 0] + i * size).astype("i8") * SHIFT + at[:, 1] + j * size
-                for k in range(0, len(at), LANES):
-                    d = relaxed(cost, at[k : k + LANES])[:, at[:, 0], at[:, 1]]
-                    u, v = np.nonzero(np.isfinite(d) & (d > 0))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), img, "i8")), pa.array(node[k + u]), pa.array(node[v]), pa.array(d[u, v])], names=["img_id", "u", "v", "w"])
+            for q in part.to_pylist():
+                cost = np.frombuffer(q["data"]).reshape(size, size)
+                r, c = (x + k * size for x, k in zip(np.indices(cost.shape), (q["i"], q["j"])))
+                asked = np.zeros(cost.shape, bool)
+                for n in q["told"] or ():
+                    asked[n // SHIFT - q["i"] * size, n % SHIFT - q["j"] * size] = True
+                at = np.argwhere((asked | facing(r, c, q["i"], q["j"], size, size, q["high"], q["wide"])) & np.isfinite(cost))
+                y, x = at[:, 0], at[:, 1]
+                d = np.concatenate([np.zeros((0, len(at))), *(relaxed(cost, at[k : k + LANES])[:, y, x] for k in range(0, len(at), LANES))])
+                yield pa.RecordBatch.from_pydict(_block(q["img_id"], q["i"], q["j"], q["high"], q["wide"], r[y, x].astype("i8") * SHIFT + c[y, x], cost[y, x], asked[y, x], d))
 
     return go
 
 
-def _attach(size: int, backwards: bool):
-    """Costs between asked pixels of a tile and its portals, and, forwards, the other asked pixels (goals) of the tile."""
+def _merge(h: int, w: int) -> Callable:
+    """One block of h by w from those in it."""
 
-    def go(key: tuple, tile: pa.Table, asked: pa.Table) -> pa.Table:
+    def go(key: tuple, group: pa.Table) -> pa.Table:
         img, i, j = (k.as_py() for k in key)
-        rows = [np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)]
-        if tile.num_rows and asked.num_rows:
-            cost = np.frombuffer(tile.column("data")[0].as_py()).reshape(size, size)
-            node, goal = asked.column("node").to_numpy(), asked.column("goal").to_numpy(zero_copy_only=False)
-            local = lambda n: np.stack([n // SHIFT - i * size, n % SHIFT - j * size], 1)
-            ends = ring(cost) if backwards else np.unique(np.concatenate([ring(cost), local(node[goal])]), axis=0)
-            reach = (ends[:, 0] + i * size).astype("i8") * SHIFT + ends[:, 1] + j * size
-            mine = np.unique(node[goal] if backwards else node[~goal])
-            found = []
-            for k in range(0, len(mine), LANES):
-                d = relaxed(cost, local(mine[k : k + LANES]), backwards)[:, ends[:, 0], ends[:, 1]]
-                u, v = np.nonzero(np.isfinite(d))
-                found.append((mine[k + u], reach[v], d[u, v]))
-            rows = [np.concatenate(c) for c in zip(*found)] if found else rows
-        return pa.table({"img_id": pa.array(np.full(len(rows[0]), img, "i8")), "asked": pa.array(rows[0]), "node": pa.array(rows[1]), "w": pa.array(rows[2])})
+        rows = group.to_pylist()
+        node, cost, asked = (np.concatenate([np.frombuffer(q[n], t) for q in rows]) for n, t in (("node", "i8"), ("cost", "f8"), ("asked", "?")))
+        of = np.repeat(np.arange(len(rows)), [q["n"] for q in rows])
+        d = np.full((len(node), len(node)), np.inf)
+        for k, q in enumerate(rows):
+            d[np.ix_(of == k, of == k)] = np.frombuffer(q["data"]).reshape(q["n"], q["n"])
+        order = np.argsort(node)
+        node, cost, asked, of, d = node[order], cost[order], asked[order], of[order], d[np.ix_(order, order)]
+        seam = np.zeros(len(node), bool)
+        for dr, dc, length in STEPS if len(node) else ():
+            to = node + dr * SHIFT + dc
+            k = np.minimum(np.searchsorted(node, to), len(node) - 1)
+            u = np.flatnonzero((node[k] == to) & (of[k] != of))
+            v = k[u]
+            d[u, v] = length * cost[v]
+            seam[u] = seam[v] = True
+        for k in np.flatnonzero(seam):  # no other pixel is in the middle of a chain between the blocks
+            np.minimum(d, d[:, k, None] + d[None, k], out=d)
+        high, wide = rows[0]["high"], rows[0]["wide"]
+        keep = asked | facing(node // SHIFT, node % SHIFT, i, j, h, w, high, wide)
+        return pa.table(_block(img, i, j, high, wide, node[keep], cost[keep], asked[keep], d[np.ix_(keep, keep)]))
 
     return go
 
 
-def least_costs(costs: DataFrame, requests: DataFrame, size: int = 64) -> DataFrame:
+def _edges(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in parts:
+        for q in part.to_pylist():
+            node, d = np.frombuffer(q["node"], "i8"), np.frombuffer(q["data"]).reshape(q["n"], q["n"])
+            u, v = np.nonzero(np.isfinite(d))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(u), q["img_id"], "i8")), pa.array(node[u]), pa.array(node[v]), pa.array(d[u, v])], names=["img_id", "u", "v", "w"])
+
+
+def least_costs(costs: DataFrame, requests: DataFrame, size: int = 64, most: int = MOST) -> DataFrame:
     """req_id, total: the least cost from start to goal of requests (req_id, img_id, sr, sc, er, ec) over costs (img_id, r, c,
     cost), for those whose goal can be reached."""
-    tiles = written_table(pack(costs, "cost", size, fill=np.inf), "route-tiles")
-    inner = tiles.mapInArrow(_edges(size), "img_id bigint, u bigint, v bigint, w double")
-    on_ring = lambda c: (F.col(c) % size == 0) | (F.col(c) % size == size - 1)
-    border = costs.where(on_ring("r") | on_ring("c")).select("img_id", "r", "c", "cost")
-    ahead = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(length).alias("length")) for dr, dc, length in STEPS))).alias("o")
-    tile = lambda c: F.floor(F.col(c) / size)
+    parts = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     node = lambda r, c: F.col(r).cast("bigint") * SHIFT + F.col(c)
-    sent = border.select("img_id", F.col("r").alias("r0"), F.col("c").alias("c0"), ahead).select("img_id", "r0", "c0", "o.length", (F.col("r0") + F.col("o.dr")).alias("r"), (F.col("c0") + F.col("o.dc")).alias("c"))
-    across = sent.where((tile("r0") != tile("r")) | (tile("c0") != tile("c"))).join(border, ["img_id", "r", "c"]).select("img_id", node("r0", "c0").alias("u"), node("r", "c").alias("v"), (F.col("length") * F.col("cost")).alias("w"))
-    edges = written_table(inner.unionByName(across).repartition("img_id", "u"), "portal-edges")
-
-    asked = requests.select("req_id", "img_id", node("sr", "sc").alias("start"), node("er", "ec").alias("goal_node"))
-    ends = requests.select("img_id", F.explode(F.array(F.struct(F.col("sr").alias("r"), F.col("sc").alias("c"), F.lit(False).alias("goal")), F.struct(F.col("er").alias("r"), F.col("ec").alias("c"), F.lit(True).alias("goal")))).alias("e")).select("img_id", "e.*").distinct()
-    placed = ends.select("img_id", tile("r").cast("int").alias("i"), tile("c").cast("int").alias("j"), node("r", "c").alias("node"), "goal")
-    attach = lambda backwards: tiles.groupBy("img_id", "i", "j").cogroup(placed.groupBy("img_id", "i", "j")).applyInArrow(_attach(size, backwards), "img_id bigint, asked bigint, node bigint, w double")
-    out = attach(False)
-    known = written_table(asked.join(out, (asked["img_id"] == out["img_id"]) & (asked["start"] == out["asked"])).select("req_id", asked["img_id"], "goal_node", "node", F.col("w").alias("d")), "portal-costs")
-    back = attach(True)
-    last = written_table(asked.join(back, (asked["img_id"] == back["img_id"]) & (asked["goal_node"] == back["asked"])).select("req_id", "node", F.col("w").alias("rest")), "portal-goals")
-
-    def totals(d: DataFrame) -> DataFrame:
-        there = d.where("node = goal_node").select("req_id", F.col("d").alias("total"))
-        return there.unionByName(d.join(last, ["req_id", "node"]).select("req_id", (F.col("d") + F.col("rest")).alias("total"))).groupBy("req_id").agg(F.min("total").alias("total"))
-
+    shape = costs.groupBy("img_id").agg((F.max("r") + 1).alias("high"), (F.max("c") + 1).alias("wide"))
+    pixel = lambda r, c: F.struct(F.col(r).alias("r"), F.col(c).alias("c"))
+    ends = requests.select("img_id", F.explode(F.array(pixel("sr", "sc"), pixel("er", "ec"))).alias("e")).select("img_id", "e.*")
+    told = ends.groupBy("img_id", *(F.floor(F.col(c) / size).cast("int").alias(n) for c, n in (("r", "i"), ("c", "j")))).agg(F.collect_set(node("r", "c")).alias("told"))  # at most a tile's pixels
+    tiles = pack(costs, "cost", size, fill=np.inf).join(shape, "img_id").join(told, ["img_id", "i", "j"], "left")
+    blocks = written_table(tiles.repartition(parts, "img_id", "i", "j").mapInArrow(_first(size), BLOCK_ROW), "blocks")
+    h = w = size
+    while True:
+        down, along = blocks.agg(F.max("i"), F.max("j")).first()
+        if not down and not along:
+            break
+        by_rows = bool(down) and (h <= w or not along)
+        half = F.floor(F.col("i" if by_rows else "j") / 2).cast("int")
+        pairs = blocks.withColumn("i" if by_rows else "j", half)
+        if pairs.groupBy("img_id", "i", "j").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] > most:
+            break
+        h, w = (2 * h, w) if by_rows else (h, 2 * w)
+        blocks = written_table(pairs.repartition(parts, "img_id", "i", "j").groupBy("img_id", "i", "j").applyInArrow(_merge(h, w), BLOCK_ROW), "blocks")
+
+    edges = blocks.mapInArrow(_edges, "img_id bigint, u bigint, v bigint, w double")
+    if down or along:
+        border = costs.where((F.col("r") % h).isin(0, h - 1) | (F.col("c") % w).isin(0, w - 1)).select("img_id", "r", "c", "cost")
+        ahead = F.explode(F.array(*(F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(length).alias("length")) for dr, dc, length in STEPS))).alias("o")
+        block = lambda r, c: F.struct(F.floor(F.col(r) / h), F.floor(F.col(c) / w))
+        sent = border.select("img_id", F.col("r").alias("r0"), F.col("c").alias("c0"), ahead).select("img_id", "r0", "c0", "o.length", (F.col("r0") + F.col("o.dr")).alias("r"), (F.col("c0") + F.col("o.dc")).alias("c"))
+        across = sent.where(block("r0", "c0") != block("r", "c")).join(border, ["img_id", "r", "c"]).select("img_id", node("r0", "c0").alias("u"), node("r", "c").alias("v"), (F.col("length") * F.col("cost")).alias("w"))
+        edges = edges.unionByName(across)
+    edges = written_table(edges.repartition("img_id", "u"), "portal-edges")
+    totals = lambda d: d.where("node = goal_node").groupBy("req_id").agg(F.min("d").alias("total"))
+    asked = requests.select("req_id", F.col("img_id").alias("of"), node("sr", "sc").alias("start"), node("er", "ec").alias("goal_node"))
+    known = written_table(asked.join(edges, (F.col("of") == F.col("img_id")) & (F.col("start") == F.col("u"))).select("req_id", "img_id", "goal_node", F.col("v").alias("node"), F.col("w").alias("d")), "portal-costs")
     best, front = written_table(totals(known), "portal-totals"), known
+    if not down and not along:
+        return best
     for _ in range(MOST_ROUNDS):
         moved = front.join(edges, (front["img_id"] == edges["img_id"]) & (front["node"] == edges["u"])).select("req_id", front["img_id"], "goal_node", F.col("v").alias("node"), (F.col("d") + F.col("w")).alias("d"))
         moved = moved.groupBy("req_id", "img_id", "goal_node", "node").agg(F.min("d").alias("d"))

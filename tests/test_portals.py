@@ -43,3 +43,18 @@ def test_relaxed_both_ways():
 def test_nothing_asked(spark):
     px = spark.createDataFrame([(0, 0, 0, 1.0)], "img_id long, r int, c int, cost double")
     assert least_costs(px, spark.createDataFrame([], REQUEST), 16).count() == 0
+
+
+@pytest.mark.parametrize("tall,most,rounds", [(96, 1024, False), (24, 20, True)])
+def test_a_long_image_takes_few_rounds(spark, monkeypatch, tall, most, rounds):
+    """Tiles are merged two by two, without a round of joins; with few portals allowed, rounds go on from there."""
+    from rasterloom.operators import portals
+
+    cost = maze(tall, 9, 4)
+    px = spark.createDataFrame([(0, r, c, float(cost[r, c])) for r in range(tall) for c in range(9)], "img_id long, r int, c int, cost double")
+    asked = [(0, 0, 0, 0, tall - 1, 8), (1, 0, tall - 3, 2, 5, 5)]
+    names, write = [], portals.written_table
+    monkeypatch.setattr(portals, "written_table", lambda df, name: names.append(name) or write(df, name))
+    got = {r.req_id: r.total for r in portals.least_costs(px, spark.createDataFrame(asked, REQUEST), 8, most).collect()}
+    assert all(got[q] == pytest.approx(least_cost(cost, (a, b), (c, d))[1]) for q, _, a, b, c, d in asked)
+    assert ("portal-front" in names) == rounds and names.count("blocks") <= 7
