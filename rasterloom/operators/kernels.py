@@ -319,24 +319,27 @@ def least_cost(cost: np.ndarray, start: tuple[int, int], goal: tuple[int, int],
     expansions the route to the expanded pixel that is closest to the goal by rows plus columns is
     given. Of pixels that promise the same the one that comes first by column, then by row, is expanded first.
     """
-    left = lambda p: math.hypot(goal[0] - p[0], goal[1] - p[1])
-    blocks = lambda p: abs(goal[0] - p[0]) + abs(goal[1] - p[1])
+    high, wide = cost.shape
+    price, goal_r, goal_c, hypot, push, pop = cost.tolist(), *goal, math.hypot, heapq.heappush, heapq.heappop
+    blocks = lambda p: abs(goal_r - p[0]) + abs(goal_c - p[1])
     spent, parent = {start: 0.0}, {}
-    queue, done, closest = [(left(start), start[::-1])], 0, start
+    queue, done, closest, nearest = [(hypot(goal_r - start[0], goal_c - start[1]), start[1], start[0])], 0, start, blocks(start)
     while queue and (most is None or done < most):
-        at = heapq.heappop(queue)[1][::-1]
+        _, c, r = pop(queue)
+        at = (r, c)
         done += 1
-        if blocks(at) < blocks(closest):
-            closest = at
-        if at == goal:
+        if (b := abs(goal_r - r) + abs(goal_c - c)) < nearest:
+            closest, nearest = at, b
+        if b == 0:
             break
+        base = spent[at]
         for dr, dc, length in STEPS:
-            to = (at[0] + dr, at[1] + dc)
-            if 0 <= to[0] < cost.shape[0] and 0 <= to[1] < cost.shape[1]:
-                total = spent[at] + float(cost[to]) * length
+            y, x = r + dr, c + dc
+            if 0 <= y < high and 0 <= x < wide:
+                total, to = base + price[y][x] * length, (y, x)
                 if total < spent.get(to, math.inf):
                     spent[to], parent[to] = total, at
-                    heapq.heappush(queue, (total + left(to), to[::-1]))
+                    push(queue, (total + hypot(goal_r - y, goal_c - x), x, y))
     route = [closest]
     while route[-1] in parent:
         route.append(parent[route[-1]])
