@@ -85,27 +85,31 @@ def fillings(rest: dict[int, int], lengths: list[int], capacity: int, most: int)
     the pieces left can make are followed, so each step leads to a filling.
     """
     room = capacity - lengths[-1]
-    # By length, in eight bytes each: a level of the search keeps its counts, and there may be thousands of levels.
-    counts = array("q", [0]) * (room + 1)
+    # A level of the search keeps these tables, and there may be thousands of levels, so they are small: counts by length,
+    # no more of a length than a filling can hold and one, and by sum how many of the sizes, ascending, it takes to make it.
+    kind, never = ("H", 0xFFFF) if room < 0xFFFE else ("L", 0xFFFFFFFF)
+    counts = array(kind, [0]) * (room + 1)
     for x in lengths[: bisect.bisect_right(lengths, room)]:
-        counts[x] = rest[x]
-    if lengths[-1] <= room:
-        counts[lengths[-1]] -= 1
-    sizes = array("i", (x for x, n in enumerate(counts) if n))
+        counts[x] = min(rest[x] - (x == lengths[-1]), room + 1)
+    sizes = array(kind, (x for x, n in enumerate(counts) if n))
     every = (1 << room + 1) - 1
-    reach = [1]  # as bits: the sums that the first i sizes make; all of the rest are as the last
-    for x in sizes:
-        if reach[-1] == every:
+    made = np.full(room + 1, never, counts.typecode)
+    made[0], sums = 0, 1
+    for i, x in enumerate(sizes):
+        if sums == every:
             break
-        sums, n, k = reach[-1], min(counts[x], room // x), 1
+        had, n, k = sums, min(counts[x], room // x), 1
         while n:
             k = min(k, n)
             sums |= sums << k * x & every
             n, k = n - k, 2 * k
-        reach.append(sums)
+        if sums != had:
+            raw = np.frombuffer((sums ^ had).to_bytes(room // 8 + 1, "little"), "u1")
+            made[np.flatnonzero(np.unpackbits(raw, bitorder="little")[: room + 1])] = i + 1
+    least = array(kind, made.tobytes())
 
-    def makes(i: int, total: int) -> int:
-        return reach[min(i, len(reach) - 1)] >> total & 1
+    def makes(i: int, total: int) -> bool:
+        return least[total] <= i
 
     def exact(total: int, below: int) -> Iterator[tuple[tuple[int, int], ...]]:
         if not total:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,6 +153,16 @@ def test_packing_search_is_complete():
         assert sum(t for _, t in packing.bin_completion(collections.Counter(items), capacity)) == fewest(items, capacity)
 
 
+def test_a_level_of_the_packing_search_is_small():
+    counts = {x: 5 for x in range(40, 1000)}  # short lengths never make every sum
+    tracemalloc.start()
+    levels = [packing.fillings(counts, sorted(counts), 2048, 100) for _ in range(20)]
+    first = {next(level) for level in levels}
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(first) == 1 and held < 20 * 40_000
+
+
 def test_packed_pieces(spark):
     lib = library("byte_bpe_50k.json")
     got = packing.pack_documents(cases.docs(spark)).collect()
