@@ -50,6 +50,24 @@ def test_chunks_give_the_librarys_ids(name):
         assert np.frombuffer(ids, "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_new_chunks_are_few_texts_to_the_library(name):
+    coder, asked = ChunkTokenizer(name), []
+    encode = coder._encode
+    coder._encode = lambda texts: asked.extend(texts) or encode(texts)
+    words = [f"w{'abcdefgh'[i % 8]}{i}{end}" for i, end in enumerate(["", ",", ".***", "'", ".\nSo", "\tit's", "'s", "é", "7)", "_", "_a", "\xd7", "ß!?"] * 200)]
+    texts = [" ".join(words[i : i + 50]) for i in range(0, len(words), 50)] + ["x " + " ".join(words[::-1]), "x \ty z\n", "x !! 's '", "x ,.", "a\t", "a\t\xe9 "]
+    for text, ids in zip(texts, coder.ids(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+    assert len(asked) < len(words) / 10
+
+
+def test_special_strings_in_capitals_are_plain_words():
+    coder = ChunkTokenizer("word_bpe_49k.json")
+    text = "to <|ENDOFTEXT|> and <|EndOfText|>, so"
+    assert np.frombuffer(coder.ids([text])[0], "<u4").tolist() == coder.library.encode(text, add_special_tokens=False).ids
+
+
 def test_counts_of_awkward_rows(spark):
     lib = library("byte_bpe_50k.json")
     got = token_counts.token_counts(cases.docs(spark)).collect()
