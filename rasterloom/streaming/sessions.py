@@ -3,7 +3,8 @@
 A session's state is one small row: whether it traces, its smoothed pointer, the anchor of the movement gate, its path,
 its checkpoints, its preview and the line end it resumes. Beside it stand the ends of the lines that the session has
 saved or merged, under the grid cell of each end, so that a later press meets them. The same step function folds a
-batch of a session's events (one group a session) and a stream's, where the state store keeps both between batches.
+batch of a session's events (one group a session) and a stream's, where the state store keeps both between batches, under a
+key for PER_KEY neighbouring sessions: a call of the store costs more than a session's fold.
 
 Rules. A press starts a path, at an end of an existing line if one is near (resume). A press near the start, within
 30 pixels while the path is the start alone and within 20 after, makes a spot height or closes the line; any other commits
@@ -44,6 +45,8 @@ CELL, MOST_CELLS = 10.0, 256
 TIMEOUT, KEEP = 24 * 3600 * 10**6, 7 * 24 * 3600 * 10**6
 #: A new line's number is the event's that saved it, from FIRST on: unique without a counter that outlives its session.
 FIRST = 1_000_000_000
+#: Neighbouring sessions that share a key of the stream's state, so that they share its calls; events or rows in one text of it.
+PER_KEY, BLOCK = 16, 10_000
 OUT = "session bigint, event_id bigint, action string, n_points int, checkpoint int, x double, y double, us bigint, line_id bigint, side string, line array<struct<x:double,y:double>>"
 EVENT = ("us", "event_id", "kind", "x", "y", "manual", "unit", "line_id", "x0", "y0", "x1", "y1")
 
@@ -227,15 +230,14 @@ def with_ends(events: DataFrame, layer: DataFrame | None = None, largest: float
     whole = plain.withColumns({c: F.lit(None).cast(t) for c, t in nothing.items()})
     if layer is None:
         return whole
-    size = RESUME * largest
-    cell = lambda c: F.floor(c / F.lit(size))
-    near = F.sequence(F.lit(-1), F.lit(1))
-    # Presses, of which there are fewer, look into the cells around them; a line stands in the cells of its two ends only.
+    reach = RESUME * largest
+    cell = lambda c: F.floor(c / F.lit(2 * reach))
+    around = lambda c: F.explode(F.sequence(cell(c - F.lit(reach)), cell(c + F.lit(reach))))
+    # Presses, of which there are fewer, look into the cells they reach, two an axis; a line stands in the cells of its two ends only.
     ends = layer.select(F.col("session").alias("of"), F.col("line_id").cast("string").alias("line_id"), "x0", "y0", "x1", "y1", F.posexplode(F.array(*(F.struct(cell(F.col(f"x{k}")).alias("i"), cell(F.col(f"y{k}")).alias("j")) for k in (0, 1)))).alias("end", "at")).select("of", *nothing, "end", "at.i", "at.j")
     fits = F.when(F.col("unit") <= largest, F.col("x")).otherwise(F.raise_error(F.lit("a unit is above largest")).cast("double"))
-    press = plain.where("kind = 'press'").withColumns({"i0": cell(fits), "j0": cell(F.col("y"))})
-    around = press.select("*", F.explode(near).alias("di")).select("*", F.explode(near).alias("dj")).withColumns({"i": F.col("i0") + F.col("di"), "j": F.col("j0") + F.col("dj")})
-    met = around.join(ends, (around["session"] == ends["of"]) & (around["i"] == ends["i"]) & (around["j"] == ends["j"]))
+    looks = plain.where("kind = 'press'").select("*", around(fits).alias("i")).select("*", around(F.col("y")).alias("j"))
+    met = looks.join(ends, (looks["session"] == ends["of"]) & (looks["i"] == ends["i"]) & (looks["j"] == ends["j"]))
     close = lambda k: F.coalesce(F.hypot(F.col(f"x{k}") - F.col("x"), F.col(f"y{k}") - F.col("y")) < F.lit(RESUME) * F.col("unit"), F.lit(False))
     once = F.when(F.col("end") == 0, close(0)).otherwise(close(1) & ~close(0))  # of a line with both ends near, the start tells
     return whole.unionByName(met.where(once).select(*plain.columns, *nothing).withColumn("kind", F.lit("end")).select(*whole.columns))
@@ -269,74 +271,160 @@ def replay(events: DataFrame, layer: DataFrame | None = None, largest: float = 1
 
 
 class Stored:
-    """A map of the state store, as the layer uses one; values are JSON."""
+    """The map of the state store that has all of a key's sessions, as (session, what, key) -> JSON. What a call reads and
+    writes is kept until flush, so the store is asked once for a key, not at all where it has none, and told the outcome."""
 
     def __init__(self, state):
         self.state = state
 
+    def open(self) -> None:
+        self.seen, self.changed, self.listed, self.there = {}, {}, None, self.state.exists()
+
+    def get(self, key: tuple):
+        if key not in self.seen:
+            there = self.there and (self.state.containsKey(key) if self.listed is None else key in self.listed.get(key[:2], ()))
+            self.seen[key] = json.loads(self.state.getValue(key)[0]) if there else None
+        return self.seen[key]
+
+    def put(self, key: tuple, value) -> None:
+        if value is not None or self.get(key) is not None:
+            self.seen[key] = value
+            self.changed.setdefault(key[:2], set()).add(key)
+
+    def keys(self, session: int, what: str) -> list[tuple]:
+        if self.listed is None and self.there:
+            self.listed = {}
+            for key in self.state.keys():
+                self.listed.setdefault(tuple(key[:2]), set()).add(tuple(key))
+        old, new = (self.listed.get((session, what), ()) if self.there else ()), self.changed.get((session, what), ())
+        return [k for k in {*old, *new} if k not in new or self.seen[k] is not None]
+
+    def flush(self) -> None:
+        for key in (k for keys in self.changed.values() for k in keys):
+            if self.seen[key] is not None:
+                self.state.updateValue(key, (json.dumps(self.seen[key]),))
+            elif self.there and self.state.containsKey(key):
+                self.state.removeKey(key)
+
+
+class Part:
+    """What is stored of a session under a name, as a layer uses a dictionary."""
+
+    def __init__(self, stored: Stored, session: int, what: str):
+        self.stored, self.session, self.what = stored, session, what
+
     def get(self, key: str):
-        return json.loads(self.state.getValue((key,))[0]) if self.state.containsKey((key,)) else None
+        return self.stored.get((self.session, self.what, key))
 
     def __setitem__(self, key: str, value) -> None:
-        self.state.updateValue((key,), (json.dumps(value),))
+        self.stored.put((self.session, self.what, key), value)
 
     def __delitem__(self, key: str) -> None:
-        self.state.removeKey((key,))
+        self[key] = None
 
     def __iter__(self) -> Iterator[str]:
-        return (k[0] for k in list(self.state.keys()))
+        return (k[2] for k in self.stored.keys(self.session, self.what))
 
     def clear(self) -> None:
-        self.state.clear()
+        for key in list(self):
+            del self[key]
+
+
+def packed(told: DataFrame) -> DataFrame:
+    """sessions (PER_KEY of them), ts, us, event: events as JSON, so that few columns go to Python and into the state; null of a
+    `tick`, which stays, as it moves the watermark."""
+    end = F.to_json(F.struct("session", "us", "event_id", "line_id", F.array("x0", "y0", "x1", "y1").alias("ends")))
+    event = F.when(F.col("kind") == "end", end).when(~F.col("kind").eqNullSafe("tick"), F.to_json(F.struct("session", *EVENT[:7])))
+    return told.select(F.expr(f"session div {PER_KEY}").alias("sessions"), "ts", "us", event.alias("event"))
+
+
+def unpacked(e: dict) -> tuple:
+    """A tuple of EVENT from what packed tells of it; a number that is missing is not a number, as in pandas."""
+    number = lambda v: v if type(v) is float else math.nan if v is None else float(v)
+    if "ends" in e:
+        return (e["us"], e["event_id"], "end", None, None, None, None, e["line_id"], *map(number, e["ends"]))
+    return (e["us"], e["event_id"], e.get("kind"), number(e.get("x")), number(e.get("y")), e.get("manual"), number(e.get("unit")), None, None, None, None, None)
+
+
+def text_of(rows: list[tuple]) -> str:
+    """Rows of OUT as JSON; what is not a number is null, as in table_of."""
+    names = [c.split()[0] for c in OUT.split(", ")]
+    plain = [{c: v for c, v in zip(names, r) if v is not None and v == v} for r in rows]
+    for r in plain:
+        if "line" in r:
+            r["line"] = [{c: v for c, v in p.items() if v == v} for p in r["line"]]
+    return json.dumps(plain)
 
 
 class Sessions(StatefulProcessor):
-    """The stream's form of replay. Events wait in a list until the watermark has passed them; timers of event time then
-    fold them, give up paths and drop what is left of a session."""
+    """The stream's form of replay, for the sessions of a key. Events wait in a list, those of a batch as one text, until the
+    watermark has passed them; timers of event time then fold them, give up paths and drop what is left of a session. Rows
+    go out as texts: a table a key, of as many columns as OUT, costs more than the fold."""
 
     def __init__(self, timeout: int | None = TIMEOUT, keep: int | None = KEEP):
         self.timeout, self.keep = timeout, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        text = lambda *names: StructType([StructField(n, StringType()) for n in names])
         self.handle = handle
-        self.row = handle.getValueState("session", text("state"))
-        self.lines = Stored(handle.getMapState("lines", text("line"), text("ends")))
-        self.cells = Stored(handle.getMapState("cells", text("cell"), text("ends")))
-        self.waiting = handle.getListState("waiting", StructType([StructField("us", LongType()), StructField("event", StringType())]))
+        long, text = (lambda n: StructField(n, LongType())), (lambda n: StructField(n, StringType()))
+        self.stored = Stored(handle.getMapState("stored", StructType([long("session"), text("what"), text("key")]), StructType([text("value")])))
+        self.waits = handle.getValueState("waits", StructType([text("waits")]))  # session -> when time alone changes it
+        self.waiting = handle.getListState("waiting", StructType([long("us"), text("events")]))
 
     def wake(self, us: int) -> None:
         """A timer at the first millisecond that is no earlier."""
         self.handle.registerTimer(-(-us // 1000))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [e for pdf in rows for e in tuples_of(pdf) if e[2] != "tick"]
-        if new:
-            self.waiting.appendList([(int(e[0]), json.dumps(e)) for e in new])
-            self.wake(min(int(e[0]) for e in new))
+        first = None
+        for pdf in rows:
+            new = [(int(us), event) for us, event in zip(pdf["us"].tolist(), pdf["event"].tolist()) if isinstance(event, str)]
+            if new:
+                least = min(us for us, _ in new)
+                self.waiting.appendValue((least, f"[{','.join(event for _, event in new)}]"))
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self.wake(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs() * 1000
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        due, later = [tuple(json.loads(e)) for us, e in held if us <= now], [(us, e) for us, e in held if us > now]
-        state = json.loads(self.row.get()[0]) if self.row.exists() else fresh()
-        for name in ("path", "preview"):
-            state[name] = [tuple(p) for p in state[name]]
-        fold = Fold(key[0], state, Layer(self.lines, self.cells), self.timeout, self.keep)
-        out = fold.run(due) + fold.pass_time(now)
+        held = list(self.waiting.get())
+        later = [(us, text) for us, text in held if us > now]
+        due, rest = {}, []
+        for us, text in held:
+            for e in json.loads(text) if us <= now else ():
+                if e["us"] <= now:
+                    due.setdefault(e["session"], []).append(unpacked(e))
+                else:
+                    rest.append(e)
+        for k in range(0, len(rest), BLOCK):
+            some = rest[k : k + BLOCK]
+            later.append((min(e["us"] for e in some), json.dumps(some)))
+        self.stored.open()
+        told = self.waits.get() if self.stored.there else None
+        waits = {int(session): us for session, us in json.loads(told[0]).items()} if told else {}
+        out = []
+        for session in sorted({*due, *(session for session, us in waits.items() if us <= now)}):
+            state = self.stored.get((session, "state", ""))
+            for name in ("path", "preview") if state else ():
+                state[name] = [tuple(p) for p in state[name]]
+            fold = Fold(session, state, Layer(Part(self.stored, session, "line"), Part(self.stored, session, "cell")), self.timeout, self.keep)
+            out += fold.run(due.get(session, [])) + fold.pass_time(now)
+            self.stored.put((session, "state", ""), None if fold.state == fresh() else fold.state)
+            waits.pop(session, None)
+            waits |= {session: us + 1 for us in sorted(fold.waits(), reverse=True) if us + 1 > now}
+        self.stored.flush()
         if due:
             self.waiting.put(later) if later else self.waiting.clear()
-        if later:
-            self.wake(min(us for us, _ in later))
-        if fold.state == fresh():
-            self.row.clear()
-        else:
-            self.row.update((json.dumps(fold.state),))
-            for us in fold.waits():
-                if us + 1 > now:
-                    self.wake(us + 1)
-        yield table_of(out)
+        if waits:
+            self.waits.update((json.dumps(waits),))
+        elif told:
+            self.waits.clear()
+        if waits or later:
+            self.wake(min([*waits.values(), *(us for us, _ in later)]))
+        for k in range(0, len(out), BLOCK):
+            yield pd.DataFrame({"rows": [text_of(out[k : k + BLOCK])]})
 
     def close(self) -> None:
         pass
@@ -345,8 +433,9 @@ class Sessions(StatefulProcessor):
 def stream(events: DataFrame, layer: DataFrame | None = None, largest: float = 1.0, delay: str = "0 seconds", timeout: int | None = TIMEOUT, keep: int | None = KEEP) -> DataFrame:
     """The streaming query of replay over a streaming DataFrame of events; one may come as late as delay. An event of kind
     `tick` does nothing but move the watermark on."""
-    told = with_ends(events.withWatermark("ts", delay), layer, largest).select("session", "ts", *EVENT)
-    return told.groupBy("session").transformWithStateInPandas(statefulProcessor=Sessions(timeout, keep), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    told = packed(with_ends(events.withWatermark("ts", delay), layer, largest).select("session", "ts", *EVENT))
+    found = told.groupBy("sessions").transformWithStateInPandas(statefulProcessor=Sessions(timeout, keep), outputStructType="rows string", outputMode="Append", timeMode="EventTime")
+    return found.select(F.inline(F.from_json("rows", f"array<struct<{OUT}>>", {"mode": "FAILFAST"})))
 
 
 def written(layer: DataFrame, replayed: DataFrame) -> DataFrame:

@@ -248,3 +248,48 @@ def test_a_line_with_both_ends_near_is_met_once(spark):
     told = sessions.with_ends(spark.createDataFrame([(1, 0, 5, "press", 2.0, 1.0, False)], "session long, us long, event_id long, kind string, x double, y double, manual boolean"), layer)
     assert sorted(r.line_id for r in told.where("kind = 'end'").collect()) == ["7", "8"]
     assert "HashAggregate" not in told._jdf.queryExecution().executedPlan().toString()
+
+
+def streamed(spark, tmp_path, name, events, layer=None):
+    """What the stream makes of events that are all there, and how often it went to the state store (puts and gets)."""
+    source, provider = str(tmp_path / "in"), "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.createDataFrame(events, SCHEMA).coalesce(1).write.parquet(source)
+    spark.createDataFrame(tick(40 * 24 * 3600), SCHEMA).coalesce(1).write.mode("append").parquet(source)
+    q = stream(spark.readStream.schema(SCHEMA).parquet(source), layer).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    metrics = [op["customMetrics"] for p in q.recentProgress for op in p["stateOperators"]]
+    return spark.table(name).collect(), sum(m["rocksdbPutCount"] + m["rocksdbGetCount"] for m in metrics)
+
+
+def test_a_stream_goes_to_the_state_by_the_session_not_by_the_event(spark, tmp_path):
+    """It held each event as a row and looked up each cell and each line end in the store, press by press."""
+    rng = np.random.default_rng(6)
+    kinds = rng.choice(["press", "move", "drag", "undo", "finish"], 600, p=[0.4, 0.1, 0.1, 0.1, 0.3])
+    events = rows(*((int(rng.integers(2)), k, k, str(kind), *rng.uniform(0, 90, 2)) for k, kind in enumerate(kinds)))
+    got, asked = streamed(spark, tmp_path, "few_questions", events)
+    assert plain(got) == plain(replay(spark.createDataFrame(events, SCHEMA)).collect())
+    assert {"resumed", "merged", "saved"} <= {r["action"] for r in got} and asked < 60
+
+
+def test_odd_values_in_a_stream(spark, tmp_path):
+    nan, inf = math.nan, math.inf
+    events = rows((1, 0, 1, "press", 0, 0), (1, 1, 2, "press", nan, 50), (1, 2, 3, "press", inf, -inf), (1, 3, 4, 'a "kind", \\ of \n its own', 5, 5), (1, 4, 5, "press", 1e-300, 0.1), (1, 5, 6, "drag", 123456789.123456789, 60), (1, 6, 7, "finish", 0, 0), (2, 7, 2**50 + 1, "press", 3, 4))
+    events += [(1, T0 + datetime.timedelta(seconds=s), 10 + s, kind, x, y, manual, 1.0) for s, kind, x, y, manual in ((10, "press", 1.0, 1.0, None), (11, "press", None, 50.0, None), (12, "drag", 70.0, None, None), (13, None, 1.0, 1.0, None), (14, "move", 9.0, 9.0, True))]
+    ends = spark.createDataFrame([(1, 7, 1.0, 1.0, 500.0, 500.0), (1, 9, nan, 3.0, 400.0, inf), (2, 8, 0.0, 0.0, 3.0, 4.0)], "session long, line_id long, x0 double, y0 double, x1 double, y1 double")
+    got, _ = streamed(spark, tmp_path, "odd_values", events, ends)
+    want = replay(spark.createDataFrame(events, SCHEMA), ends).collect()
+    assert plain(got) == plain(want) and "resumed" in {r["action"] for r in got}
+
+
+def test_neighbouring_sessions_share_a_key_but_nothing_else(spark, tmp_path):
+    """Far presses read all lines of their own session from the state, some lines are forgotten while others stay, and the key is empty in the end."""
+    lines = [rows((s, 10 * s, 10 * s, "press", 100 * s, 0), (s, 10 * s + 1, 10 * s + 1, "press", 100 * s, 90), (s, 10 * s + 2, 10 * s + 2, "finish", 0, 0)) for s in (1, 2, 3, 17)]
+    far = [(s, T0 + datetime.timedelta(seconds=1000 + k), 500 + k, kind, x, y, False, 60.0) for k, (s, kind, x, y) in enumerate([(2, "press", 600.0, 90.0), (2, "press", 5000.0, 0.0), (2, "finish", 0.0, 0.0), (2, "press", 4900.0, 0.0), (2, "press", 9000.0, 0.0), (3, "press", 0.0, 0.0), (17, "press", -9000.0, 0.0), (17, "press", 0.0, 0.0), (17, "finish", 0.0, 0.0)])]
+    again = rows((1, 2 * 3600 + 500, 600, "press", 100, 90), (3, 2 * 3600 + 500, 601, "press", 300, 90))
+    got, state, dropped = Feed(spark, tmp_path, "neighbours", timeout=HOUR // 2, keep=2 * HOUR).run([sum(lines, []), far, again, tick(20 * 3600)])
+    want = replay(spark.createDataFrame([*sum(lines, []), *far, *again], SCHEMA), timeout=HOUR // 2, keep=2 * HOUR).collect()
+    assert plain(got) == plain(want) and dropped == 0 and state["numRowsTotal"] == 0
+    told = {r[1]: (r[2], r[8]) for r in got if r[1] is not None}
+    assert told[500][0] == "resumed" and told[502] == ("merged", FIRST + 22) and told[503][0] == "resumed" and told[508] == ("saved", FIRST + 508)
+    assert (told[600][0], told[601][0]) == ("started", "resumed")  # two hours after the last event of session 1, not of session 3
